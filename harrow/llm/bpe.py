@@ -201,6 +201,6 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
     @F.pandas_udf("string")
     def decode(rows: pd.Series) -> pd.Series:
         c = codec(raw.value)
-        return pd.Series([c.decode(r.tolist()) if r is not None else "" for r in rows], dtype=object)
+        return pd.Series([c.decode(r) if r is not None else "" for r in rows], dtype=object)
 
     return df.withColumn(out, decode(F.col(ids)))

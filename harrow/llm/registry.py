@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import importlib
 import pkgutil
+import re
 
 import harrow.llm as package
 
 
 def modules() -> list:
-    return [importlib.import_module(f"harrow.llm.{m.name}") for m in pkgutil.iter_modules(package.__path__) if m.name.startswith("q")]
+    return [importlib.import_module(f"harrow.llm.{m.name}") for m in pkgutil.iter_modules(package.__path__) if re.match(r"q\d\d_", m.name)]
 
 
 def queries() -> dict:

@@ -68,7 +68,7 @@ class Codec:
             self.merges.setdefault((vocab[a], vocab[b]), rank + 1 << BITS | vocab[a + b])
         self.pattern = regex.compile(PRE_TOKEN)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.pieces = Memory(self.piece, CACHE_ENTRIES)
+        self.pieces = Memory(self.piece, CACHE_ENTRIES // 4)
         self.standing = Memory(self.stands, CACHE_ENTRIES)
         self.words = Memory(self.word, CACHE_ENTRIES // 20)
         self.spaced = Memory(lambda rest: self.word(f" {rest}"), CACHE_ENTRIES)
@@ -76,8 +76,8 @@ class Codec:
     def word(self, text: str) -> tuple[int, ...]:
         """What stands between two cuts: its pre-tokens' ids."""
         if len(found := self.pattern.findall(text)) == 1:
-            return self.pieces[text]
-        return tuple(i for piece in found for i in self.pieces[piece])
+            return self.piece(text)
+        return tuple(i for p in found for i in (self.spaced[p[1:]] if p[0] == " " and len(p) > 1 and p[1] != " " else self.pieces[p]))
 
     def piece(self, text: str) -> tuple[int, ...]:
         """One pre-token: its fragments' ids."""
@@ -203,4 +203,5 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
         c = codec(raw.value)
         return pd.Series([c.decode(r) if r is not None else "" for r in rows], dtype=object)
 
-    return df.withColumn(out, decode(F.col(ids)))
+    # not a call on the encoder's own call: two chained calls would run the encoder twice
+    return df.withColumn(out, decode(F.coalesce(F.col(ids), F.array().cast("array<int>"))))

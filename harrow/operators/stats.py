@@ -17,6 +17,11 @@ def count_() -> Column:
     return F.count(F.lit(1))
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of a table of one row, which is broadcast."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def source_rollup(requests: DataFrame) -> DataFrame:
     return requests.groupBy("ip").agg(count_().alias("requests"), F.max("severity").alias("max_severity"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"))
 
@@ -64,7 +69,7 @@ def families(requests: DataFrame, labels: str, family_of: Column | None = None)
 def countries_map(requests: DataFrame, sources: DataFrame) -> DataFrame:
     """Distinct sources per country, and the largest such count."""
     by = requests.select("ip").distinct().join(sources.select("ip", "country"), "ip").groupBy("country").agg(count_().alias("sources"))
-    return by.crossJoin(F.broadcast(by.agg(F.max("sources").alias("most"))))  # one row
+    return beside(by, by.agg(F.max("sources").alias("most")))
 
 
 def asn_top(requests: DataFrame, sources: DataFrame, k: int = 15) -> DataFrame:
@@ -143,7 +148,7 @@ def campaign_tile(members: DataFrame, sources: DataFrame, least: int = 3) -> Dat
     """Campaigns, members, largest, networks and countries; null where fewer than ``least`` campaigns."""
     size = members.groupBy("campaign").agg(count_().alias("size")).agg(count_().alias("campaigns"), F.sum("size").alias("members"), F.max("size").alias("largest"))
     spread = members.join(sources, "ip").agg(F.countDistinct("asn").alias("asns"), F.countDistinct("country").alias("countries"))
-    both = size.crossJoin(F.broadcast(spread))  # one row each
+    both = beside(size, spread)
     return both.select(*[F.when(F.col("campaigns") >= least, F.col(c)).alias(c) for c in both.columns])
 
 

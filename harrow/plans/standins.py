@@ -75,6 +75,8 @@ def with_views(sql: str) -> str:
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     heads = ", ".join(f"{n} AS ({_text(n, False)})" for n in used)
     sql = sql.strip()
+    if not used:
+        return sql
     if sql.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {heads}, {sql[15:]}"
     if sql.upper().startswith("WITH "):

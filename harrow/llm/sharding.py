@@ -76,7 +76,8 @@ def grow(slots: DataFrame, shards: int, version: int) -> DataFrame:
     inside = Window.partitionBy("shard").orderBy("slot_bytes", "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     given = F.sum("slot_bytes").over(inside)
     held = F.sum("slot_bytes").over(Window.partitionBy("shard"))
-    moved = slots.crossJoin(F.broadcast(total)).withColumn("moves", given <= held - F.col("fair"))  # one row
+    beside = slots.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")  # one row
+    moved = beside.withColumn("moves", given <= held - F.col("fair"))
     return positions(
         moved.select("virtual_slot", F.when(F.col("moves"), F.lit(shards)).otherwise(F.col("shard")).alias("shard"), "slot_bytes", "slot_rows"),
         version,

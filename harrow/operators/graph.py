@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import materialize
+from harrow.sources.scratch import materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

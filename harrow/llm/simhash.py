@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from harrow.llm.common import materialize
-from harrow.llm.components import components
+from harrow.operators.graph import components
 
 #: Words in a shingle; differing bits that still link.
 SHINGLE, DISTANCE = 4, 4

@@ -98,20 +98,20 @@ def matches(lines: Column, order: list[str], templates=TEMPLATES, threshold: flo
 
 def phrase_places(text: Column, phrases=PHRASES) -> Column:
     """array<struct<place, label>> of all places of the phrases; ``text``: words with one space between."""
-    array = F.split(text, " ")
+    kind = "array<struct<place:int,label:string>>"
 
-    def stands(words: list[str]):
-        return lambda i: _all([F.get(array, i + k) == w for k, w in enumerate(words)])
+    def places(words: list[str], label: str):
+        def of(array: Column) -> Column:  # bound once: an expression would be split anew for every word
+            hits = F.filter(F.sequence(F.lit(0), F.size(array) - len(words)), lambda i: _all([F.get(array, i + k) == w for k, w in enumerate(words)]))
+            return F.transform(hits, lambda i: F.struct(i.alias("place"), F.lit(label).alias("label")))
 
-    def labelled(label: str):
-        return lambda i: F.struct(i.alias("place"), F.lit(label).alias("label"))
+        return of
 
     out = []
     for phrase, label in phrases.items():
-        words = phrase.split()
-        places = F.filter(F.sequence(F.lit(0), F.size(array) - len(words)), stands(words))
         here = F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f" {phrase} "))
-        out.append(F.when(here, F.transform(places, labelled(label))).otherwise(F.array().cast("array<struct<place:int,label:string>>")))
+        found = F.flatten(F.transform(F.array(F.split(text, " ")), places(phrase.split(), label)))
+        out.append(F.when(here, found).otherwise(F.array().cast(kind)))
     return F.concat(*out)
 
 

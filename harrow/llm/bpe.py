@@ -18,6 +18,7 @@ import re
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,9 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {i: bytes(symbols[c] for c in token) for token, i in vocab.items()}
         self.token_of = {token: i for i, token in self.bytes_of.items()}
-        self.longest = max(map(len, self.token_of))
+        self.longest: dict[bytes, int] = {}  # by the first two bytes: the longest token's length
+        for token in self.token_of:
+            self.longest[token[:2]] = max(self.longest.get(token[:2], 1), len(token))
         inside = {pair for token in self.bytes_of.values() for pair in zip(token, token[1:])}
         self.never = {(a, b) for a in range(256) for b in range(256)} - inside
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
@@ -75,9 +78,14 @@ class Codec:
 
     def word(self, text: str) -> tuple[int, ...]:
         """What stands between two cuts: its pre-tokens' ids."""
-        if len(found := self.pattern.findall(text)) == 1:
+        spaced = text[:1] == " "
+        core = text[1:] if spaced else text
+        if core.isalpha():
             return self.piece(text)
-        return tuple(i for p in found for i in (self.spaced[p[1:]] if p[0] == " " and len(p) > 1 and p[1] != " " else self.pieces[p]))
+        if core[:-1].isalpha() and core[-1] in ".,;:!?":
+            return (self.spaced if spaced else self.words)[core[:-1]] + self.pieces[core[-1]]
+        found = self.pattern.findall(text)
+        return tuple(i for p in found for i in (self.pieces[p] if len(found) > 1 else self.piece(p)))
 
     def piece(self, text: str) -> tuple[int, ...]:
         """One pre-token: its fragments' ids."""
@@ -86,8 +94,10 @@ class Codec:
     def fragments(self, data: bytes) -> list[bytes]:
         """``data`` cut at every forced boundary."""
         never = self.never
+        if never.isdisjoint(zip(data, data[1:])):
+            return [data]
         cuts = [i for i, pair in enumerate(zip(data, data[1:]), 1) if pair in never]
-        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])] if cuts else [data]
+        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
 
     def merge(self, data: bytes) -> list[int]:
         """BPE by its definition, for a token or two: the lowest rank first, leftmost among equals."""
@@ -116,18 +126,16 @@ class Codec:
         """
         token, stand, n, longest = self.token_of.get, self.standing, len(data), self.longest
         out, ends, at, dead = [-1], [0], 0, set()
-        size = min(n, longest)
+        size = longest.get(data[:2], 1)
         while at < n:
-            while size:
+            for size in range(min(size, n - at), 0, -1):
                 t = token(data[at : at + size])
-                if t is not None and at + size not in dead and stand[out[-1], t]:
+                if t is not None and stand[out[-1], t] and at + size not in dead:
+                    at += size
+                    out.append(t)
+                    ends.append(at)
+                    size = longest.get(data[at : at + 2], 1)
                     break
-                size -= 1
-            if size:
-                at += size
-                out.append(t)
-                ends.append(at)
-                size = min(n - at, longest)
             else:
                 dead.add(at)
                 out.pop()
@@ -205,3 +213,16 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
 
     # not a call on the encoder's own call: two chained calls would run the encoder twice
     return df.withColumn(out, decode(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+
+
+def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens") -> DataFrame:
+    """Add ``out``: struct<ids, decoded>, the text's ids and what they decode to, in one pass with one worker per task."""
+    raw = _vocabulary(df.sparkSession, vocabulary)
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        c = codec(raw.value)
+        ids = [c.encode(t) for t in texts]
+        return pd.DataFrame({"ids": [np.array(i, np.int32) for i in ids], "decoded": [c.decode(i) for i in ids]})
+
+    return df.withColumn(out, both(F.col(text)))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.bpe import bpe_decode, bpe_encode
+from harrow.llm.bpe import bpe_round_trip
 from harrow.llm.common import table
 
 NAME = "op9_bpe"
@@ -14,7 +14,7 @@ ORACLE_SQL = None
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    both = bpe_decode(bpe_encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    both = bpe_round_trip(docs.select("doc_id", "text"), vocabulary).select("doc_id", "tokens.ids", "tokens.decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

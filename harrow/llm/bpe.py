@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.llm.common import bounded_batches
+
 #: A vocabulary larger than this is not broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words and pre-tokens that one worker remembers.
@@ -192,7 +194,7 @@ def _vocabulary(spark: SparkSession, path: str):
 
 def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add ``out`` array<int>: the ids of the whole ``text``."""
-    raw = _vocabulary(df.sparkSession, vocabulary)
+    raw = _vocabulary(bounded_batches(df).sparkSession, vocabulary)
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
@@ -204,7 +206,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "i
 
 def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out`` string: the text that ``ids`` stand for (null: empty), special tokens included."""
-    raw = _vocabulary(df.sparkSession, vocabulary)
+    raw = _vocabulary(bounded_batches(df).sparkSession, vocabulary)
 
     @F.pandas_udf("string")
     def decode(rows: pd.Series) -> pd.Series:
@@ -217,7 +219,7 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
 
 def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens") -> DataFrame:
     """Add ``out``: struct<ids, decoded>, the text's ids and what they decode to, in one pass with one worker per task."""
-    raw = _vocabulary(df.sparkSession, vocabulary)
+    raw = _vocabulary(bounded_batches(df).sparkSession, vocabulary)
 
     @F.pandas_udf("ids array<int>, decoded string")
     def both(texts: pd.Series) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from harrow.sources.scratch import materialize, scratch_dir
 
-__all__ = ["fresh", "materialize", "scratch_dir", "table"]
+__all__ = ["bounded_batches", "fresh", "materialize", "scratch_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +20,20 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Rows and bytes of text that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batches so that whole documents fit a worker's memory.
+
+    A session that has its own setting keeps it.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if conf.get(key, None) is None:
+            conf.set(key, str(most))
+    return df

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm.common import bounded_batches
 from harrow.llm.bytetext import ascii_words, groups, mix, word_hashes
 
 GRAM, WINDOW, MIN_WORDS, THRESHOLD = 3, 4, 5, 0.5
@@ -215,7 +216,7 @@ def finder(block, threshold: float, kind: str):
 
 def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, out: str = "leaks") -> DataFrame:
     """Add ``out``: array<struct<item_id, score, first_word, last_word>>, the items that the text holds."""
-    context = docs.sparkSession.sparkContext
+    context = bounded_batches(docs).sparkSession.sparkContext
     kind = f"array<struct<item_id:{dict(items.dtypes)[item_key]},score:double,first_word:bigint,last_word:bigint>>"
     columns = []
     for block in item_blocks(items, item_key, item_text):

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from harrow.llm.common import bounded_batches
+
 #: Elements whose content is never article text (fixed values).
 NEVER = frozenset("head title script style noscript template iframe object svg canvas audio video nav header footer aside form button select option textarea dialog menu".split())
 #: Words of class, id or role that mark such content (fixed values).
@@ -199,4 +201,4 @@ def extracted(pages: pd.Series) -> pd.Series:
 
 def with_main_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Add ``out``: the main text of the whole page."""
-    return df.withColumn(out, extracted(F.col(html)))
+    return bounded_batches(df).withColumn(out, extracted(F.col(html)))

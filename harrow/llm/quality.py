@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from harrow.llm.common import bounded_batches
 from harrow.llm.bytetext import groups, word_hashes, word_spans
 from harrow.llm.training import labelled_sample
 
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Col
 
 def with_quality(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """Add ``score`` double from 0 to 1. The model has a fixed size (1 MB) and is broadcast."""
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = bounded_batches(df).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(DoubleType())
     def scored(texts: pd.Series) -> pd.Series:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from harrow.llm.common import materialize
+from harrow.llm.common import bounded_batches, materialize
 from harrow.operators.graph import components
 
 #: Words in a shingle; differing bits that still link.
@@ -188,7 +188,7 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per document: key, text_hash, fp, root (of fingerprints), component_id."""
-    prints = materialize(docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), fingerprint(text).alias("fp")), "simhash-prints")
+    prints = materialize(bounded_batches(docs).select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), fingerprint(text).alias("fp")), "simhash-prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
     labels = components(links(classes.select("fp"), distance))
     rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm.common import bounded_batches
 from harrow.llm.bytetext import ascii_words, groups, word_hashes
 from harrow.llm.training import labelled_sample
 
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGOR
 
 def with_toxicity(df: DataFrame, chain: Chain, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add ``out``: struct with a probability per category. The chain has a fixed size and is broadcast."""
-    held = df.sparkSession.sparkContext.broadcast(chain)
+    held = bounded_batches(df).sparkSession.sparkContext.broadcast(chain)
 
     @F.pandas_udf(", ".join(f"{c} double" for c in chain.categories))
     def scored(texts: pd.Series) -> pd.DataFrame:

@@ -24,7 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = None
     while True:
         parent = materialize(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), name)
-        while True:
+        while not parent.isEmpty():
             above = parent.select(F.col("node").alias("root"), F.col("root").alias("higher"))
             parent = materialize(
                 parent.join(above, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), name
@@ -32,7 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             if parent.where("moved").isEmpty():
                 break
             parent = parent.drop("moved")
-        parent = parent.drop("moved")
+        parent = parent.select("node", "root")
         if labels is None:
             labels = parent
         else:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from harrow.operators.graph import components
 from harrow.operators.joins import RARE_CAP
 from harrow.operators.stats import DAY, keep_top
+from harrow.sources.scratch import materialize
 
 #: Soft edge: least score alone, with support, shared shapes, days between, shapes for an order, untied pairs for an order.
 ALONE, SUPPORTED, SHARED, APART, ORDER_SHAPES, ORDER_PAIRS, ORDER = 0.60, 0.45, 3, 30, 8, 28, 0.5
@@ -91,11 +92,13 @@ def guarded_merge(hard_groups: DataFrame, soft: DataFrame) -> DataFrame:
     Links are summed between groups first; what soft links do not connect is
     independent, so each block runs the sequential rule on its own.
     """
+    soft, hard_groups = materialize(soft.select("a", "b"), "soft-edges"), materialize(hard_groups, "hard-groups")
     ends = soft.select(F.col("a").alias("ip")).union(soft.select("b")).distinct()
     every = ends.join(hard_groups, "ip", "full").select("ip", F.coalesce("grp", "ip").alias("grp"))
     size = every.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     of = lambda c: every.select(F.col("ip").alias(c), F.col("grp").alias(f"g{c}"))
     between = soft.join(of("a"), "a").join(of("b"), "b").where("ga <> gb").groupBy(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).agg(F.count(F.lit(1)).alias("links"))
+    between = materialize(between, "group-links")
     block = groups_of(between.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
     rows = between.join(size.select(F.col("grp").alias("ga"), F.col("n").alias("na")), "ga").join(size.select(F.col("grp").alias("gb"), F.col("n").alias("nb")), "gb").join(block.select(F.col("ip").alias("ga"), F.col("grp").alias("block")), "ga")
     kind = dict(every.dtypes)["grp"]
@@ -150,7 +153,7 @@ def campaign_report(grouped: DataFrame, hard: DataFrame, soft: DataFrame) -> Dat
 
 def campaign_tuning(source_shapes: DataFrame, fingerprints: DataFrame, hard: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
     """The same job for every (alone, supported): soft edges, groups and members."""
-    groups = groups_of(hard)
+    groups = materialize(groups_of(hard), "hard-groups")
     out = None
     for alone, supported in grid:
         soft = soft_edges(source_shapes, fingerprints, alone, supported)

@@ -44,8 +44,8 @@ def path_shape(path: Column) -> Column:
     plain = normalize_text(F.substring_index(path, "?", 1))
     parts = F.transform(F.filter(F.split(plain, "/"), lambda s: s != ""), _segment)
     shape = F.concat(F.lit("/"), F.array_join(parts, "/"))
-    long = F.substring(shape, 1, MAX_SHAPE)
-    cut = F.element_at(F.filter(F.transform(F.sequence(F.lit(MAX_SHAPE), F.lit(MAX_SHAPE // 4), F.lit(-1)), lambda n: F.substr(long, F.lit(1), n)), lambda s: F.octet_length(s) <= MAX_SHAPE), 1)
+    lengths = F.sequence(F.lit(MAX_SHAPE), F.lit(MAX_SHAPE // 4), F.lit(-1))
+    cut = F.get(F.filter(F.transform(lengths, lambda n: F.substr(shape, F.lit(1), n)), lambda s: F.octet_length(s) <= MAX_SHAPE), F.lit(0))
     return F.when(F.octet_length(shape) <= MAX_SHAPE, shape).otherwise(cut)
 
 

@@ -159,7 +159,7 @@ def agent_sources(requests: DataFrame) -> DataFrame:
 def upper_median(c: str) -> Column:
     """v[n / 2] of the ascending values."""
     values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, (F.size(values) / 2).cast("int") + 1)
+    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
 
 
 def canary_summary(reuse: DataFrame, canaries: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Words are runs of letters, digits and non-ASCII, lower-cased A-Z. All n-grams of
 the test items are counted over the whole corpus (documents that hold each, one
 count per n-gram). Of every WINDOW neighbouring n-grams of an item the rarest
-becomes a seed, so every run of GRAM + WINDOW - 1 copied words holds one however
+that occurs at all becomes a seed, so every run of GRAM + WINDOW - 1 copied words holds one however
 common the item is, and common n-grams are passed by where a rare one is near.
 Where a document holds a seed, its words around that place are aligned with the
 item's: 2 for an equal word, -1 for another, -1 for a word on one side only. The
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from harrow.llm.common import bounded_batches
 from harrow.llm.bytetext import ascii_words, groups, mix, word_hashes
 
-GRAM, WINDOW, MIN_WORDS, THRESHOLD = 3, 4, 5, 0.5
+GRAM, WINDOW, MIN_WORDS, THRESHOLD = 3, 3, 5, 0.5
 #: Bytes of item text in a broadcast block.
 BLOCK_BYTES = 16 << 20
 MATCH, OTHER, GAP = 2, -1, -1
@@ -111,7 +111,8 @@ class Items:
         return out
 
     def choose_seeds(self, counts: np.ndarray) -> None:
-        """The rarest (then first) n-gram of every WINDOW neighbours in an item."""
+        """The rarest (then first) n-gram of every WINDOW neighbours in an item, of those that the corpus holds."""
+        counts = np.where(counts == 0, np.iinfo(np.int64).max, counts)
         chosen = np.zeros(len(self.gram), bool)
         start = 0
         for words in self.words:

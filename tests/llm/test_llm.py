@@ -56,7 +56,7 @@ def brute_search(docs, asked, k, terms):
     out = set()
     for q, text in asked:
         w = low(text)
-        best = sorted(set(w), key=lambda t: (-(w.count(t) * idf[t]), w.index(t)))[:terms]
+        best = sorted(set(w), key=lambda t: (-(idf[t] * (w.count(t) * 2.2 / (w.count(t) + 1.2))), w.index(t)))[:terms]
         hits = []
         for i, d in rows:
             gain = 0

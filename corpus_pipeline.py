@@ -44,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, and whether decoding gives the text back."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    both = bpe.bpe_round_trip(docs.select("doc_id", "text"), vocabulary).select("doc_id", "text", "tokens.ids", "tokens.decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 

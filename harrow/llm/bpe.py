@@ -28,7 +28,7 @@ from harrow.llm.common import bounded_batches
 #: A vocabulary larger than this is not broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words and pre-tokens that one worker remembers.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: A pre-token always starts at a space before other text, so a text can be cut there first.
 CUT = re.compile(r" (?=\S)")
 #: A merge is one number: its rank above, the merged token's id in the lowest BITS bits.

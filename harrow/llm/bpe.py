@@ -28,7 +28,7 @@ from harrow.llm.common import bounded_batches
 #: A vocabulary larger than this is not broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words and pre-tokens that one worker remembers.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 400_000
 #: A pre-token always starts at a space before other text, so a text can be cut there first.
 CUT = re.compile(r" (?=\S)")
 #: A merge is one number: its rank above, the merged token's id in the lowest BITS bits.
@@ -48,7 +48,7 @@ def byte_symbols() -> dict[str, int]:
 class Codec:
     """Encoder and decoder for one vocabulary file's content."""
 
-    def __init__(self, raw: str):
+    def __init__(self, raw: str, remember: int = CACHE_ENTRIES):
         import regex
 
         spec = json.loads(raw)
@@ -73,10 +73,10 @@ class Codec:
             self.merges.setdefault((vocab[a], vocab[b]), rank + 1 << BITS | vocab[a + b])
         self.pattern = regex.compile(PRE_TOKEN)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.pieces = Memory(self.piece, CACHE_ENTRIES // 4)
-        self.standing = Memory(self.stands, CACHE_ENTRIES)
-        self.words = Memory(self.word, CACHE_ENTRIES // 20)
-        self.spaced = Memory(lambda rest: self.word(f" {rest}"), CACHE_ENTRIES)
+        self.pieces = Memory(self.piece, remember // 4)
+        self.standing = Memory(self.stands, remember)
+        self.words = Memory(self.word, remember // 20)
+        self.spaced = Memory(lambda rest: self.word(f" {rest}"), remember)
 
     def word(self, text: str) -> tuple[int, ...]:
         """What stands between two cuts: its pre-tokens' ids."""
@@ -180,9 +180,9 @@ class Memory(dict):
 
 
 @lru_cache(maxsize=2)
-def codec(raw: str) -> Codec:
+def codec(raw: str, remember: int = CACHE_ENTRIES) -> Codec:
     """One codec per worker process and vocabulary."""
-    return Codec(raw)
+    return Codec(raw, remember)
 
 
 def _vocabulary(spark: SparkSession, path: str):
@@ -217,13 +217,16 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "dec
     return df.withColumn(out, decode(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
-def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens") -> DataFrame:
-    """Add ``out``: struct<ids, decoded>, the text's ids and what they decode to, in one pass with one worker per task."""
+def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens", remember: int = CACHE_ENTRIES) -> DataFrame:
+    """Add ``out``: struct<ids, decoded>, the text's ids and what they decode to, in one pass with one worker per task.
+
+    ``remember`` bounds the words that a worker keeps: fewer take less memory and more time, with the same result.
+    """
     raw = _vocabulary(bounded_batches(df).sparkSession, vocabulary)
 
     @F.pandas_udf("ids array<int>, decoded string")
     def both(texts: pd.Series) -> pd.DataFrame:
-        c = codec(raw.value)
+        c = codec(raw.value, remember)
         ids = [c.encode(t) for t in texts]
         return pd.DataFrame({"ids": [np.array(i, np.int32) for i in ids], "decoded": [c.decode(i) for i in ids]})
 

@@ -15,6 +15,9 @@ from harrow.llm import bpe, decontamination, quality, simhash, toxicity
 from harrow.llm.common import fresh, materialize, table
 from harrow.llm.q02_quality import held_out
 
+#: Words that a BPE worker keeps here, beside what it holds from earlier stages.
+REMEMBER = 150_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a quality score of at least ``quality.ACCEPT``."""
@@ -44,7 +47,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, and whether decoding gives the text back."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.bpe_round_trip(docs.select("doc_id", "text"), vocabulary).select("doc_id", "text", "tokens.ids", "tokens.decoded")
+    both = bpe.bpe_round_trip(docs.select("doc_id", "text"), vocabulary, remember=REMEMBER).select("doc_id", "text", "tokens.ids", "tokens.decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 

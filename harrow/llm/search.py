@@ -9,13 +9,15 @@ Search: a shard's documents are cut into ranges of RANGE; for each term and
 range the largest contribution is known. Over the ranges of a query these bounds
 are added up; ranges are scored by falling bound, more in each round, and those
 whose bound cannot beat the k-th hit so far are never scored: the block-max
-test, for all queries of a block at once. Contributions are whole numbers of
-1e-6, so sums are exact, bounds are never under a score, and ties are ties; among
-equal scores the smaller document id wins, and a range of larger ids with an
-equal bound is pruned too. Shards' hits are merged exactly, as all use the
-global statistics.
-
-Queries are broadcast in blocks of at most QUERY_BLOCK, a pass over the index
+test, for all queries of a chunk at once. A task hands the k-th hit on from shard
+to shard and gives its hits once, at its end. Common terms are added up by matrix
+products, the others by postings. Contributions are whole numbers of 1e-6, so sums
+are exact (far under 2^53), bounds are never under a score, and ties are ties;
+among equal scores the smaller document id wins, and a range of larger ids with an
+equal bound is pruned too. Tasks' hits are merged exactly, as all use the global
+statistics.
+
+Queries are broadcast in blocks of about QUERY_BLOCK terms, a pass over the index
 each.
 
 Defined results: words are runs of letters, digits and non-ASCII, lower-cased
@@ -39,9 +41,11 @@ from harrow.llm.common import bounded_batches, materialize
 K1, B, SCALE = 1.2, 0.75, 1e6
 #: A shard is closed at so many documents or words; documents in a range.
 SHARD_DOCS, SHARD_WORDS, RANGE = 4096, 1 << 20, 128
-#: Queries of a broadcast block, and of those searched at once; postings held at once while scoring.
-QUERY_BLOCK, QUERY_CHUNK, POSTINGS = 1 << 16, 1 << 10, 1 << 19
-#: A query made from a text has the terms that weigh most in it: largest idf * tf (K1 + 1) / (tf + K1).
+#: Query terms of a broadcast block; queries searched at once; postings held at once while scoring.
+QUERY_BLOCK, QUERY_CHUNK, POSTINGS = 1 << 21, 1 << 8, 1 << 19
+#: A term that one document in HOT of a shard holds is kept as a row of a matrix, the commonest HOT_TERMS of them.
+HOT, HOT_TERMS = 25, 1024
+#: A query that is cut has the terms that weigh most in it: largest idf * tf (K1 + 1) / (tf + K1).
 QUERY_TERMS, TOP = 16, 10
 
 INDEX = "n_docs long, n_words long, ids binary, lengths binary, terms binary, offsets binary, docs binary, tfs binary"
@@ -140,31 +144,53 @@ def queries_from(docs: DataFrame, frequencies: DataFrame, n: int, terms: int | N
 
 
 class Queries:
-    """A block of queries as arrays, terms by query."""
+    """A block of queries as arrays, terms by query; a term's idf is the same in all of them."""
 
     def __init__(self, query: np.ndarray, term: np.ndarray, idf: np.ndarray):
         order = np.argsort(query, kind="stable")
-        self.ids, self.number = np.unique(query[order], return_inverse=True)
-        self.term, self.idf = term[order].view(np.uint64), idf[order]
+        self.ids, number = np.unique(query[order], return_inverse=True)
+        self.terms, first, code = np.unique(term[order].view(np.uint64), return_index=True, return_inverse=True)
+        self.idf, self.code, self.number = idf[order][first], code.astype(np.int32), number.astype(np.int32)
 
 
 class Shard:
-    def __init__(self, row, average: float):
+    """A shard's postings of the terms that a block of queries has, as whole contributions."""
+
+    def __init__(self, row, average: float, queries: Queries):
         self.ids = np.frombuffer(row.ids, np.int64)
-        self.terms = np.frombuffer(row.terms, np.uint64)
-        self.offsets = np.frombuffer(row.offsets, np.int32).astype(np.int64)
-        self.docs = np.frombuffer(row.docs, np.uint16).astype(np.int64)
+        self.n_ranges = -(-len(self.ids) // RANGE)
+        own, offsets = np.frombuffer(row.terms, np.uint64), np.frombuffer(row.offsets, np.int32).astype(np.int64)
+        docs = np.frombuffer(row.docs, np.uint16).astype(np.int64)
         tf, length = np.frombuffer(row.tfs, np.int32).astype(np.float64), np.frombuffer(row.lengths, np.int32).astype(np.float64)
-        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / average))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[docs] / average))
+        _, at, code = np.intersect1d(own, queries.terms, assume_unique=True, return_indices=True)
+        size = offsets[at + 1] - offsets[at]
+        take = spread(offsets[at], size)
+        self.docs, self.gain = docs[take], np.rint(np.repeat(queries.idf[code], size) * part[take] * SCALE)
+        start = np.r_[0, np.cumsum(size)]
         span = self.docs // RANGE
         opens = np.ones(len(span), bool)
         opens[1:] = span[1:] != span[:-1]
-        opens[self.offsets[:-1]] = True
+        opens[start[:-1]] = True
         self.block = np.flatnonzero(opens)
         self.block_range = span[self.block]
-        self.block_max = np.maximum.reduceat(self.part, self.block) if len(self.block) else self.part
-        self.term_block = np.searchsorted(self.block, self.offsets)
-        self.block_end = np.r_[self.block[1:], len(self.docs)]
+        self.block_max = np.maximum.reduceat(self.gain, self.block) if len(self.block) else self.gain
+        self.block_end = np.r_[self.block[1:], len(self.docs)].astype(np.int64)
+        self.term_block = np.searchsorted(self.block, start)
+        # the commonest terms are held as a matrix, the others as postings
+        common = np.flatnonzero(size * HOT >= len(self.ids))
+        common = common[np.argsort(-size[common], kind="stable")[:HOT_TERMS]]
+        self.local = np.full(len(queries.terms), -1)  # by term of the block: its place here, or -1
+        self.local[code] = np.arange(len(at))
+        self.hot = np.full(len(at) + 1, -1)  # by place: row of the matrix, or -1; the last is what is not here
+        self.hot[common] = np.arange(len(common))
+        self.matrix, self.bounds = np.zeros((len(common), len(self.ids))), np.zeros((len(common), self.n_ranges))
+        row_of = np.repeat(np.arange(len(common)), size[common])
+        post = spread(start[:-1][common], size[common])
+        self.matrix[row_of, self.docs[post]] = self.gain[post]
+        blocks = self.term_block[common + 1] - self.term_block[common]
+        at_block = spread(self.term_block[common], blocks)
+        self.bounds[np.repeat(np.arange(len(common)), blocks), self.block_range[at_block]] = self.block_max[at_block]
 
 
 def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -181,79 +207,102 @@ def best_of(query: np.ndarray, score: np.ndarray, doc: np.ndarray, k: int):
     return query[keep], score[keep], doc[keep]
 
 
-def search_shard(shard: Shard, queries: Queries, k: int) -> Iterator[pd.DataFrame]:
-    """Hits in one shard, for a chunk of the queries at a time."""
+class Best:
+    """A task's best hits so far, by query of the block; its worst kept hit bounds what later shards must beat."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.hits = k, (np.zeros(0, np.int64),) * 3
+        self.least, self.last = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        self.hits = best_of(*(np.concatenate(x) for x in zip(self.hits, (query, score, ids))), self.k)
+        q = self.hits[0]
+        ends = np.flatnonzero(np.r_[q[1:] != q[:-1], True]) if len(q) else np.zeros(0, np.int64)
+        full = ends[np.diff(np.r_[-1, ends]) == self.k]
+        self.least[q[full]], self.last[q[full]] = self.hits[1][full], self.hits[2][full]
+
+
+def search_shard(shard: Shard, queries: Queries, best: Best) -> None:
+    """Adds the hits in one shard, for a chunk of the queries at a time."""
+    found = []
     for first in range(0, len(queries.ids), QUERY_CHUNK):
-        a, b = np.searchsorted(queries.number, [first, first + QUERY_CHUNK])
-        yield search_chunk(shard, queries.ids[first : first + QUERY_CHUNK], queries.number[a:b] - first, queries.term[a:b], queries.idf[a:b], k)
-
-
-def search_chunk(shard: Shard, ids: np.ndarray, number: np.ndarray, terms: np.ndarray, idfs: np.ndarray, k: int) -> pd.DataFrame:
-    at = np.minimum(np.searchsorted(shard.terms, terms), max(0, len(shard.terms) - 1))
-    here = np.flatnonzero(shard.terms[at] == terms) if len(shard.terms) else np.zeros(0, np.int64)
-    q, weight, at = number[here], idfs[here], at[here]
-    count = shard.term_block[at + 1] - shard.term_block[at] if len(at) else at
-    block = spread(shard.term_block[at], count) if len(at) else at
-    q, weight = np.repeat(q, count), np.repeat(weight, count)
-    ranges = len(shard.ids) // RANGE + 1
-    cell = q * ranges + shard.block_range[block]
-    order = np.argsort(cell, kind="stable")
-    cell, block, weight = cell[order], block[order], weight[order]
-    pair = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-    pair_end = np.r_[pair[1:], len(cell)]
-    bound = np.add.reduceat(np.rint(weight * shard.block_max[block] * SCALE).astype(np.int64), pair) if len(pair) else pair
-    pair_q, pair_range = cell[pair] // ranges, cell[pair] % ranges
-    order = np.lexsort((pair_range, -bound, pair_q))
-    pair, pair_end, bound, pair_q, pair_range = pair[order], pair_end[order], bound[order], pair_q[order], pair_range[order]
-    rank = np.arange(len(pair)) - np.searchsorted(pair_q, pair_q, "left")
-    n = len(ids)
-    least, last = np.zeros(n, np.int64), np.full(n, len(shard.ids))
+        n = min(QUERY_CHUNK, len(queries.ids) - first)
+        a, b = np.searchsorted(queries.number, [first, first + n])
+        part = slice(first, first + n)
+        # equal scores lose to the last kept hit from its id on
+        last = np.searchsorted(shard.ids, best.last[part], "left")
+        q, score, doc = search_chunk(shard, n, queries.number[a:b].astype(np.int64) - first, shard.local[queries.code[a:b]], best.least[part].copy(), last, best.k)
+        found.append((q + first, score, shard.ids[doc]))
+    if found:
+        best.add(*(np.concatenate(x) for x in zip(*found)))
+
+
+def search_chunk(shard: Shard, n: int, number: np.ndarray, terms: np.ndarray, least: np.ndarray, last: np.ndarray, k: int):
+    """(query, score, document number) of what can be among each query's k best. ``least``, ``last``: to be beaten."""
+    hot = shard.hot[terms]
+    asked = np.zeros((n, len(shard.matrix)))
+    asked[number[hot >= 0], hot[hot >= 0]] = 1
+    cold = (hot < 0) & (terms >= 0)
+    q, at = number[cold], terms[cold]
+    count = shard.term_block[at + 1] - shard.term_block[at]
+    block, q = spread(shard.term_block[at], count), np.repeat(q, count)
+    cell = q * shard.n_ranges + shard.block_range[block]
+    bound = (asked @ shard.bounds).ravel() + np.bincount(cell, shard.block_max[block], n * shard.n_ranges)
+    bound = np.rint(bound).astype(np.int64).reshape(n, shard.n_ranges)
+    rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
     hits = (np.zeros(0, np.int64),) * 3
+    begins = np.arange(shard.n_ranges) * RANGE
     done, width = 0, 1
-    while len(pair):
-        open_ = (bound > least[pair_q]) | ((bound == least[pair_q]) & (pair_range * RANGE < last[pair_q]))
-        pair, pair_end, bound, pair_q, pair_range, rank = (x[open_] for x in (pair, pair_end, bound, pair_q, pair_range, rank))
-        now = np.flatnonzero(rank < done + width)
-        size = np.cumsum([0, *(pair_end[now] - pair[now])]) if len(now) else np.zeros(1, np.int64)
-        entries = spread(pair[now], pair_end[now] - pair[now]) if len(now) else now
-        owner = np.repeat(pair_q[now], pair_end[now] - pair[now]) if len(now) else now
-        postings = shard.block_end[block[entries]] - shard.block[block[entries]]
-        upto = np.cumsum(postings)
-        cut = 0
-        while cut < len(entries):
-            to = int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + POSTINGS, "right"))
-            to = max(int(size[np.searchsorted(size, to, "right") - 1]), int(size[np.searchsorted(size, cut, "right")]))  # whole pairs
-            e, c = entries[cut:to], postings[cut:to]
-            post = spread(shard.block[block[e]], c)
-            gain = np.rint(np.repeat(weight[e], c) * shard.part[post] * SCALE).astype(np.int64)
-            key = np.repeat(owner[cut:to], c) * len(shard.ids) + shard.docs[post]
-            order = np.argsort(key, kind="stable")
-            key, gain = key[order], gain[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            score = np.add.reduceat(gain, first)
-            new = (key[first] // len(shard.ids), score, key[first] % len(shard.ids))
-            hits = best_of(*(np.concatenate(x) for x in zip(hits, new)), k)
+    while done < shard.n_ranges:
+        can = (bound > least[:, None]) | ((bound == least[:, None]) & (bound > 0) & (begins < last[:, None]))
+        now = can & (rank >= done) & (rank < done + width)
+        done, width = done + width, width * 2
+        if not now.any():
+            continue
+        scores = np.zeros((n, len(shard.ids)))
+        for r in np.flatnonzero(now.any(axis=0)):
+            rows, docs = np.flatnonzero(now[:, r]), slice(r * RANGE, (r + 1) * RANGE)
+            scores[rows, docs] = asked[rows] @ shard.matrix[:, docs]
+        use = np.flatnonzero(now.ravel()[cell])
+        size = np.cumsum(shard.block_end[block[use]] - shard.block[block[use]])
+        flat, cut = scores.ravel(), 0
+        while cut < len(use):
+            to = max(cut + 1, int(np.searchsorted(size, (size[cut - 1] if cut else 0) + POSTINGS, "right")))
+            e = block[use[cut:to]]
+            c = shard.block_end[e] - shard.block[e]
+            post = spread(shard.block[e], c)
+            key = np.repeat(q[use[cut:to]], c) * len(shard.ids) + shard.docs[post]
+            np.add.at(flat, key, shard.gain[post])
             cut = to
+        floor = np.maximum(least, 1)
+        if len(shard.ids) > k:
+            open_ = np.flatnonzero(least == 0)
+            floor[open_] = np.maximum(floor[open_], -np.partition(-scores[open_], k - 1, axis=1)[:, k - 1])
+        row, doc = np.nonzero(scores >= floor[:, None])
+        score = scores[row, doc].astype(np.int64)
+        keep = (score > least[row]) | (doc < last[row])
+        hits = best_of(*(np.concatenate(x) for x in zip(hits, (row[keep], score[keep], doc[keep]))), k)
         ends = np.flatnonzero(np.r_[hits[0][1:] != hits[0][:-1], True]) if len(hits[0]) else np.zeros(0, np.int64)
         full = ends[np.diff(np.r_[-1, ends]) == k]
-        least[hits[0][full]], last[hits[0][full]] = hits[1][full], hits[2][full]
-        rest = rank >= done + width
-        pair, pair_end, bound, pair_q, pair_range, rank = (x[rest] for x in (pair, pair_end, bound, pair_q, pair_range, rank))
-        done, width = done + width, width * 2
-    return pd.DataFrame({"query": ids[hits[0]], "doc_id": shard.ids[hits[2]], "score": hits[1]})
+        row, score, doc = (x[full] for x in hits)
+        better = (score > least[row]) | ((score == least[row]) & (doc < last[row]))
+        least[row[better]], last[row[better]] = score[better], doc[better]
+    return hits
 
 
-def search(index: DataFrame, queries: DataFrame, n_queries: int, k: int = TOP) -> DataFrame:
-    """(query, doc_id, score, rank): the k best documents of each query over all shards."""
+def search(index: DataFrame, queries: DataFrame, n_terms: int, k: int = TOP) -> DataFrame:
+    """(query, doc_id, score, rank): the k best documents of each query over all shards; ``n_terms``: rows of ``queries``."""
     context = index.sparkSession.sparkContext
     total = index.agg(F.sum("n_docs").alias("d"), F.sum("n_words").alias("w")).first()
     average = max(1e-9, (total["w"] or 0) / max(1, total["d"] or 0))
-    blocks = n_queries // QUERY_BLOCK + 1
+    blocks = n_terms // QUERY_BLOCK + 1
+    # so many tasks that all cores work; each hands its best scores from shard to shard and gives its best hits once
+    dealt = index.coalesce(2 * context.defaultParallelism)
     parts = []
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toArrow()
         held = context.broadcast(Queries(block["query"].to_numpy(), block["term"].to_numpy(), block["idf"].to_numpy()))
-        parts.append(index.mapInPandas(searcher(held, average, k), "query long, doc_id long, score long"))
+        parts.append(dealt.mapInPandas(searcher(held, average, k), "query long, doc_id long, score long"))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
@@ -263,9 +312,14 @@ def search(index: DataFrame, queries: DataFrame, n_queries: int, k: int = TOP) -
 
 def searcher(held, average: float, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries = held.value
+        best = Best(len(queries.ids), k)
         for batch in batches:
             for row in batch.itertuples():
-                yield from search_shard(Shard(row, average), held.value, k)
+                search_shard(Shard(row, average, queries), queries, best)
+        query, score, doc = best.hits
+        for s in range(0, len(query), 1 << 16):
+            yield pd.DataFrame({"query": queries.ids[query[s : s + (1 << 16)]], "doc_id": doc[s : s + (1 << 16)], "score": score[s : s + (1 << 16)]})
 
     return run
 
@@ -276,6 +330,6 @@ def top_similar(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: st
     n = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n")).first()["n"]
     queries, members = queries_from(asked, document_frequencies(index), n, terms, key, text)
     queries = materialize(queries, "search-queries")
-    hits = search(index, queries, queries.select("query").distinct().count(), k)
+    hits = search(index, queries, queries.count(), k)
     asking = members.select(F.col(key).alias("query_id"), "query")
     return asking.join(hits, "query").select("query_id", F.col("doc_id").alias("hit_id"), "score", "rank")

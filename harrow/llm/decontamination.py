@@ -1,10 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII, lower-cased A-Z. All n-grams of
-the test items are counted over the whole corpus (documents that hold each, one
-count per n-gram). Of every WINDOW neighbouring n-grams of an item the rarest
-that occurs at all becomes a seed, so every run of GRAM + WINDOW - 1 copied words holds one however
-common the item is, and common n-grams are passed by where a rare one is near.
+Words are runs of letters, digits and non-ASCII, lower-cased A-Z. Every n-gram of
+a test item is a seed, however common it is, so every run of GRAM copied words is
+aligned and whether a document leaks depends on no other document.
 Where a document holds a seed, its words around that place are aligned with the
 item's: 2 for an equal word, -1 for another, -1 for a word on one side only. The
 score is the best local alignment over that of a whole copy.
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 from harrow.llm.common import bounded_batches
 from harrow.llm.bytetext import ascii_words, groups, mix, word_hashes
 
-GRAM, WINDOW, MIN_WORDS, THRESHOLD = 3, 3, 5, 0.5
+GRAM, MIN_WORDS, THRESHOLD = 3, 5, 0.5
 #: Bytes of item text in a broadcast block.
 BLOCK_BYTES = 16 << 20
 MATCH, OTHER, GAP = 2, -1, -1
@@ -94,42 +92,14 @@ class Items:
         self.item = np.repeat(np.arange(len(each)), [len(g) for g in each])
         self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in each]])
         self.gram = np.concatenate([np.zeros(0, np.uint64), *each])
-        self.names, self.name_of = np.unique(self.gram, return_inverse=True)
-        self.by_name = Table(self.names)
-        self.seeds: Table | None = None
-
-    def held(self, texts: list[str | None]) -> np.ndarray:
-        """By n-gram: how many of the texts hold it."""
-        out = np.zeros(len(self.names), np.int64)
-        for _, words, bounds in words_of(texts):
-            g = grams(words)
-            at, name = self.by_name.find(g)
-            ok = inside_rows(len(words), bounds)[at]
-            row = np.searchsorted(bounds, at[ok], "right")
-            pairs = np.unique(row * max(1, len(self.names)) + name[ok])
-            out += np.bincount(pairs % max(1, len(self.names)), minlength=len(self.names))
-        return out
-
-    def choose_seeds(self, counts: np.ndarray) -> None:
-        """The rarest (then first) n-gram of every WINDOW neighbours in an item, of those that the corpus holds."""
-        counts = np.where(counts == 0, np.iinfo(np.int64).max, counts)
-        chosen = np.zeros(len(self.gram), bool)
-        start = 0
-        for words in self.words:
-            n = len(words) - GRAM + 1
-            rarity = counts[self.name_of[start : start + n]]
-            for k in range(max(1, n - WINDOW + 1)):
-                chosen[start + k + int(np.argmin(rarity[k : k + WINDOW]))] = True
-            start += n
-        self.seed_of = np.flatnonzero(chosen)
-        self.seeds = Table(self.gram[self.seed_of])
+        self.seeds = Table(self.gram)
 
     def leaks(self, texts: list[str | None], threshold: float) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in texts]
         for first, words, bounds in words_of(texts):
             at, seed = self.seeds.find(grams(words))
             ok = inside_rows(len(words), bounds)[at]
-            at, seed = at[ok], self.seed_of[seed[ok]]
+            at, seed = at[ok], seed[ok]
             item = self.item[seed]
             row = np.searchsorted(bounds, at, "right") - 1
             size = np.array([len(w) for w in self.words])[item] if len(item) else item
@@ -193,19 +163,6 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[Items]:
         yield Items(rows[key].to_pylist(), rows[text].to_pylist())
 
 
-def counter(block):
-    """Per task: how many of its texts hold each n-gram of the items."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(block.value.names), np.int64)
-        for batch in batches:
-            total += block.value.held(batch.iloc[:, 0].tolist())
-        name = np.flatnonzero(total)
-        yield pd.DataFrame({"name": name, "n": total[name]})
-
-    return count
-
-
 def finder(block, threshold: float, kind: str):
     @F.pandas_udf(kind)
     def leaks(texts: pd.Series) -> pd.Series:
@@ -223,9 +180,5 @@ def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     for block in item_blocks(items, item_key, item_text):
         if not block.words:
             continue
-        counted = docs.select(text).mapInPandas(counter(context.broadcast(block)), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros(len(block.names), np.int64)
-        counts[counted["name"].to_numpy()] = counted["n"].to_numpy()
-        block.choose_seeds(counts)
         columns.append(finder(context.broadcast(block), threshold, kind)(F.col(text)))
     return docs.withColumn(out, F.concat(*columns) if columns else F.array().cast(kind))

@@ -6,9 +6,12 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 
-from harrow.llm import q01_search
-from tests.llm.test_llm import DOCS, brute_search
+from pyspark.sql import functions as F
+
+from harrow.llm import decontamination, q01_search
+from tests.llm.test_llm import DOCS, brute_alignment, brute_search
 
 
 # 1 search
@@ -34,3 +37,22 @@ def test_search_equals_the_sql_without_its_cut_of_terms(spark, sf):
     want = {tuple(map(round, (q, d, s * 1e6, r))) for q, d, s, r in c.execute(sql).fetchall()}
     found = q01_search.query(spark, sf).select("query_id", "doc_id", "score", "rank").collect()
     assert {tuple(map(round, (q, d, s * 1e6, r))) for q, d, s, r in found} == want
+
+
+# 7 decontamination
+
+
+@pytest.mark.parametrize("size", [20, 40])
+@pytest.mark.parametrize("every", [4, 5])
+def test_edited_copy_beside_a_full_copy(spark, size, every):
+    rng = np.random.default_rng(12)
+    words = lambda n: list(rng.choice([f"t{i}" for i in range(4000)], n, replace=False))
+    items, texts = [words(size) for _ in range(every)], []
+    for phase, item in enumerate(items):  # of each item one full and one edited copy
+        edited = [f"other{k}" if k % every == phase else w for k, w in enumerate(item)]
+        assert brute_alignment(item, edited) >= 0.5 * 2 * size
+        texts += [words(50) + item + words(50), words(50) + edited + words(50)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, words(150)])], DOCS)
+    found = decontamination.with_leaks(docs, bench).select("doc_id", F.explode("leaks.item_id").alias("item")).collect()
+    assert {(r["doc_id"], r["item"]) for r in found} == {(i, i // 2) for i in range(len(texts))}

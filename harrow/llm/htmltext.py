@@ -6,10 +6,13 @@ containers it stands in. Lines in what is never content (menus, headers,
 footers, asides, forms, scripts, adverts, notices, reader comments) are left
 out. Over the rest, each line's text-to-tag ratio is smoothed with a Gaussian,
 and two-means clustering of the smoothed ratios sets the threshold between
-content and other lines. The content region is the article element (or main
-element) with the most content, else the smallest container that holds most of
-it; all its lines are the text, so that a short paragraph between long ones
-stays, but sub-containers that are mostly links go.
+content and other lines. From the page inwards, a container that holds nearly all
+of the content is gone into, up to an article or main element at most; where the
+content is spread over several containers, all of them are the region. All lines
+of the region are the text, so that a short paragraph between long ones stays,
+but parts without any content line go, as do articles with little content beside
+larger ones (teaser cards) and containers that are nearly all links, or mostly
+links and mostly no content.
 
 Defined results: null or empty html, and pages without text, give an empty
 string; character references are decoded; white space inside a block becomes one
@@ -44,7 +47,9 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("html body main article section div td center ul ol dl table blockquote figure details fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SIGMA, RADIUS, MOST, LINKS = 1.0, 3, 0.6, 0.5
+PARTS = frozenset("article main section div td".split())
+#: MOST: share of the content that a container holds to be gone into. SHARE: of the largest part's content, for an article beside it. LINKS: of a menu.
+SIGMA, RADIUS, MOST, SHARE, LINKS = 1.0, 3, 0.9, 0.1, 0.5
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 
 
@@ -176,21 +181,27 @@ def main_text(html: str | None) -> str:
     held: dict[int, float] = {}
     size: dict[int, float] = {}
     links: dict[int, float] = {}
+    inner: dict[int, set[int]] = {}
     for (_, _, linked, path), chars, yes in zip(lines, length, content):
-        for n in path:
+        for outer, n in zip((-1, *path), path):
+            inner.setdefault(outer, set()).add(n)
+        for n in (-1, *path):
             held[n] = held.get(n, 0) + chars * yes
             size[n] = size.get(n, 0) + chars
             links[n] = links.get(n, 0) + linked
-    region = None
-    for kind in ("article", "main"):
-        if region is None and (own := [n for n in size if events.kinds[n] == kind]):
-            region = max(own, key=lambda n: (held[n], size[n], -n))
-    if region is None and held:
-        whole = float((length * content).sum())
-        enough = [n for n in held if held[n] >= MOST * whole]
-        region = min(enough, key=lambda n: (size[n], -n)) if enough else None
-    mostly_links = {n for n in size if links[n] >= LINKS * size[n] and n != region and held[n] < MOST * max(held.values())}
-    kept = [t for t, _, _, path in lines if (region is None or region in path) and mostly_links.isdisjoint(path)]
+    kind = lambda n: events.kinds[n] if n >= 0 else "page"
+    deeper = lambda n: next((m for m in inner.get(n, ()) if held[m] >= MOST * held[n]), None)
+    region = -1  # all of the page; then inwards as long as one container holds nearly all content
+    while kind(region) not in ("article", "main") and (inside := deeper(region)) is not None:
+        region = inside
+    out = {n for n in size if n not in (-1, region) and links[n] >= LINKS * size[n] and (held[n] < LINKS * size[n] or links[n] >= MOST * size[n] and held[n] < LINKS * held[-1])}
+    level = region
+    while level is not None and kind(level) != "article":
+        parts = [n for n in inner.get(level, ()) if kind(n) in PARTS]
+        most = max((held[n] for n in parts), default=0)
+        out |= {n for n in parts if held[n] == 0 or kind(n) == "article" and held[n] < SHARE * most}
+        level = deeper(level)
+    kept = [t for t, _, _, path in lines if (region < 0 or region in path) and out.isdisjoint(path)]
     return "\n\n".join(kept)
 
 

@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from harrow.llm import decontamination, q01_search
+from harrow.llm import decontamination, htmltext, q01_search
 from tests.llm.test_llm import DOCS, brute_alignment, brute_search
 
 
@@ -56,3 +56,24 @@ def test_edited_copy_beside_a_full_copy(spark, size, every):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, words(150)])], DOCS)
     found = decontamination.with_leaks(docs, bench).select("doc_id", F.explode("leaks.item_id").alias("item")).collect()
     assert {(r["doc_id"], r["item"]) for r in found} == {(i, i // 2) for i in range(len(texts))}
+
+
+# 3 HTML
+
+
+LONG = "Long text here that reads on and on until it ends. " * 4
+CARD = "<article><h3><a href=x>Teaser card</a></h3><p>Short words.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><div class=story><p>{LONG}</p><p>{LONG}</p></div>{CARD * 3}</body>", f"{LONG}\n{LONG}"),
+        (f"<body><article><p>{LONG}</p></article><article><p>Other {LONG}</p></article><div><a href=x>one</a><a href=y>two</a></div></body>", f"{LONG}\nOther {LONG}"),
+        (f"<article><p>{LONG}</p><ul><li><a href=x>{LONG}</a></li><li>Other {LONG}</li></ul><p>{LONG}</p></article>", f"{LONG}\n{LONG}\nOther {LONG}\n{LONG}"),
+        ("<body><div>" + "".join(f"<div>{k} {LONG}</div>" for k in range(15)) + "</div></body>", "\n".join(f"{k} {LONG}" for k in range(15))),
+        (f"<main><h1>Title</h1><div><article><p>{LONG * 4}</p></article>{CARD}</div></main>", f"Title\n{LONG * 4}"),
+    ],
+)
+def test_main_text_goes_by_content(html, text):
+    assert htmltext.main_text(html).split("\n\n") == [x.strip() for x in text.split("\n")]

@@ -124,7 +124,7 @@ R("neighbours", "requests", "sources", sql="""WITH s AS (SELECT ip, asn, count(*
 # set operations
 R("asked", "requests", "uploads", sql="SELECT path AS shape, ip FROM requests UNION SELECT answered_path, ip FROM uploads")(lambda r, u: W.asked(r.select(F.col("path").alias("shape"), "ip"), u.select(F.col("answered_path").alias("shape"), "ip")))
 R("events_timeline", "requests", "scans", "intel_log", sql="SELECT * FROM (SELECT ip, t, id, 'request' AS kind FROM requests WHERE ip < 20 UNION ALL SELECT ip, t, uid, 'scan' FROM scans WHERE ip < 20 UNION ALL SELECT ip, t, hlc, 'lookup' FROM intel_log WHERE ip < 20) ORDER BY t DESC, kind, id DESC LIMIT 200")(
-    lambda r, s, i: W.events_timeline({"request": r.select("ip", "t", "id").where("ip < 20"), "scan": s.select("ip", "t", F.col("uid").alias("id")).where("ip < 20"), "lookup": i.select("ip", "t", F.col("hlc").alias("id")).where("ip < 20")}, 200)
+    lambda r, s, i: W.events_timeline({"request": r.select("ip", "t", "id"), "scan": s.select("ip", "t", F.col("uid").alias("id")), "lookup": i.select("ip", "t", F.col("hlc").alias("id"))}, 200)
 )
 R("sightings", "requests", "host_keys", "uploads", sql="""SELECT 'agent' AS kind, user_agent AS value, ip, t FROM requests WHERE user_agent IS NOT NULL UNION ALL SELECT 'tls', ja4, ip, t FROM requests UNION ALL SELECT 'order', ja4h, ip, t FROM requests UNION ALL SELECT 'key', fingerprint, ip, 0 FROM host_keys UNION ALL SELECT 'file', filename, ip, t FROM uploads""")(
     lambda r, h, u: W.union_sightings({"agent": [r.select(F.col("user_agent").alias("value"), "ip", "t")], "tls": [r.select(F.col("ja4").alias("value"), "ip", "t")], "order": [r.select(F.col("ja4h").alias("value"), "ip", "t")], "key": [h.select(F.col("fingerprint").alias("value"), "ip", F.lit(0).cast("long").alias("t"))], "file": [u.select(F.col("filename").alias("value"), "ip", "t")]})

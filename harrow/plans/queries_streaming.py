@@ -167,7 +167,7 @@ def _dossiers(spark, sf_dir):
 @register_raw("ingest_scan_reports", sql="SELECT ip, port, state FROM ports JOIN scans ON uid = scan_uid WHERE scan_uid % 4 = 1")
 def _reports(spark, sf_dir):
     """Scan reports are written as XML from the stand-ins and read back."""
-    scans, ports = view(spark, sf_dir, "scans").where("uid % 4 = 1"), view(spark, sf_dir, "ports").where("scan_uid % 4 = 1")
+    scans, ports = view(spark, sf_dir, "scans"), view(spark, sf_dir, "ports")
     port = F.struct(F.col("proto").alias("_protocol"), F.col("port").alias("_portid"), F.struct(F.col("state").alias("_state")).alias("state"))
     hosts = ports.groupBy("scan_uid").agg(F.collect_list(port).alias("port")).join(scans.select(F.col("uid").alias("scan_uid"), "ip", "t"), "scan_uid")
     rows = hosts.select(F.col("scan_uid").alias("_starttime"), F.array(F.struct(F.col("ip").cast("string").alias("_addr"), F.lit("ipv4").alias("_addrtype"))).alias("address"), F.struct("port").alias("ports"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from harrow.sources.scratch import materialize, scratch_dir
 
-__all__ = ["bounded_batches", "fresh", "materialize", "scratch_dir", "table"]
+__all__ = ["bounded_batches", "fresh", "materialize", "scratch_dir", "spread", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... for count[i] steps, one after another."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+
+
 #: Rows and bytes of text that a Python worker gets at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

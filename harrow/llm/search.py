@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.bytetext import ascii_words, groups, word_hashes
-from harrow.llm.common import bounded_batches, materialize
+from harrow.llm.common import bounded_batches, materialize, spread
 
 K1, B, SCALE = 1.2, 0.75, 1e6
 #: A shard is closed at so many documents or words; documents in a range.
@@ -193,11 +193,6 @@ class Shard:
         self.bounds[np.repeat(np.arange(len(common)), blocks), self.block_range[at_block]] = self.block_max[at_block]
 
 
-def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start[i], start[i] + 1, ... for count[i] steps, one after another."""
-    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
-
-
 def best_of(query: np.ndarray, score: np.ndarray, doc: np.ndarray, k: int):
     """The first k of each query by falling score, then document."""
     order = np.lexsort((doc, -score, query))

@@ -5,116 +5,220 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.columns import AGENT_LABELS, WEAK_LABELS, normalize_text
 from harrow.operators.stats import DAY, keep_top
 
-#: Device signatures: kind and pattern, in order (our own catalogue).
-DEVICES = [("router", r"(?i)svc0|router|gateway"), ("camera", r"(?i)svc1|camera|dvr"), ("nas", r"(?i)svc2|nas|storage"), ("server", r"(?i)svc[3-6]|apache|nginx")]
-#: Name patterns: kind and pattern, in order (our own catalogue).
-NAMES = [("residential", r"(?i)name[0-9]$|dsl|cable|pool"), ("hosting", r"(?i)name1|vps|server|cloud"), ("crawler", r"(?i)name2|crawl|bot")]
-#: Verdicts: name and kinds of evidence, in order (our own table).
-VERDICTS = [("compromised device", ("device", "fleet_key")), ("fleet", ("fleet_key", "fleet_canary")), ("dense network", ("fleet_dense",)), ("device", ("device",)), ("rented server", ("net_type",)), ("named host", ("name",))]
-#: Sharing readings: name, kinds that must be there, kinds that must not, in order (our own table).
-SHARING = [("exit", ("exit",), ()), ("shared line", ("name", "device"), ("fleet_key",)), ("fleet", ("fleet_key",), ()), ("dense", ("fleet_dense",), ("net_type",)), ("single", ("device",), ())]
+#: Verdicts, first match wins: name, whether an exit is enough, and alternatives of (kinds that are there, kinds that are not) (fixed values).
+VERDICTS = [
+    ("declared", True, []),
+    ("rented fleet", False, [(("fleet.key",), ()), (("fleet.canary",), ()), (("fleet.dense", "net.hosting"), ()), (("name.scanner", "net.hosting"), ())]),
+    ("rented", False, [(("net.hosting",), ())]),
+    ("consumer device", False, [(("device.cpe", "net.eyeball"), ("name.scanner",))]),
+    ("proxy on a consumer line", False, [(("device.proxy", "net.eyeball"), ())]),
+    ("device only", False, [(("device.cpe",), ("net.eyeball",)), (("device.proxy",), ("net.eyeball",))]),
+    ("unknown", False, [((), ())]),
+]
+#: Readings of how many parties share an address, in the same form (fixed values).
+READINGS = [
+    ("operator", True, [(("net.hosting",), ()), (("name.scanner",), ()), (("fleet.key",), ()), (("fleet.canary",), ())]),
+    ("subscriber-pooled", False, [(("device.cpe", "name.pool"), ())]),
+    ("subscriber", False, [(("device.cpe",), ())]),
+    ("shared-pool", False, [(("name.cgn",), ())]),
+    ("shared-mobile", False, [(("name.mobile",), ()), (("net.eyeball=mobile",), ())]),
+    ("pooled-line", False, [(("name.pool",), ())]),
+    ("consumer-line", False, [(("name.consumer",), ())]),
+    ("insufficient", False, [((), ())]),
+]
+#: Kinds of rows that a reading shows (fixed values).
+SHOWN = {
+    "operator": ("net.hosting", "name.scanner", "fleet.key", "fleet.canary"), "subscriber-pooled": ("device.cpe", "name.pool"), "subscriber": ("device.cpe",), "shared-pool": ("name.cgn", "name.mobile", "net.eyeball=mobile", "name.pool"),
+    "shared-mobile": ("name.mobile", "net.eyeball=mobile", "name.pool"), "pooled-line": ("name.pool",), "consumer-line": ("name.consumer",), "insufficient": (),
+}
+#: Lists of name patterns (fixed values).
+NAME_LISTS = ("consumer", "pool", "cgn", "mobile", "scanner")
+#: Matchers of a rule and the fields that they read, raw and decoded (the agent raw only).
+MATCHERS = {"target_regex": "target", "body_regex": "body", "ua_regex": "agent", "header_regex": "headers"}
+#: Labels and weights by method; others are unusual (fixed values).
+METHODS = {"form-interaction": (3, ("POST",)), "write-method": (3, ("PUT", "PATCH", "DELETE")), "proxy-probe": (2, ("CONNECT",))}
+QUIET_METHODS = ("GET", "HEAD", "OPTIONS")
+
+
+def matched(text: Column, pattern: str) -> Column:
+    """Without case, null texts match nothing; as in most regular-expression dialects only a line feed ends a line."""
+    return F.coalesce(text.rlike(f"(?iud){pattern}"), F.lit(False))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
 def rule_columns(rules: list[dict], fields: dict[str, Column]) -> tuple[Column, Column, Column]:
-    """(labels, tags, severity) from rules: label, weight, any of field patterns, veto, methods. Patterns ignore case."""
+    """(labels, tags, weight) of the rules that fire, in the format of ``sources.readers.load_rules``.
+
+    A rule fires when one of its matchers does, or its method alone if it has no
+    other; ``methods`` limits it, and ``unless_target_regex`` vetoes it. Patterns
+    are tried on raw and decoded text.
+    """
     labels, tags, weights = [], [], []
     for rule in rules:
-        hit = F.lit(False)
-        for name in ("target", "body", "agent", "headers"):
-            if rule.get(name):
-                hit = hit | F.coalesce(fields[name].rlike(f"(?i){rule[name]}"), F.lit(False)) | F.coalesce(fields[f"{name}_plain"].rlike(f"(?i){rule[name]}"), F.lit(False))
-        if rule.get("path"):
-            hit = hit | (fields["path"] == rule["path"])
+        both = lambda name, pattern: matched(fields[name], pattern) | (matched(fields[f"{name}_plain"], pattern) if name != "agent" else F.lit(False))
+        tests = [both(field, rule[m]) for m, field in MATCHERS.items() if rule.get(m)]
+        if rule.get("path_exact"):
+            tests.append(F.coalesce(fields["path"] == rule["path_exact"], F.lit(False)))
+        hit = _any(tests) if tests else F.lit(True)
         if rule.get("methods"):
-            hit = hit & fields["method"].isin(*rule["methods"])
-        if rule.get("veto"):
-            hit = hit & ~F.coalesce(fields["target"].rlike(f"(?i){rule['veto']}"), F.lit(False))
+            hit = hit & F.coalesce(fields["method"].isin(*rule["methods"]), F.lit(False))
+        if rule.get("unless_target_regex"):
+            hit = hit & ~both("target", rule["unless_target_regex"])
         labels.append(F.when(hit, F.lit(rule["label"])))
-        tags.append(F.when(hit, F.lit(rule["owasp"])) if rule.get("owasp") else F.lit(None).cast("string"))
+        tags.append(F.when(hit, F.array(*map(F.lit, rule["owasp"]))) if rule.get("owasp") else F.lit(None).cast("array<string>"))
         weights.append(F.when(hit, F.lit(rule["weight"])).otherwise(0))
-    distinct = lambda cs: F.array_sort(F.array_distinct(F.array_compact(F.array(*cs))))
-    return distinct(labels), distinct(tags), F.greatest(F.lit(0), *weights)
+    empty = F.array().cast("array<string>")
+    return F.array_compact(F.array(*labels)) if labels else empty, F.flatten(F.array_compact(F.array(*tags))) if tags else empty, F.greatest(F.lit(0), F.lit(0), *weights)
 
 
 def classify(requests: DataFrame, rules: list[dict], paths: int = 10, count: int = 20) -> DataFrame:
-    """Add rule_labels, owasp, rule_severity. Needs target, body, agent, headers, path, method, paths_1h, requests_1h.
+    """Add rule_labels, owasp, rule_severity, scan_level. Needs target, body, agent, headers, path, method, paths_1h, requests_1h.
 
-    Behaviour: many paths or requests in the hour make ``path-scanner``; a request
-    without any label is a ``probe``.
+    ``to_proxy``, ``webdriver`` and ``inhuman_fill`` (boolean) count if they are
+    there. After the rules comes the ladder: many paths or requests in the hour
+    make a path-scanner, else a request with no label but an agent's is a probe;
+    then the method, the proxy and the signs of a bot. The weight is the largest
+    of all; who shows only weak labels is scanned at level 1 at most.
     """
-    from harrow.functions.columns import normalize_text
-
     fields = {n: F.col(n) for n in ("target", "body", "agent", "headers", "path", "method")}
-    fields |= {f"{n}_plain": normalize_text(F.col(n)) for n in ("target", "body", "agent", "headers")}
-    labels, tags, weight = rule_columns(rules, fields)
-    marked = requests.withColumn("_l", labels).withColumn("owasp", tags).withColumn("rule_severity", weight)
-    scanner = (F.col("paths_1h") >= paths) | (F.col("requests_1h") >= count)
-    extra = F.when(scanner, F.array(F.lit("path-scanner"))).when(F.size("_l") == 0, F.array(F.lit("probe"))).otherwise(F.array().cast("array<string>"))
-    odd = F.when(~F.col("method").isin("GET", "POST", "HEAD"), F.array(F.lit("unusual-method"))).otherwise(F.array().cast("array<string>"))
-    return marked.withColumn("rule_labels", F.array_sort(F.array_distinct(F.concat("_l", extra, odd)))).drop("_l")
-
-
-def first_match(value: Column, catalogue: list[tuple[str, str]]) -> Column:
-    return F.coalesce(*[F.when(value.rlike(p), F.lit(k)) for k, p in catalogue])
+    plain = {f"{n}_plain": normalize_text(F.col(n)) for n in ("target", "body", "headers")}
+    names = {n: f"_{n}" for n in plain}
+    marked = requests.withColumns({names[n]: c for n, c in plain.items()})
+    labels, tags, weight = rule_columns(rules, fields | {n: F.col(c) for n, c in names.items()})
+    marked = marked.withColumns({"_l": labels, "_o": tags, "_w": weight})
+    scanner = F.coalesce((F.col("paths_1h") >= paths) | (F.col("requests_1h") >= count), F.lit(False))
+    steps = [("path-scanner", 2, scanner), ("probe", 1, ~scanner & F.forall("_l", lambda x: x.isin(*AGENT_LABELS)))]
+    known = [*QUIET_METHODS, *(m for _, ms in METHODS.values() for m in ms)]
+    steps += [(label, w, F.coalesce(F.col("method").isin(*ms), F.lit(False))) for label, (w, ms) in METHODS.items()]
+    steps.append(("unusual-method", 2, F.coalesce(~F.col("method").isin(*known), F.lit(True))))
+    flags = {"to_proxy": ("proxy-probe", 2), "webdriver": ("automation", 2), "inhuman_fill": ("inhuman-behavior", 3)}
+    steps += [(label, w, F.coalesce(F.col(c), F.lit(False))) for c, (label, w) in flags.items() if c in requests.columns]
+    extra = F.array_compact(F.array(*[F.when(test, F.lit(label)) for label, _, test in steps]))
+    heaviest = F.greatest("_w", *[F.when(test, w).otherwise(0) for _, w, test in steps])
+    sorted_ = lambda c: F.array_sort(F.array_distinct(c))
+    out = marked.withColumns({"rule_labels": sorted_(F.concat("_l", extra)), "owasp": sorted_(F.col("_o")), "rule_severity": heaviest})
+    weak = F.forall("rule_labels", lambda x: x.isin(*WEAK_LABELS))
+    return out.withColumn("scan_level", F.least("rule_severity", F.when(weak, 1).otherwise(4))).drop("_l", "_o", "_w", *names.values())
+
+
+def evidence_rows(df: DataFrame, kind: str | Column, value: Column, ref: Column) -> DataFrame:
+    return df.select("ip", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.cast("string").alias("value"), ref.cast("long").alias("ref")).where("value IS NOT NULL")
+
+
+def _first(entries: list[dict], test) -> Column:
+    """struct<kind, id> of the first entry whose test holds."""
+    found = [F.when(test(e), F.struct(F.lit(f"device.{e['kind']}").alias("kind"), F.lit(e["id"]).alias("id"))) for e in entries]
+    return F.coalesce(*found) if found else F.lit(None).cast("struct<kind:string,id:string>")
+
+
+def device_evidence(scans: DataFrame, ports: DataFrame, facts: DataFrame, last_seen: DataFrame, catalogue: list[dict], stale: int = DAY) -> DataFrame:
+    """Device and proxy signatures that a source's scans show, unless a scan is older than its last request by over ``stale``.
+
+    Per open port and kind the first matching entry, the first that matches the
+    OS guess, and per fact the first of its kind. ``catalogue``: entries as of
+    ``sources.readers.load_devices``.
+    """
+    from functools import reduce
 
+    fresh = scans.join(last_seen.select("ip", "last_seen"), "ip", "left").where(F.col("last_seen").isNull() | (F.col("t") >= F.col("last_seen") - stale)).select(F.col("uid").alias("scan_uid"), "ip", "os_guess")
+    on_port = lambda e, at: at.isin(*e["ports"]) if e.get("ports") else F.lit(True)
+    fits = lambda e, field: F.coalesce(F.col(field).rlike(e[field]), F.lit(False)) if e.get(field) else F.lit(True)
+    ported = [e for e in catalogue if not e.get("os_guess") and not e.get("fact")]
+    of_port = lambda kind: _first([e for e in ported if e["kind"] == kind], lambda e: on_port(e, F.col("port")) & fits(e, "product") & fits(e, "service"))
+    seen = [fresh.join(ports.where("state = 'open'"), "scan_uid").select("ip", "scan_uid", F.explode(F.array_compact(F.array(of_port("proxy"), of_port("cpe")))).alias("d"))]
+    seen.append(fresh.select("ip", "scan_uid", _first([e for e in catalogue if e.get("os_guess")], lambda e: fits(e, "os_guess")).alias("d")))
+    seen.append(fresh.join(facts, "scan_uid").select("ip", "scan_uid", _first([e for e in catalogue if e.get("fact")], lambda e: (F.col("kind") == e["fact"]) & F.coalesce(on_port(e, F.col("port")), F.lit(False))).alias("d")))
+    found = reduce(DataFrame.unionByName, seen).where("d IS NOT NULL").groupBy("ip", "d").agg(F.min("scan_uid").alias("ref"))
+    return evidence_rows(found, F.col("d.kind"), F.col("d.id"), F.col("ref"))
 
-def evidence_rows(df: DataFrame, kind: str, value: Column, ref: Column) -> DataFrame:
-    return df.select("ip", F.lit(kind).alias("kind"), value.cast("string").alias("value"), ref.cast("long").alias("ref")).where("value IS NOT NULL")
 
+def unmatched_devices(scans: DataFrame, ports: DataFrame, catalogue: list[dict]) -> DataFrame:
+    """(what, value, sources): OS guesses that no entry reads, so that the catalogue can grow from data."""
+    entries = [e["os_guess"] for e in catalogue if e.get("os_guess")]
+    rows = scans.where((F.col("os_guess") != "") & ~_any([F.col("os_guess").rlike(p) for p in entries]))
+    return rows.groupBy(F.lit("os guess").alias("what"), F.col("os_guess").alias("value")).agg(F.countDistinct("ip").alias("sources"))
 
-def device_evidence(scans: DataFrame, ports: DataFrame, last_seen: DataFrame, stale: int = DAY, catalogue=DEVICES) -> DataFrame:
-    """First matching signature of each open port, unless the scan is older than the source's last request by over ``stale``."""
-    fresh = scans.join(last_seen.select("ip", "last_seen"), "ip", "left").where(F.col("last_seen").isNull() | (F.col("t") >= F.col("last_seen") - stale))
-    rows = fresh.select(F.col("uid").alias("scan_uid"), "ip").join(ports.where("state = 'open'"), "scan_uid")
-    found = rows.select("ip", first_match(F.concat_ws(" ", "service", "product"), catalogue).alias("value"), "scan_uid").where("value IS NOT NULL")
-    return evidence_rows(found.groupBy("ip", "value").agg(F.min("scan_uid").alias("ref")), "device", F.col("value"), F.col("ref"))
 
+def name_evidence(names: DataFrame, last_seen: DataFrame, lists: dict[str, list[dict]], days: int = 30) -> DataFrame:
+    """Per list the first pattern that a source's name matches, unless the name was last confirmed over ``days`` before its last request.
 
-def name_evidence(names: DataFrame, now: int, days: int = 30, catalogue=NAMES) -> DataFrame:
-    fresh = names.where(F.col("last_seen") >= now - days * DAY)
-    found = fresh.select("ip", first_match(F.col("name"), catalogue).alias("value"), F.col("last_seen").alias("ref")).where("value IS NOT NULL")
-    return evidence_rows(found.groupBy("ip", "value").agg(F.max("ref").alias("ref")), "name", F.col("value"), F.col("ref"))
+    ``lists``: as of ``sources.readers.load_names``.
+    """
+    fresh = names.join(last_seen.select("ip", F.col("last_seen").alias("_last")), "ip", "left").where(F.col("_last").isNull() | (F.col("last_seen") >= F.col("_last") - days * DAY))
+    first = lambda entries: F.coalesce(*[F.when(F.lower("name").rlike(e["pattern"]), F.lit(e["id"])) for e in entries], F.lit(None).cast("string"))
+    each = F.array(*[F.struct(F.lit(f"name.{n}").alias("kind"), first(lists.get(n, [])).alias("value")) for n in NAME_LISTS])
+    found = fresh.select("ip", F.col("last_seen").alias("ref"), F.inline(each)).where("value IS NOT NULL").groupBy("ip", "kind", "value").agg(F.max("ref").alias("ref"))
+    return evidence_rows(found, F.col("kind"), F.col("value"), F.col("ref"))
 
 
 def fleet_key(host_keys: DataFrame, low: int = 2, high: int = 50) -> DataFrame:
     """A key on ``low`` to ``high`` other sources, on each of its holders."""
     own = host_keys.groupBy("kind", "fingerprint", "ip").agg(F.min("scan_uid").alias("ref"))
     many = own.groupBy("kind", "fingerprint").agg((F.count(F.lit(1)) - 1).alias("others")).where(F.col("others").between(low, high))
-    return evidence_rows(own.join(many, ["kind", "fingerprint"]).drop("kind"), "fleet_key", F.col("fingerprint"), F.col("ref"))
+    return evidence_rows(own.join(many, ["kind", "fingerprint"]).drop("kind"), "fleet.key", F.col("fingerprint"), F.col("ref"))
 
 
 def fleet_canary(reuse: DataFrame) -> DataFrame:
-    """A value served elsewhere came back from the source."""
-    rows = reuse.where("NOT same_source")
-    return evidence_rows(rows.groupBy("ip").agg(F.count(F.lit(1)).alias("n"), F.min("used_id").alias("ref")), "fleet_canary", F.col("n"), F.col("ref"))
+    """A value served to another source came back from this one, in a header or a body."""
+    rows = reuse.where("NOT same_source AND place IN ('header', 'body')")
+    return evidence_rows(rows.groupBy(F.col("used_ip").alias("ip")).agg(F.count(F.lit(1)).alias("n"), F.min("used_id").alias("ref")), "fleet.canary", F.col("n"), F.col("ref"))
 
 
 def fleet_dense(sources: DataFrame, prefix: str, least: int = 16) -> DataFrame:
     by = sources.groupBy(prefix).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return evidence_rows(sources.join(by, prefix), "fleet_dense", F.col(prefix), F.col("n"))
+    return evidence_rows(sources.join(by, prefix), "fleet.dense", F.col(prefix), F.col("n"))
+
 
+def net_type(sources: DataFrame, as_types: DataFrame) -> DataFrame:
+    """``as_types``: (asn, type, value), one row per network; the value says where a hosting network's type comes from, and what an eyeball network's lines are."""
+    rows = sources.join(as_types, "asn")
+    return evidence_rows(rows, F.concat(F.lit("net."), F.col("type")), F.col("value"), F.col("asn"))
 
-def net_type(sources: DataFrame, hosting: DataFrame) -> DataFrame:
-    """``hosting``: (asn, type)."""
-    return evidence_rows(sources.join(hosting, "asn"), "net_type", F.col("type"), F.col("asn"))
 
+def first_rule(evidence: DataFrame, exits: DataFrame, rules, out: str) -> DataFrame:
+    """(ip, out): the first rule that a source's kinds of evidence meet. Kinds are flags, combined before the shuffle."""
+    every = evidence.select("ip", "kind", "value").unionByName(exits.select("ip", F.lit("exit").alias("kind"), F.lit(None).cast("string").alias("value")))
+    kinds = sorted({k for _, _, ways in rules for need, no in ways for k in (*need, *no)} | {"exit"})
+    named = lambda k: (F.col("kind") == k.split("=")[0]) & (F.coalesce(F.col("value") == k.split("=")[1], F.lit(False)) if "=" in k else F.lit(True))
+    flags = every.groupBy("ip").agg(*[F.bool_or(named(k)).alias(f"_{i}") for i, k in enumerate(kinds)])
+    has = {k: F.col(f"_{i}") for i, k in enumerate(kinds)}
 
-def verdict(evidence: DataFrame, rules=VERDICTS) -> DataFrame:
-    """First rule whose kinds the source all has."""
-    kinds = evidence.groupBy("ip").agg(F.collect_set("kind").alias("kinds"))
-    found = F.coalesce(*[F.when(F.size(F.array_except(F.array(*map(F.lit, need)), F.col("kinds"))) == 0, F.lit(name)) for name, need in rules], F.lit("none"))
-    return kinds.select("ip", found.alias("verdict"))
+    def way(need, no) -> Column:
+        ok = F.lit(True)
+        for k in need:
+            ok = ok & has[k]
+        for k in no:
+            ok = ok & ~has[k]
+        return ok
 
+    met = [(name, _any([*([has["exit"]] if exit_ else []), *[way(*w) for w in ways]])) for name, exit_, ways in rules]
+    return flags.select("ip", F.coalesce(*[F.when(c, F.lit(name)) for name, c in met]).alias(out))
 
-def sharing_reading(evidence: DataFrame, exits: DataFrame, rules=SHARING) -> DataFrame:
-    """First rule whose kinds are there and whose other kinds are not; exits count as a kind."""
-    every = evidence.select("ip", "kind").unionByName(exits.select("ip", F.lit("exit").alias("kind")))
-    kinds = every.groupBy("ip").agg(F.collect_set("kind").alias("kinds"))
-    hit = lambda need, no: (F.size(F.array_except(F.array(*map(F.lit, need)), F.col("kinds"))) == 0) & (~F.arrays_overlap("kinds", F.array(*map(F.lit, no))) if no else F.lit(True))
-    found = F.coalesce(*[F.when(hit(need, no), F.lit(name)) for name, need, no in rules], F.lit("unknown"))
-    return kinds.select("ip", found.alias("reading"))
+
+def verdict(evidence: DataFrame, exits: DataFrame, rules=VERDICTS) -> DataFrame:
+    """What the source is, by the first of the verdict rules that it meets."""
+    return first_rule(evidence, exits, rules, "verdict")
+
+
+def sharing_reading(evidence: DataFrame, exits: DataFrame, rules=READINGS) -> DataFrame:
+    """How many parties may share the address, by the first of the reading rules that it meets."""
+    return first_rule(evidence, exits, rules, "reading")
+
+
+def reading_rows(evidence: DataFrame, readings: DataFrame, shown=SHOWN) -> DataFrame:
+    """The rows of evidence that each source's reading rests on and shows."""
+    pairs = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k.split("=")[0]).alias("k"), F.lit(k.split("=")[1] if "=" in k else None).cast("string").alias("v")) for r, ks in shown.items() for k in ks])
+    holds = F.exists(pairs, lambda p: (p["r"] == F.col("reading")) & (p["k"] == F.col("kind")) & (p["v"].isNull() | (p["v"] == F.col("value"))))
+    return evidence.join(readings, "ip").where(holds)
 
 
 def evidence_report(evidence: DataFrame) -> DataFrame:
@@ -158,32 +262,49 @@ def reclassify(requests: DataFrame, rules: list[dict], stored: str) -> DataFrame
 
 
 URL = r"(?i)\b((?:https?|ftp)://[a-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>;|)]*)?)"
+#: Layers that are opened: escaped bytes, hexadecimal and base64 runs, each with what turns a run into binary.
+HEX_RUN, ESCAPED_RUN, BASE64_RUN = r"\b((?:[0-9a-fA-F]{2}){8,})\b", r"((?:\\x[0-9a-fA-F]{2}){4,})", r"([A-Za-z0-9+/]{16,}={0,2})"
+PRINTABLE = r"^[\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFF]+$"
+DEPTH = 6
+
+
+def opened(at: Column) -> Column:
+    """array<string>: what the percent, escape, hexadecimal and base64 layers of a text hold, every run of it; only printable text counts."""
+    text = lambda b: F.try_validate_utf8(b.cast("string"))
+    unpadded = lambda r: F.regexp_replace(r, "=+$", "")
+    whole = lambda r: F.when(F.length(r) % 4 == 1, F.substr(r, F.lit(1), F.length(r) - 1)).otherwise(r)
+    padded = lambda r: F.rpad(r, F.ceil(F.length(r) / 4).cast("int") * 4, "=")
+    runs = lambda pattern: F.regexp_extract_all(at, F.lit(pattern), F.lit(1))
+    pieces = F.concat(
+        F.array(F.when(at.contains("%"), normalize_text(at))),
+        F.transform(runs(ESCAPED_RUN), lambda r: text(F.try_to_binary(F.replace(r, F.lit("\\x"), F.lit("")), F.lit("hex")))),
+        F.transform(runs(HEX_RUN), lambda r: text(F.try_to_binary(r, F.lit("hex")))),
+        F.transform(runs(BASE64_RUN), lambda r: text(F.try_to_binary(padded(whole(unpadded(r))), F.lit("base64")))),
+    )
+    return F.filter(pieces, lambda p: p.isNotNull() & (p != at) & p.rlike(PRINTABLE))
+
 
+def opened_layers(text: Column, depth: int = DEPTH) -> Column:
+    """array<string>: the text and what its layers hold, layer in layer to ``depth``. Each layer is bound once; what was just opened is all that the next pass reads."""
+    start = F.struct(F.array(text).alias("all"), text.alias("at"))
 
-def opened_layers(text: Column, depth: int = 3) -> Column:
-    """The text and what percent, hexadecimal and base64 layers hold, to a fixed depth."""
-    from harrow.functions.columns import normalize_text
+    def step(state: Column, _: Column) -> Column:
+        found = F.get(F.transform(F.array(state["at"]), opened), F.lit(0))
+        bound = F.transform(F.array(found), lambda f: F.struct(F.concat(state["all"], f).alias("all"), F.array_join(f, "\n").alias("at")))
+        return F.when(state["at"] == "", state).otherwise(F.get(bound, F.lit(0)))
 
-    layers, at = [text], text
-    for _ in range(depth):
-        at = normalize_text(at)
-        hexed = F.try_to_binary(F.regexp_extract(at, r"\b((?:[0-9a-fA-F]{2}){8,})\b", 1), F.lit("hex"))
-        b64 = F.try_to_binary(F.regexp_extract(at, r"\b([A-Za-z0-9+/]{16,}={0,2})", 1), F.lit("base64"))
-        at = F.concat_ws("\n", at, F.try_validate_utf8(hexed.cast("string")), F.try_validate_utf8(b64.cast("string")))
-        layers.append(at)
-    return F.array_join(F.array_distinct(F.array_compact(F.array(*layers))), "\n")
+    return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step)["all"])
 
 
 def extract_indicators(df: DataFrame, text: str, keys: list[str], shared_hosts: tuple[str, ...] = ("example.com",)) -> DataFrame:
     """(keys, kind, value): URLs and their hosts, SSH keys, tool names; a cheap test comes before any layer is opened."""
-    worth = F.col(text).rlike(r"(?i)https?:|ftp:|%[0-9a-f]{2}|[A-Za-z0-9+/]{24}|ssh-|wget|curl|busybox")
-    opened = df.where(worth).withColumn("_x", opened_layers(F.col(text)))
-    urls = F.regexp_extract_all("_x", F.lit(URL), 1)
-    hosts = F.transform(urls, lambda u: F.lower(F.regexp_extract(u, r"://([^/:]+)", 1)))
-    tools = F.transform(F.regexp_extract_all("_x", F.lit(r"(?i)\b(wget|curl|busybox|tftp)\b"), 1), lambda s: F.lower(s))
-    ssh = F.regexp_extract_all("_x", F.lit(r"(ssh-(?:rsa|ed25519) [A-Za-z0-9+/=]{20,})"), 1)
-    made = F.concat(*[F.transform(F.array_distinct(a), _kind(kind)) for kind, a in (("url", urls), ("host", F.filter(hosts, lambda h: ~h.isin(*shared_hosts))), ("tool", tools), ("ssh-key", ssh))])
-    return opened.select(*keys, F.explode(made).alias("i")).select(*keys, "i.kind", "i.value")
+    worth = F.col(text).rlike(r"(?i)https?:|ftp:|%[0-9a-f]{2}|\\x[0-9a-f]{2}|[A-Za-z0-9+/]{16}|ssh-|wget|curl|busybox|tftp")
+    layers = df.where(worth).select(*keys, F.array_join(opened_layers(F.col(text)), "\n").alias("_x"))
+    every = lambda pattern: F.regexp_extract_all("_x", F.lit(pattern), F.lit(1))
+    found = layers.select(*keys, every(URL).alias("_u"), F.transform(every(r"(?i)\b(wget|curl|busybox|tftp)\b"), lambda s: F.lower(s)).alias("_t"), every(r"(ssh-(?:rsa|ed25519) [A-Za-z0-9+/=]{20,})").alias("_s"))
+    hosts = F.filter(F.transform("_u", lambda u: F.lower(F.regexp_extract(u, r"://([^/:]+)", 1))), lambda h: ~h.isin(*shared_hosts) if shared_hosts else F.lit(True))
+    made = F.concat(*[F.transform(F.array_distinct(a), _kind(kind)) for kind, a in (("url", F.col("_u")), ("host", hosts), ("tool", F.col("_t")), ("ssh-key", F.col("_s")))])
+    return found.select(*keys, F.explode(made).alias("i")).select(*keys, "i.kind", "i.value")
 
 
 def _kind(kind: str):
@@ -215,8 +336,8 @@ def registry_pick(intel: DataFrame, own: str) -> DataFrame:
 
 
 def source_props(sources: DataFrame, evidence: DataFrame, readings: DataFrame, scans: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per source: reading, exit, net type, and whether it is a device, in a fleet, scanned or waiting."""
-    flags = evidence.groupBy("ip").agg(F.max_by(F.when(F.col("kind") == "net_type", F.col("value")), F.when(F.col("kind") == "net_type", F.col("ref"))).alias("net_type"), F.bool_or(F.col("kind") == "device").alias("device"), F.bool_or(F.col("kind").startswith("fleet")).alias("fleet"))
+    """Per source: reading, exit, net type, and whether a device answered on it, it is in a fleet, scanned or waiting."""
+    flags = evidence.groupBy("ip").agg(F.max_by(F.when(F.startswith("kind", F.lit("net.")), F.substring("kind", 5, 20)), F.when(F.startswith("kind", F.lit("net.")), F.col("ref"))).alias("net_type"), F.bool_or(F.col("kind").startswith("device.")).alias("device"), F.bool_or(F.col("kind").startswith("fleet.")).alias("fleet"))
     scanned = scans.select("ip").distinct().withColumn("scanned", F.lit(True))
     waiting = jobs.where("status IN ('queued', 'running')").select("ip").distinct().withColumn("waiting", F.lit(True))
     rows = sources.select("ip", "is_exit").join(readings, "ip", "left").join(flags, "ip", "left").join(scanned, "ip", "left").join(waiting, "ip", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.stats import DAY, keep_top
@@ -12,7 +12,8 @@ SHARED_CAP, RARE_CAP, JOINERS_PER_INPUT, PER_JOINER, PER_UPLOAD = 50, 50, 64, 51
 
 
 def with_source(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    return requests.join(sources, "ip")
+    """Requests with their source's columns, null where no source row has come yet."""
+    return requests.join(sources, "ip", "left")
 
 
 def enrich_as_of(requests: DataFrame, log: DataFrame, value: str = "data", out: str = "data") -> DataFrame:
@@ -37,18 +38,52 @@ def geo_join(sources: DataFrame, prefixes: DataFrame, digits: int = 24) -> DataF
     return keep_top(hit, ["ip_key"], [F.desc("low"), F.col("high")], 1).select(*sources.columns, "country")
 
 
-def canary_reuse(canaries: DataFrame, tokens: DataFrame) -> DataFrame:
-    """A served value seen in a later, other request; one row per use and value (the newest serving before it)."""
-    c, t = canaries.alias("c"), tokens.alias("t")
-    pairs = c.join(t, F.col("c.value_hash") == F.col("t.value_hash")).where("c.request_id <> t.request_id AND t.t > c.t")
-    rows = pairs.select(F.col("t.request_id").alias("used_id"), F.col("t.value_hash"), F.col("c.request_id").alias("served_id"), (F.col("t.t") - F.col("c.t")).alias("delta"), (F.col("c.ip") == F.col("t.ip")).alias("same_source"))
-    return rows.groupBy("used_id", "value_hash").agg(F.min_by(F.struct("served_id", "delta", "same_source"), F.struct("delta", "served_id")).alias("r")).select("used_id", "value_hash", "r.*")
+def newest_before(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, step: int = DAY) -> DataFrame:
+    """Add ``out``: the last ``value`` that is not null among the key's rows up to this one in ``order`` (its first column is a time in seconds).
+
+    Rows are dealt by key and ``step`` seconds, so that a key with very many rows
+    is spread; what earlier steps end with is carried in by a small table.
+    """
+    dealt = rows.withColumn("_step", F.floor(F.col(order[0]) / step))
+    cell = Window.partitionBy(*keys, "_step")
+    inside = F.last(value, ignorenulls=True).over(cell.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = dealt.where(F.col(value).isNotNull()).groupBy(*keys, "_step").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    every = dealt.select(*keys, "_step").distinct().join(ends, [*keys, "_step"], "left")
+    before = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(*keys, "_step", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    return dealt.withColumn(out, inside).join(carried, [*keys, "_step"]).withColumn(out, F.coalesce(out, "_carried")).drop("_step", "_carried")
+
+
+def canary_reuse(canaries: DataFrame, tokens: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """A served value seen in a later, other request; one row per use and value, with the newest serving before it.
+
+    Servings by light rows have no ``request_id`` and count for every use. In one
+    second, a serving is before a use if its request number is lower. With
+    ``requests``, what the serving request answered and both ends' nodes are added.
+    """
+    kind_of = dict(canaries.dtypes)
+    serving = F.struct(F.col("request_id").alias("served_id"), F.col("ip").alias("served_ip"), F.col("t").alias("served_t"), "kind")
+    served = canaries.select("value_hash", "t", F.coalesce("request_id", F.lit(-1)).alias("_order"), F.lit(1).alias("_tag"), F.col("ip").alias("_ip"), serving.alias("_serving"))
+    uses = tokens.groupBy("value_hash", "request_id").agg(F.min("t").alias("t"), F.min("ip").alias("ip"), F.min("place").alias("place"))
+    used = uses.select("value_hash", "t", F.col("request_id").alias("_order"), F.lit(0).alias("_tag"), F.col("ip").alias("_ip"), F.struct("ip", "place").alias("_use"))
+    rows = served.unionByName(used, allowMissingColumns=True)
+    found = newest_before(rows, ["value_hash"], ["t", "_order", "_tag", "_ip"], "_serving", "_found").where("_use IS NOT NULL AND _found IS NOT NULL")
+    out = found.select(
+        F.col("_order").alias("used_id"), "value_hash", "_found.kind", "_use.place", F.col("_found.served_id").cast(kind_of["request_id"]).alias("served_id"), "_found.served_ip", F.col("_use.ip").alias("used_ip"),
+        (F.col("t") - F.col("_found.served_t")).alias("delta"), (F.col("_found.served_ip") == F.col("_use.ip")).alias("same_source"),
+    )
+    if requests is None:
+        return out
+    node = lambda side, *more: requests.select(F.col("id").alias(f"{side}_id"), F.col("origin").alias(f"{side}_node"), *more)
+    return out.join(node("served", F.col("answer").alias("served_answer")), "served_id", "left").join(node("used"), "used_id", "left")
 
 
 def canary_links(canaries: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Per source: how many others used its values."""
-    c, t = canaries.select("value_hash", "ip").distinct(), tokens.select("value_hash", F.col("ip").alias("other")).distinct()
-    return c.join(t, "value_hash").where("ip <> other").groupBy("ip").agg(F.countDistinct("other").alias("used_by"))
+    """Per source: how many others used its values, and of how many others it used values."""
+    c, t = canaries.select("value_hash", F.col("ip").alias("owner")).distinct(), tokens.select("value_hash", F.col("ip").alias("user")).distinct()
+    pairs = c.join(t, "value_hash").where("owner <> user").select("owner", "user").distinct()
+    ends = F.array(F.struct(F.col("owner").alias("ip"), F.lit(1).alias("by"), F.lit(0).alias("of")), F.struct(F.col("user").alias("ip"), F.lit(0).alias("by"), F.lit(1).alias("of")))
+    return pairs.select(F.inline(ends)).groupBy("ip").agg(F.sum("by").alias("used_by"), F.sum("of").alias("uses_of"))
 
 
 def with_provider(sources: DataFrame, intel: DataFrame, provider: str) -> DataFrame:
@@ -68,11 +103,24 @@ def with_wave(shapes: DataFrame, waves: DataFrame) -> DataFrame:
     return shapes.join(waves, "shape", "left")
 
 
+def file_name(filename: Column, answered_path: Column) -> Column:
+    """What a client would ask for: the name that it sent, else the path's end, without directories; null if empty."""
+    name = F.regexp_extract(F.coalesce(F.when(filename != "", filename), answered_path), r"([^/\\\\]*)$", 1)
+    return F.when(name != "", name)
+
+
 def dead_ends(uploads: DataFrame, requests: DataFrame, seconds: int = 60, cap: int = PER_UPLOAD) -> DataFrame:
-    """404s of the uploader within ``seconds`` whose path ends with / and the file's name."""
-    u = uploads.select(F.col("uid").alias("upload"), "ip", F.col("t").alias("upload_t"), "filename")
-    r = requests.where("status = 404").select("id", "ip", "t", "path")
-    hits = u.join(r, "ip").where((F.col("t") > F.col("upload_t")) & (F.col("t") <= F.col("upload_t") + seconds) & F.endswith("path", F.concat(F.lit("/"), "filename")))
+    """404s of the uploader at the same node within ``seconds`` after the upload, whose path ends with / and the file's name.
+
+    In the upload's own second, requests numbered above the upload's count. Both
+    sides are dealt by source, node and time, so a busy source is spread.
+    """
+    step = lambda t: F.floor(F.col(t) / seconds)
+    u = uploads.select(F.col("uid").alias("upload"), "request_id", "ip", "origin", F.col("t").alias("upload_t"), file_name(F.col("filename"), F.col("answered_path")).alias("_name")).where("_name IS NOT NULL")
+    u = u.withColumn("_step", F.explode(F.array(step("upload_t"), step("upload_t") + 1)))
+    r = requests.where("status = 404").select("id", "ip", "origin", "t", "path", step("t").alias("_step"))
+    later = (F.col("t") > F.col("upload_t")) | ((F.col("t") == F.col("upload_t")) & (F.col("id") > F.col("request_id")))
+    hits = u.join(r, ["ip", "origin", "_step"]).where(later & (F.col("t") <= F.col("upload_t") + seconds) & F.endswith("path", F.concat(F.lit("/"), "_name")))
     return keep_top(hits, ["upload"], [F.col("t"), F.col("id")], cap).select("upload", "id", "ip", "t", "path")
 
 
@@ -81,12 +129,14 @@ def dead_ends_by_path(hits: DataFrame) -> DataFrame:
 
 
 def upload_timeline(uploads: DataFrame, requests: DataFrame, cap: int = PER_UPLOAD) -> DataFrame:
-    """Later requests to where an upload was said to be, or under it. Both cases are equi-joins: the path itself, and each of its parents."""
-    u = uploads.select(F.col("uid").alias("upload"), F.col("t").alias("upload_t"), F.col("answered_path").alias("at"), "path_is_prefix")
+    """Later requests at the same node to where an upload was said to be, or under it. Both cases are equi-joins: the path itself, and each of its parents with and without a slash."""
+    u = uploads.select(F.col("uid").alias("upload"), "request_id", "origin", F.col("t").alias("upload_t"), F.col("answered_path").alias("at"), "path_is_prefix")
     parts = F.split("path", "/")
-    parents = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    r = requests.select("id", "t", "path", F.explode(F.array_distinct(parents)).alias("at"))
-    hits = u.join(r, "at").where((F.col("t") > F.col("upload_t")) & ((F.col("path") == F.col("at")) | F.col("path_is_prefix")))
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    places = F.concat(F.array("path"), F.filter(parents, lambda p: p != ""), F.transform(parents, lambda p: F.concat(p, F.lit("/"))))
+    r = requests.select("id", "origin", "t", "path", F.explode(F.array_distinct(places)).alias("at"))
+    later = (F.col("t") > F.col("upload_t")) | ((F.col("t") == F.col("upload_t")) & (F.col("id") > F.col("request_id")))
+    hits = u.join(r, ["origin", "at"]).where(later & ((F.col("path") == F.col("at")) | F.col("path_is_prefix")))
     return keep_top(hits, ["upload"], [F.col("t"), F.col("id")], cap).select("upload", "upload_t", "id", "t", "path")
 
 

@@ -7,32 +7,55 @@ together) for sources that have no group. Output depends on addresses only.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.graph import components
 from harrow.operators.joins import RARE_CAP
-from harrow.operators.stats import DAY, keep_top
+from harrow.operators.stats import DAY, beside, keep_top
 from harrow.sources.scratch import materialize
 
-#: Soft edge: least score alone, with support, shared shapes, days between, shapes for an order, untied pairs for an order.
-ALONE, SUPPORTED, SHARED, APART, ORDER_SHAPES, ORDER_PAIRS, ORDER = 0.60, 0.45, 3, 30, 8, 28, 0.5
+#: Soft edge: least score alone, with support, shared rare shapes, days between, shapes for an order, untied pairs for an order.
+ALONE, SUPPORTED, SHARED, APART, ORDER_SHAPES, ORDER_PAIRS = 0.60, 0.45, 3, 30, 8, 28
+#: An order at or above the first supports a pair, at or below the second it forbids the edge; rarest shared shapes that it looks at.
+ORDER, VETO, ORDER_MOST = 0.5, -0.3, 500
+#: Newest shapes of a source, and joiner values of a source, that are considered.
+SHAPES_PER_SOURCE, JOINERS_PER_SOURCE = 2000, 16
+#: Soft links that two groups of two or more need to merge.
+GUARD = 2
 
 
 def shape_weights(source_shapes: DataFrame) -> DataFrame:
     """(shape, df, weight): ln(1 + N / df)."""
     n = source_shapes.select(F.countDistinct("ip").alias("n"))
     by = source_shapes.groupBy("shape").agg(F.countDistinct("ip").alias("df"))
-    return by.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one").select("shape", "df", F.round(F.log1p(F.col("n") / F.col("df")), 9).alias("weight"))
+    return beside(by, n).select("shape", "df", F.round(F.log1p(F.col("n") / F.col("df")), 9).alias("weight"))
+
+
+def newest_shapes(source_shapes: DataFrame, most: int = SHAPES_PER_SOURCE) -> DataFrame:
+    """(ip, shape, first, last): each source's newest shapes."""
+    own = source_shapes.groupBy("ip", "shape").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    return keep_top(own, ["ip"], [F.desc("last"), F.col("shape")], most)
+
+
+def left_out(rows: DataFrame, value: str, most: int) -> DataFrame:
+    """(ip, left_out): sources with more values than are considered, and by how many."""
+    by = rows.select("ip", value).distinct().groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
+    return by.where(F.col("n") > most).select("ip", (F.col("n") - most).alias("left_out"))
 
 
-def order_agreement(pairs: DataFrame, source_shapes: DataFrame, cap: int = 500) -> DataFrame:
-    """(a, b, order): concordance of first-asked order over the shared shapes; ties count for nothing; null for too few."""
-    own = source_shapes.groupBy("ip", "shape").agg(F.min("t").alias("t"))
-    shared = pairs.select("a", "b").join(own.select(F.col("ip").alias("a"), "shape", F.col("t").alias("ta")), "a").join(own.select(F.col("ip").alias("b"), "shape", F.col("t").alias("tb")), ["b", "shape"])
-    shared = keep_top(shared, ["a", "b"], [F.col("shape")], cap)
-    two = shared.alias("x").join(shared.alias("y"), ["a", "b"]).where("x.shape < y.shape")
+def _shared(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b, shape, ta, tb, df, weight): the shapes that both ends of each pair asked for."""
+    a, b = own.select(F.col("ip").alias("a"), "shape", F.col("first").alias("ta"), "df", "weight"), own.select(F.col("ip").alias("b"), "shape", F.col("first").alias("tb"))
+    return pairs.select("a", "b").join(a, "a").join(b, ["b", "shape"])
+
+
+def _order(shared: DataFrame, most: int) -> DataFrame:
+    rows = keep_top(shared, ["a", "b"], [F.col("df"), F.col("shape")], most)
+    two = rows.alias("x").join(rows.alias("y"), ["a", "b"]).where("x.shape < y.shape")
     sign = F.signum(F.col("x.ta") - F.col("y.ta")) * F.signum(F.col("x.tb") - F.col("y.tb"))
     counts = two.groupBy("a", "b").agg(F.sum(sign).alias("s"), F.count_if(sign != 0).alias("n"))
     shapes = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shapes"))
@@ -40,21 +63,36 @@ def order_agreement(pairs: DataFrame, source_shapes: DataFrame, cap: int = 500)
     return counts.join(shapes, ["a", "b"]).select("a", "b", F.when(enough, F.col("s") / F.col("n")).alias("order"))
 
 
-def soft_edges(source_shapes: DataFrame, fingerprints: DataFrame, alone: float = ALONE, supported: float = SUPPORTED, shared: int = SHARED, cap: int = RARE_CAP) -> DataFrame:
-    """(a, b, score, shared): weighted Jaccard of rare shapes over candidate pairs. The union's weight is wa + wb - shared."""
-    weights = shape_weights(source_shapes).where(F.col("df").between(2, cap))
-    own = source_shapes.groupBy("ip", "shape").agg(F.min("t").alias("first"), F.max("t").alias("last")).join(weights, "shape")
+def order_agreement(pairs: DataFrame, source_shapes: DataFrame, most: int = ORDER_MOST) -> DataFrame:
+    """(a, b, order): concordance of first-asked order over the rarest shared shapes; ties count for nothing; null for too few."""
+    own = newest_shapes(source_shapes).join(shape_weights(source_shapes), "shape")
+    return _order(_shared(pairs, own), most)
+
+
+def soft_edges(
+    source_shapes: DataFrame, fingerprints: DataFrame, alone: float = ALONE, supported: float = SUPPORTED, shared: int = SHARED, cap: int = RARE_CAP, veto: float | None = VETO
+) -> DataFrame:
+    """(a, b, score, shared): weighted Jaccard of all shapes of the pairs that share enough rare ones.
+
+    The union's weight is wa + wb - shared. Pairs come from rare shapes only;
+    common ones weigh in the score. An order that is turned round forbids an edge
+    (``veto``; None: never); an equal one, or a shared fingerprint, supports it.
+    """
+    own = newest_shapes(source_shapes)
+    own = materialize(own.join(shape_weights(own.select("ip", "shape")), "shape"), "source-shapes")
+    rare = own.where(F.col("df").between(2, cap))
+    pairs = rare.select(F.col("ip").alias("a"), "shape").join(rare.select(F.col("ip").alias("b"), "shape"), "shape").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("rare")).where(F.col("rare") >= shared)
     total = own.groupBy("ip").agg(F.sum("weight").alias("w"), F.min("first").alias("first"), F.max("last").alias("last"))
-    x, y = own.select(F.col("ip").alias("a"), "shape", "weight"), own.select(F.col("ip").alias("b"), "shape")
-    common = x.join(y, "shape").where("a < b").groupBy("a", "b").agg(F.sum("weight").alias("ws"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= shared)
     side = lambda c: total.select(F.col("ip").alias(c), F.col("w").alias(f"w{c}"), F.col("first").alias(f"f{c}"), F.col("last").alias(f"l{c}"))
-    scored = common.join(side("a"), "a").join(side("b"), "b").withColumn("score", F.col("ws") / (F.col("wa") + F.col("wb") - F.col("ws")))
-    apart = F.greatest(F.col("fa"), F.col("fb")) - F.least(F.col("la"), F.col("lb"))
-    scored = scored.where((apart <= APART * DAY) & (F.col("score") >= supported))
-    print_ = fingerprints.select("ip", "fingerprint").distinct()
-    same = print_.select(F.col("ip").alias("a"), "fingerprint").join(print_.select(F.col("ip").alias("b"), "fingerprint"), "fingerprint").join(scored.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.lit(True).alias("tls")).distinct()
-    ordered = order_agreement(scored, source_shapes)
-    every = scored.join(same, ["a", "b"], "left").join(ordered, ["a", "b"], "left")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.greatest("fa", "fb") - F.least("la", "lb") <= APART * DAY)
+    weight = _shared(near, own).groupBy("a", "b").agg(F.sum("weight").alias("ws"), F.count(F.lit(1)).alias("shared"))
+    scored = near.join(weight, ["a", "b"]).withColumn("score", F.col("ws") / (F.col("wa") + F.col("wb") - F.col("ws"))).where(F.col("score") >= supported)
+    scored = materialize(scored.select("a", "b", "score", "shared"), "soft-pairs")
+    prints = fingerprints.select("ip", "fingerprint").distinct()
+    same = scored.select("a", "b").join(prints.withColumnRenamed("ip", "a"), "a").join(prints.withColumnRenamed("ip", "b"), ["b", "fingerprint"], "left_semi").select("a", "b").distinct().withColumn("tls", F.lit(True))
+    every = scored.join(same, ["a", "b"], "left").join(_order(_shared(scored, own), ORDER_MOST), ["a", "b"], "left")
+    if veto is not None:
+        every = every.where(F.coalesce(F.col("order") > veto, F.lit(True)))
     support = F.coalesce("tls", F.lit(False)) | (F.coalesce("order", F.lit(0.0)) >= ORDER)
     return every.where((F.col("score") >= alone) | support).select("a", "b", "score", "shared")
 
@@ -67,38 +105,61 @@ def groups_of(edges: DataFrame) -> DataFrame:
 
 
 def merge_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block: each round merges the two groups with most soft links that reach min(size, size, 2); ties by name."""
+    """One block: each round merges the two groups with most soft links that reach min(size, size, GUARD); ties by name.
+
+    A heap holds the pairs that are able to merge; a pair is put there again
+    when its links change, and what is outdated is passed over. Nearly linear in
+    the block's links.
+    """
     size = {g: n for g, n in zip([*pdf.ga, *pdf.gb], [*pdf.na, *pdf.nb])}
-    links: dict[tuple, int] = {}
+    near: dict = {g: {} for g in size}
     for a, b, n in zip(pdf.ga, pdf.gb, pdf.links):
-        links[tuple(sorted((a, b)))] = links.get(tuple(sorted((a, b))), 0) + n
-    to = {g: g for g in size}
-    while able := [(-n, *pair) for pair, n in links.items() if n >= min(size[pair[0]], size[pair[1]], 2)]:
-        _, a, b = min(able)
+        near[a][b] = near[b][a] = near[a].get(b, 0) + n
+    heap = [(-n, a, b) for a, of in near.items() for b, n in of.items() if a < b]
+    heapq.heapify(heap)
+    to: dict = {}
+    while heap:
+        n, a, b = heapq.heappop(heap)
+        if near.get(a, {}).get(b) != -n or -n < min(size[a], size[b], GUARD):
+            continue
+        to[b] = a
         size[a] += size.pop(b)
-        to = {g: a if t == b else t for g, t in to.items()}
-        merged: dict[tuple, int] = {}
-        for (x, y), n in links.items():
-            pair = tuple(sorted((a if x == b else x, a if y == b else y)))
-            if pair[0] != pair[1]:
-                merged[pair] = merged.get(pair, 0) + n
-        links = merged
-    return pd.DataFrame({"grp": list(to), "merged": list(to.values())})
+        del near[a][b]
+        for x, links in near.pop(b).items():
+            if x != a:
+                del near[x][b]
+                near[a][x] = near[x][a] = near[a].get(x, 0) + links
+                heapq.heappush(heap, (-near[a][x], *sorted((a, x))))
+
+    def end(g):
+        while g in to:
+            g = to[g]
+        return g
+
+    groups = sorted({*pdf.ga, *pdf.gb})
+    return pd.DataFrame({"grp": groups, "merged": [end(g) for g in groups]})
 
 
 def guarded_merge(hard_groups: DataFrame, soft: DataFrame) -> DataFrame:
     """(ip, grp): groups joined over soft links under the guard. Sources without a hard group are groups of one.
 
-    Links are summed between groups first; what soft links do not connect is
-    independent, so each block runs the sequential rule on its own.
+    The rule merges one pair a round, the one with most links. Two groups with
+    GUARD or more links between them merge under it in any order, as their links
+    only grow, so those are contracted by joins, all at once and until none is
+    left. What remains are single links; what they do not connect is independent,
+    so each of these blocks runs the sequential rule by itself.
     """
     soft, hard_groups = materialize(soft.select("a", "b"), "soft-edges"), materialize(hard_groups, "hard-groups")
     ends = soft.select(F.col("a").alias("ip")).union(soft.select("b")).distinct()
     every = ends.join(hard_groups, "ip", "full").select("ip", F.coalesce("grp", "ip").alias("grp"))
+    rename = lambda df, to, c: df.join(to.select(F.col("ip").alias(c), F.col("grp").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    links = rename(rename(soft.select(F.col("a").alias("ga"), F.col("b").alias("gb")).withColumn("links", F.lit(1)), every, "ga"), every, "gb")
+    add = lambda df: df.where("ga <> gb").groupBy(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).agg(F.sum("links").alias("links"))
+    every, between = materialize(every, "group-members"), materialize(add(links), "group-links")
+    while not (strong := between.where(F.col("links") >= GUARD)).isEmpty():
+        to = materialize(groups_of(strong.select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "group-merges")
+        every, between = materialize(rename(every, to, "grp"), "group-members"), materialize(add(rename(rename(between, to, "ga"), to, "gb")), "group-links")
     size = every.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    of = lambda c: every.select(F.col("ip").alias(c), F.col("grp").alias(f"g{c}"))
-    between = soft.join(of("a"), "a").join(of("b"), "b").where("ga <> gb").groupBy(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).agg(F.count(F.lit(1)).alias("links"))
-    between = materialize(between, "group-links")
     block = groups_of(between.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
     rows = between.join(size.select(F.col("grp").alias("ga"), F.col("n").alias("na")), "ga").join(size.select(F.col("grp").alias("gb"), F.col("n").alias("nb")), "gb").join(block.select(F.col("ip").alias("ga"), F.col("grp").alias("block")), "ga")
     kind = dict(every.dtypes)["grp"]
@@ -106,18 +167,32 @@ def guarded_merge(hard_groups: DataFrame, soft: DataFrame) -> DataFrame:
     return every.join(merged, "grp", "left").select("ip", F.coalesce("merged", "grp").alias("grp"))
 
 
-def group_loose(sightings: DataFrame, grouped: DataFrame, least: int = 2, share: float = 0.1) -> DataFrame:
-    """Ungrouped sources by values that enough sources name together; a source goes to the cloud with most of its values."""
-    own = sightings.select("ip", "value").distinct().join(grouped.select("ip"), "ip", "left_anti")
+def group_loose(sightings: DataFrame, grouped: DataFrame, least: int = GUARD, per_source: int = JOINERS_PER_SOURCE) -> DataFrame:
+    """(ip, grp): ungrouped sources by the values that they name.
+
+    Of each source the values that others name too count, the newest
+    ``per_source`` (``left_out`` tells what is not considered). Two values
+    connect when ``least`` sources and a tenth of the larger's name both.
+    Connected values are a cloud; clouds of the same sources are one. A source
+    in several goes to the largest, ties to the one with the smallest source.
+    In a cloud, sources that share one of its values are a group.
+    """
+    own = sightings.groupBy("ip", "value").agg(F.max("t").alias("t")).join(grouped.select("ip"), "ip", "left_anti")
+    shared = own.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = materialize(keep_top(own.join(shared.select("value"), "value"), ["ip"], [F.desc("t"), F.col("value")], per_source).select("ip", "value"), "loose-values")
     n = own.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     pairs = own.select("ip", F.col("value").alias("a")).join(own.select("ip", F.col("value").alias("b")), "ip").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
     both = pairs.join(n.select(F.col("value").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("value").alias("b"), F.col("n").alias("nb")), "b")
-    clouds = groups_of(both.where(F.col("both") >= F.greatest(F.lit(least), share * F.greatest("na", "nb"))).select("a", "b")).select(F.col("ip").alias("value"), F.col("grp").alias("cloud"))
-    votes = own.join(clouds, "value").groupBy("ip", "cloud").agg(F.count(F.lit(1)).alias("votes"))
-    size = votes.groupBy("cloud").agg(F.count(F.lit(1)).alias("size"))
-    owner = keep_top(votes.join(size, "cloud"), ["ip"], [F.desc("size"), F.desc("votes"), F.col("cloud")], 1)
-    anchor = owner.groupBy("cloud").agg(F.min("ip").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return owner.join(anchor, "cloud").select("ip", "grp")
+    tied = groups_of(both.where(F.col("both") >= F.greatest(F.lit(least), F.ceil(F.greatest("na", "nb") / 10))).select("a", "b")).select(F.col("ip").alias("value"), F.col("grp").alias("c"))
+    clouds = own.join(tied, "value", "left").select("ip", "value", F.coalesce("c", "value").alias("c"))
+    members = clouds.select("c", "ip").distinct()
+    seen = members.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min("ip").alias("low"), F.sum(F.xxhash64("ip").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("ip", F.lit(1))).alias("x"))
+    same = seen.groupBy("size", "low", "h", "x").agg(F.min("c").alias("cloud"))  # equal sets of sources by two hashes of the whole set
+    names = seen.join(same, ["size", "low", "h", "x"]).select("c", "cloud", "size", "low")
+    owner = keep_top(members.join(names, "c").select("ip", "cloud", "size", "low").distinct(), ["ip"], [F.desc("size"), F.col("low"), F.col("cloud")], 1).select("ip", "cloud")
+    kept = clouds.join(names.select("c", "cloud"), "c").join(owner, ["ip", "cloud"]).select("cloud", "value", "ip").distinct()
+    anchor = kept.groupBy("cloud", "value").agg(F.min("ip").alias("a"))
+    return groups_of(kept.join(anchor, ["cloud", "value"]).where("ip <> a").select("a", F.col("ip").alias("b")))
 
 
 def joiner_star_edges(sightings: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -135,8 +210,8 @@ def campaigns(grouped: DataFrame, rollup: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Dense numbers from 1 in a global order: a range sort, counts per part, then numbers inside each part."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """Dense numbers from 1 in a global order: a range sort, counts per part, then numbers inside each part. The parts are written once, as both passes must see the same."""
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

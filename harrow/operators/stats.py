@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.functions.columns import label_families
+
 HOUR, DAY = 3600, 86_400
+#: Labels that stand for an agent in the stand-in tables.
 AGENT_LABELS = ("signup", "purchase")
 
 
@@ -59,11 +62,16 @@ def previous_window(requests: DataFrame, seconds: int, now: int) -> DataFrame:
     return before.agg(count_().alias("requests"), F.countDistinct("ip").alias("sources"))
 
 
-def families(requests: DataFrame, labels: str, family_of: Column | None = None) -> DataFrame:
+def families(requests: DataFrame, labels: str = "labels") -> DataFrame:
     """Requests per label family, each once; grouped by the stored list before it is unpacked."""
     lists = requests.groupBy(labels).agg(count_().alias("n"))
-    family = F.transform(labels, lambda x: F.substring_index(x, "-", 1))
-    return lists.select(F.explode(F.array_distinct(family)).alias("family"), "n").groupBy("family").agg(F.sum("n").alias("requests"))
+    return lists.select(F.explode(label_families(F.col(labels))).alias("family"), "n").groupBy("family").agg(F.sum("n").alias("requests"))
+
+
+def owasp(requests: DataFrame, tags: str = "owasp") -> DataFrame:
+    """Requests per tag, each once; grouped by the stored list before it is unpacked."""
+    lists = requests.groupBy(tags).agg(count_().alias("n"))
+    return lists.select(F.explode(F.array_distinct(tags)).alias("tag"), "n").groupBy("tag").agg(F.sum("n").alias("requests"))
 
 
 def countries_map(requests: DataFrame, sources: DataFrame) -> DataFrame:
@@ -122,10 +130,14 @@ def scan_levels(scans: DataFrame) -> DataFrame:
 
 
 def first_contact_followed(requests: DataFrame) -> DataFrame:
-    """Per persona and source: whether any later request came within 24 hours of the first."""
-    first = Window.partitionBy("persona", "ip")
-    marked = requests.select("persona", "ip", "t", F.min("t").over(first).alias("first"))
-    return marked.groupBy("persona", "ip").agg(F.bool_or((F.col("t") > F.col("first")) & (F.col("t") <= F.col("first") + DAY)).alias("followed"))
+    """Per persona and source: whether any later request of it came within 24 hours of the first.
+
+    The first and last time of each of the source's days tell it, and these are combined before any shuffle.
+    """
+    days = requests.groupBy("persona", "ip", F.floor(F.col("t") / DAY).alias("_day")).agg(F.min("t").alias("_low"), F.max("t").alias("_high"))
+    marked = days.withColumn("_first", F.min("_low").over(Window.partitionBy("persona", "ip")))
+    within = lambda c: (F.col(c) > F.col("_first")) & (F.col(c) <= F.col("_first") + DAY)
+    return marked.groupBy("persona", "ip").agg(F.bool_or(within("_low") | within("_high")).alias("followed"))
 
 
 def persona_stats(requests: DataFrame) -> DataFrame:
@@ -157,9 +169,8 @@ def agent_sources(requests: DataFrame) -> DataFrame:
 
 
 def upper_median(c: str) -> Column:
-    """v[n / 2] of the ascending values."""
-    values = F.array_sort(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+    """v[n / 2] of the ascending values: the lower median of the descending ones, from map-side combined counts."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
 
 
 def canary_summary(reuse: DataFrame, canaries: DataFrame) -> DataFrame:
@@ -170,18 +181,29 @@ def canary_summary(reuse: DataFrame, canaries: DataFrame) -> DataFrame:
     return served.join(used, "kind", "left").select("kind", "served", F.coalesce("reused", F.lit(0)).alias("reused"), F.round(100 * F.coalesce("reused", F.lit(0)) / F.col("served")).cast("long").alias("percent"), "median_s", "max_s")
 
 
-def decoy_sessions(requests: DataFrame, session: str) -> DataFrame:
-    return requests.groupBy(session).agg(F.countDistinct("ip").alias("sources"), F.min("t").alias("first"), F.max("t").alias("last"), count_().alias("steps"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("tools"))
+def session_requests(canaries: DataFrame, tokens: DataFrame, session_kind: str) -> tuple[DataFrame, DataFrame]:
+    """(session, request_id) of the requests that a session value was served by, and of those that carried it back."""
+    started = canaries.where((F.col("kind") == session_kind) & F.col("request_id").isNotNull()).select(F.col("value_hash").alias("session"), "request_id").distinct()
+    carried = tokens.select(F.col("value_hash").alias("session"), "request_id").distinct().join(started.select("session").distinct(), "session", "left_semi")
+    return started, carried
+
 
+def decoy_sessions(requests: DataFrame, canaries: DataFrame, tokens: DataFrame, session_kind: str) -> DataFrame:
+    """Per session value: sources, first, last, steps and tools of the requests that started or carried it."""
+    started, carried = session_requests(canaries, tokens, session_kind)
+    rows = started.unionByName(carried).distinct().join(requests.select(F.col("id").alias("request_id"), "ip", "t", "tool"), "request_id")
+    return rows.groupBy("session").agg(F.countDistinct("ip").alias("sources"), F.min("t").alias("first"), F.max("t").alias("last"), count_().alias("steps"), F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tools"))
 
-def funnel(requests: DataFrame, session: str, steps: list[str]) -> DataFrame:
-    """Sessions that reached each step, later steps only counted with all earlier ones."""
-    by = requests.groupBy(session).agg(*[F.bool_or(F.col("label") == s).alias(s) for s in steps])
-    out, so_far = [count_().alias("sessions")], F.lit(True)
-    for s in steps:
-        so_far = so_far & F.col(s)
-        out.append(F.count_if(so_far).alias(f"to_{s}"))
-    return by.agg(*out)
+
+def mcp_funnel(requests: DataFrame, canaries: DataFrame, tokens: DataFrame, session_kind: str, listed: str, called: str) -> DataFrame:
+    """Sessions served; of these carried into a listing, into a call, and with a value served in a carrying request that another request used."""
+    started, carried = session_requests(canaries, tokens, session_kind)
+    answers = carried.join(requests.select(F.col("id").alias("request_id"), "answer"), "request_id").groupBy("session").agg(F.bool_or(F.col("answer") == listed).alias("listed"), F.bool_or(F.col("answer") == called).alias("called"))
+    users = tokens.groupBy("value_hash").agg(F.min("request_id").alias("low"), F.max("request_id").alias("high"))  # another request used it if one of the two is another
+    spent = canaries.where(F.col("kind") != session_kind).select("request_id", "value_hash").distinct().join(users, "value_hash").where("low <> request_id OR high <> request_id").select("request_id").distinct()
+    reused = carried.join(spent, "request_id", "left_semi").select("session").distinct().withColumn("reused", F.lit(True))
+    flags = started.select("session").distinct().join(answers, "session", "left").join(reused, "session", "left")
+    return flags.agg(count_().alias("sessions"), F.count_if("listed").alias("listed"), F.count_if("called").alias("called"), F.count_if("reused").alias("reused"))
 
 
 def model_usage(requests: DataFrame, model: str, least: int = 2) -> DataFrame:
@@ -242,6 +264,18 @@ def campaign_shapes(members: DataFrame, requests: DataFrame, k: int = 10) -> Dat
     return keep_top(by, ["campaign"], [F.desc("members"), F.col("path")], k)
 
 
+def campaign_commands(members: DataFrame, requests: DataFrame, k: int = 20) -> DataFrame:
+    """Per campaign its members' commands, most run first: runs, sources and the last time."""
+    by = requests.where("cmd IS NOT NULL").join(members.select("ip", "campaign"), "ip").groupBy("campaign", "cmd").agg(count_().alias("runs"), F.countDistinct("ip").alias("sources"), F.max("t").alias("last_seen"))
+    return keep_top(by, ["campaign"], [F.desc("runs"), F.desc("last_seen"), F.col("cmd")], k)
+
+
+def campaign_uploads(members: DataFrame, uploads: DataFrame, k: int = 20) -> DataFrame:
+    """Per campaign its members' newest uploads."""
+    rows = uploads.join(members.select("ip", "campaign"), "ip")
+    return keep_top(rows, ["campaign"], [F.desc("t"), F.desc("uid")], k).select("campaign", "uid", "ip", "t", "filename", "size")
+
+
 def agent_campaigns(members: DataFrame, requests: DataFrame) -> DataFrame:
     return members.join(requests.where(F.col("label").isin(*AGENT_LABELS)).select("ip"), "ip", "left_semi").select("campaign").distinct()
 
@@ -276,15 +310,21 @@ def queue_metrics(jobs: DataFrame, now: int) -> DataFrame:
     )
 
 
-def scanner_rates(jobs: DataFrame, least: int = 5) -> DataFrame:
-    """Rate (ok + 4) / (ok + failed + 4) without timeouts; weight against the best other scanner of the level with enough finished, from 0.1 to 1."""
-    timed_out = F.coalesce(F.col("error") == "timeout", F.lit(False))
-    by = jobs.where(~timed_out).groupBy("level", "scanner").agg(F.count_if(F.col("status") == "done").alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"))
+def scanner_rates(jobs: DataFrame, now: int, hours: int = 24, least: int = 5) -> DataFrame:
+    """Rate (ok + 4) / (ok + failed + 4) over the ``hours`` before ``now``'s hour; timeouts and invalid targets are nobody's failure.
+
+    Weight: the rate against the best other scanner of the level with enough
+    finished, from 0.1 to 1. The level's two best rates are enough to know it.
+    """
+    end = now - now % HOUR
+    excused = F.coalesce(F.col("error").startswith("timeout") | (F.col("error") == "invalid target"), F.lit(False))
+    day = jobs.where(F.col("status").isin("done", "failed") & (F.col("finished") >= end - hours * HOUR) & (F.col("finished") < end))
+    by = day.groupBy("level", "scanner").agg(F.count_if(F.col("status") == "done").alias("ok"), F.count_if((F.col("status") == "failed") & ~excused).alias("failed"))
     by = by.withColumn("rate", (F.col("ok") + 4) / (F.col("ok") + F.col("failed") + 4))
-    enough = F.when(F.col("ok") + F.col("failed") >= least, F.struct("rate", "scanner"))
-    others = F.sort_array(F.collect_list(enough).over(Window.partitionBy("level")), asc=False)
-    best = F.get(F.filter(others, lambda x: x["scanner"] != F.col("scanner")), 0)["rate"]
-    return by.withColumn("weight", F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.coalesce(F.col("rate") / best, F.lit(1.0)))))
+    enough = by.where(F.col("ok") + F.col("failed") >= least)
+    two = keep_top(enough, ["level"], [F.desc("rate"), F.col("scanner")], 2).groupBy("level").agg(F.max_by("scanner", F.struct("rate", "scanner")).alias("_who"), F.max("rate").alias("_first"), F.min("rate").alias("_second"), count_().alias("_n"))
+    other = F.when(F.col("_who") != F.col("scanner"), F.col("_first")).when(F.col("_n") > 1, F.col("_second"))
+    return by.join(two, "level", "left").withColumn("weight", F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.coalesce(F.col("rate") / other, F.lit(1.0))))).drop("_who", "_first", "_second", "_n")
 
 
 def level_estimates(jobs: DataFrame, default: float = 10.0, least: int = 5) -> DataFrame:
@@ -309,6 +349,11 @@ def price_spread(prices: DataFrame) -> DataFrame:
     return prices.groupBy("good", "hour").agg(F.min("price_mc").alias("low"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY price_mc)").cast("long").alias("median"), F.max("price_mc").alias("high"))
 
 
+def price_series(prices: DataFrame, now: int, hours: int = 8 * 24) -> DataFrame:
+    """The spread of every good over the ``hours`` before ``now``'s."""
+    return price_spread(prices.where((F.col("hour") > now - hours) & (F.col("hour") <= now)))
+
+
 def price_change(prices: DataFrame, now_hour: int, window: int) -> DataFrame:
     """Percent from the first to the last median in the window."""
     recent = price_spread(prices).where((F.col("hour") > now_hour - window) & (F.col("hour") <= now_hour))
@@ -347,14 +392,31 @@ def quorum_tally(answers: DataFrame) -> DataFrame:
     return votes.join(answered, "question").withColumn("agreed", 2 * F.col("votes") > F.col("answered"))
 
 
-def audit_compare(scans: DataFrame, ports: DataFrame) -> DataFrame:
-    """Per source, its first and second scan's open ports: agrees when at least half of their union is shared."""
-    first = scans.withColumn("n", F.row_number().over(Window.partitionBy("ip").orderBy("t", "uid"))).where("n <= 2")
-    sets = first.join(ports.where("state = 'open'").select(F.col("scan_uid").alias("uid"), "port"), "uid", "left").groupBy("ip", "n").agg(F.collect_set("port").alias("ports"))
-    two = sets.groupBy("ip").agg(F.max(F.when(F.col("n") == 1, F.col("ports"))).alias("a"), F.max(F.when(F.col("n") == 2, F.col("ports"))).alias("b"))
-    shared, union = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
-    verdict = F.when(F.col("b").isNull() | (union == 0), "inconclusive").when(2 * shared >= union, "agrees").otherwise("differs")
-    return two.select("ip", verdict.alias("verdict"))
+def audit_compare(audits: DataFrame, ports: DataFrame, keys: DataFrame) -> DataFrame:
+    """(audit, original, verdict) for pairs of scans: how far their open ports and identity keys agree.
+
+    A key or certificate on a port open in both settles it if the original claims
+    at most twice the audit's ports; else at least half of each side's ports must
+    be shared. Without an open port the audit says nothing.
+    """
+    open_ = ports.where("state = 'open' AND proto = 'tcp'").select("scan_uid", "port").distinct()
+    ids = keys.select("scan_uid", "port", "kind", "fingerprint").distinct().join(open_, ["scan_uid", "port"], "left_semi")
+    n = open_.groupBy("scan_uid").agg(count_().alias("n"))
+    side = lambda df, c: df.withColumnRenamed("scan_uid", c)
+    common = audits.join(side(open_, "audit"), "audit").join(side(open_, "original"), ["original", "port"], "left_semi").groupBy("audit", "original").agg(count_().alias("common"))
+    same = audits.join(side(ids, "audit"), "audit").join(side(ids, "original"), ["original", "port", "kind", "fingerprint"], "left_semi").select("audit", "original").distinct().withColumn("same", F.lit(True))
+    rows = audits.join(side(n, "audit").withColumnRenamed("n", "na"), "audit", "left").join(side(n, "original").withColumnRenamed("n", "no"), "original", "left").join(common, ["audit", "original"], "left").join(same, ["audit", "original"], "left")
+    a, o, both = F.coalesce("na", F.lit(0)), F.coalesce("no", F.lit(0)), F.coalesce("common", F.lit(0))
+    agrees = (F.coalesce("same", F.lit(False)) & (o <= 2 * a)) | ((2 * both >= a) & (2 * both >= o))
+    return rows.select("audit", "original", F.when(a == 0, "inconclusive").when(agrees, "agrees").otherwise("differs").alias("verdict"))
+
+
+def audit_counts(compared: DataFrame, scans: DataFrame) -> DataFrame:
+    """Per audited node: conclusive and differing audits by others, and whether it fails (at least 5, half of them differing)."""
+    node = scans.select("uid", "origin")
+    rows = compared.join(node.select(F.col("uid").alias("audit"), F.col("origin").alias("auditor")), "audit").join(node.select(F.col("uid").alias("original"), F.col("origin").alias("scanner")), "original").where("auditor <> scanner AND verdict <> 'inconclusive'")
+    by = rows.groupBy("scanner").agg(count_().alias("conclusive"), F.count_if(F.col("verdict") == "differs").alias("differing"))
+    return by.withColumn("fails", (F.col("conclusive") >= 5) & (2 * F.col("differing") >= F.col("conclusive")))
 
 
 def skipped_counts(light: DataFrame) -> DataFrame:
@@ -365,11 +427,15 @@ def volume(requests: DataFrame) -> DataFrame:
     return requests.agg(F.sum(F.col("unrecorded") + 1).alias("weighted"), count_().alias("rows"))
 
 
-def node_contributions(requests: DataFrame, scans: DataFrame, intel: DataFrame) -> DataFrame:
-    r = requests.groupBy("origin").agg(count_().alias("requests"))
-    s = scans.groupBy("origin").agg(count_().alias("scans"))
-    i = intel.groupBy("origin").agg(F.countDistinct("ip").alias("looked_up"))
-    return r.join(s, "origin", "full").join(i, "origin", "full").na.fill(0)
+def node_contributions(requests: DataFrame, batches: DataFrame, fingerprints: DataFrame, claims: DataFrame, scans: DataFrame, intel: DataFrame) -> DataFrame:
+    """Per recording node: requests, light rows with drops, fingerprints, claims, scans and distinct addresses looked up."""
+    counted = {"requests": requests, "fingerprints": fingerprints, "claims": claims, "scans": scans}
+    parts = [df.groupBy("origin").agg(count_().alias(name)) for name, df in counted.items()]
+    parts += [batches.groupBy("origin").agg(F.sum(F.col("dropped") + F.size("rows")).alias("skipped")), intel.groupBy("origin").agg(F.countDistinct("ip").alias("looked_up"))]
+    out, *rest = parts
+    for part in rest:
+        out = out.join(part, "origin", "full")
+    return out.na.fill(0)
 
 
 def provider_volume(log: DataFrame) -> DataFrame:
@@ -399,3 +465,15 @@ def addresses_of_name(names: DataFrame, n: int = 200) -> DataFrame:
     """Per name its addresses, agreed ones first, then newest."""
     agreed = 2 * F.col("votes") > F.col("answered")
     return keep_top(names.withColumn("agreed", agreed), ["name"], [F.desc("agreed"), F.desc("last_seen"), F.col("ip")], n).select("name", "ip", "agreed", "last_seen")
+
+
+def header_order_groups(requests: DataFrame, key: Column) -> DataFrame:
+    """Requests and distinct sources by header-order key (``functions.columns.header_order_key``)."""
+    return requests.groupBy(key.alias("key")).agg(count_().alias("requests"), F.countDistinct("ip").alias("sources"))
+
+
+def retry_backoff_due(log: DataFrame, sources: DataFrame, now: int, days: float, factor: float = 1.5, most: int = 30) -> DataFrame:
+    """Sources due for a lookup: none yet, or the last is older than ``days`` times ``factor`` for each lookup after the first."""
+    done = log.groupBy("ip").agg(F.max("t").alias("last"), count_().alias("n"))
+    wait = days * DAY * F.pow(F.lit(factor), F.least("n", F.lit(most)) - 1)
+    return sources.join(done, "ip", "left").where(F.col("last").isNull() | (F.col("last") + wait <= now)).select("ip")

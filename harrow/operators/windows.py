@@ -5,13 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.operators.stats import DAY, keep_top
+from harrow.operators.stats import DAY, HOUR, keep_top
 
 
-def request_history_1h(requests: DataFrame) -> DataFrame:
-    """Per request: distinct paths and requests of its source in the hour before, itself included (strictly under 3600 s)."""
-    hour = Window.partitionBy("ip").orderBy("t").rangeBetween(-3599, 0)
-    return requests.withColumn("paths_1h", F.size(F.collect_set("path").over(hour))).withColumn("requests_1h", F.count(F.lit(1)).over(hour))
+def running_totals(changes: DataFrame, keys: list[str], columns: list[str], step: int = DAY) -> DataFrame:
+    """(keys, t, columns): sums of all changes of the key up to each time. Dealt by key and ``step`` seconds; earlier steps' sums are carried in by a small table."""
+    at = changes.groupBy(*keys, "t").agg(*[F.sum(c).alias(c) for c in columns]).withColumn("_step", F.floor(F.col("t") / step))
+    upto = Window.partitionBy(*keys, "_step").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy(*keys, "_step").agg(*[F.sum(c).alias(c) for c in columns])
+    carried = sums.select(*keys, "_step", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    inside = at.select(*keys, "_step", "t", *[F.sum(c).over(upto).alias(c) for c in columns])
+    return inside.join(carried, [*keys, "_step"]).select(*keys, "t", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in columns])
+
+
+def request_history_1h(requests: DataFrame, seconds: int = HOUR) -> DataFrame:
+    """Per request: distinct paths and requests of its source in the hour before, itself included (strictly under 3600 s).
+
+    A request counts from its time on and leaves after the hour; a path leaves
+    when it is asked for again or after the hour. Both counts are running sums of
+    such changes, so no row looks at the rows before it.
+    """
+    step = F.floor(F.col("t") / seconds)
+    paths = requests.select("ip", "path", "t").distinct().withColumn("_h", step)
+    again = F.lead("t").over(Window.partitionBy("ip", "path", "_h").orderBy("t"))
+    following = paths.groupBy("ip", "path", (F.col("_h") - 1).alias("_h")).agg(F.min("t").alias("_f"))
+    until = paths.withColumn("_n", again).join(following, ["ip", "path", "_h"], "left").select("ip", "t", F.least(F.col("t") + seconds, F.coalesce("_n", "_f", F.col("t") + seconds)).alias("_until"))
+    change = lambda t, paths_, requests_: F.struct(F.col(t).alias("t") if isinstance(t, str) else t.alias("t"), F.lit(paths_).alias("paths_1h"), F.lit(requests_).alias("requests_1h"))
+    of_paths = until.select("ip", F.inline(F.array(change("t", 1, 0), change("_until", -1, 0))))
+    of_requests = requests.select("ip", F.inline(F.array(change("t", 0, 1), change(F.col("t") + seconds, 0, -1))))
+    counts = running_totals(of_paths.unionByName(of_requests), ["ip"], ["paths_1h", "requests_1h"])
+    return requests.join(counts.select("ip", "t", F.col("paths_1h").cast("int").alias("paths_1h"), "requests_1h"), ["ip", "t"], "left")
 
 
 def ranked_joiners(sightings: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from harrow.operators import stats as S
@@ -21,10 +22,9 @@ _SEVERITIES = ", ".join(f"count(*) FILTER (severity = {s}) AS severity_{s}" for
 R("timeline", "requests", sql=f"SELECT t - t % 3600 AS bucket, {_SEVERITIES} FROM requests GROUP BY 1")(S.timeline)
 R("heatmap", "requests", sql=f"SELECT CAST((t // {DAY} + 3) % 7 AS INT) AS weekday, CAST(t % {DAY} // 3600 AS INT) AS hour, count(*) AS requests FROM requests WHERE t >= {NOW - 7 * DAY} AND t < {NOW} GROUP BY 1, 2")(lambda r: S.heatmap(r, NOW))
 R("previous_window", "requests", sql=f"SELECT count(*) AS requests, count(DISTINCT ip) AS sources FROM requests WHERE t >= {NOW - 14 * DAY} AND t < {NOW - 7 * DAY}")(lambda r: S.previous_window(r, 7 * DAY, NOW))
-R("families", "requests", sql="SELECT family, count(*) AS requests FROM (SELECT id, label AS family FROM requests UNION SELECT id, 'm' FROM requests) GROUP BY family")(
-    lambda r: S.families(r.withColumn("labels", F.array("label", F.concat(F.lit("m-"), "method"))), "labels")
+R("owasp", "requests", sql="SELECT tag, count(*) AS requests FROM (SELECT id, concat('A0', severity, ':2021') AS tag FROM requests UNION SELECT id, 'OAT-018' FROM requests WHERE method = 'POST') GROUP BY tag")(
+    lambda r: S.owasp(r.withColumn("owasp", F.array_compact(F.array(F.concat(F.lit("A0"), "severity", F.lit(":2021")), F.when(F.col("method") == "POST", "OAT-018"), F.concat(F.lit("A0"), "severity", F.lit(":2021"))))))
 )
-R("owasp", "requests", sql="SELECT concat('A', severity) AS family, count(*) AS requests FROM requests GROUP BY severity")(lambda r: S.families(r.withColumn("owasp", F.array(F.concat(F.lit("A"), "severity"))), "owasp"))
 R("countries_map", "requests", "sources", sql="SELECT country, n AS sources, max(n) OVER () AS most FROM (SELECT country, count(DISTINCT ip) AS n FROM requests JOIN sources USING (ip) GROUP BY country)")(S.countries_map)
 R("asn_top", "requests", "sources", sql="SELECT asn, count(DISTINCT ip) AS sources, max(asn_org) AS org FROM requests JOIN sources USING (ip) GROUP BY asn ORDER BY sources DESC, asn LIMIT 15")(S.asn_top)
 R("open_ports", "scans", "ports", sql="SELECT port, proto, count(DISTINCT ip) AS sources FROM ports JOIN scans ON uid = scan_uid WHERE state = 'open' GROUP BY port, proto HAVING count(DISTINCT ip) >= 3")(S.open_ports)
@@ -44,8 +44,23 @@ R("agent_share", "requests", "members", sql=f"""SELECT t - t % {DAY} AS bucket,
   count(DISTINCT CASE WHEN label IN {AGENTS} THEN campaign END) AS agent_campaigns FROM requests LEFT JOIN members USING (ip) GROUP BY ROLLUP (1)""".replace("ROLLUP (1)", f"ROLLUP (t - t % {DAY})"))(S.agent_share)
 R("campaign_tile", "members", "sources", sql="SELECT * FROM (SELECT count(*) AS campaigns, CAST(sum(n) AS BIGINT) AS members, max(n) AS largest FROM (SELECT campaign, count(*) AS n FROM members GROUP BY campaign)), (SELECT count(DISTINCT asn) AS asns, count(DISTINCT country) AS countries FROM members JOIN sources USING (ip))")(S.campaign_tile)
 R("agent_sources", "requests", sql=f"SELECT count(DISTINCT ip) AS sources FROM requests WHERE label IN {AGENTS}")(S.agent_sources)
-R("decoy_sessions", "requests", sql="SELECT ja4, count(DISTINCT ip) AS sources, min(t) AS first, max(t) AS last, count(*) AS steps, string_agg(DISTINCT label, ',' ORDER BY label) AS tools FROM requests GROUP BY ja4")(lambda r: S.decoy_sessions(r, "ja4"))
-R("mcp_funnel", "requests", sql="SELECT count(*) AS sessions, count(*) FILTER (a) AS to_view, count(*) FILTER (a AND b) AS to_click, count(*) FILTER (a AND b AND c) AS to_purchase FROM (SELECT ip, bool_or(label = 'view') AS a, bool_or(label = 'click') AS b, bool_or(label = 'purchase') AS c FROM requests GROUP BY ip)")(lambda r: S.funnel(r, "ip", ["view", "click", "purchase"]))
+#: Values that failed requests are served too, so that a session's value leads on to others.
+_SERVED = "sv AS (SELECT request_id, value_hash, kind FROM canaries UNION ALL SELECT id, (k * 7 + 1) % 100, 'c1' FROM requests WHERE label = 'error' AND id % 5 = 0)"
+_SESSIONS = _SERVED + ", st AS (SELECT DISTINCT value_hash AS session, request_id FROM sv WHERE kind = 'c0'), ca AS (SELECT DISTINCT value_hash AS session, request_id FROM tokens WHERE value_hash IN (SELECT session FROM st))"
+
+
+def served(c, r):
+    more = r.where("label = 'error' AND id % 5 = 0").select(F.col("id").alias("request_id"), ((F.col("k") * 7 + 1) % 100).alias("value_hash"), F.lit("c1").alias("kind"))
+    return c.select("request_id", "value_hash", "kind").unionByName(more)
+
+
+R("decoy_sessions", "requests", "canaries", "tokens", sql=f"""WITH {_SESSIONS} SELECT session, count(DISTINCT ip) AS sources, min(t) AS first, max(t) AS last, count(*) AS steps, coalesce(string_agg(DISTINCT 't' || severity, ',' ORDER BY 't' || severity), '') AS tools
+  FROM (SELECT * FROM st UNION SELECT * FROM ca) x JOIN requests r ON r.id = x.request_id GROUP BY session""")(lambda r, c, t: S.decoy_sessions(r.withColumn("tool", F.concat(F.lit("t"), "severity")), served(c, r), t, "c0"))
+R("mcp_funnel", "requests", "canaries", "tokens", sql=f"""WITH {_SESSIONS}, an AS (SELECT session, severity FROM ca JOIN requests r ON r.id = ca.request_id),
+  us AS (SELECT DISTINCT session FROM ca JOIN sv ON sv.request_id = ca.request_id AND sv.kind <> 'c0' JOIN tokens t ON t.value_hash = sv.value_hash AND t.request_id <> ca.request_id)
+  SELECT (SELECT count(DISTINCT session) FROM st) AS sessions, (SELECT count(DISTINCT session) FROM an WHERE severity = 1) AS listed, (SELECT count(DISTINCT session) FROM an WHERE severity = 2) AS called, (SELECT count(*) FROM us) AS reused""")(
+    lambda r, c, t: S.mcp_funnel(r.withColumn("answer", F.col("severity").cast("string")), served(c, r), t, "c0", "1", "2")
+)
 R("llm_usage", "requests", sql="SELECT k AS model, count(*) AS calls, count(DISTINCT ip) AS sources FROM requests GROUP BY k HAVING count(DISTINCT ip) >= 2")(lambda r: S.model_usage(r, "k"))
 R("decoy_tiles", "requests", sql="SELECT status, method, count(*) AS requests FROM requests GROUP BY status, method HAVING count(*) >= 5")(S.decoy_tiles)
 R("network_rollup", "requests", "sources", sql="""WITH r AS (SELECT requests.*, asn FROM requests JOIN sources USING (ip)), l AS (SELECT asn, label, count(*) AS n FROM r GROUP BY asn, label QUALIFY row_number() OVER (PARTITION BY asn ORDER BY count(*) DESC, label) <= 8)
@@ -56,6 +71,11 @@ R("link_item", "sightings", "sources", sql="SELECT value, ip, count(*) AS sighti
 R("campaign_index", "members", "sources", "requests", sql=f"SELECT campaign, count(DISTINCT ip) AS size, count(DISTINCT country) AS countries, count(DISTINCT asn) AS asns, coalesce(bool_or(label IN {AGENTS}), false) AS agent FROM members LEFT JOIN sources USING (ip) LEFT JOIN requests USING (ip) GROUP BY campaign")(S.campaign_index)
 R("campaign_calendar", "members", "requests", sql=f"SELECT campaign, t // {DAY} AS day, count(*) AS requests FROM requests JOIN members USING (ip) WHERE t >= {NOW - 182 * DAY} GROUP BY 1, 2")(lambda m, r: S.campaign_calendar(m, r, NOW))
 R("campaign_shapes", "members", "requests", sql="SELECT campaign, path, count(DISTINCT ip) AS members FROM requests JOIN members USING (ip) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY count(DISTINCT ip) DESC, path) <= 10")(S.campaign_shapes)
+_RUN = "(SELECT ip, t, concat('cmd', k % 6) AS cmd FROM requests WHERE label = 'click')"
+R("campaign_commands", "members", "requests", sql=f"SELECT campaign, cmd, count(*) AS runs, count(DISTINCT ip) AS sources, max(t) AS last_seen FROM {_RUN} JOIN members USING (ip) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY count(*) DESC, max(t) DESC, cmd) <= 4")(
+    lambda m, r: S.campaign_commands(m, r.withColumn("cmd", F.when(F.col("label") == "click", F.concat(F.lit("cmd"), F.col("k") % 6))), 4)
+)
+R("campaign_uploads", "members", "uploads", sql="SELECT campaign, uid, ip, t, filename, size FROM uploads JOIN members USING (ip) QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY t DESC, uid DESC) <= 20")(S.campaign_uploads)
 R("agent_campaigns", "members", "requests", sql=f"SELECT DISTINCT campaign FROM members JOIN requests USING (ip) WHERE label IN {AGENTS}")(S.agent_campaigns)
 R("source_overview", "requests", sql=f"""SELECT ip, count(*) FILTER (t >= {NOW - 7 * DAY}) AS last_7, count(*) FILTER (t >= {NOW - 182 * DAY}) AS last_182, count(DISTINCT t // {DAY}) AS days, any_value(labels) AS labels FROM requests JOIN
   (SELECT ip, string_agg(label, ',' ORDER BY n DESC, label) AS labels FROM (SELECT ip, label, count(*) AS n FROM requests GROUP BY ip, label QUALIFY row_number() OVER (PARTITION BY ip ORDER BY count(*) DESC, label) <= 3) GROUP BY ip) USING (ip) GROUP BY ip""")(lambda r: S.source_overview(r, NOW))
@@ -66,8 +86,10 @@ R("piece_rollup", "sightings", sql="SELECT value, count(DISTINCT ip) AS sources,
 _JOBS_NOW = 996_624_000
 R("queue_metrics", "jobs", sql=f"""SELECT count(*) FILTER (status = 'queued') AS backlog, count(*) FILTER (status = 'running') AS running, count(*) FILTER (queued >= {_JOBS_NOW - DAY}) AS arrived_24h, count(*) FILTER (status IN ('done', 'failed') AND finished >= {_JOBS_NOW - DAY}) AS ended_24h,
   count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (error = 'timeout') AS timeouts, avg(CASE WHEN status IN ('done', 'failed') THEN finished - started END) AS mean_s, max(CASE WHEN status = 'queued' THEN {_JOBS_NOW} - queued END) AS oldest_wait_s FROM jobs""")(lambda j: S.queue_metrics(j, _JOBS_NOW))
-R("scanner_rates", "jobs", sql="""WITH b AS (SELECT level, scanner, count(*) FILTER (status = 'done') AS ok, count(*) FILTER (status = 'failed') AS failed FROM jobs WHERE coalesce(error = 'timeout', false) = false GROUP BY 1, 2),
-  r AS (SELECT *, (ok + 4) / (ok + failed + 4)::DOUBLE AS rate FROM b) SELECT *, greatest(0.1, least(1.0, coalesce(rate / (SELECT max(o.rate) FROM r o WHERE o.level = r.level AND o.scanner <> r.scanner AND o.ok + o.failed >= 5), 1.0)))::DOUBLE AS weight FROM r""")(S.scanner_rates)
+_HOURS = 24_000  # the stand-in has few jobs a day
+R("scanner_rates", "jobs", sql=f"""WITH b AS (SELECT level, scanner, count(*) FILTER (status = 'done') AS ok, count(*) FILTER (status = 'failed' AND coalesce(error NOT IN ('timeout', 'invalid target'), true)) AS failed FROM jobs
+  WHERE status IN ('done', 'failed') AND finished >= {_JOBS_NOW} - {_JOBS_NOW % 3600} - {_HOURS} * 3600 AND finished < {_JOBS_NOW - _JOBS_NOW % 3600} GROUP BY 1, 2),
+  r AS (SELECT *, (ok + 4) / (ok + failed + 4)::DOUBLE AS rate FROM b) SELECT *, greatest(0.1, least(1.0, coalesce(rate / (SELECT max(o.rate) FROM r o WHERE o.level = r.level AND o.scanner <> r.scanner AND o.ok + o.failed >= 5), 1.0)))::DOUBLE AS weight FROM r""")(lambda j: S.scanner_rates(j, _JOBS_NOW, _HOURS))
 R("level_estimates", "jobs", sql="SELECT level, count(*) AS n, greatest(1.0, least(120.0, CASE WHEN count(*) >= 5 THEN avg((finished - started) / 60.0::DOUBLE) ELSE 10.0 END))::DOUBLE AS minutes FROM jobs WHERE status = 'done' GROUP BY level")(S.level_estimates)
 R("scanner_capacity", "jobs", sql="SELECT scanner, count(*) FILTER (status = 'running') AS running, 600 AS slots, greatest(0, 600 - count(*) FILTER (status = 'running')) AS free FROM jobs GROUP BY scanner")(lambda j: S.scanner_capacity(j, 600))
 R("granted_sales", "scans", "jobs", sql="SELECT s.ip, s.level, min(s.t) AS first_t, count(*) AS sales FROM scans s JOIN jobs j USING (uid) WHERE substr(s.origin, 2) <> substr(j.scanner, 2) GROUP BY s.ip, s.level")(
@@ -75,7 +97,7 @@ R("granted_sales", "scans", "jobs", sql="SELECT s.ip, s.level, min(s.t) AS first
 )
 _SPREAD = "SELECT good, hour, min(price_mc) AS low, quantile_disc(price_mc, 0.5) AS median, max(price_mc) AS high FROM prices GROUP BY good, hour"
 R("price_spread", "prices", sql=_SPREAD)(S.price_spread)
-R("price_series", "prices", sql=f"SELECT * FROM ({_SPREAD}) WHERE hour > 11000 AND hour <= 11008")(lambda p: S.price_spread(p.where("hour > 11000 AND hour <= 11008")))
+R("price_series", "prices", sql=_SPREAD)(lambda p: S.price_series(p, 12_000, 12_000))
 R("price_change", "prices", sql=f"SELECT good, arg_min(median, hour) AS first, arg_max(median, hour) AS last, 100.0::DOUBLE * (arg_max(median, hour) - arg_min(median, hour)) / arg_min(median, hour) AS percent FROM ({_SPREAD}) WHERE hour > 10000 AND hour <= 11000 GROUP BY good")(lambda p: S.price_change(p, 11000, 1000))
 _UP = """WITH n AS (SELECT DISTINCT reporter, hour, member FROM reports), c AS (SELECT hour, count(DISTINCT reporter) AS reporters FROM reports GROUP BY hour), v AS (SELECT hour, member, count(*) AS votes FROM n WHERE reporter <> member GROUP BY 1, 2),
   u AS (SELECT v.member, v.hour FROM v JOIN c USING (hour) WHERE 2 * votes > reporters - (SELECT count(*) FROM (SELECT DISTINCT reporter, hour FROM reports) o WHERE o.hour = v.hour AND o.reporter = v.member)), up AS (SELECT member, hour // 24 AS day, count(*) AS up_hours FROM u GROUP BY 1, 2) """
@@ -85,12 +107,28 @@ R("pool_split", "reports", sql="""WITH d AS (SELECT DISTINCT reporter AS member,
     lambda r: S.pool_split(r.select(F.col("reporter").alias("member"), F.floor(F.col("hour") / 24).alias("day")).distinct(), 1000)
 )
 R("quorum_tally", "answers", sql="SELECT question, value, count(DISTINCT node) AS votes, any_value(answered) AS answered, 2 * count(DISTINCT node) > any_value(answered) AS agreed FROM answers JOIN (SELECT question, count(DISTINCT node) AS answered FROM answers GROUP BY question) USING (question) GROUP BY question, value")(S.quorum_tally)
-_AUDIT = """WITH f AS (SELECT * FROM scans QUALIFY row_number() OVER (PARTITION BY ip ORDER BY t, uid) <= 2), g AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY t, uid) AS n FROM f), p AS (SELECT g.ip, g.n, list_distinct(coalesce(list(port) FILTER (port IS NOT NULL), [])) AS ports FROM g LEFT JOIN (SELECT * FROM ports WHERE state = 'open') q ON q.scan_uid = g.uid GROUP BY 1, 2),
-  w AS (SELECT ip, any_value(ports) FILTER (n = 1) AS a, any_value(ports) FILTER (n = 2) AS b FROM p GROUP BY ip), v AS (SELECT ip, CASE WHEN b IS NULL OR len(list_distinct(list_concat(a, b))) = 0 THEN 'inconclusive' WHEN 2 * len(list_intersect(a, b)) >= len(list_distinct(list_concat(a, b))) THEN 'agrees' ELSE 'differs' END AS verdict FROM w) """
-R("audit_compare", "scans", "ports", sql=_AUDIT + "SELECT * FROM v")(S.audit_compare)
-R("audit_counts", "scans", "ports", sql=_AUDIT + "SELECT verdict, count(*) AS sources FROM v GROUP BY verdict")(lambda s, p: S.audit_compare(s, p).groupBy("verdict").agg(S.count_().alias("sources")))
+_PAIRS = "pr AS (SELECT max(uid) FILTER (n = 2) AS audit, max(uid) FILTER (n = 1) AS original FROM (SELECT ip, uid, row_number() OVER (PARTITION BY ip ORDER BY t, uid) AS n FROM scans) GROUP BY ip HAVING max(n) >= 2)"
+_AUDIT = f"""WITH {_PAIRS}, op AS (SELECT DISTINCT scan_uid, port FROM ports WHERE state = 'open'), nn AS (SELECT scan_uid, count(*) AS n FROM op GROUP BY 1), ik AS (SELECT DISTINCT h.scan_uid, h.port, kind, fingerprint FROM host_keys h JOIN op ON op.scan_uid = h.scan_uid AND op.port = h.port),
+  cm AS (SELECT audit, original, count(*) AS c FROM pr JOIN op x ON x.scan_uid = audit JOIN op y ON y.scan_uid = original AND y.port = x.port GROUP BY 1, 2), sk AS (SELECT DISTINCT audit, original FROM pr JOIN ik x ON x.scan_uid = audit JOIN ik y ON y.scan_uid = original AND y.port = x.port AND y.kind = x.kind AND y.fingerprint = x.fingerprint),
+  al AS (SELECT pr.*, coalesce(a.n, 0) AS a, coalesce(o.n, 0) AS o, coalesce(c, 0) AS c, sk.audit IS NOT NULL AS s FROM pr LEFT JOIN nn a ON a.scan_uid = audit LEFT JOIN nn o ON o.scan_uid = original LEFT JOIN cm USING (audit, original) LEFT JOIN sk USING (audit, original)),
+  v AS (SELECT audit, original, CASE WHEN a = 0 THEN 'inconclusive' WHEN s AND o <= 2 * a OR 2 * c >= a AND 2 * c >= o THEN 'agrees' ELSE 'differs' END AS verdict FROM al) """
+
+
+def audits(scans):
+    """Each source's second scan checks its first."""
+    first = scans.withColumn("n", F.row_number().over(Window.partitionBy("ip").orderBy("t", "uid"))).where("n <= 2")
+    return first.groupBy("ip").agg(F.max(F.when(F.col("n") == 2, F.col("uid"))).alias("audit"), F.max(F.when(F.col("n") == 1, F.col("uid"))).alias("original")).where("audit IS NOT NULL").select("audit", "original")
+
+
+R("audit_compare", "scans", "ports", "host_keys", sql=_AUDIT + "SELECT * FROM v")(lambda s, p, k: S.audit_compare(audits(s), p, k))
+R("audit_counts", "scans", "ports", "host_keys", sql=_AUDIT + """SELECT o.origin AS scanner, count(*) AS conclusive, count(*) FILTER (verdict = 'differs') AS differing, count(*) >= 5 AND 2 * count(*) FILTER (verdict = 'differs') >= count(*) AS fails
+  FROM v JOIN scans a ON a.uid = audit JOIN scans o ON o.uid = original WHERE a.origin <> o.origin AND verdict <> 'inconclusive' GROUP BY 1""")(lambda s, p, k: S.audit_counts(S.audit_compare(audits(s), p, k), s))
 R("volume", "requests", sql="SELECT CAST(sum(unrecorded + 1) AS BIGINT) AS weighted, count(*) AS rows FROM requests")(S.volume)
-R("node_contributions", "requests", "scans", "intel_log", sql="SELECT origin, coalesce(requests, 0) AS requests, coalesce(scans, 0) AS scans, coalesce(looked_up, 0) AS looked_up FROM (SELECT origin, count(*) AS requests FROM requests GROUP BY 1) FULL JOIN (SELECT origin, count(*) AS scans FROM scans GROUP BY 1) USING (origin) FULL JOIN (SELECT origin, count(DISTINCT ip) AS looked_up FROM intel_log GROUP BY 1) USING (origin)")(S.node_contributions)
+R("node_contributions", "requests", "uploads", "scans", "intel_log", sql="""SELECT origin, coalesce(a, 0) AS requests, coalesce(b, 0) AS skipped, coalesce(c, 0) AS fingerprints, coalesce(d, 0) AS claims, coalesce(e, 0) AS scans, coalesce(f, 0) AS looked_up FROM (SELECT origin, count(*) AS a FROM requests GROUP BY 1)
+  FULL JOIN (SELECT origin, CAST(sum(n + h % 4) AS BIGINT) AS b FROM (SELECT origin, ip, t // 3600 AS h, count(*) AS n FROM requests GROUP BY 1, 2, 3) GROUP BY 1) USING (origin) FULL JOIN (SELECT origin, count(DISTINCT ja4) AS c FROM requests GROUP BY 1) USING (origin)
+  FULL JOIN (SELECT origin, count(*) AS d FROM uploads GROUP BY 1) USING (origin) FULL JOIN (SELECT origin, count(*) AS e FROM scans GROUP BY 1) USING (origin) FULL JOIN (SELECT origin, count(DISTINCT ip) AS f FROM intel_log GROUP BY 1) USING (origin)""")(
+    lambda r, u, s, i: S.node_contributions(r, r.groupBy("origin", "ip", F.floor(F.col("t") / 3600).alias("h")).agg(F.collect_list("id").alias("rows")).withColumn("dropped", F.col("h") % 4), r.select("origin", "ja4").distinct(), u, s, i)
+)
 R("provider_volume", "intel_log", sql="SELECT provider, count(*) AS lookups FROM intel_log GROUP BY provider")(S.provider_volume)
 R("spot_check", "intel_log", sql="""WITH r AS (SELECT * FROM intel_log WHERE CAST('0x' || substr(sha256(concat('salt', ip)), 1, 4) AS INT) % 10 = 0) SELECT origin, count(*) AS checked, count(*) FILTER (data <> newest) AS disputed FROM r JOIN (SELECT ip, arg_max(data, hlc) AS newest FROM r GROUP BY ip) USING (ip) GROUP BY origin""")(S.spot_check)
 R("host_key_sharing", "host_keys", sql="WITH o AS (SELECT DISTINCT ip, kind, fingerprint FROM host_keys) SELECT *, count(*) OVER (PARTITION BY kind, fingerprint) - 1 AS others FROM o")(S.host_key_sharing)

@@ -17,24 +17,44 @@ from harrow.streaming import streams as T
 R = register
 
 
-def run_stream(spark, sf_dir, build, role: str = "requests", mode: str = "append"):
-    """Write the role to the shared folder, stream it from there, and read what the stream wrote."""
+#: The stand-in's rows come in three deliveries; ROWS_LATE of the last day of each come with the next one, and ROWS_AGAIN come twice.
+DELIVERIES, ROWS_LATE, ROWS_AGAIN = 3, "id % 10 = 0", "id % 7 = 0"
+
+
+def deliveries(requests):
+    """Requests in three deliveries by time, with late and repeated rows; then a tick of the clock, a row without a source, that lets all times pass."""
+    span = requests.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    step = (span["high"] - span["low"]) // DELIVERIES + 1
+    own = F.floor((F.col("t") - span["low"]) / step)
+    last_day = F.pmod(F.col("t") - span["low"], F.lit(step)) >= step - DAY
+    late = own + F.when(F.expr(ROWS_LATE) & last_day, 1).otherwise(0)
+    again = F.when(F.expr(ROWS_AGAIN) & last_day, F.array(late, F.least(late + 1, F.lit(DELIVERIES)))).otherwise(F.array(late))
+    rows = requests.withColumn("ts", F.timestamp_seconds("t")).withColumn("_at", F.explode(again))
+    for k in range(DELIVERIES + 1):
+        yield rows.where(F.col("_at") == k).drop("_at")
+    tick = requests.sparkSession.range(1).select(F.lit(span["high"] + 60 * DAY).alias("t")).withColumn("ts", F.timestamp_seconds("t"))
+    yield requests.limit(0).withColumn("ts", F.timestamp_seconds("t")).unionByName(tick, allowMissingColumns=True)
+
+
+def run_stream(spark, sf_dir, build, mode: str = "append", keys: list[str] | None = None, change=lambda r: r):
+    """Stream the requests' deliveries, one run on the same state after each, and read what the streams wrote."""
     root = f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    rows = view(spark, sf_dir, role).withColumn("ts", F.timestamp_seconds("t"))
-    rows.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    T.run_to_table(build(stream), f"{root}/out", f"{root}/state", mode)
-    return spark.read.parquet(f"{root}/out")
+    requests = change(view(spark, sf_dir, "requests"))
+    schema = requests.limit(0).withColumn("ts", F.timestamp_seconds("t")).schema
+    for rows in deliveries(requests):
+        rows.write.mode("append").parquet(f"{root}/in")
+        T.run_to_table(build(spark.readStream.schema(schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/state", mode)
+    return spark.read.parquet(f"{root}/out") if mode == "append" else T.newest(spark, f"{root}/out", keys)
 
 
 @register_raw("stream_rollups", sql="SELECT ip, count(*) AS requests, max(severity) AS max_severity, min(t) AS first_seen, max(t) AS last_seen FROM requests GROUP BY ip")
 def _rollups(spark, sf_dir):
-    return run_stream(spark, sf_dir, T.stream_rollups, mode="complete")
+    return run_stream(spark, sf_dir, T.stream_rollups, "update", ["ip"])
 
 
 @register_raw("stream_timeline", sql="SELECT t - t % 3600 AS bucket, count(*) AS requests FROM requests GROUP BY 1")
 def _timeline(spark, sf_dir):
-    return run_stream(spark, sf_dir, T.stream_timeline, mode="complete")
+    return run_stream(spark, sf_dir, T.stream_timeline, "update", ["bucket"])
 
 
 @register_raw("stream_history", sql="SELECT id, count(*) OVER (PARTITION BY ip ORDER BY t RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS requests_1h FROM requests")
@@ -60,12 +80,12 @@ R("waves", "requests", sql=_WAVES)(lambda r: T.waves(r.withColumn("shape", F.col
 @register_raw("stream_waves", sql=_WAVES)
 def _stream_waves(spark, sf_dir):
     known = materialize(_known(view(spark, sf_dir, "requests")), "known-shapes")
-    return run_stream(spark, sf_dir, lambda s: T.stream_waves(s.withColumn("shape", F.col("path")), known, DAY, 2)).select("shape", "t")
+    return run_stream(spark, sf_dir, lambda s: T.stream_waves(s, known, DAY, 2), change=lambda r: r.withColumn("shape", F.col("path"))).select("shape", "t")
 
 
-@register_raw("stream_release", sql=f"SELECT id FROM requests WHERE t + 3600 <= {NOW - DAY}")
+@register_raw("stream_release", sql="SELECT id, t + 3600 + CAST('0x' || substr(md5(CAST(id AS STRING)), 1, 7) AS BIGINT) % 601 AS public_at FROM requests")
 def _release(spark, sf_dir):
-    return run_stream(spark, sf_dir, lambda s: s.where(F.col("t") + 3600 <= NOW - DAY).select("id"))
+    return run_stream(spark, sf_dir, lambda s: T.stream_release(s, 3600, 600))
 
 
 @register_raw("stream_records", sql="SELECT kind, count(*) AS records, count(DISTINCT ip) AS sources FROM changes GROUP BY kind")
@@ -164,16 +184,29 @@ def _dossiers(spark, sf_dir):
     return back.select("ip", "country", F.coalesce("requests_total", F.lit(0)).alias("requests_total"), F.coalesce(F.size("requests"), F.lit(0)).alias("shown"))
 
 
-@register_raw("ingest_scan_reports", sql="SELECT ip, port, state FROM ports JOIN scans ON uid = scan_uid WHERE scan_uid % 4 = 1")
+_FACT = "SELECT ip, 'http.title' AS what, port, concat('title ', product) AS value FROM ports JOIN scans ON uid = scan_uid WHERE state = 'open' AND service = 'svc1'"
+_HOST_KEY = "SELECT ip, 'ssh-hostkey', port, concat('SHA256:', rtrim(to_base64(unhex(sha256(concat('key ', service, ' ', port)))), '=')) FROM ports JOIN scans ON uid = scan_uid WHERE state = 'open' AND service = 'svc2'"
+
+
+@register_raw("ingest_scan_reports", sql=f"SELECT ip, state AS what, port, concat(service, '/', product) AS value FROM ports JOIN scans ON uid = scan_uid UNION ALL {_FACT} UNION ALL {_HOST_KEY}")
 def _reports(spark, sf_dir):
-    """Scan reports are written as XML from the stand-ins and read back."""
+    """Scan reports are written as XML from the stand-ins and read back: ports, facts and host keys."""
     scans, ports = view(spark, sf_dir, "scans"), view(spark, sf_dir, "ports")
-    port = F.struct(F.col("proto").alias("_protocol"), F.col("port").alias("_portid"), F.struct(F.col("state").alias("_state")).alias("state"))
+    element = lambda key, value: F.struct(F.lit(key).alias("_key"), value.alias("_VALUE"))
+    opened = F.col("state") == "open"
+    blob = F.base64(F.concat_ws(" ", F.lit("key"), "service", "port").cast("binary"))
+    title = F.struct(F.lit("http-title").alias("_id"), F.array(element("title", F.concat(F.lit("title "), "product"))).alias("elem"), F.lit(None).cast("array<struct<elem:array<struct<_key:string,_VALUE:string>>>>").alias("table"))
+    key = F.struct(F.lit("ssh-hostkey").alias("_id"), F.lit(None).cast("array<struct<_key:string,_VALUE:string>>").alias("elem"), F.array(F.struct(F.array(element("key", blob), element("type", F.lit("ssh-ed25519"))).alias("elem"))).alias("table"))
+    script = F.when(opened & (F.col("service") == "svc1"), F.array(title)).when(opened & (F.col("service") == "svc2"), F.array(key))
+    port = F.struct(F.col("proto").alias("_protocol"), F.col("port").alias("_portid"), F.struct(F.col("state").alias("_state")).alias("state"), F.struct(F.col("service").alias("_name"), F.col("product").alias("_product")).alias("service"), script.alias("script"))
     hosts = ports.groupBy("scan_uid").agg(F.collect_list(port).alias("port")).join(scans.select(F.col("uid").alias("scan_uid"), "ip", "t"), "scan_uid")
     rows = hosts.select(F.col("scan_uid").alias("_starttime"), F.array(F.struct(F.col("ip").cast("string").alias("_addr"), F.lit("ipv4").alias("_addrtype"))).alias("address"), F.struct("port").alias("ports"))
     rows.write.format("xml").option("rootTag", "nmaprun").option("rowTag", "host").save(path := _target(spark, "xml"))
     tables = readers.ingest_scan_reports(spark, path)
-    return tables["ports"].join(tables["scans"].select(F.col("uid").alias("scan_uid"), "ip"), "scan_uid").select(F.col("ip").cast("long").alias("ip"), "port", "state")
+    listed = tables["ports"].join(tables["scans"].select(F.col("uid").alias("scan_uid"), "ip"), "scan_uid").select("ip", F.col("state").alias("what"), "port", F.concat_ws("/", "service", "product").alias("value"))
+    facts = tables["scan_facts"].select("ip", F.col("kind").alias("what"), "port", "value")
+    keys = tables["host_keys"].select("ip", F.col("kind").alias("what"), "port", F.col("fingerprint").alias("value"))
+    return listed.unionByName(facts).unionByName(keys).withColumn("ip", F.col("ip").cast("long"))
 
 
 @register_raw("load_reference_feeds", sql="SELECT DISTINCT concat('10.0.', ip // 250, '.', ip % 250) AS ip FROM sources WHERE is_exit")
@@ -181,3 +214,22 @@ def _feeds(spark, sf_dir):
     rows = view(spark, sf_dir, "sources").where("is_exit").select(F.concat(F.lit("ExitAddress 10.0."), F.floor(F.col("ip") / 250), F.lit("."), F.col("ip") % 250, F.lit(" 2024-01-01 00:00:00")).alias("value"))
     rows.write.text(path := _target(spark, "exits"))
     return readers.read_exit_list(spark, path)
+
+
+@register_raw("read_asn_list", sql="SELECT DISTINCT asn * 1000 + ip AS asn FROM sources")
+def _asn_list(spark, sf_dir):
+    rows = view(spark, sf_dir, "sources").select((F.col("asn") * 1000 + F.col("ip")).alias("n")).select(F.explode(F.array(F.concat(F.lit("AS"), "n", F.lit(" # hosting")), F.col("n").cast("string"), F.lit("# a comment"))).alias("value"))
+    rows.write.text(path := _target(spark, "asns"))
+    return readers.read_asn_list(spark, path, 100)
+
+
+@register_raw("read_relays", sql="SELECT concat('relay', ip) AS nickname, CAST(ip AS STRING) AS fingerprint, is_exit, unnest(CASE WHEN is_exit THEN [concat('10.0.0.', ip % 250), concat('2001:db8::', ip % 100), '192.0.2.1'] ELSE [concat('10.0.0.', ip % 250), concat('2001:db8::', ip % 100)] END) AS ip FROM sources")
+def _relays(spark, sf_dir):
+    s = view(spark, sf_dir, "sources")
+    addresses = F.array(F.concat(F.lit("10.0.0."), F.col("ip") % 250, F.lit(":9001")), F.concat(F.lit("[2001:db8::"), F.col("ip") % 100, F.lit("]:443")))
+    relay = F.struct(
+        F.concat(F.lit("relay"), "ip").alias("nickname"), F.col("ip").cast("string").alias("fingerprint"), addresses.alias("or_addresses"), F.when(F.col("is_exit"), F.array(F.lit("192.0.2.1"))).alias("exit_addresses"),
+        F.when(F.col("is_exit"), F.array(F.lit("Running"), F.lit("Exit"))).otherwise(F.array(F.lit("Running"))).alias("flags"),
+    )
+    s.groupBy(F.pmod("ip", F.lit(64)).alias("part")).agg(F.collect_list(relay).alias("relays")).drop("part").write.option("maxRecordsPerFile", 1).json(path := _target(spark, "relays"))
+    return readers.read_relays(spark, path)

@@ -26,19 +26,19 @@ VIEWS = {
         concat('os', o_orderkey % 6) AS os_guess, concat('n', o_orderkey % 3) AS origin FROM orders""",
     "ports": """SELECT l_orderkey AS scan_uid, CAST(l_partkey % 200 AS INT) AS port, 'tcp' AS proto, CASE WHEN l_returnflag = 'A' THEN 'closed' ELSE 'open' END AS state,
         concat('svc', l_suppkey % 7) AS service, concat('prod', l_suppkey % 5) AS product, concat('v', l_linenumber) AS version FROM lineitem""",
-    "host_keys": """SELECT l_orderkey AS scan_uid, o_custkey AS ip, CAST(l_linenumber AS INT) AS port, CASE WHEN l_linenumber % 2 = 0 THEN 'ssh' ELSE 'tls' END AS kind,
+    "host_keys": """SELECT l_orderkey AS scan_uid, o_custkey AS ip, CAST(l_partkey % 200 AS INT) AS port, CASE WHEN l_linenumber % 2 = 0 THEN 'ssh' ELSE 'tls' END AS kind,
         concat('fp', l_partkey % 500) AS fingerprint FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "intel_log": """SELECT user_id AS ip, concat('p', event_id % 4) AS provider, concat('n', event_id % 3) AS origin, event_id AS hlc, {epoch:ts} AS t,
         concat('c', CAST(regexp_extract(props, '[0-9]+', 0) AS INT) % 10) AS data FROM events WHERE event_type = 'signup'""",
     "jobs": """SELECT o_orderkey AS uid, o_custkey AS ip, CAST(substr(o_orderpriority, 1, 1) AS INT) AS level,
         CASE WHEN o_orderkey % 6 = 0 THEN 'queued' WHEN o_orderkey % 6 = 1 THEN 'running' WHEN o_orderkey % 6 = 2 THEN 'failed' ELSE 'done' END AS status,
         {epoch:o_orderdate} AS queued, {epoch:o_orderdate} + o_orderkey % 600 AS started, {epoch:o_orderdate} + o_orderkey % 600 + 30 + o_orderkey % 1700 AS finished,
-        concat('s', o_orderkey % 5) AS scanner, CASE WHEN o_orderkey % 12 = 2 THEN 'timeout' END AS error FROM orders""",
+        concat('s', o_orderkey % 5) AS scanner, CASE WHEN o_orderkey % 12 = 2 THEN 'timeout' WHEN o_orderkey % 24 = 8 THEN 'invalid target' END AS error FROM orders""",
     "sightings": """SELECT concat(regexp_extract(props, '[0-9]+', 0), '@', CAST(floor({epoch:ts} / 600) AS BIGINT)) AS value, CASE WHEN event_id % 3 = 0 THEN 'key' ELSE 'tag' END AS kind,
         user_id AS ip, {epoch:ts} AS t, event_id AS source_uid FROM events""",
     "canaries": """SELECT event_id AS request_id, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS value_hash, concat('c', event_id % 3) AS kind, user_id AS ip, {epoch:ts} AS t FROM events WHERE event_type = 'signup'""",
     "tokens": """SELECT event_id AS request_id, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS value_hash, CASE WHEN event_id % 2 = 0 THEN 'body' ELSE 'path' END AS place, user_id AS ip, {epoch:ts} AS t FROM events WHERE event_type = 'error'""",
-    "uploads": """SELECT event_id AS uid, user_id AS ip, concat('n', event_id % 1) AS origin, {epoch:ts} AS t, concat(regexp_extract(props, '[0-9]+', 0)) AS filename,
+    "uploads": """SELECT event_id AS uid, event_id AS request_id, user_id AS ip, concat('n', event_id % 3) AS origin, {epoch:ts} AS t, concat(regexp_extract(props, '[0-9]+', 0)) AS filename,
         concat('/p/', regexp_extract(props, '[0-9]+', 0)) AS answered_path, event_id % 2 = 0 AS path_is_prefix, CAST(floor(value) AS BIGINT) AS size, concat('t', event_id % 4) AS sniffed_type FROM events WHERE event_type = 'purchase'""",
     "answers": """SELECT l_orderkey AS question, l_suppkey AS node, l_returnflag AS value FROM lineitem""",
     "prices": """SELECT CAST(floor({epoch:o_orderdate} / 86400) AS BIGINT) AS hour, o_orderpriority AS good, concat('n', o_custkey % 7) AS node, CAST(round(o_totalprice * 1000) AS BIGINT) AS price_mc FROM orders""",

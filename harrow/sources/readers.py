@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.schemas import schema
@@ -20,20 +20,69 @@ def light_rows(batches: DataFrame) -> DataFrame:
     return each.select(F.concat("uid", F.lit("#"), "n").alias("uid"), "ip", "n", "row.*", drops.cast("long").alias("unrecorded"))
 
 
+#: Fact kinds by script and element key (fixed values).
+FACTS = {
+    "http-title": {"title": "http.title", "redirect_url": "http.redirect"},
+    "rdp-ntlm-info": {"NetBIOS_Computer_Name": "ntlm.netbios_computer", "NetBIOS_Domain_Name": "ntlm.netbios_domain", "DNS_Computer_Name": "ntlm.dns_computer", "DNS_Domain_Name": "ntlm.dns_domain", "DNS_Tree_Name": "ntlm.dns_tree", "Product_Version": "ntlm.product_version"},
+    "dns-nsid": {"bind.version": "dns.nsid", "id.server": "dns.nsid"},
+    "smb-os-discovery": {"server": "smb.server", "domain": "smb.domain", "fqdn": "smb.fqdn", "domain_dns": "smb.domain_dns", "forest_dns": "smb.forest_dns", "workgroup": "smb.workgroup", "os": "smb.os", "lanmanager": "smb.lanmanager"},
+}
+_ELEM = "elem array<struct<_key:string,_VALUE:string>>"
+_SCRIPT = f"script array<struct<_id:string,_output:string,{_ELEM},table:array<struct<_key:string,{_ELEM},table:array<struct<_key:string,{_ELEM}>>>>>>".replace("elem array", "elem:array")
+REPORT = (
+    "_starttime bigint, address array<struct<_addr:string,_addrtype:string>>, os struct<osmatch:array<struct<_name:string,_accuracy:int>>>, "
+    f"ports struct<port:array<struct<_protocol:string,_portid:int,state:struct<_state:string>,service:struct<_name:string,_product:string,_version:string,_devicetype:string>,{_SCRIPT.replace('script array', 'script:array')}>>>, "
+    f"hostscript struct<{_SCRIPT.replace('script array', 'script:array')}>"
+)
+
+
 def ingest_scan_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Scan report XML files to ``scans`` and ``ports``; the built-in XML source splits large files by host."""
-    shape = (
-        "_starttime bigint, address array<struct<_addr:string,_addrtype:string>>, os struct<osmatch:array<struct<_name:string,_accuracy:int>>>, "
-        "ports struct<port:array<struct<_protocol:string,_portid:int,state:struct<_state:string>,service:struct<_name:string,_product:string,_version:string,_devicetype:string>>>>"
-    )
-    hosts = spark.read.format("xml").option("rowTag", "host").schema(shape).load(path)
+    """Scan report XML files to ``scans``, ``ports``, ``host_keys`` and ``scan_facts``; the built-in XML source splits large files by host."""
+    hosts = spark.read.format("xml").option("rowTag", "host").schema(REPORT).load(path)
     ip = F.get(F.filter("address", lambda a: a["_addrtype"] != "mac"), F.lit(0))["_addr"]
-    base = hosts.select(F.sha2(F.concat_ws("|", ip, F.col("_starttime")), 256).alias("uid"), ip.alias("ip"), F.timestamp_seconds("_starttime").alias("started_at"), F.get("os.osmatch", F.lit(0))["_name"].alias("os_guess"), "ports.port")
-    ports = base.select(F.col("uid").alias("scan_uid"), F.explode("port").alias("p")).select(
+    base = hosts.select(F.sha2(F.concat_ws("|", ip, F.col("_starttime")), 256).alias("uid"), ip.alias("ip"), F.timestamp_seconds("_starttime").alias("started_at"), F.get("os.osmatch", F.lit(0))["_name"].alias("os_guess"), "ports.port", F.col("hostscript.script").alias("script"))
+    at_port = base.select(F.col("uid").alias("scan_uid"), "ip", F.explode("port").alias("p"))
+    ports = at_port.select(
         "scan_uid", F.col("p._portid").alias("port"), F.col("p._protocol").alias("proto"), F.col("p.state._state").alias("state"),
         F.col("p.service._name").alias("service"), F.col("p.service._product").alias("product"), F.col("p.service._version").alias("version"), F.col("p.service._devicetype").alias("devicetype"),
     )
-    return {"scans": base.drop("port"), "ports": ports}
+    at_host = base.select(F.col("uid").alias("scan_uid"), "ip", F.lit(None).cast("int").alias("port"), F.explode("script").alias("s"))
+    scripts = at_port.select("scan_uid", "ip", F.col("p._portid").alias("port"), F.explode("p.script").alias("s")).unionByName(at_host)
+    return {"scans": base.drop("port", "script"), "ports": ports, "host_keys": host_keys_of(scripts), "scan_facts": facts_of(scripts)}
+
+
+def _element(elements: Column, key: str) -> Column:
+    return F.get(F.filter(elements, lambda e: e["_key"] == key), F.lit(0))["_VALUE"]
+
+
+def host_keys_of(scripts: DataFrame) -> DataFrame:
+    """(scan_uid, ip, port, kind, fingerprint, detail) of SSH host keys and TLS certificates: SHA-256 of the key or certificate itself."""
+    ssh = scripts.where("s._id = 'ssh-hostkey'").select("scan_uid", "ip", "port", F.explode("s.table.elem").alias("e"))
+    blob = F.try_to_binary(F.trim(_element(F.col("e"), "key")), F.lit("base64"))
+    digest = F.regexp_replace(F.base64(F.unhex(F.sha2(blob, 256))), "=+$", "")
+    keys = ssh.select("scan_uid", "ip", "port", F.lit("ssh-hostkey").alias("kind"), F.concat(F.lit("SHA256:"), digest).alias("fingerprint"), F.trim(F.concat_ws(" ", F.coalesce(_element(F.col("e"), "type"), F.lit("unknown")), _element(F.col("e"), "bits"))).alias("detail"))
+    pem = F.regexp_replace(_element(F.col("s.elem"), "pem"), r"-----[^-]*-----|\s", "")
+    der = F.try_to_binary(pem, F.lit("base64"))
+    subject = _element(F.get(F.filter("s.table", lambda t: t["_key"] == "subject"), F.lit(0))["elem"], "commonName")
+    certs = scripts.where("s._id = 'ssl-cert'").select("scan_uid", "ip", "port", F.lit("tls-cert").alias("kind"), F.sha2(der, 256).alias("fingerprint"), F.coalesce(subject, F.lit("")).alias("detail"))
+    return keys.unionByName(certs).where("fingerprint IS NOT NULL AND port IS NOT NULL")
+
+
+def facts_of(scripts: DataFrame, most: int = 256) -> DataFrame:
+    """(scan_uid, ip, port, kind, value): what the scripts of a scan say of a port (null: of the host), cut to ``most`` bytes."""
+    from harrow.functions.columns import cut_bytes
+
+    known = F.create_map(*[F.lit(x) for script, keys in FACTS.items() for key, kind in keys.items() for x in (f"{script}/{key}", kind)])
+    fact = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    keyed = F.transform("s.elem", lambda e: fact(F.try_element_at(known, F.concat(F.col("s._id"), F.lit("/"), e["_key"])), F.regexp_replace(e["_VALUE"], r"\\x00$", "")))
+    plain = F.when(F.col("s._id") == "http-server-header", F.transform(F.filter("s.elem", lambda e: e["_key"].isNull()), lambda e: fact(F.lit("http.server"), e["_VALUE"])))
+    realm = lambda t: _element(F.get(F.filter(t["table"], lambda x: x["_key"] == "params"), F.lit(0))["elem"], "realm")
+    auth = F.when(F.col("s._id") == "http-auth", F.transform("s.table", lambda t: fact(F.lit("http.auth"), F.concat(_element(t["elem"], "scheme"), F.coalesce(F.concat(F.lit(' realm="'), realm(t), F.lit('"')), F.lit(""))))))
+    socks = F.when(F.col("s._id") == "socks-auth-info", F.transform("s.table", lambda t: fact(F.lit("socks.method"), _element(t["elem"], "name"))))
+    every = F.concat(*[F.coalesce(a, none) for a in (keyed, plain, auth, socks)])
+    rows = scripts.select("scan_uid", "ip", "port", F.inline(every))
+    return rows.withColumn("value", cut_bytes(F.trim("value"), most)).where("kind IS NOT NULL AND value <> ''")
 
 
 def load_reference_feed(df: DataFrame, least: int, name: str) -> DataFrame:
@@ -64,26 +113,68 @@ def read_relays(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Keys that a rule may have, and those of which it needs one (fixed values).
-RULE_KEYS = frozenset({"label", "weight", "target", "body", "agent", "headers", "path", "methods", "veto", "owasp"})
-MATCHERS = ("target", "body", "agent", "headers", "path")
+RULE_KEYS = frozenset({"label", "weight", "target_regex", "body_regex", "ua_regex", "header_regex", "path_exact", "methods", "unless_target_regex", "owasp"})
+MATCHERS = ("target_regex", "body_regex", "ua_regex", "header_regex", "path_exact", "methods")
+#: Catalogue files in all are no larger.
+MAX_CATALOGUE_BYTES = 16 << 20
 
 
-def load_rules(folder: str) -> list[dict]:
-    """Rules of all TOML files, checked: known keys, a matcher, weight 1 to 4, a tag like A03."""
-    import re
+def _toml_files(spark: SparkSession, path: str) -> list[tuple[str, dict]]:
+    """(name, content) of the TOML files of a folder or pattern, by name. They are configuration of a bounded size."""
     import tomllib
-    from pathlib import Path
+
+    where = path if path.endswith(".toml") or "*" in path else f"{path.rstrip('/')}/*.toml"
+    files = spark.read.text(where, wholetext=True).select(F.input_file_name().alias("name"), "value")
+    if (files.agg(F.sum(F.octet_length("value"))).first()[0] or 0) > MAX_CATALOGUE_BYTES:
+        raise ValueError(f"{path}: too large for a catalogue")
+    return [(r["name"], tomllib.loads(r["value"])) for r in files.orderBy("name").collect()]
+
+
+def load_rules(spark: SparkSession, path: str) -> list[dict]:
+    """Rules of all TOML files, checked: known keys, a label, a matcher, methods that are tokens, weight 1 to 4, tags like A03:2021 or OAT-014."""
+    import re
 
     rules = []
-    for file in sorted(Path(folder).glob("*.toml")):
-        for rule in tomllib.loads(file.read_text())["rule"]:
-            bad = set(rule) - RULE_KEYS
-            if bad or not any(rule.get(m) for m in MATCHERS) or not 1 <= rule.get("weight", 0) <= 4 or not re.fullmatch(r"A\d\d", rule.get("owasp", "A00")):
-                raise ValueError(f"{file.name}: bad rule {rule.get('label')}")
+    for name, content in _toml_files(spark, path):
+        for rule in content.get("rule", []):
+            methods, tags = rule.get("methods"), rule.get("owasp", [])
+            good = (
+                set(rule) <= RULE_KEYS and rule.get("label") and any(m in rule for m in MATCHERS) and isinstance(rule.get("weight"), int) and 1 <= rule["weight"] <= 4
+                and (methods is None or methods and all(re.fullmatch(r"[A-Za-z0-9!#$%&'*+\-.^_`|~]+", m) for m in methods))
+                and all(re.fullmatch(r"A(0[1-9]|10):2021|OAT-0[0-9]{2}", t) for t in tags)
+            )
+            if not good:
+                raise ValueError(f"{name}: bad rule {rule.get('label')}")
             rules.append(rule)
     return rules
 
 
+def rules_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
+    """The catalogue as a table, one row per rule in its order."""
+    rows = [(i, r["label"], r["weight"], [m for m in MATCHERS if m in r], r.get("methods"), r.get("unless_target_regex"), r.get("owasp", [])) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "position int, label string, weight int, matchers array<string>, methods array<string>, unless_target_regex string, owasp array<string>")
+
+
+def load_devices(spark: SparkSession, path: str) -> list[dict]:
+    """Device signatures in their order: id, kind (proxy or cpe), and ports with product and service, or os_guess, or fact."""
+    devices = [d for _, content in _toml_files(spark, path) for d in content.get("device", [])]
+    for d in devices:
+        if not d.get("id") or d.get("kind") not in ("proxy", "cpe") or not any(d.get(k) for k in ("ports", "product", "service", "os_guess", "fact")):
+            raise ValueError(f"bad device signature {d.get('id')}")
+    return devices
+
+
+def load_names(spark: SparkSession, path: str) -> dict[str, list[dict]]:
+    """Name patterns (id, pattern) by list: consumer, pool, cgn, mobile, scanner."""
+    out: dict[str, list[dict]] = {}
+    for name, content in _toml_files(spark, path):
+        for kind, entries in content.items():
+            if kind not in ("consumer", "pool", "cgn", "mobile", "scanner") or not all(e.get("id") and e.get("pattern") for e in entries):
+                raise ValueError(f"{name}: bad name patterns {kind}")
+            out.setdefault(kind, []).extend(entries)
+    return out
+
+
 def stream_records(spark: SparkSession, folder: str) -> DataFrame:
     """Change records as a stream of JSON files; route them by ``kind``."""
     return spark.readStream.schema(schema("changes")).json(folder)

@@ -1,102 +1,177 @@
-"""Structured Streaming twins of batch operators. Event time is ``ts``."""
+"""Structured Streaming twins of batch operators. Event time is ``ts``, ``t`` the same in seconds.
+
+Every stream states how late rows may come (``lateness``): later ones are
+dropped, and state that no row in time can change is given up.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from harrow.operators.filters import publication
 
-def stream_rollups(requests: DataFrame) -> DataFrame:
-    """Per source: requests, severity and span (update or complete mode)."""
-    return requests.groupBy("ip").agg(F.count(F.lit(1)).alias("requests"), F.max("severity").alias("max_severity"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"))
-
-
-def stream_timeline(requests: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """Hourly counts; rows count in their own hour however late, within the watermark."""
-    return requests.withWatermark("ts", lateness).groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("requests")).select(F.unix_timestamp("window.start").alias("bucket"), "requests")
-
-
-def stream_history(requests: DataFrame) -> DataFrame:
-    """Per request: the source's requests in the hour before. State: the last hour's times."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        out = []
-        times = sorted(held + rows.t.tolist())
-        for t, i in zip(rows.t, rows.id):
-            out.append((i, sum(1 for x in times if t - 3600 < x <= t)))
-        newest = times[-1]
-        state.update(([x for x in times if x > newest - 3600],))
-        yield pd.DataFrame(out, columns=["id", "requests_1h"])
-
-    return requests.select("ip", "id", "t").groupBy("ip").applyInPandasWithState(run, "id long, requests_1h long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_sampling(requests: DataFrame, rate: float, burst: int, every: int) -> DataFrame:
-    """Token bucket per source in event time: ``record`` while tokens last, then ``sample`` one in ``every``, else ``count``."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last, over = state.get if state.exists else (float(burst), None, 0)
-        out = []
-        for i, t in pd.concat(list(batches)).sort_values(["t", "id"])[["id", "t"]].itertuples(index=False):
-            tokens = min(float(burst), tokens + (rate * max(0, t - last) if last is not None else 0.0))
-            last = t if last is None else max(last, t)
-            if tokens >= 1:
-                tokens, what = tokens - 1, "record"
-            else:
-                over += 1
-                what = "sample" if over % every == 1 % every else "count"
-            out.append((i, what))
-        state.update((tokens, int(last), int(over)))
-        yield pd.DataFrame(out, columns=["id", "decision"])
+LATENESS = "2 days"
 
-    return requests.select("ip", "id", "t").groupBy("ip").applyInPandasWithState(run, "id long, decision string", "tokens double, last long, over long", "append", GroupStateTimeout.NoTimeout)
 
-
-def stream_waves(requests: DataFrame, known: DataFrame, seconds: int, least: int) -> DataFrame:
-    """Unknown shapes that ``least`` sources asked for within ``seconds``; once per shape ever. State: newest time by source, and whether it fired."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sources, times, fired = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], False)
-        seen = dict(zip(sources, times))
-        out = []
-        for ip, t in pd.concat(list(batches)).sort_values(["t", "ip"])[["ip", "t"]].itertuples(index=False):
-            if fired:
-                break
-            seen[ip] = max(t, seen.get(ip, t))
-            seen = {s: x for s, x in seen.items() if x > t - seconds}
-            if len(seen) >= least:
-                fired = True
-                out.append((key[0], t, len(seen)))
-        if fired:
-            seen = {}
-        state.update((list(seen), [int(x) for x in seen.values()], fired))
-        yield pd.DataFrame(out, columns=["shape", "t", "sources"])
-
-    fresh = requests.select("shape", "ip", "t").join(known.select("shape"), "shape", "left_anti")
-    return fresh.groupBy("shape").applyInPandasWithState(run, "shape string, t long, sources long", "sources array<long>, times array<long>, fired boolean", "append", GroupStateTimeout.NoTimeout)
+def once(stream: DataFrame, keys: list[str], lateness: str = LATENESS) -> DataFrame:
+    """Rows that are delivered again within the watermark are dropped; rows without a source are clock ticks and go too."""
+    return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys).where("ip IS NOT NULL")
+
+
+def stream_rollups(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Per source: requests, severity and span (update mode; read it with ``newest``). A source's totals are kept for ever."""
+    return once(requests, ["id"], lateness).groupBy("ip").agg(F.count(F.lit(1)).alias("requests"), F.max("severity").alias("max_severity"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"))
+
+
+def stream_timeline(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Hourly counts (update mode): rows count in their own hour whenever they come within the watermark; older hours' state is dropped."""
+    hours = once(requests, ["id"], lateness).groupBy(F.window("ts", "1 hour"))
+    return hours.agg(F.count(F.lit(1)).alias("requests")).select(F.unix_timestamp("window.start").alias("bucket"), "requests")
+
+
+def in_event_order(rows: DataFrame, key: str, other: str, step: Callable, out: str, keep: int | None) -> DataFrame:
+    """Run ``step`` over each key's rows in the order of their times, however they come.
+
+    A row waits until the watermark has passed it, so nothing can come before
+    it any more (the stream has a watermark on ``ts``); then ``step(held, key, times, others)`` gets all such rows,
+    sorted, with three arrays that it held (two of integers, one of numbers) and
+    returns them anew with the columns of ``out``. ``keep``: seconds after the
+    last row from which what is held is given up; None keeps it.
+    """
+
+    def run(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, others, last, *held = [np.array(x) for x in state.get] if state.exists else [np.zeros(0, np.int64)] * 5 + [np.zeros(0)]
+        new = [b for b in batches if len(b)]
+        times = np.concatenate([times.astype(np.int64), *[b["t"].to_numpy(np.int64) for b in new]])
+        others = np.concatenate([others.astype(np.int64), *[b["other"].to_numpy(np.int64) for b in new]])
+        watermark = state.getCurrentWatermarkMs()
+        order = np.lexsort((others, times))
+        times, others = times[order], others[order]
+        ready = int(np.searchsorted(times * 1000, watermark, "left"))
+        if ready:
+            held, found = step(held, name[0], times[:ready], others[:ready])
+            last = times[ready - 1 : ready]
+            if len(found):
+                yield found
+        times, others = times[ready:], others[ready:]
+        if len(times) == 0 and keep is not None and (len(last) == 0 or (last[0] + keep) * 1000 <= watermark):
+            state.remove()
+            return
+        state.update((times.tolist(), others.tolist(), last.tolist(), held[0].astype(np.int64).tolist(), held[1].astype(np.int64).tolist(), held[2].astype(float).tolist()))
+        if len(times):
+            state.setTimeoutTimestamp(max(int(times[0]) * 1000, watermark + 1))
+        elif keep is not None:
+            state.setTimeoutTimestamp((int(last[0]) + keep) * 1000)
+
+    held = "times array<long>, others array<long>, last array<long>, a array<long>, b array<long>, c array<double>"
+    small = rows.select("ts", key, "t", F.col(other).alias("other"))
+    return small.groupBy(key).applyInPandasWithState(run, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_history(requests: DataFrame, seconds: int = 3600, lateness: str = LATENESS) -> DataFrame:
+    """Per request: the source's requests in the hour before, itself included. Held: the last hour's times."""
+
+    def step(held, key, times, ids):
+        every = np.concatenate([held[0].astype(np.int64), times])
+        counts = np.searchsorted(every, times, "right") - np.searchsorted(every, times - seconds, "right")
+        return [every[every > times[-1] - seconds], held[1], held[2]], pd.DataFrame({"id": ids, "requests_1h": counts})
+
+    return in_event_order(once(requests, ["id"], lateness), "ip", "id", step, "id long, requests_1h long", seconds)
+
+
+def sampled(times, rate: float, burst: float, every: int, state: tuple[float, float, float]) -> tuple[list[str], tuple[float, float, float]]:
+    """Decisions on one source's requests in order: ``record`` while tokens last, then ``sample`` one in ``every``, else ``count``; a full bucket forgets how many were over."""
+    tokens, last, over = state
+    out = []
+    for t in times:
+        tokens = min(burst, tokens + rate * max(0, t - last))
+        last = max(last, t)
+        if tokens >= burst:
+            over = 0
+        if tokens >= 1:
+            tokens -= 1
+            out.append("record")
+        else:
+            over += 1
+            out.append("sample" if over % every == 1 % every else "count")
+    return out, (tokens, last, over)
+
+
+def stream_sampling(requests: DataFrame, rate: float, burst: int, every: int, lateness: str = LATENESS) -> DataFrame:
+    """Token bucket per source in event time. Held: tokens, last time, requests over; given up when the bucket is full again."""
+
+    def step(held, key, times, ids):
+        state = tuple(held[2]) if len(held[2]) else (float(burst), float(times[0]), 0.0)
+        decisions, state = sampled(times.tolist(), rate, float(burst), every, state)
+        return [held[0], held[1], np.array(state, float)], pd.DataFrame({"id": ids, "decision": decisions})
+
+    return in_event_order(once(requests, ["id"], lateness), "ip", "id", step, "id long, decision string", int(burst / rate) + 1)
+
+
+def stream_waves(requests: DataFrame, known: DataFrame, seconds: int, least: int, lateness: str = LATENESS) -> DataFrame:
+    """Unknown shapes that ``least`` sources asked for within ``seconds``; once per shape ever. Held: newest time by source until it fires, then only that it did."""
+
+    def step(held, key, times, ips):
+        nothing = pd.DataFrame({"shape": [], "t": [], "sources": []})
+        if len(held[2]):
+            return held, nothing
+        newest = dict(zip(held[0].tolist(), held[1].tolist()))
+        queue = deque(sorted((t, ip) for ip, t in newest.items()))
+        for t, ip in zip(times.tolist(), ips.tolist()):
+            newest[ip] = t
+            queue.append((t, ip))
+            while queue[0][0] <= t - seconds:
+                old, gone = queue.popleft()
+                if newest.get(gone) == old:
+                    del newest[gone]
+            if len(newest) >= least:
+                return [held[0][:0], held[1][:0], np.ones(1)], pd.DataFrame({"shape": [key], "t": [t], "sources": [len(newest)]})
+        return [np.array(list(newest), np.int64), np.array(list(newest.values()), np.int64), held[2]], nothing
+
+    fresh = once(requests, ["id"], lateness).join(known.select("shape"), "shape", "left_anti")
+    return in_event_order(fresh, "shape", "ip", step, "shape string, t long, sources long", None)
 
 
 def waves(requests: DataFrame, known: DataFrame, seconds: int, least: int) -> DataFrame:
     """The batch twin: the first time at which the sources of the last ``seconds`` are enough."""
     from pyspark.sql import Window
 
-    fresh = requests.select("shape", "ip", "t").join(known.select("shape"), "shape", "left_anti")
+    fresh = requests.select("shape", "ip", "t").distinct().join(known.select("shape"), "shape", "left_anti")
     recent = Window.partitionBy("shape").orderBy("t").rangeBetween(-(seconds - 1), 0)
     counted = fresh.withColumn("sources", F.size(F.collect_set("ip").over(recent)))
     return counted.where(F.col("sources") >= least).groupBy("shape").agg(F.min("t").alias("t"))
 
 
+def stream_release(requests: DataFrame, delay: int, jitter: int, lateness: str = LATENESS) -> DataFrame:
+    """Requests when their publication time (time, delay and a jitter from the id) has passed in event time; each once."""
+    due = requests.withColumn("public_at", publication(F.col("id"), F.col("t"), delay, jitter)).withColumn("ts", F.timestamp_seconds(F.coalesce("public_at", "t")))
+
+    def step(held, key, times, ids):
+        return held, pd.DataFrame({"id": ids, "public_at": times})
+
+    rows = once(due, ["id"], lateness).withColumn("t", F.col("public_at")).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(1024)))
+    return in_event_order(rows, "_part", "id", step, "id long, public_at long", 0)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run all that is there now into Parquet (append) or, for update mode, into the newest snapshot per batch."""
+    """Run all that is there now into Parquet: appended, or in update mode each batch's changed rows in a folder of its own, which a repeated batch overwrites."""
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", path).start()
     else:
-        query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+        query = writer.outputMode(mode).foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start()
     query.awaitTermination()
+
+
+def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What an update-mode table says now: each key's row of the last batch that changed it."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")

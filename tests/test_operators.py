@@ -28,6 +28,13 @@ def one(spark, value, expression, kind="string"):
         ("/f/deadbeef01", "/f/{hex}"),
         ("/12345678", "/{n}"),
         ("/k/a8f3k29dk3l1z", "/k/{rand}"),
+        ("/k/aZkQxLmPwRtY", "/k/{rand}"),
+        ("/k/aZkQxLmPwRtY.JSP", "/k/{rand}.jsp"),
+        ("/A8F3C2D1.PHP", "/{hex}.php"),
+        ("/ReportServerPages", "/reportserverpages"),
+        ("/WebResource", "/webresource"),
+        ("/.ENV", "/.env"),
+        ("/v/1.2.3", "/v/1.2.3"),
         ("/%2e%2e/etc", "/../etc"),
         ("", "/"),
         (None, None),
@@ -56,6 +63,13 @@ def test_keys(spark):
     assert spark.range(1).select(low.alias("l"), high.alias("h")).first()[:] == ("00000000000000000000ffff0a000000", "00000000000000000000ffff0affffff")
 
 
+def test_command_order(spark):
+    rows = [("x=1&c=2", "cmd=3", "3"), ("shell=a%20b&run=%41+c", None, "A c"), ("cmd", "c=1", ""), ("acmd=1", None, None), ("cmd=%zz", None, "%zz"), ("cmd=" + "é" * 200, None, "é" * 128)]
+    df = spark.createDataFrame(rows, "q string, b string, want string")
+    for r in df.select("want", C.extract_command(F.col("q"), F.col("b")).alias("got")).collect():
+        assert r["got"] == r["want"]
+
+
 def test_command(spark):
     row = spark.createDataFrame([("x=1&cmd=cat%20/etc/passwd", None), ("", "c=/bin/ls"), (None, None)], "q string, b string")
     out = [r["v"] for r in row.select(C.command_verb(C.extract_command(F.col("q"), F.col("b"))).alias("v")).collect()]
@@ -138,12 +152,31 @@ def test_csv_cells(spark):
     assert row.select(*[writers.csv_cell(F.col(c), k).alias(c) for c, k in row.dtypes]).first()[:] == ("'=1+1", "YWI=", '["x"]')
 
 
+RULE = '[[rule]]\nlabel = "{label}"\nweight = {weight}\n{rest}\n'
+
+
 def test_rules(tmp_path, spark):
-    (tmp_path / "a.toml").write_text('[[rule]]\nlabel = "x"\nweight = 2\ntarget = "a"\n')
-    assert readers.load_rules(tmp_path)[0]["label"] == "x"
-    (tmp_path / "b.toml").write_text('[[rule]]\nlabel = "y"\nweight = 9\ntarget = "a"\n')
+    (tmp_path / "a.toml").write_text(RULE.format(label="x", weight=2, rest='target_regex = "a"\nowasp = ["A03:2021", "OAT-014"]') + RULE.format(label="m", weight=1, rest='methods = ["PUT"]'))
+    rules = readers.load_rules(spark, str(tmp_path))
+    assert [r["label"] for r in rules] == ["x", "m"]
+    assert [r["matchers"] for r in readers.rules_table(spark, rules).orderBy("position").collect()] == [["target_regex"], ["methods"]]
+
+
+@pytest.mark.parametrize(("weight", "rest"), [(9, 'target_regex = "a"'), (2, ""), (2, 'unless_target_regex = "a"'), (2, 'target = "a"'), (2, "methods = []"), (2, 'methods = ["a b"]'), (2, 'path_exact = "/"\nowasp = ["A11:2021"]'), (2, 'path_exact = "/"\nowasp = ["OAT-14"]')])
+def test_bad_rules(tmp_path, spark, weight, rest):
+    (tmp_path / "b.toml").write_text(RULE.format(label="y", weight=weight, rest=rest))
+    with pytest.raises(ValueError):
+        readers.load_rules(spark, str(tmp_path))
+
+
+def test_catalogues(tmp_path, spark):
+    (tmp_path / "devices.toml").write_text('[[device]]\nid = "cam"\nkind = "cpe"\nservice = "^rtsp$"\nports = [554]\n')
+    (tmp_path / "names.toml").write_text('[[pool]]\nid = "dyn"\npattern = "dyn"\n')
+    assert readers.load_devices(spark, str(tmp_path / "devices.toml"))[0]["id"] == "cam"
+    assert readers.load_names(spark, str(tmp_path / "names.toml")) == {"pool": [{"id": "dyn", "pattern": "dyn"}]}
+    (tmp_path / "devices.toml").write_text('[[device]]\nid = "cam"\nkind = "tv"\nservice = "x"\n')
     with pytest.raises(ValueError):
-        readers.load_rules(tmp_path)
+        readers.load_devices(spark, str(tmp_path / "devices.toml"))
 
 
 def test_routable(spark):

@@ -10,8 +10,6 @@ from harrow.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.load()
-#: Streams and iterations take seconds each; a few of each kind are enough here.
-SLOW = {"campaign_tuning", "guarded_merge", "campaign_report", "campaign_graph", "edge_detail", "campaigns", "chains", "group_loose"}
 
 
 def plain(v):
@@ -43,7 +41,7 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, sf, duck):
     found = QUERIES[name](spark, sf).toPandas()
     if name in SQL:

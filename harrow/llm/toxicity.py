@@ -7,10 +7,12 @@ earlier probabilities come from models that have not seen it. The last category
 is the one that decides.
 
 Words are runs of letters, digits and non-ASCII, lower-cased A-Z; a document's
-marks are its words and the 5-byte pieces of them, so that inflected forms share
-some. Presence, not share, is what counts, so a long document cannot hide a
-word. Marks are selected by chi-square against the last category; models have a
-slight ridge penalty.
+marks are its words, the 5-byte pieces of them and their beginnings of 4 to 8
+bytes, so that inflected forms share some; what it holds more than once is a mark
+besides. Presence, not share, is what counts, so a long document cannot hide a
+word. Marks that go with the last category are selected by chi-square, in every
+fold anew, so that out-of-fold probabilities owe nothing to a row's own label;
+models have a slight ridge penalty.
 
 Defined results: null and empty texts hold no mark; a category without both
 classes in the sample has its share as probability everywhere; whole texts are
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm.common import bounded_batches
-from harrow.llm.bytetext import ascii_words, groups, word_hashes
+from harrow.llm.bytetext import ascii_words, groups, mix, word_hashes
 from harrow.llm.training import labelled_sample
 
 #: The chain, in order; the label table's expressions that define each category.
 CATEGORIES = {"toxic_prose": "int(toxic = 1 AND quality = 1)", "toxic_junk": "int(toxic = 1 AND quality = 0)", "toxic": "int(toxic = 1)"}
-MARKS, SUPPORT, GRAM, FOLDS, STEPS, PENALTY, REJECT = 256, 0.005, 5, 4, 12, 3e-6, 0.5
+MARKS, SUPPORT, GRAM, FOLDS, STEPS, PENALTY, REJECT = 256, 0.005, 5, 4, 200, 3e-6, 0.5
+#: Beginnings of longer words, in bytes, that are marks of their own: inflected forms share them.
+PREFIXES = (4, 5, 6, 7, 8)
 #: Marks are selected at this chi-square at least (one degree of freedom; hardly a chance find among a hundred thousand).
 CHI_SQUARE = 20.0
 
@@ -46,14 +50,14 @@ def held_marks(texts: list[str | None], only: np.ndarray | None = None) -> tuple
         maybe[(only >> np.uint64(48)).astype(np.int64)] = True
     for first, data, starts in groups(texts):
         low, a, b = ascii_words(data)
-        length = np.zeros(len(low) + 1, np.int32)  # of the run that a byte is in
-        length[a], length[b] = 1, -1
-        inside = np.cumsum(length[:-1]) > 0
-        gram = np.flatnonzero(inside[: len(low) - GRAM + 1])
+        gram = np.flatnonzero(low[: len(low) - GRAM + 1] > 0)
         word_end = b[np.searchsorted(a, gram, "right") - 1] if len(gram) else gram
         gram = gram[gram + GRAM <= word_end]
-        for x, y in ((a, b), (gram, gram + GRAM)):
+        spans = [(a, b, 0), (gram, gram + GRAM, 0)] + [(a[b - a > n], a[b - a > n] + n, n) for n in PREFIXES]
+        for x, y, kind in spans:
             h = word_hashes(low, x, y)
+            if kind:
+                h = mix(h ^ np.uint64(kind))  # a beginning is another mark than the same bytes elsewhere
             if maybe is not None:
                 here = maybe[(h >> np.uint64(48)).astype(np.int64)]
                 h, x = h[here], x[here]
@@ -62,6 +66,25 @@ def held_marks(texts: list[str | None], only: np.ndarray | None = None) -> tuple
     return np.concatenate(rows), np.concatenate(marks)
 
 
+#: What turns a mark into the mark of holding it more than once.
+_AGAIN = np.uint64(0xA0761D6478BD642F)
+
+
+def again(marks: np.ndarray) -> np.ndarray:
+    return mix(marks ^ _AGAIN)
+
+
+def with_repeats(rows: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, mark), and for what a row holds more than once a second mark."""
+    order = np.lexsort((marks, rows))
+    rows, marks = rows[order], marks[order]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (marks[1:] != marks[:-1])
+    start = np.flatnonzero(first)
+    twice = start[np.diff(np.append(start, len(rows))) > 1]
+    return np.concatenate([rows[start], rows[twice]]), np.concatenate([marks[start], again(marks[twice])])
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (bias last) of a logistic model with a slight ridge penalty, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -71,12 +94,17 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if len(y) == 0 or y.min() == y.max():
         return w
     penalty = PENALTY * len(y) * np.eye(len(w))
+    loss = lambda v: float(np.logaddexp(0, np.where(y > 0, -(x @ v), x @ v)).sum() + (np.diag(penalty) * v * v).sum() / 2)
+    now = loss(w)
     for _ in range(STEPS):
         p = probability(x[:, :-1], w)
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + penalty
+        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty
         step = np.linalg.solve(hessian, x.T @ (p - y) + np.diag(penalty) * w)
-        w = w - step * min(1.0, 2 / np.abs(step).max())
-        if np.abs(step).max() < 0.1:
+        size = 1.0
+        while (after := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        w, gain, now = w - size * step, now - after, after
+        if gain < 1e-6 * max(1.0, now):
             break
     return w
 
@@ -89,14 +117,14 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class Chain:
     categories: list[str]
     marks: np.ndarray  # sorted hashes of the selected marks
+    looked_up: np.ndarray  # sorted hashes to look for in a text: those, and the marks that some of them count
     weights: list[np.ndarray]  # per category: marks, earlier probabilities, bias
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        rows, marks = held_marks(texts, self.marks)
-        at = np.searchsorted(self.marks, marks)
-        known = np.flatnonzero(self.marks[np.minimum(at, len(self.marks) - 1)] == marks) if len(self.marks) else np.zeros(0, np.int64)
-        pairs = np.unique(rows[known] * len(self.marks) + at[known]) if len(known) else np.zeros(0, np.int64)
-        row, mark = pairs // max(1, len(self.marks)), pairs % max(1, len(self.marks))
+        row, held = with_repeats(*held_marks(texts, self.looked_up))
+        mark = np.minimum(np.searchsorted(self.marks, held), max(0, len(self.marks) - 1))
+        known = self.marks[mark] == held if len(self.marks) else np.zeros(0, bool)
+        row, mark = (row[known], mark[known]) if len(self.marks) else (np.zeros(0, np.int64),) * 2
         out = np.zeros((len(texts), len(self.categories)))
         for k, w in enumerate(self.weights):
             z = np.bincount(row, weights=w[: len(self.marks)][mark], minlength=len(texts)) + out[:, :k] @ w[len(self.marks) : len(self.marks) + k] + w[-1]
@@ -136,22 +164,28 @@ def select_marks(rows: np.ndarray, marks: np.ndarray, y: np.ndarray) -> np.ndarr
 
 
 def train(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
-    each = [np.unique(held_marks([t])[1]) for t in texts]
+    each = [with_repeats(*held_marks([t]))[1] for t in texts]
     rows = np.repeat(np.arange(len(texts)), [len(m) for m in each])
     marks = np.concatenate([np.zeros(0, np.uint64), *each])
     y = labels.astype(np.float64)
+    n, last = len(texts), len(categories) - 1
+    fold = np.arange(n) % FOLDS  # rows come ordered by a hash
+    # what stands in for a row's earlier probabilities comes from models, marks and all, that have not seen the row
+    unseen = np.zeros((n, last))
+    for f in range(FOLDS):
+        out = fold == f
+        seen = ~out[rows]
+        number = np.cumsum(~out) - 1
+        marks_f = select_marks(number[rows[seen]], marks[seen], y[~out, -1])
+        x = presence(rows, marks, marks_f, n).astype(np.float64)
+        for k in range(last):
+            w = logistic(np.hstack([x[~out], unseen[~out, :k]]), y[~out, k])
+            unseen[out, k] = probability(np.hstack([x[out], unseen[out, :k]]), w)
     chosen = select_marks(rows, marks, y[:, -1])
-    x = presence(rows, marks, chosen, len(texts)).astype(np.float64)
-    fold = np.arange(len(texts)) % FOLDS  # rows come ordered by a hash
-    weights = []
-    for k in range(len(categories)):
-        weights.append(logistic(x, y[:, k]))
-        if k + 1 < len(categories):
-            unseen = np.zeros(len(texts))  # probabilities from models that have not seen the row
-            for f in range(FOLDS):
-                unseen[fold == f] = probability(x[fold == f], logistic(x[fold != f], y[fold != f, k]))
-            x = np.hstack([x, unseen[:, None]])
-    return Chain(categories, chosen, weights)
+    x = presence(rows, marks, chosen, n).astype(np.float64)
+    weights = [logistic(np.hstack([x, unseen[:, :k]]), y[:, k]) for k in range(len(categories))]
+    every = np.unique(marks)
+    return Chain(categories, chosen, np.union1d(chosen, every[np.isin(again(every), chosen)]), weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, text: str = "text") -> Chain:

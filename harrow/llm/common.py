@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from harrow.sources.scratch import materialize, scratch_dir
 
-__all__ = ["bounded_batches", "fresh", "materialize", "scratch_dir", "spread", "table"]
+__all__ = ["bounded_batches", "fresh", "lookup", "marked", "materialize", "scratch_dir", "spread", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,30 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
 
 
+#: Keys that more than one row in HOT_KEYS of a table holds are hot; there are fewer than HOT_KEYS of them.
+HOT_KEYS = 1000
+#: Rows of keys that are broadcast at most; beyond it both sides are shuffled.
+MOST_MARKS = 1_000_000
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key; both are written tables.
+
+    Rows with a hot key never meet in one task: the right side's rows of hot
+    keys, under HOT_KEYS of them whatever the size, are broadcast.
+    """
+    limit = max(1, left.count() // HOT_KEYS)
+    hot = left.groupBy(key).count().where(F.col("count") > limit).select(key)
+    hot = materialize(right.join(F.broadcast(hot), key, "left_semi"), "hot-keys")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
+    return rest.unionByName(left.join(F.broadcast(hot), key).select(*rest.columns))
+
+
+def marked(df: DataFrame, marks: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``df`` joined with a written table of marks: without moving ``df`` if the marks are few enough to broadcast (their number is checked), else by shuffling both."""
+    return df.join(F.broadcast(marks) if marks.count() <= MOST_MARKS else marks, keys, how)
+
+
 #: Rows and bytes of text that a Python worker gets at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

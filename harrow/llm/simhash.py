@@ -1,13 +1,23 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in
-at most 4 bits differ in at most one bit of some segment. The anchors of a
-segment are the words of a covering code: a Hamming(15, 11) code on its lower 15
-bits, which covers with radius 1, beside the other bits as they are. Every
-fingerprint has one home, the nearest anchor, and is replicated to all anchors
-within covering radius plus segment threshold (1 + 1) of it; so any linked pair
-meets at the home of either. Per anchor, homes are compared with replicas, all
-64 bits, and a spanning forest of the links found is emitted, never all pairs.
+A fingerprint is cut into segments. Two fingerprints that differ in few bits
+differ in at most one bit of some segment. The anchors of a segment are the
+words of a covering code: a Hamming(15, 11) code on its lower 15 bits, which
+covers with radius 1, beside the other bits as they are. Every fingerprint has
+one home, the nearest anchor, and is replicated to all anchors within covering
+radius plus segment threshold (1 + 1) of it; so any two that differ in at most
+one bit of a segment meet at the home of either. Per anchor, homes are compared
+with replicas, all bits, and a spanning forest of the links found, the closest
+first, is emitted, never all pairs.
+
+``near_duplicates``: 64 bits of the XXH64 of word shingles in three segments,
+linked at ``distance`` differing bits at most; every such link is found.
+
+``similar_groups``: texts whose sets of five-word shingles have a Jaccard
+similarity of at least 0.8. 128 bits in eight segments propose pairs (also by
+size: sets so alike are of like size), and the exact similarity of the sets
+decides. A pair at 0.8 exactly meets with a probability of 0.93, one at 0.9 of
+0.996: bits differ by chance.
 
 Equal fingerprints are one row before that. An anchor with very many members is
 cut into bounded blocks of homes by blocks of replicas. Components are found by
@@ -16,7 +26,7 @@ contraction on the links.
 Defined results: a null text is empty; texts without words have fingerprint zero
 and are linked like any other; rows with a null id count for links but never
 name a component unless all its ids are null; repeated rows are in one
-component; an empty table gives no rows.
+component; columns of the input may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,17 +36,21 @@ from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from harrow.llm.common import bounded_batches, materialize
+from harrow.llm.bytetext import groups, mix, word_hashes, word_spans
+from harrow.llm.common import bounded_batches, fresh, lookup, marked, materialize, spread
 from harrow.operators.graph import components
 
 #: Words in a shingle; differing bits that still link.
 SHINGLE, DISTANCE = 4, 4
-#: Lowest bit and width of each segment; code bits are the lowest 15.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Shingles and Jaccard similarity of ``similar_groups``; differing bits of 128 up to which a pair is looked at.
+WORDS, SIMILARITY, PROPOSED = 5, 0.8, 32
+#: Column, lowest bit and width of each segment; code bits are the lowest 15.
+SEGMENTS = (("fp", 0, 21), ("fp", 21, 21), ("fp", 42, 22))
+WIDE = tuple((p, low, 16) for p in ("p0", "p1") for low in (0, 16, 32, 48))
 CODE = 15
 #: Homes and replicas of an anchor that are compared in one block.
 BLOCK = 2048
@@ -89,59 +103,89 @@ def syndrome_of(bits: Column) -> Column:
     return out
 
 
-def replicas(fingerprints: DataFrame) -> DataFrame:
-    """(fp) to (anchor, fp, home): the home and the replicas of every segment; an anchor number holds its segment."""
+def replicas(fingerprints: DataFrame, segments=SEGMENTS, band: Column | None = None) -> DataFrame:
+    """The fingerprints' columns to (anchor, columns, home): the home and the replicas of every segment; an anchor number holds its segment.
+
+    ``band``: a number; only fingerprints whose bands differ by half at most need
+    to meet. A home stands in the whole band that it is in, replicas in both that
+    they are within half of.
+    """
+    columns = list(dict.fromkeys(c for c, _, _ in segments))
     parts = []
-    for k, (low, width) in enumerate(SEGMENTS):
+    for k, (column, low, width) in enumerate(segments):
         table = F.array(*[F.array(*[F.lit(e) for e in p]) for p in error_patterns(width)])
-        bits = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+        bits = F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
         flips = F.element_at(table, syndrome_of(bits) + 1)
         parts.append(F.struct(F.lit(k).alias("k"), bits.alias("bits"), flips.alias("flips")))
-    one = fingerprints.select("fp", F.explode(F.array(*parts)).alias("s"))
-    each = one.select("fp", "s.k", "s.bits", F.posexplode("s.flips").alias("i", "e"))
-    anchor = F.shiftleft(F.col("k").cast("long"), 32) + F.col("bits").bitwiseXOR(F.col("e"))
-    replica = each.select(anchor.alias("anchor"), "fp", "i")
+    zero = F.lit(0)
+    bands = F.array(zero, zero, zero) if band is None else F.array(F.floor(band), F.floor(band - 0.5), F.floor(band + 0.5))
+    one = fingerprints.select(*columns, bands.cast("array<int>").alias("bands"), F.explode(F.array(*parts)).alias("s"))
+    each = one.select(*columns, "bands", "s.k", "s.bits", F.posexplode("s.flips").alias("i", "e"))
+    anchor = F.shiftleft(F.col("k").cast("long"), 40) + F.col("bits").bitwiseXOR(F.col("e"))
+    place = lambda n, home: F.struct(F.get("bands", F.lit(n)).alias("band"), F.lit(home).alias("home"))
+    as_replica = [place(1, False)] if band is None else [place(1, False), place(2, False)]
     # the nearest anchor is both the home and a replica
-    return replica.select("anchor", "fp", F.explode(F.when(F.col("i") == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("home"))
+    places = F.when(F.col("i") == 0, F.array(place(0, True), *as_replica)).otherwise(F.array(*as_replica))
+    spots = each.select(anchor.alias("anchor"), *columns, F.explode(places).alias("p"))
+    return spots.select((F.col("anchor") + F.shiftleft(F.col("p.band").cast("long"), 32)).alias("anchor"), *columns, F.col("p.home").alias("home"))
 
 
 def blocked(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Add ``cell``: the anchor, or for a crowded one a block of its homes by a block of its replicas."""
+    columns = [c for c in rows.columns if c not in ("anchor", "home")]
     sizes = rows.groupBy("anchor").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("r"))
     crowded = sizes.where(F.col("h") * F.col("r") > block * block).select(
         "anchor", F.ceil(F.col("h") / block).cast("int").alias("hb"), F.ceil(F.col("r") / block).cast("int").alias("rb")
     )
     crowded = materialize(crowded, "simhash-crowded")
-    own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
     cells = F.when(F.col("hb").isNull(), F.array(F.col("anchor"))).when(
         F.col("home"), F.transform(F.sequence(F.lit(0), F.col("rb") - 1), lambda j: F.xxhash64("anchor", own("hb"), j))
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("hb") - 1), lambda i: F.xxhash64("anchor", i, own("rb"))))
-    return rows.join(crowded, "anchor", "left").select(F.explode(cells).alias("cell"), "fp", "home")
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges to (node, root) of the same components, at most one row per node."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
+    return rows.join(crowded, "anchor", "left").select(F.explode(cells).alias("cell"), *columns, "home")
+
+
+def forest(x: np.ndarray, y: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which of the links between fingerprints (rows of ``x`` and ``y``) make a spanning forest, the closest first, ties by fingerprint: each round every component takes its first link."""
+    both = np.concatenate([x, y])
+    by = np.lexsort(both.T[::-1])
+    new = np.ones(len(by), bool)
+    new[1:] = (both[by[1:]] != both[by[:-1]]).any(axis=1)
+    ends = np.empty(len(by), np.int64)
+    ends[by] = np.cumsum(new) - 1
+    nodes, a, b = np.flatnonzero(new), ends[: len(x)], ends[len(x) :]
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), distance))
+    a, b = a[order], b[order]
+    root, kept = np.arange(len(nodes)), np.zeros(len(order), bool)
+    alive = np.arange(len(order))
+    while len(alive):
+        ra, rb = root[a[alive]], root[b[alive]]
+        alive, ra, rb = alive[ra != rb], ra[ra != rb], rb[ra != rb]
+        if not len(alive):
             break
-        root = new
-    kept = root != np.arange(len(nodes))
-    return nodes[kept], nodes[root[kept]]
-
-
-def compare(distance: int):
+        best = np.full(len(nodes), len(order))
+        np.minimum.at(best, ra, alive)
+        np.minimum.at(best, rb, alive)
+        take = np.unique(best[best < len(order)])
+        kept[take] = True
+        u, v = root[a[take]], root[b[take]]
+        while True:  # the taken links' components: the smallest root of each
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, root[u], low)
+            np.minimum.at(new, root[v], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+    return order[kept]
+
+
+def compare(distance: int, columns: list[str]):
     """Per cell: homes against replicas; rows come sorted by cell."""
 
-    def links(cell: np.ndarray, fp: np.ndarray, home: np.ndarray) -> Iterator[pd.DataFrame]:
-        hc, hf, rc, rf = cell[home], fp[home], cell[~home], fp[~home]
+    def links(cell: np.ndarray, prints: np.ndarray, home: np.ndarray) -> Iterator[pd.DataFrame]:
+        hc, hf, rc, rf = cell[home], prints[home], cell[~home], prints[~home]
         low, high = np.searchsorted(hc, rc, "left"), np.searchsorted(hc, rc, "right")
         count = high - low
         upto = np.cumsum(count)
@@ -149,15 +193,22 @@ def compare(distance: int):
         while at < len(rc):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
             n = count[at:to]
-            r = np.repeat(np.arange(at, to), n)
-            h = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + low[r]
-            x, y = hf[h], rf[r]
-            near = (x != y) & (np.bitwise_count((x ^ y).view(np.uint64)) <= distance)
-            if near.any():
-                node, root = forest(x[near], y[near])
-                yield pd.DataFrame({"a": root, "b": node})
+            r, h = np.repeat(np.arange(at, to), n), spread(low[at:to], n)
+            bits = sum(np.bitwise_count((hf[h, k] ^ rf[r, k]).view(np.uint64)).astype(np.int64) for k in range(prints.shape[1]))
+            near = np.flatnonzero((bits > 0) & (bits <= distance))
+            if len(near):
+                near = near[forest(hf[h[near]], rf[r[near]], bits[near])]
+                x, y = hf[h[near]], rf[r[near]]
+                turn = np.zeros(len(x), bool)  # the smaller fingerprint first
+                for k in range(x.shape[1] - 1, -1, -1):
+                    turn = np.where(x[:, k] == y[:, k], turn, x[:, k] > y[:, k])
+                a, b = np.where(turn[:, None], y, x), np.where(turn[:, None], x, y)
+                yield pd.DataFrame({f"a_{c}": a[:, k] for k, c in enumerate(columns)} | {f"b_{c}": b[:, k] for k, c in enumerate(columns)})
             at = to
 
+    def of(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        return links(part["cell"].to_numpy(), part[columns].to_numpy(np.int64), part["home"].to_numpy(bool))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
         for batch in batches:
@@ -168,41 +219,143 @@ def compare(distance: int):
             if whole or (kept and kept[-1]["cell"].iloc[-1] != last):
                 full = pd.concat([*kept, batch.iloc[:whole]])
                 kept = []
-                yield from links(full["cell"].to_numpy(), full["fp"].to_numpy(), full["home"].to_numpy(bool))
+                yield from of(full)
             kept.append(batch.iloc[whole:])
         if kept:
-            full = pd.concat(kept)
-            yield from links(full["cell"].to_numpy(), full["fp"].to_numpy(), full["home"].to_numpy(bool))
+            yield from of(pd.concat(kept))
 
     return run
 
 
+def met(replicated: DataFrame, distance: int) -> DataFrame:
+    """Distinct links (a_, b_ and the fingerprints' columns) between what meets at an anchor and is within ``distance``."""
+    cells = blocked(replicated)
+    columns = [c for c in cells.columns if c not in ("cell", "home")]
+    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    out = ", ".join(f"{side}_{c} long" for side in "ab" for c in columns)
+    return dealt.mapInPandas(compare(distance, columns), out).distinct()
+
+
 def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Distinct ``fp`` to links (a, b) that connect exactly what is within ``distance``."""
     if distance > 5:
         raise ValueError("segments are covered for up to 5 differing bits")  # 5 over 3 segments: at most one in some segment
-    cells = blocked(replicas(fingerprints))
-    dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInPandas(compare(distance), "a long, b long").distinct()
+    return met(replicas(fingerprints), distance).toDF("a", "b")
+
+
+def components_of(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (node, first) and the links between nodes to a written table (node, root, component_id): the smallest ``first`` of each component."""
+    labels = components(links)
+    linked = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
+    linked = materialize(linked.join(classes, "node").select("node", "root", "first"), "simhash-linked")
+    named = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-named")
+    found = lookup(linked.select("node", "root"), named, "root").select("node", "root", "component_id")
+    alone = classes.join(linked.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"), F.col("first").alias("component_id"))
+    return materialize(found.unionByName(alone), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per document: key, text_hash, fp, root (of fingerprints), component_id."""
-    prints = materialize(bounded_batches(docs).select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), fingerprint(text).alias("fp")), "simhash-prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
-    labels = components(links(classes.select("fp"), distance))
-    rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = rooted.select("fp", "root").join(named, "root")
-    return prints.join(of_class, "fp").select(F.col("id").alias(key), "text_hash", "fp", "root", "component_id")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: the one that names it. Texts are shuffled once."""
-    found = near_duplicates(docs, key, text, distance)
-    chosen = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(key, "text_hash")).alias("k"))
-    chosen = chosen.select(F.col(f"k.{key}").alias("_key"), F.col("k.text_hash").alias("_hash"))
-    marked = docs.withColumn("_text_hash", F.xxhash64(text))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_hash") == F.col("_hash"))
-    first = Window.partitionBy("_key", "_hash").orderBy(F.lit(0))
-    return marked.join(chosen, same).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    prints = materialize(bounded_batches(docs).select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), fingerprint(text).alias("node")), "simhash-prints")
+    classes = materialize(prints.groupBy("node").agg(F.min("id").alias("first")), "simhash-classes")
+    found = components_of(classes, links(classes.select(F.col("node").alias("fp")), distance))
+    return lookup(prints, found, "node").select(F.col("id").alias(key), "text_hash", F.col("node").alias("fp"), "root", "component_id")
+
+
+_A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
+
+
+def shingle_hashes(texts: list[str | None], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hashes of the rows' shingles one after another, their number by row): words as for the fingerprint, the whole sequence if it is shorter."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[0x41:0x5B] += 0x20
+    lower[[0x20, *range(0x09, 0x0E)]] = 0
+    for first, data, starts in groups(texts):
+        low = lower[data]
+        a, b = word_spans(low > 0)
+        words, bounds = word_hashes(low, a, b), np.searchsorted(a, starts)
+        n = np.diff(bounds)
+        count = np.where(n >= size, n - size + 1, n > 0).astype(np.int64)
+        at, held = spread(bounds[:-1], count), np.minimum(np.repeat(n, count), size)
+        h = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            there = held > k
+            h[there] += words[at[there] + k] * _A[k]
+        yield first, mix(h), count
+
+
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("p0", "p1", "n")]))
+def wide_fingerprint(texts: pd.Series) -> pd.DataFrame:
+    """128 bits from two hashes of each shingle, repeats included, and the number of shingles."""
+    out = np.zeros((len(texts), 3), np.int64)
+    for first, h, count in shingle_hashes(texts.tolist(), WORDS):
+        filled = np.flatnonzero(count)
+        begin = np.cumsum(count[filled]) - count[filled]
+        out[first : first + len(count), 2] = count
+        for k, hashes in enumerate((h, mix(h * _A[5] + _A[6]))):
+            if len(filled):
+                sums = np.add.reduceat(np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), begin, axis=0, dtype=np.int32)
+                bits = np.packbits(sums * 2 > count[filled, None], axis=1)
+                out[first + filled, k] = bits.view(">u8").astype(np.uint64).view(np.int64).ravel()
+    return pd.DataFrame(out, columns=["p0", "p1", "n"])
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def shingle_set(texts: pd.Series) -> pd.Series:
+    """The distinct shingles as 32 bits of their hashes."""
+    out: list = []
+    for _, h, count in shingle_hashes(texts.tolist(), WORDS):
+        out += [np.unique(part.astype(np.uint32)).view(np.int32) for part in np.split(h, np.cumsum(count)[:-1])]
+    return pd.Series(out, dtype=object)
+
+
+def row_key(key: Column) -> Column:
+    """The key as text, never null and never equal for a null and another key."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: key, text_hash, root, component_id, linked at a Jaccard similarity of the five-word shingle sets of at least ``similarity``."""
+    docs = bounded_batches(docs)
+    node = F.concat(F.lower(F.hex("w.p0")), F.lit("-"), F.lower(F.hex("w.p1")))
+    sketched = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), wide_fingerprint(text).alias("w"))
+    prints = materialize(sketched.select("id", "text_hash", "w.*", node.alias("node")), "similar-prints")
+    one = F.min(F.struct("text_hash", "id")).alias("one")  # the row whose text stands for the class
+    classes = materialize(prints.groupBy("node", "p0", "p1").agg(F.min("id").alias("first"), F.max("n").alias("n"), one), "similar-classes")
+    band = F.log(F.greatest("n", F.lit(1)).cast("double")) / (2 * float(-np.log(similarity)))
+    proposed = met(replicas(classes, WIDE, band), PROPOSED)
+    name = lambda side: F.concat(F.lower(F.hex(f"{side}_p0")), F.lit("-"), F.lower(F.hex(f"{side}_p1"))).alias(side)
+    pairs = materialize(proposed.select(name("a"), name("b")), "similar-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = materialize(classes.join(ends, "node").select("node", row_key(F.col("one.id")).alias("_k"), F.col("one.text_hash").alias("_h")), "similar-wanted")
+    texts = docs.select(F.col(text).alias("text"), row_key(F.col(key)).alias("_k"), F.xxhash64(text).alias("_h"))
+    sets = marked(texts, wanted, ["_k", "_h"], "inner").select("node", shingle_set("text").alias("s")).dropDuplicates(["node"])
+    sets = materialize(sets, "similar-sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}"))
+    whole = materialize(lookup(pairs, side("a"), "a"), "similar-sides")
+    whole = lookup(whole, side("b"), "b")
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    verified = whole.where(shared >= similarity * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b")
+    found = components_of(classes.select("node", "first"), verified)
+    return lookup(prints.select("id", "text_hash", "node"), found, "node").select(F.col("id").alias(key), "text_hash", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (key, text_hash, root, component_id): one that names it, of repeated rows one.
+
+    What goes, or came more than once, is marked; all other rows stay where they are.
+    """
+    found = materialize(found.select(row_key(F.col(key)).alias("k"), F.col("text_hash").alias("h"), "root", F.col(key).eqNullSafe(F.col("component_id")).alias("names")), "kept-found")
+    rows = found.groupBy("k", "h", "root").agg(F.bool_or("names").alias("names"), F.count(F.lit(1)).alias("n"))
+    chosen = found.where("names").groupBy("root").agg(F.min(F.struct("k", "h")).alias("c")).select("root", "c.k", "c.h", F.lit(True).alias("chosen"))
+    marks = rows.join(chosen, ["root", "k", "h"], "left").where("chosen IS NULL OR n > 1")
+    mk, mh, mark = (fresh(docs, c) for c in ("_k", "_h", "_mark"))
+    marks = materialize(marks.select(F.col("k").alias(mk), F.col("h").alias(mh), F.when(F.col("chosen"), "again").otherwise("goes").alias(mark)), "kept-marks")
+    seen = marked(docs.withColumns({mk: row_key(F.col(key)), mh: F.xxhash64(text)}), marks, [mk, mh], "left")
+    again = seen.where(F.col(mark) == "again").dropDuplicates([mk, mh])
+    return seen.where(F.col(mark).isNull()).unionByName(again).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of similar texts, the one with the smallest key."""
+    return keep_first(docs, similar_groups(docs, key, text, similarity), key, text)

@@ -1,7 +1,9 @@
 """License scan: an exact set-similarity join of text blocks against templates.
 
-A block is one line of a text, as a set of words. A template is met when the
-block holds at least ``threshold`` of its words. Tokens are ordered by their
+A block is a set of words: those of one line of a text, or of WRAP neighbouring
+lines of a paragraph (all of it if it has fewer), as notices are wrapped.
+Paragraphs end at blank lines. A template is met when the block holds at least
+``threshold`` of its words. Tokens are ordered by their
 document frequency over all texts, rarest first. A template's prefix are its
 ``size - need + 1`` rarest tokens: a block that meets it holds one of them. What
 shares a prefix token is held against the length filter (enough template words
@@ -13,8 +15,9 @@ Templates are parameters, so their size is bounded; texts are never shuffled,
 and only one count per template token comes back to the driver.
 
 Defined results: null and empty texts have no words and no labels; whole texts
-are scanned, line by line; repeated rows repeat their result; other columns pass
-through unless an output has the name.
+are scanned; a template that several blocks meet is given for each of them;
+repeated rows repeat their result; other columns pass through, whatever their
+names, but one with the name of an output, which is a parameter, is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm.common import fresh
+
 THRESHOLD = 0.8
+#: Neighbouring lines that are read as one block.
+WRAP = 6
 #: Phrases whose words must stand consecutively, and their labels (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Templates: label and words of a license notice (fixed values).
@@ -65,8 +72,8 @@ def token_order(words: DataFrame, lines: str, templates=TEMPLATES) -> list[str]:
     return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
 
 
-def matches(lines: Column, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """array<struct<label, score>>: every (line, template) pair that meets the threshold."""
+def matches(lines: Column, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD, wrap: int = WRAP) -> Column:
+    """array<struct<label, score>>: every (block, template) pair that meets the threshold."""
     rank = {t: i for i, t in enumerate(order)}
     arr = lambda ts: F.array(*map(F.lit, ts))
     plans = []
@@ -78,8 +85,14 @@ def matches(lines: Column, order: list[str], templates=TEMPLATES, threshold: flo
     least = min(p[2] for p in plans)
     vocabulary = arr(order)
     # a block's template words come out in the global order, as array_intersect keeps the order of its first array
-    candidates = F.filter(F.transform(F.split(lines, "\\n"), lambda line: F.split(F.trim(line), " +")), lambda b: (F.size(b) >= least) & F.arrays_overlap(b, prefixes))
-    blocks = F.transform(candidates, lambda b: F.array_intersect(vocabulary, b))
+    likely = lambda b: (F.size(b) >= least) & F.arrays_overlap(b, prefixes)
+    words_of = lambda text: F.split(F.trim(text), "[ \\n]+")
+    of_lines = F.filter(F.transform(F.split(lines, "\\n"), words_of), likely)
+    # only paragraphs of several lines that hold a rare word are cut into runs of lines
+    paragraphs = F.filter(F.split(lines, "\\n *(?:\\n *)+"), lambda p: F.contains(p, F.lit("\n")) & likely(words_of(p)))
+    runs = lambda ls: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls) - (wrap - 1), F.lit(1))), lambda i: words_of(F.array_join(F.slice(ls, i, F.lit(wrap)), " ")))
+    of_runs = F.filter(F.flatten(F.transform(F.transform(paragraphs, lambda p: F.split(p, "\\n")), runs)), likely)
+    blocks = F.transform(F.concat(of_lines, of_runs), lambda b: F.array_intersect(vocabulary, b))
 
     def against(block: Column, plan) -> Column:
         label, tokens, need, prefix = plan
@@ -122,16 +135,13 @@ def _all(conditions: list[Column]) -> Column:
     return all_
 
 
-def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Add n_words, places, matches: the phrases' places and the templates met."""
+def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, n_words: str = "n_words", places: str = "places", matched: str = "matches") -> DataFrame:
+    """Add the number of words, the phrases' places and the templates met."""
     order = token_order(df.select(worded(F.col(text)).alias("lines")), "lines", templates)
-    with_lines = df.withColumn("_lines", worded(F.col(text)))
-    flat = F.trim(F.regexp_replace("_lines", " *\\n[ \\n]*", " "))
-    with_words = with_lines.withColumn("_words", flat)
-    n = F.length("_words") - F.length(F.replace("_words", F.lit(" "))) + 1
-    return (
-        with_words.withColumn("n_words", F.when(F.col("_words") == "", 0).otherwise(n).cast("long"))
-        .withColumn("places", phrase_places(F.col("_words")))
-        .withColumn("matches", matches(F.col("_lines"), order, templates, threshold))
-        .drop("_lines", "_words")
-    )
+    lines = fresh(df, "_lines")
+    words = fresh(df, "_words")
+    with_lines = df.withColumn(lines, worded(F.col(text)))
+    with_words = with_lines.withColumn(words, F.trim(F.regexp_replace(lines, " *\\n[ \\n]*", " ")))
+    n = F.length(words) - F.length(F.replace(words, F.lit(" "))) + 1
+    found = {n_words: F.when(F.col(words) == "", 0).otherwise(n).cast("long"), places: phrase_places(F.col(words)), matched: matches(F.col(lines), order, templates, threshold)}
+    return with_words.withColumns(found).drop(lines, words)

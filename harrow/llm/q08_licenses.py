@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm.common import table
-from harrow.llm.licenses import LOWER, PHRASES, TEMPLATES, THRESHOLD, UPPER, scan
+from harrow.llm.licenses import LOWER, PHRASES, TEMPLATES, THRESHOLD, UPPER, WRAP, scan
 
 NAME = "op8_licenses"
 
@@ -41,9 +41,14 @@ WITH words AS (
   SELECT doc_id, row_number() OVER () AS r, text, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_WORD}') AS w FROM documents),
 places AS ({_PLACES}),
 templates(label, tokens) AS (VALUES {_TEMPLATES}),
-lines AS (
-  SELECT r, list_distinct(regexp_extract_all(line, '{_WORD}')) AS b
-  FROM (SELECT r, unnest(string_split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), chr(10))) AS line FROM words)),
+raw AS (
+  SELECT r, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT r, string_split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), chr(10)) AS l FROM words)),
+worded AS (SELECT r, i, regexp_extract_all(line, '{_WORD}') AS w FROM raw),
+parts AS (SELECT r, i, w, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS part FROM worded),
+runs AS (
+  SELECT r, w, flatten(list(w) OVER run) AS b, count(*) OVER run AS held, row_number() OVER (PARTITION BY r, part ORDER BY i) AS k FROM parts WHERE len(w) > 0
+  WINDOW run AS (PARTITION BY r, part ORDER BY i ROWS BETWEEN CURRENT ROW AND {WRAP - 1} FOLLOWING)),
+lines AS (SELECT r, list_distinct(w) AS b FROM runs UNION ALL SELECT r, list_distinct(b) FROM runs WHERE held = {WRAP} OR k = 1),
 met AS (
   SELECT r, label, len(list_intersect(b, tokens)) / len(tokens) AS score FROM lines, templates
   WHERE len(list_intersect(b, tokens)) >= ceil({THRESHOLD} * len(tokens))),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import materialize, table
-from harrow.llm.sharding import assign, record_sizes, slot_loads, slot_map
+from harrow.llm.common import materialize, scratch_dir, table
+from harrow.llm.sharding import assign, load_map, record_sizes, save_map, slot_loads, slot_map
 
 NAME = "op10_sharding"
 SHARDS = 40
@@ -16,7 +18,9 @@ ORACLE_SQL = None
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = materialize(record_sizes(table(spark, sf_dir, "documents")), "op10-records")
-    slots = materialize(slot_map(slot_loads(records), SHARDS), "op10-map-v1")
+    maps = f"{scratch_dir(spark).rstrip('/')}/op10-maps-{uuid.uuid4().hex}"
+    save_map(materialize(slot_map(slot_loads(records), SHARDS), "op10-map"), maps)
+    slots = load_map(spark, maps)
     return assign(records, slots).select(
         "doc_id",
         "size",

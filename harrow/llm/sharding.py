@@ -2,8 +2,9 @@
 
 Records are hashed into ``slots`` virtual slots, bytes and rows are summed per
 slot, and a versioned slot-to-shard map places whole slots: the largest slot
-first, each into the lightest shard. The map is an ordinary table; to rebalance,
-edit it (``grow``) and only the moved slots' rows move.
+first, each into the lightest shard. The map is stored as a table with a version;
+to rebalance, read the newest (``load_map``), edit it (``grow``) and store it as
+the next (``save_map``): only the moved slots' rows move, and older versions stay.
 
 Everything is DataFrame work. The only thing that ever meets in one task is the
 map, whose size is the fixed number of slots.
@@ -15,7 +16,7 @@ table gives no rows; columns of the input that the results need not are left out
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Virtual slots: fixed for the life of a data set.
@@ -84,6 +85,19 @@ def grow(slots: DataFrame, shards: int, version: int) -> DataFrame:
     )
 
 
+def save_map(slots: DataFrame, path: str) -> None:
+    """Store a version of the map under ``path``; a version that is there already is an error, as maps are only added."""
+    slots.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version={slots.first()['version'] if not slots.isEmpty() else 0}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map; None: the newest."""
+    every = spark.read.parquet(path).withColumn("version", F.col("version").cast("int"))
+    if version is None:
+        version = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == F.lit(version)).select("virtual_slot", "shard", "slot_bytes", "slot_rows", "first_position", "version")
+
+
 def assign(records: DataFrame, slots: DataFrame, key: str = "doc_id") -> DataFrame:
     """Records with their shard and their gapless position in it. The map is broadcast: it has SLOTS rows at most."""
     inside = Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size")

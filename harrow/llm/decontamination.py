@@ -2,16 +2,21 @@
 
 Words are runs of letters, digits and non-ASCII, lower-cased A-Z. Every n-gram of
 a test item is a seed, however common it is, so every run of GRAM copied words is
-aligned and whether a document leaks depends on no other document.
+aligned and whether a document leaks depends on no other document. An item of
+fewer words is a seed as a whole.
 Where a document holds a seed, its words around that place are aligned with the
 item's: 2 for an equal word, -1 for another, -1 for a word on one side only. The
-score is the best local alignment over that of a whole copy.
+score is the best local alignment over that of a whole copy. A copy that reaches
+the threshold can hold 2 m (1 - threshold) foreign words beside an item's m, and
+so many words on both sides are aligned: no longer copy reaches it.
 
 Items are a test set: small beside the corpus. They are broadcast in blocks of a
 checked size, a pass each. Texts are never shuffled.
 
-Defined results: a null or empty text has no leaks; items of under MIN_WORDS
-words cannot be told from chance and match nothing; items without an id or with
+Defined results: a null or empty text has no leaks; items of under ``least``
+words (MIN_WORDS if it is not given; 1 takes all that have a word) cannot be told
+from chance and match nothing; of equally good alignments with an item the first
+counts; items without an id or with
 equal ids are items of their own; whole texts are searched; rows are
 independent, so repeated rows repeat their result; an empty table on either side
 gives no leaks.
@@ -32,6 +37,8 @@ from harrow.llm.bytetext import ascii_words, groups, mix, word_hashes
 GRAM, MIN_WORDS, THRESHOLD = 3, 5, 0.5
 #: Bytes of item text in a broadcast block.
 BLOCK_BYTES = 16 << 20
+#: Words of windows that are aligned side by side.
+CELLS = 1 << 16
 MATCH, OTHER, GAP = 2, -1, -1
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -43,18 +50,18 @@ def words_of(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield first, word_hashes(low, a, b), np.searchsorted(a, starts)
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    size = max(0, len(words) - GRAM + 1)
+def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
+    size = max(0, len(words) - n + 1)
     h = np.zeros(size, np.uint64)
-    for k in range(GRAM):
+    for k in range(n):
         h += words[k : k + size] * _A[k]
     return mix(h)
 
 
-def inside_rows(count: int, bounds: np.ndarray) -> np.ndarray:
+def inside_rows(count: int, bounds: np.ndarray, n: int = GRAM) -> np.ndarray:
     """Which n-grams lie within one row."""
-    ok = np.ones(max(0, count - GRAM + 1), bool)
-    for k in range(1, GRAM):
+    ok = np.ones(max(0, count - n + 1), bool)
+    for k in range(1, n):
         cut = bounds[1:-1] - k
         ok[cut[(cut >= 0) & (cut < len(ok))]] = False
     return ok
@@ -81,43 +88,50 @@ class Table:
 class Items:
     """A block of test items, as words and n-grams."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], least: int = MIN_WORDS):
         self.ids, self.words = [], []
         for first, words, bounds in words_of(texts):
             for k in range(len(bounds) - 1):
-                if bounds[k + 1] - bounds[k] >= MIN_WORDS:
+                if bounds[k + 1] - bounds[k] >= max(1, least):
                     self.ids.append(ids[first + k])
                     self.words.append(words[bounds[k] : bounds[k + 1]])
-        each = [grams(w) for w in self.words]
-        self.item = np.repeat(np.arange(len(each)), [len(g) for g in each])
-        self.place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in each]])
-        self.gram = np.concatenate([np.zeros(0, np.uint64), *each])
-        self.seeds = Table(self.gram)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.seeds: dict[int, tuple[Table, np.ndarray, np.ndarray]] = {}  # by n: n-grams, their items and places
+        for n in range(1, GRAM + 1):
+            mine = [i for i, w in enumerate(self.words) if min(len(w), GRAM) == n]
+            if mine:
+                each = [grams(self.words[i], n) for i in mine]
+                self.seeds[n] = Table(np.concatenate(each)), np.repeat(mine, [len(g) for g in each]), np.concatenate([np.arange(len(g)) for g in each])
 
     def leaks(self, texts: list[str | None], threshold: float) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in texts]
         for first, words, bounds in words_of(texts):
-            at, seed = self.seeds.find(grams(words))
-            ok = inside_rows(len(words), bounds)[at]
-            at, seed = at[ok], seed[ok]
-            item = self.item[seed]
-            row = np.searchsorted(bounds, at, "right") - 1
-            size = np.array([len(w) for w in self.words])[item] if len(item) else item
-            slack = np.maximum(4, size // 4)
-            cell = (at - self.place[seed]) // slack  # which diagonal, coarsely
-            windows = np.unique(np.stack([item, row, cell], axis=1), axis=0) if len(at) else np.zeros((0, 3), np.int64)
+            windows = []
+            for n, (table, items, places) in self.seeds.items():
+                at, seed = table.find(grams(words, n))
+                ok = inside_rows(len(words), bounds, n)[at]
+                at, item, place = at[ok], items[seed[ok]], places[seed[ok]]
+                cell = (at - place) // self._slack(self.size[item])  # which diagonal, coarsely
+                windows.append(np.stack([item, np.searchsorted(bounds, at, "right") - 1, cell], axis=1))
+            windows = np.unique(np.concatenate(windows), axis=0) if windows else np.zeros((0, 3), np.int64)
             cuts = np.flatnonzero(np.diff(windows[:, 0])) + 1
             for part in np.split(windows, cuts) if len(windows) else []:
                 self._align(int(part[0, 0]), part[:, 1], part[:, 2], words, bounds, first, threshold, out)
         return out
 
+    @staticmethod
+    def _slack(m):
+        return np.maximum(4, m // 4)
+
     def _align(self, item, rows, cells, words, bounds, first, threshold, out) -> None:
         q = self.words[item]
         m = len(q)
-        slack = max(4, m // 4)
-        for s in range(0, len(rows), 512):
-            row, begin = rows[s : s + 512], cells[s : s + 512] * slack - slack
-            place = begin[:, None] + np.arange(m + 3 * slack)
+        slack, foreign = int(self._slack(m)), int(MATCH * m * (1 - threshold))
+        width = m + 2 * foreign + slack
+        step = max(1, CELLS // width)
+        for s in range(0, len(rows), step):
+            row, begin = rows[s : s + step], cells[s : s + step] * slack - foreign
+            place = begin[:, None] + np.arange(width)
             real = (place >= bounds[row][:, None]) & (place < bounds[row + 1][:, None])
             t = words[np.clip(place, 0, len(words) - 1)]
             shared = (np.isin(t, q) & real).sum(axis=1) >= threshold * m  # each aligned word adds MATCH at most
@@ -154,13 +168,13 @@ def local_alignment(q: np.ndarray, t: np.ndarray, real: np.ndarray) -> tuple[np.
     return best, end
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[Items]:
+def item_blocks(items: DataFrame, key: str, text: str, least: int) -> Iterator[Items]:
     """The items in blocks of at most about BLOCK_BYTES; their number follows from the table's size."""
     total = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     blocks = int(total // BLOCK_BYTES) + 1
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(blocks)) == k).select(key, text).orderBy(key, text).toArrow()
-        yield Items(rows[key].to_pylist(), rows[text].to_pylist())
+        yield Items(rows[key].to_pylist(), rows[text].to_pylist(), least)
 
 
 def finder(block, threshold: float, kind: str):
@@ -172,12 +186,12 @@ def finder(block, threshold: float, kind: str):
     return leaks
 
 
-def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, out: str = "leaks") -> DataFrame:
+def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, out: str = "leaks", least: int = MIN_WORDS) -> DataFrame:
     """Add ``out``: array<struct<item_id, score, first_word, last_word>>, the items that the text holds."""
     context = bounded_batches(docs).sparkSession.sparkContext
     kind = f"array<struct<item_id:{dict(items.dtypes)[item_key]},score:double,first_word:bigint,last_word:bigint>>"
     columns = []
-    for block in item_blocks(items, item_key, item_text):
+    for block in item_blocks(items, item_key, item_text, least):
         if not block.words:
             continue
         columns.append(finder(context.broadcast(block), threshold, kind)(F.col(text)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm.common import table
-from harrow.llm.search import K1, QUERY_TERMS, TOP, B, top_similar
+from harrow.llm.search import K1, TOP, B, top_similar
 
 NAME = "op1_search"
 
@@ -26,8 +26,7 @@ len AS (SELECT doc_id, count(*)::DOUBLE AS n FROM words GROUP BY ALL),
 stats AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT count(*) FROM words)::DOUBLE / (SELECT count(*) FROM documents) AS average),
 df AS (SELECT term, ln(1.0::DOUBLE + (any_value(stats.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY term),
 asked AS (
-  SELECT tf.doc_id AS query_id, tf.term, idf FROM tf JOIN df USING (term) WHERE tf.doc_id % 20 = 0
-  QUALIFY row_number() OVER (PARTITION BY tf.doc_id ORDER BY idf * (tf * ({K1} + 1) / (tf + {K1})) DESC, place) <= {QUERY_TERMS}),
+  SELECT tf.doc_id AS query_id, tf.term, idf FROM tf JOIN df USING (term) WHERE tf.doc_id % 20 = 0),
 scored AS (
   SELECT query_id, tf.doc_id, sum(round_even(idf * (tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * len.n / average))) * 1e6, 0)) AS score
   FROM asked JOIN tf USING (term) JOIN len ON len.doc_id = tf.doc_id, stats GROUP BY ALL)

@@ -17,6 +17,10 @@ among equal scores the smaller document id wins, and a range of larger ids with
 equal bound is pruned too. Tasks' hits are merged exactly, as all use the global
 statistics.
 
+A departure from the usual algorithm: there is no pivot that skips from document
+to document by a query's sorted lists, which numpy cannot do for many queries at
+once; the same bounds choose whole ranges of documents instead, best first.
+
 Queries are broadcast in blocks of about QUERY_BLOCK terms, a pass over the index
 each.
 

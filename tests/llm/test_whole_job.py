@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import duckdb
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from harrow.llm import decontamination, htmltext, q01_search
+from harrow.llm import decontamination, htmltext, licenses, q01_search, sharding, toxicity
 from tests.llm.test_llm import DOCS, brute_alignment, brute_search
 
 
@@ -28,17 +25,6 @@ def test_search_asks_with_whole_texts(spark, tmp_path):
     assert len(got) == 60  # the 16 heaviest terms of each are its own and find it alone
 
 
-def test_search_equals_the_sql_without_its_cut_of_terms(spark, sf):
-    """``ORACLE_SQL`` still keeps 16 terms of a query; without that line it is the whole job."""
-    sql = re.sub(r"\n  QUALIFY row_number\(\) OVER \(PARTITION BY tf\.doc_id .*? <= \d+\)", ")", q01_search.ORACLE_SQL)
-    assert sql.count("QUALIFY") == 1
-    c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = {tuple(map(round, (q, d, s * 1e6, r))) for q, d, s, r in c.execute(sql).fetchall()}
-    found = q01_search.query(spark, sf).select("query_id", "doc_id", "score", "rank").collect()
-    assert {tuple(map(round, (q, d, s * 1e6, r))) for q, d, s, r in found} == want
-
-
 # 7 decontamination
 
 
@@ -77,3 +63,118 @@ CARD = "<article><h3><a href=x>Teaser card</a></h3><p>Short words.</p></article>
 )
 def test_main_text_goes_by_content(html, text):
     assert htmltext.main_text(html).split("\n\n") == [x.strip() for x in text.split("\n")]
+
+
+def test_clustering_decides(monkeypatch):
+    """With the threshold out of the way, so that every line or none is content, these pages give other texts."""
+    short = "".join(f"<div><b>Tag</b> <i>{k}</i> word</div>" for k in range(40))
+    page = f"<body><div>{short}</div><div><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert htmltext.main_text(page) == f"{LONG.strip()}\n\n{LONG.strip()}"
+    for value in (-1.0, float("inf")):
+        monkeypatch.setattr(htmltext, "threshold", lambda values, v=value: v)
+        assert htmltext.main_text(page) != f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+# 4 toxicity
+
+
+def test_recall_on_labelled_rows_outside_the_sample(spark):
+    """Fitted on the labels that op2 may see, held against all others."""
+    import zlib
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    chain = toxicity.fit(docs, labels.where(~held))
+    scored = toxicity.with_toxicity(docs.join(labels.where(held), "doc_id"), chain).select("doc_id", "toxic", (F.col("toxicity.toxic") >= toxicity.REJECT).cast("int").alias("said")).toPandas()
+    assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in scored.doc_id)
+    right = ((scored.said == 1) & (scored.toxic == 1)).sum()
+    assert right / (scored.toxic == 1).sum() >= 0.9 and right / (scored.said == 1).sum() >= 0.95
+
+
+def test_earlier_probabilities_come_from_models_that_have_not_seen_the_row(monkeypatch):
+    """Marks, too, are chosen without the row: what is chosen in a fold uses labels of other rows only."""
+    seen = []
+    choose = toxicity.select_marks
+    monkeypatch.setattr(toxicity, "select_marks", lambda rows, marks, y: seen.append(len(y)) or choose(rows, marks, y))
+    texts = [f"plain words here {i}" + (" idiot moron" if i % 5 == 0 else "") for i in range(80)]
+    y = np.array([[i % 5 == 0, 0, i % 5 == 0] for i in range(80)], np.int64)
+    toxicity.train(texts, y, list(toxicity.CATEGORIES))
+    assert seen == [60, 60, 60, 60, 80]
+
+
+# 7 decontamination: every alignment that reaches the threshold and holds a seed
+
+
+@pytest.mark.parametrize("kind", ["replaced", "inserted", "one long insertion", "removed"])
+def test_recall_against_unseeded_alignment(spark, kind):
+    rng = np.random.default_rng(len(kind))
+    words = lambda n: list(rng.choice([f"t{i}" for i in range(3000)], n, replace=False))
+    items, texts = [words(int(n)) for n in rng.integers(5, 60, 25)], []
+    for item in items:
+        n = len(item)
+        if kind == "replaced":
+            copy = [f"x{k}" if rng.random() < 0.25 else w for k, w in enumerate(item)]
+        elif kind == "inserted":
+            copy = [w for k, x in enumerate(item) for w in ([x, f"y{k}"] if rng.random() < 0.4 else [x])]
+        elif kind == "removed":
+            copy = [w for w in item if rng.random() > 0.3]
+        else:
+            at = int(rng.integers(1, n))
+            copy = item[:at] + [f"z{k}" for k in range(int(0.9 * n))] + item[at:]
+        texts.append(words(40) + copy + words(40))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = decontamination.with_leaks(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS), bench)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in found.select("doc_id", F.inline("leaks")).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            runs = {tuple(t[k : k + 3]) for k in range(len(t) - 2)}
+            score = brute_alignment(item, t) / (2 * len(item))
+            if score >= 0.5 and any(tuple(item[k : k + 3]) in runs for k in range(len(item) - 2)):
+                want[i, j] = score
+    assert got == pytest.approx(want) and len(want) >= 10
+
+
+def test_short_items_on_demand_and_ties(spark):
+    bench = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, "one two three four"), (4, ""), (5, None), (6, "beta gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x Alpha y beta gamma z beta gamma"), (2, "one two three four"), (3, None), (4, "gamma beta")], DOCS)
+    asked = decontamination.with_leaks(docs, bench, least=1).select("doc_id", F.inline("leaks")).collect()
+    assert {(r["doc_id"], r["item_id"], r["first_word"]) for r in asked} == {(1, 1, 1), (1, 2, 3), (1, 6, 3), (2, 3, 0)}  # the first of two equally good places; a short item only as a whole
+    assert decontamination.with_leaks(docs, bench).where(F.size("leaks") > 0).count() == 0
+
+
+# 8 licenses
+
+
+def test_wrapped_notices_and_clashing_names(spark):
+    notice = "Permission is hereby granted,\n free of charge, to any person\n obtaining a copy of this\nsoftware and associated\r\n documentation files"
+    parted = notice.replace("\n obtaining", "\n\n obtaining")
+    far = notice.replace("\n", "\nfiller line here\nand another\n")
+    df = spark.createDataFrame([(1, notice), (2, parted), (3, far), (4, "x\n" * 50 + notice + "\ny" * 50), (5, None), (6, "")], DOCS)
+    for name in ("_lines", "_words", "lines", "label"):
+        df = df.withColumn(name, F.lit(7))
+    out = licenses.scan(df.withColumn("places", F.lit(1)))
+    assert out.columns == [*df.columns, "places", "n_words", "matches"] and out.where("_lines = 7 AND _words = 7").count() == 6
+    assert {r["doc_id"] for r in out.where(F.exists("matches", lambda m: m["label"] == "mit")).collect()} == {1, 4}
+    assert licenses.scan(df, n_words="a", places="b", matched="c").columns == [*df.columns, "a", "b", "c"]
+
+
+# 10 sharding
+
+
+def test_stored_map_versions_and_a_hot_key(spark, tmp_path):
+    docs = spark.createDataFrame([(i if i % 3 else 0, "x" * (i % 50)) for i in range(3000)], DOCS)  # a third of all rows has one key
+    records = sharding.record_sizes(docs)
+    path = str(tmp_path / "maps")
+    sharding.save_map(sharding.slot_map(sharding.slot_loads(records), 4), path)
+    first = sharding.load_map(spark, path)
+    sharding.save_map(sharding.grow(first, 4, 2), path)
+    second, old = sharding.load_map(spark, path), sharding.load_map(spark, path, 1)
+    assert (second.first()["version"], old.first()["version"]) == (2, 1)
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, first.collect()))
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.save_map(first, path)
+    for slots in (old, second):
+        out = sharding.assign(records, slots).toPandas()
+        assert len(out) == 3000 and all(sorted(g["position"]) == list(range(len(g))) for _, g in out.groupby("shard"))

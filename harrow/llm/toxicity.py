@@ -35,6 +35,10 @@ from harrow.llm.training import labelled_sample
 #: The chain, in order; the label table's expressions that define each category.
 CATEGORIES = {"toxic_prose": "int(toxic = 1 AND quality = 1)", "toxic_junk": "int(toxic = 1 AND quality = 0)", "toxic": "int(toxic = 1)"}
 MARKS, SUPPORT, GRAM, FOLDS, STEPS, PENALTY, REJECT = 256, 0.005, 5, 4, 200, 3e-6, 0.5
+#: Documents of the last category that hold a mark, at least.
+LEAST = 3
+#: Texts whose marks are held at once while fitting.
+BLOCK = 64
 #: Beginnings of longer words, in bytes, that are marks of their own: inflected forms share them.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Marks are selected at this chi-square at least (one degree of freedom; hardly a chance find among a hundred thousand).
@@ -85,6 +89,11 @@ def with_repeats(rows: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([rows[start], rows[twice]]), np.concatenate([marks[start], again(marks[twice])])
 
 
+def with_bases(chosen: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """What to look for in a text, sorted: the chosen marks, and those of ``every`` that some of them count."""
+    return np.union1d(chosen, every[np.isin(again(every), chosen)])
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (bias last) of a logistic model with a slight ridge penalty, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -154,7 +163,7 @@ def select_marks(rows: np.ndarray, marks: np.ndarray, y: np.ndarray) -> np.ndarr
     hit = np.bincount(at, weights=y[rows], minlength=len(names))
     expected = held * y.mean()
     chi = (hit - expected) ** 2 / np.maximum(expected * (1 - y.mean()) * (1 - held / len(y)), 1e-9)
-    able = np.flatnonzero((chi >= CHI_SQUARE) & (hit > expected) & (hit >= max(3, SUPPORT * y.sum())))
+    able = np.flatnonzero((chi >= CHI_SQUARE) & (hit > expected) & (hit >= max(LEAST, SUPPORT * y.sum())))
     able = np.sort(able[np.argsort(-chi[able], kind="stable")[: 2 * MARKS]])
     columns = presence(rows, marks, names[able], len(y))
     first: dict[bytes, int] = {}
@@ -164,9 +173,17 @@ def select_marks(rows: np.ndarray, marks: np.ndarray, y: np.ndarray) -> np.ndarr
 
 
 def train(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
-    each = [with_repeats(*held_marks([t]))[1] for t in texts]
-    rows = np.repeat(np.arange(len(texts)), [len(m) for m in each])
-    marks = np.concatenate([np.zeros(0, np.uint64), *each])
+    # no fold can choose a mark that LEAST documents of the last category do not hold; the others are never kept
+    name, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *[with_repeats(*held_marks([t]))[1] for t, y in zip(texts, labels[:, -1]) if y]]), return_counts=True)
+    able = name[count >= LEAST]
+    looked_up = with_bases(able, name)
+    held_rows, held = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for s in range(0, len(texts) if len(able) else 0, BLOCK):
+        row, mark = with_repeats(*held_marks(texts[s : s + BLOCK], looked_up))
+        known = able[np.minimum(np.searchsorted(able, mark), len(able) - 1)] == mark
+        held_rows.append(row[known] + s)
+        held.append(mark[known])
+    rows, marks = np.concatenate(held_rows), np.concatenate(held)
     y = labels.astype(np.float64)
     n, last = len(texts), len(categories) - 1
     fold = np.arange(n) % FOLDS  # rows come ordered by a hash
@@ -184,8 +201,7 @@ def train(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
     chosen = select_marks(rows, marks, y[:, -1])
     x = presence(rows, marks, chosen, n).astype(np.float64)
     weights = [logistic(np.hstack([x, unseen[:, :k]]), y[:, k]) for k in range(len(categories))]
-    every = np.unique(marks)
-    return Chain(categories, chosen, np.union1d(chosen, every[np.isin(again(every), chosen)]), weights)
+    return Chain(categories, chosen, with_bases(chosen, name), weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, text: str = "text") -> Chain:

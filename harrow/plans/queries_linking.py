@@ -282,10 +282,10 @@ R("registry_pick", "intel_log", sql="""WITH n AS (SELECT ip, origin, arg_max(dat
 
 @register_raw("extract_indicators")
 def _indicators(spark, sf_dir):
-    """Indicators of all kinds in whole documents and whole pages."""
+    """Indicators of all kinds in whole documents and in whole pages with their addresses."""
     rows = None
-    for source, key, text in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
-        part = spark.read.parquet(f"{sf_dir}/{source}.parquet").select(F.lit(source).alias("source"), F.col(key).alias("id"), F.col(text).alias("text"))
+    for source, key, texts in (("documents", "doc_id", ["text"]), ("pages", "page_id", ["url", "html"])):
+        part = spark.read.parquet(f"{sf_dir}/{source}.parquet").select(F.lit(source).alias("source"), F.col(key).alias("id"), F.concat_ws("\n", *texts).alias("text"))
         rows = part if rows is None else rows.unionByName(part)
     return E.extract_indicators(rows, "text", ["source", "id"], ())
 

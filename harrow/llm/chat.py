@@ -19,7 +19,7 @@ an empty table gives no rows; other columns are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens (words and 4 for the template) in a window, and of repeated history.
@@ -59,19 +59,21 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("cost", F.size(F.filter(F.split("text", "[\\x00-\\x20]+"), lambda w: w != "")) + F.lit(PER_TURN))
-    conversation = row.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "cost"))).alias("turns"))
+    # prefix sums while the turns pass in order; turns that are equal in all columns cost the same, so their order does not matter
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = row.withColumn("end", F.sum("cost").over(so_far))
+    conversation = row.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "cost", "end"))).alias("turns"))
     first = F.element_at("turns", 1)
     conversation = conversation.withColumn("lead", F.when(first["role"] == "system", 1).otherwise(0)).withColumn(
         "lead_cost", F.when(F.col("lead") == 1, first["cost"]).otherwise(0)
     )
-    # ends[i]: tokens of turns 0 .. i-1, a prefix sum with a leading 0
-    conversation = conversation.withColumn(
-        "ends", F.aggregate("turns", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["cost"])))
-    )
+    # ends[i]: tokens of turns 0 .. i-1
+    conversation = conversation.withColumn("ends", F.concat(F.array(F.lit(0).cast("long")), F.col("turns.end")))
+    most = max(0, history) // PER_TURN  # every turn costs PER_TURN or more, so no history has more turns
 
     def repeats(start: Column) -> Column:
         """First turn of the history before ``start``: whole turns within the limit, never the system turn."""
-        earlier = F.filter(F.sequence(F.col("lead"), start), lambda j: (F.get("ends", start) - F.get("ends", j)) <= history)
+        earlier = F.filter(F.sequence(F.greatest(F.col("lead"), start - most), start), lambda j: (F.get("ends", start) - F.get("ends", j)) <= history)
         return F.array_min(earlier)
 
     def next_start(starts: Column, i: Column) -> Column:

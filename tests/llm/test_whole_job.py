@@ -178,3 +178,24 @@ def test_stored_map_versions_and_a_hot_key(spark, tmp_path):
     for slots in (old, second):
         out = sharding.assign(records, slots).toPandas()
         assert len(out) == 3000 and all(sorted(g["position"]) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_long_conversation_and_bounded_history(spark):
+    """Windows by plain Python, on a conversation of many turns with costs around the history's limit."""
+    from harrow.llm import chat
+
+    sizes = [(7 * i * i + 3 * i) % 23 for i in range(3000)]
+    rows = [(1, 0, "system", "s s")] + [(1, i + 1, ("user", "assistant")[i % 2], "w " * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    for history in (0, 30, 96):
+        cost = [len(t.split()) + chat.PER_TURN for *_, t in rows]
+        starts, used = [0], 0
+        repeated = lambda s: max(n for n in range(s) if sum(cost[s - n : s]) <= history)
+        for i, c in enumerate(cost):
+            if i > 1 and used + c > 200:
+                starts.append(i)
+                used = cost[0] + sum(cost[i - repeated(i) : i])
+            used += c
+        want = [(k, 0 if k == 0 else 1 + repeated(s)) for k, s in enumerate(starts)]
+        got = chat.format_windows(df, 200, history).select("window", "n_repeated").orderBy("window").collect()
+        assert [tuple(r) for r in got] == want

@@ -22,7 +22,8 @@ to document by a query's sorted lists, which numpy cannot do for many queries at
 once; the same bounds choose whole ranges of documents instead, best first.
 
 Queries are broadcast in blocks of about QUERY_BLOCK terms, a pass over the index
-each.
+each. A block's hits are written before the next block is read, so the driver, the
+plan and the executors hold one block at a time, however many queries there are.
 
 Defined results: words are runs of letters, digits and non-ASCII, lower-cased
 A-Z; null and empty texts have none, match nothing and find nothing; rows
@@ -32,6 +33,7 @@ own; queries with equal terms are searched once; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.bytetext import ascii_words, groups, word_hashes
-from harrow.llm.common import bounded_batches, materialize, spread
+from harrow.llm.common import bounded_batches, materialize, scratch_dir, spread
 
 K1, B, SCALE = 1.2, 0.75, 1e6
 #: A shard is closed at so many documents or words; documents in a range.
@@ -52,6 +54,7 @@ HOT, HOT_TERMS = 25, 1024
 #: A query that is cut has the terms that weigh most in it: largest idf * tf (K1 + 1) / (tf + K1).
 QUERY_TERMS, TOP = 16, 10
 
+HITS = "query long, doc_id long, score long"
 INDEX = "n_docs long, n_words long, ids binary, lengths binary, terms binary, offsets binary, docs binary, tfs binary"
 
 
@@ -297,14 +300,14 @@ def search(index: DataFrame, queries: DataFrame, n_terms: int, k: int = TOP) ->
     blocks = n_terms // QUERY_BLOCK + 1
     # so many tasks that all cores work; each hands its best scores from shard to shard and gives its best hits once
     dealt = index.coalesce(2 * context.defaultParallelism)
-    parts = []
+    folder = f"{scratch_dir(index.sparkSession).rstrip('/')}/search-hits-{uuid.uuid4().hex}"
+    blocked = materialize(queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).repartition(blocks, "block"), "search-blocks")
     for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toArrow()
+        block = blocked.where(F.col("block") == b).select("query", "term", "idf").toArrow()
         held = context.broadcast(Queries(block["query"].to_numpy(), block["term"].to_numpy(), block["idf"].to_numpy()))
-        parts.append(dealt.mapInPandas(searcher(held, average, k), "query long, doc_id long, score long"))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+        dealt.mapInPandas(searcher(held, average, k), HITS).write.mode("append").parquet(folder)
+        held.destroy()
+    hits = index.sparkSession.read.schema(HITS).parquet(folder)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "doc_id", (F.col("score") / SCALE).alias("score"), "rank")
 

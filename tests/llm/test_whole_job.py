@@ -199,3 +199,13 @@ def test_long_conversation_and_bounded_history(spark):
         want = [(k, 0 if k == 0 else 1 + repeated(s)) for k, s in enumerate(starts)]
         got = chat.format_windows(df, 200, history).select("window", "n_repeated").orderBy("window").collect()
         assert [tuple(r) for r in got] == want
+
+
+def test_query_blocks_give_what_one_block_gives(spark, sf, monkeypatch):
+    from harrow.llm import search
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    asked = docs.where("doc_id % 20 = 0")
+    one = sorted(map(tuple, search.top_similar(docs, asked, terms=None).collect()))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 400)
+    assert sorted(map(tuple, search.top_similar(docs, asked, terms=None).collect())) == one and one

@@ -34,8 +34,8 @@ ACCEPT = 0.7
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
-def features(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(place, bucket) of all features of a byte array; places are ascending in each pair."""
+def features(data: np.ndarray, begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(place, bucket) of all features of a byte array of texts that start at ``begins``; places are ascending in each pair."""
     shift = np.uint32(32 - BUCKETS_LOG2)
     inside = data > 32
     text = np.where(inside, data, np.uint8(32)).astype(np.uint32)
@@ -56,7 +56,8 @@ def features(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     starts, ends = word_spans(inside)
     words = word_hashes(data, starts, ends)
     out.append((starts, (words >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)))
-    again = np.flatnonzero(words[1:] == words[:-1]) + 1
+    of = np.searchsorted(begins, starts, "right")  # a word that ends the text before is no repeat
+    again = np.flatnonzero((words[1:] == words[:-1]) & (of[1:] == of[:-1])) + 1
     out.append((starts[again], np.full(len(again), 1 << BUCKETS_LOG2)))
     return out
 
@@ -70,7 +71,7 @@ class Model:
         out = np.full(len(texts), self.bias)
         for first, data, starts in groups(texts):
             total, count = np.zeros(len(starts) - 1), np.zeros(len(starts) - 1)
-            for place, bucket in features(data):
+            for place, bucket in features(data, starts):
                 sums = np.concatenate([[0.0], np.cumsum(self.weights[bucket], dtype=np.float64)])
                 at = np.searchsorted(place, starts - 1)
                 total += sums[at[1:]] - sums[at[:-1]]
@@ -88,7 +89,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
         return Model(np.zeros(size, np.float32), float(np.log(p / (1 - p))))
     bags = []
     for t in texts:
-        found = [b for _, data, _ in groups([t]) for _, b in features(data)]
+        found = [b for _, data, starts in groups([t]) for _, b in features(data, starts)]
         ids, n = np.unique(np.concatenate(found), return_counts=True)
         bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(SEED)

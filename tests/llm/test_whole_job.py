@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 
@@ -209,3 +213,53 @@ def test_query_blocks_give_what_one_block_gives(spark, sf, monkeypatch):
     one = sorted(map(tuple, search.top_similar(docs, asked, terms=None).collect()))
     monkeypatch.setattr(search, "QUERY_BLOCK", 400)
     assert sorted(map(tuple, search.top_similar(docs, asked, terms=None).collect())) == one and one
+
+
+def plain_quality(model, text):
+    """The score of one text, feature by feature."""
+    from harrow.llm import quality
+    from harrow.llm.bytetext import word_hashes
+
+    multipliers = [int(m) for m in quality._MULTIPLIERS]
+    data = b" " + (text or "").encode() + b" "
+    buckets = []
+    for n in (3, 4):
+        for at in range(len(data) - n + 1):
+            gram = data[at : at + n]
+            if all(c > 32 for c in gram[1:-1]):
+                h = n
+                for c, m in zip(gram, multipliers):
+                    h = (h ^ (c if c > 32 else 32)) * m % 2**32
+                buckets.append(((h ^ h >> 15) * multipliers[0] % 2**32) >> 32 - quality.BUCKETS_LOG2)
+    words = [w for w in re.split(rb"[\x00-\x20]+", data) if w]
+    for w in words:
+        h = word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        buckets.append(int(h) >> 64 - quality.BUCKETS_LOG2)
+    buckets += [1 << quality.BUCKETS_LOG2 for a, b in zip(words, words[1:]) if a == b]
+    logit = model.bias + sum(float(model.weights[b]) for b in buckets) / max(1, len(buckets))
+    return 1 / (1 + math.exp(-max(-60, min(60, logit))))
+
+
+def test_quality_query_against_plain_python(spark, sf):
+    from harrow.llm import quality
+    from harrow.llm.common import table
+    from harrow.llm.q02_quality import held_out, query
+
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs.select("doc_id", "text"), table(spark, sf, "labels"), allowed=~held_out())
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    out = query(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(texts)
+    for r in out:
+        score = plain_quality(model, texts[r["doc_id"]])
+        assert math.isclose(r["score"], score, abs_tol=1e-6)
+        assert r["predicted"] == int(score >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_a_score_does_not_depend_on_the_texts_around_it():
+    from harrow.llm import quality
+
+    model = quality.Model(np.zeros((1 << quality.BUCKETS_LOG2) + 1, np.float32), 0.0)
+    model.weights[-1] = 5.0
+    texts = ["one two", "two three three", None, "three", ""]
+    assert list(model.scores(texts)) == [plain_quality(model, t) for t in texts] == [model.scores([t])[0] for t in texts]

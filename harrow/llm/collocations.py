@@ -1,18 +1,19 @@
 """Phrase collocations by Toivonen's mining: exact counts, wherever the sample errs.
 
-A bounded sample proposes phrases that are frequent. A full pass then counts, for
-every text, the phrases all of whose shorter parts are proposed: these are the
-proposed ones and their negative border, both exactly. A border phrase that turns
-out frequent means that longer phrases over it were not counted; it joins the
-proposals and a further pass counts what became countable only now, until no pass
-finds such a failure. A phrase is counted whole in exactly one pass, the first
-that admits it, so the result does not depend on the sample.
-
-Which phrases are proposed is told to the tasks by bit maps of their hashes, whose
-size is bounded. A false hit only counts a phrase that need not be; none is missed.
-Tasks count chunks of text with numpy over Arrow's dictionary of their words and
-give distinct phrases with their counts, which Spark sums before and after the
-shuffle. Equal phrases are equal strings there, never equal hashes only.
+A bounded sample proposes phrases that are frequent. A full pass then counts, in
+every text, the phrases all of whose shorter parts are proposed: the proposed ones
+and their negative border. A border phrase that turns out frequent means that
+longer phrases over it were not counted; it joins the proposals and a further pass
+counts what became countable only now, until no pass finds such a failure. A
+phrase is counted whole in exactly one pass, the first that admits it, so the
+result does not depend on the sample.
+
+These passes count phrases by 64-bit hashes: two phrases with one hash only make it
+look more frequent, so what they find holds every frequent phrase. A last pass
+counts what they found by its words, exactly. Tasks work on chunks of text with
+numpy and Arrow and give distinct phrases with their counts, which Spark sums
+before and after the shuffle; which phrases are proposed is told to them by bit
+maps of bounded size, whose false hits only count a phrase that need not be.
 
 Defined results: a null text is empty; a null group is ``und``; texts and pieces
 are whole, however long; repeated rows count again; ties are ordered by phrase; an
@@ -29,18 +30,22 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.bytetext import word_spans
+from harrow.llm.bytetext import mix, word_hashes, word_spans
 from harrow.llm.common import bounded_batches, lookup, marked, materialize
 
 #: Words of a phrase at most, occurrences at least, phrases of a group that are given, and the share (in 100) of a longer phrase that makes a part redundant.
 LONGEST, LEAST, TOP, PART = 3, 10, 2000, 50
 #: Documents of the sample (about), how often of a phrase's share it must hold it, and the bits of a map at most.
 SAMPLE_ROWS, LOWERED, MOST_BITS = 10_000, 0.5, 1 << 27
+#: Bits of a map for each phrase in it, up to that.
+KEY_BITS = 64
 #: Bytes of text that are counted at once; longer texts are cut where pieces end.
-CHUNK = 8 << 20
+CHUNK = 1 << 20
+#: Hashes that a task holds before it gives their counts.
+HELD = 3_000_000
 #: Parts in which a group's phrases are ranked before its best ones meet.
 PARTS = 64
 #: Bytes that end a piece, and that part words (fixed values).
@@ -51,25 +56,19 @@ _KIND[list(ENDS)] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TURN = 21
-_OUT = pa.schema([("grp", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+_HASHED = pa.schema([("size", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
+_SPELLED = pa.schema([("grp", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def turned(h: np.ndarray) -> np.ndarray:
     return (h << np.uint64(_TURN)) | (h >> np.uint64(64 - _TURN))
 
 
-def phrase_hash(group: Column, phrase: Column) -> Column:
-    """The hash that a phrase's bit is chosen by: its words' XXH64, turned and joined."""
-    words = F.transform(F.split(phrase, " "), lambda w: F.xxhash64(F.concat(group, F.lit("\t"), w)))
-    turn = lambda h: F.shiftleft(h, _TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - _TURN))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda h, w: turn(h).bitwiseXOR(w))
-
-
 def bit_map(known: DataFrame, size: int, most: int = MOST_BITS) -> np.ndarray:
-    """Bits of the known phrases of a size, by the lowest bits of their hash. At most ``most`` bits come to the driver."""
+    """Bits of the known hashes of a size. At most ``most`` bits come to the driver."""
     of_size = known.where(F.col("size") == size)
-    bits = int(min(most, max(1 << 15, 1 << (16 * max(1, of_size.count()) - 1).bit_length())))
-    at = of_size.select(phrase_hash(F.col("grp"), F.col("phrase")).bitwiseAND(F.lit(bits - 1)).alias("at"))
+    bits = int(min(most, max(1 << 15, 1 << (KEY_BITS * max(1, of_size.count()) - 1).bit_length())))
+    at = of_size.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("at"))
     pages = at.groupBy(F.expr("at div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for row in pages.toLocalIterator():
@@ -82,65 +81,106 @@ def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each key among the distinct ones, and these."""
-    return pd.factorize(keys)
-
-
-def count_chunk(texts: list[bytes], groups: list[str], maps: list[list[np.ndarray]] | None, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of what the last maps admit and no earlier ones did; without maps, of all. Words and each group's total are counted with the first maps only."""
-    data = _LOWER[np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)]
-    kind = _KIND[data]
-    starts, ends = word_spans(kind == 0)
-    if not len(starts):
-        return
-    # piece and text of every word; texts stand on lines of their own, so no piece spans two
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts]
-    text = np.searchsorted(np.cumsum([1] + [len(t) + 1 for t in texts]), starts, "right") - 1
-    names, group_of = np.unique(np.array(groups, object), return_inverse=True)
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    spelled = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[kind == 0].tobytes())).dictionary_encode()
-    codes, spelling = spelled.indices.to_numpy().astype(np.int64), spelled.dictionary
-    word, kinds = distinct(group_of[text].astype(np.int64) * len(spelling) + codes)
-    group, spell = kinds // len(spelling), kinds % len(spelling)
-    words = spelling.take(pa.array(spell))
-    hashes = np.array([xxhash.xxh64_intdigest(f"{names[g]}\t{w}".encode(), 42) for g, w in zip(group.tolist(), words.to_pylist())], np.uint64)
+class Words:
+    """The words of a chunk of texts: bytes, starts, ends, number of the piece, and number of the group among ``names``."""
+
+    def __init__(self, texts: list[bytes], groups: list[str]):
+        self.data = _LOWER[np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)]
+        self.kind = _KIND[self.data]
+        self.starts, self.ends = word_spans(self.kind == 0)
+        # texts stand on lines of their own, so no piece spans two
+        self.piece = np.cumsum(self.kind == 2, dtype=np.int32)[self.starts]
+        text = np.searchsorted(np.cumsum([1] + [len(t) + 1 for t in texts]), self.starts, "right") - 1
+        names, of_text = np.unique(np.array(groups, object), return_inverse=True)
+        self.names, self.group = names.tolist(), of_text[text]
+
+    def hashes(self) -> np.ndarray:
+        """Of each word with its group."""
+        groups = np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in self.names], np.uint64)
+        return mix(word_hashes(self.data, self.starts, self.ends) ^ groups[self.group])
+
+    def spelled(self) -> pa.DictionaryArray:
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int32)
+        letters = self.data[self.kind == 0].tobytes()
+        return pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+
+
+def next_size(at: np.ndarray, piece: np.ndarray, size: int) -> np.ndarray:
+    """Where in ``at`` (words at which phrases of ``size - 1`` begin) one begins that the next word's phrase continues in the same piece."""
+    here = np.flatnonzero(at[1:] == at[:-1] + 1)
+    begin = at[here]
+    return here[piece[begin] == piece[begin + size - 1]]
+
+
+def hashed(chunks: Iterator[Words], maps: list[list[np.ndarray]] | None, longest: int) -> Iterator[pa.RecordBatch]:
+    """Counts by hash of what the last maps admit and no earlier ones did; without maps, of all."""
+    held: dict[int, list[np.ndarray]] = {size: [] for size in range(1, longest + 1)}
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for size, parts in held.items():
+            number, kinds = pd.factorize(np.concatenate([*parts, np.zeros(0, np.uint64)]))
+            parts.clear()
+            if len(kinds):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), size, np.int32)), pa.array(kinds.view(np.int64)), pa.array(np.bincount(number))], schema=_HASHED)
+
+    for words in chunks:
+        for size, h in admitted_hashes(words, maps, longest):
+            held[size].append(h)
+        if sum(len(h) for parts in held.values() for h in parts) >= HELD:
+            yield from given()
+    yield from given()
+
+
+def admitted_hashes(words: Words, maps: list[list[np.ndarray]] | None, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    word = words.hashes()
+    at, h, new = np.arange(len(word)), word, np.full(len(word), maps is None or len(maps) == 1)
+    for size in range(1, longest + 1):
+        if size > 1:
+            here = next_size(at, words.piece, size)
+            if maps is None:
+                new = np.ones(len(here), bool)
+            else:
+                known = [has(m[size - 2], h) for m in maps]
+                admitted = [k[here] & k[here + 1] for k in known]
+                new = admitted[-1]
+                for earlier in admitted[:-1]:
+                    new = new & ~earlier
+                some = np.logical_or.reduce(admitted)
+                here, new = here[some], new[some]
+            h, at = turned(h[here]) ^ word[at[here] + size - 1], at[here]
+        yield size, h[new]
+
+
+def spelled(chunks: Iterator[Words], maps: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
+    for words in chunks:
+        yield from spelled_chunk(words, maps, longest)
+
+
+def spelled_chunk(words: Words, maps: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
+    """Counts by their words of the phrases whose hashes are in the maps, and of all words of each group (size 0)."""
 
     def rows(size: int, group: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        held = pa.array(names).cast(pa.string()).take(pa.array(group))
-        return pa.RecordBatch.from_arrays([held, pa.array(np.full(len(n), size, np.int32)), phrase.cast(pa.string()), pa.array(n.astype(np.int64))], schema=_OUT)
-
-    if maps is None or len(maps) == 1:
-        times = np.bincount(word, minlength=len(kinds))
-        yield rows(1, group, words, times)
-        total = np.bincount(group, weights=times, minlength=len(names)).astype(np.int64)
-        yield rows(0, np.arange(len(names)), pa.array([""] * len(names)), total)
-    # phrases of each size: at which word they begin, the number of the phrase, its hash, group and spelling
-    at, number = np.arange(len(word)), word
-    for size in range(2, longest + 1):
-        # where a phrase begins here and at the next word, inside one piece
-        nearby = np.flatnonzero(at[1:] == at[:-1] + 1)
-        left, right, begin = number[nearby], number[nearby + 1], at[nearby]
-        inside = piece[begin] == piece[begin + size - 1]
-        left, right, begin = left[inside], right[inside], begin[inside]
-        new = np.ones(len(left), bool)
-        if maps is not None:
-            known = [has(m[size - 2], hashes) for m in maps]
-            admitted = [k[left] & k[right] for k in known]
-            any_, new = np.logical_or.reduce(admitted), admitted[-1] & ~np.logical_or.reduce([np.zeros(len(left), bool), *admitted[:-1]])
-            left, begin, new = left[any_], begin[any_], new[any_]
-        last = word[begin + size - 1]
-        number, kinds_here = distinct(left.astype(np.int64) * len(kinds) + last)
-        first, end = kinds_here // len(kinds), kinds_here % len(kinds)
-        at = begin
-        phrases = pc.binary_join_element_wise(words.take(pa.array(first)) if size == 2 else phrases.take(pa.array(first)), words.take(pa.array(end)), " ")
-        if size == 2:
-            word_hash = hashes
-        hashes, group = turned(hashes[first]) ^ word_hash[end], group[first]
-        times = np.bincount(number[new], minlength=len(kinds_here))
-        some = np.flatnonzero(times)
-        if len(some):
-            yield rows(size, group[some], phrases.take(pa.array(some)), times[some])
+        return pa.RecordBatch.from_arrays([pa.array(words.names, pa.string()).take(pa.array(group)), pa.array(np.full(len(n), size, np.int32)), phrase, pa.array(n.astype(np.int64))], schema=_SPELLED)
+
+    yield rows(0, np.arange(len(words.names)), pa.array([""] * len(words.names)), np.bincount(words.group, minlength=len(words.names)))
+    word, every = words.hashes(), words.spelled()
+    spelling, code = every.dictionary, every.indices.to_numpy().astype(np.int64)
+    at, h, left = np.arange(len(word)), word, words.group.astype(np.int64)
+    phrases = group = None
+    for size in range(1, longest + 1):
+        if size > 1:
+            here = next_size(at, words.piece, size)
+            h, left, at = turned(h[here]) ^ word[at[here] + size - 1], number[here], at[here]
+        found = has(maps[size - 1], h)
+        at, h, left = at[found], h[found], left[found]
+        last = code[at + size - 1]
+        number, kinds = pd.factorize(left * len(spelling) + last)
+        if not len(kinds):
+            return
+        first, end = kinds // len(spelling), spelling.take(pa.array(kinds % len(spelling)))
+        phrases = end if size == 1 else pc.binary_join_element_wise(phrases.take(pa.array(first)), end, " ")
+        group = first if size == 1 else group[first]
+        yield rows(size, group, phrases, np.bincount(number))
 
 
 def pieces_of(text: bytes, most: int) -> Iterator[bytes]:
@@ -157,8 +197,7 @@ def pieces_of(text: bytes, most: int) -> Iterator[bytes]:
     yield text
 
 
-def count_texts(batches: Iterator[pa.RecordBatch], maps, longest: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    maps = maps.value if maps is not None else None
+def chunks_of(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[Words]:
     texts, groups, size = [], [], 0
     for batch in batches:
         for group, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -167,33 +206,43 @@ def count_texts(batches: Iterator[pa.RecordBatch], maps, longest: int, chunk: in
                 groups.append(group)
                 size += len(part)
                 if size >= chunk:
-                    yield from count_chunk(texts, groups, maps, longest)
+                    yield Words(texts, groups)
                     texts, groups, size = [], [], 0
     if texts:
-        yield from count_chunk(texts, groups, maps, longest)
+        yield Words(texts, groups)
+
 
+def count_texts(batches: Iterator[pa.RecordBatch], count, maps, longest: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    """``count`` of the texts (group, text), in chunks."""
+    return count((w for w in chunks_of(batches, chunk) if len(w.starts)), maps.value if maps is not None else None, longest)
 
-def counts(docs: DataFrame, maps: list[list[np.ndarray]] | None, longest: int, least: int) -> DataFrame:
-    """(grp, size, phrase, n) of ``docs`` (grp, text): phrases that occur ``least`` times; size 0: all words of the group."""
+
+def counts(docs: DataFrame, count, maps, longest: int, out: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(maps) if maps is not None else None
-    found = bounded_batches(docs).mapInArrow(partial(count_texts, maps=held, longest=longest, chunk=CHUNK), "grp string, size int, phrase string, n long")
-    return found.groupBy("grp", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+    return bounded_batches(docs).mapInArrow(partial(count_texts, count=count, maps=held, longest=longest, chunk=CHUNK), out)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Every phrase of up to ``longest`` words that occurs ``least`` times in its group, and each group's words (size 0), counted exactly. ``docs``: grp, text."""
+    """(grp, size, phrase, n): every phrase of up to ``longest`` words that occurs ``least`` times in its group, and each group's words (size 0), counted exactly. ``docs``: grp, text."""
+
+    def by_hash(rows: DataFrame, maps: list[list[np.ndarray]] | None, longest: int, least: int) -> DataFrame:
+        found = counts(rows, hashed, maps, longest, "size int, h long, n long")
+        return materialize(found.groupBy("size", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("size", "h"), "phrase-hashes")
+
     share = min(1.0, sample_rows / max(1, docs.count()))
-    proposed = counts(docs.sample(fraction=share, seed=7), None, longest - 1, max(2, round(LOWERED * least * share)))
-    known, counted, maps = materialize(proposed.where("size > 0").select("grp", "size", "phrase"), "phrases-proposed"), None, []
+    known = by_hash(docs.sample(fraction=share, seed=7), None, longest - 1, max(2, round(LOWERED * least * share)))
+    found, maps = None, []
     while True:
         maps.append([bit_map(known, size) for size in range(1, longest)])
-        found = materialize(counts(docs, maps, longest, least), "phrases-counted")
-        counted = found if counted is None else counted.unionByName(found)
-        keys = ["grp", "size", "phrase"]
-        failed = materialize(found.where(F.col("size").between(1, longest - 1)).select(keys).join(known, keys, "left_anti"), "phrases-border")
+        new = by_hash(docs, maps, longest, least)
+        found = new if found is None else found.unionByName(new)
+        failed = materialize(new.where(F.col("size") < longest).join(known, ["size", "h"], "left_anti"), "phrases-border")
         if failed.isEmpty():
-            return materialize(counted, "phrases")
+            break
         known = known.unionByName(failed)
+    exact = counts(docs, spelled, [bit_map(found, size) for size in range(1, longest + 1)], longest, "grp string, size int, phrase string, n long")
+    summed = exact.groupBy("grp", "size", "phrase").agg(F.sum("n").alias("n"))
+    return materialize(summed.where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
 
 
 def scored(counted: DataFrame, longest: int = LONGEST, part: int = PART) -> DataFrame:

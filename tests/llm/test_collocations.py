@@ -76,7 +76,7 @@ def test_long_texts_are_cut_where_pieces_end():
     assert b"".join(p + b"." for p in parts).replace(b",", b".") == text.replace(b",", b".") + b"."
     assert max(map(len, parts)) <= 50
     assert list(C.pieces_of(b"x" * 99, 50)) == [b"x" * 99]
-    chunk = [r for b in C.count_texts(iter([]), None, 3, 50) for r in b.to_pylist()]
+    chunk = [r for b in C.count_texts(iter([]), C.hashed, None, 3, 50) for r in b.to_pylist()]
     assert chunk == []
 
 

@@ -35,17 +35,21 @@ HOT_KEYS = 1000
 MOST_MARKS = 1_000_000
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` joined with ``right``, which has one row per key; both are written tables.
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined (``inner`` or ``left``) with ``right``, which has one row per key; both are written tables.
 
     Rows with a hot key never meet in one task: the right side's rows of hot
-    keys, under HOT_KEYS of them whatever the size, are broadcast.
+    keys, under HOT_KEYS of them whatever the size, are broadcast. Rows without a
+    key are not joined at all.
     """
+    keys = [key] if isinstance(key, str) else key
     limit = max(1, left.count() // HOT_KEYS)
-    hot = left.groupBy(key).count().where(F.col("count") > limit).select(key)
-    hot = materialize(right.join(F.broadcast(hot), key, "left_semi"), "hot-keys")
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
-    return rest.unionByName(left.join(F.broadcast(hot), key).select(*rest.columns))
+    whole = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    hot = materialize(left.where(whole).groupBy(*keys).count().where(F.col("count") > limit).select(*keys), "hot-keys")
+    known = materialize(hot.join(right, keys, how), "hot-rows")
+    rest = left.where(whole).join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
+    out = rest.unionByName(left.where(whole).join(F.broadcast(known), keys).select(*rest.columns))
+    return out.unionByName(left.where(f"NOT ({whole})"), allowMissingColumns=True) if how == "left" else out
 
 
 def marked(df: DataFrame, marks: DataFrame, keys: list[str], how: str) -> DataFrame:

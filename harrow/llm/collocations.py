@@ -71,7 +71,7 @@ def bit_map(known: DataFrame, size: int, most: int = MOST_BITS) -> np.ndarray:
     at = of_size.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("at"))
     pages = at.groupBy(F.expr("at div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
-    for row in pages.toLocalIterator():
+    for row in pages.collect():
         out[row["page"] * 4096 : (row["page"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
     return out
 

@@ -11,12 +11,14 @@ the threshold can hold 2 m (1 - threshold) foreign words beside an item's m, and
 so many words on both sides are aligned: no longer copy reaches it.
 
 Items are a test set: small beside the corpus. They are broadcast in blocks of a
-checked size, a pass each. Texts are never shuffled.
-
-Defined results: a null or empty text has no leaks; items of under ``least``
-words (MIN_WORDS if it is not given; 1 takes all that have a word) cannot be told
-from chance and match nothing; of equally good alignments with an item the first
-counts; items without an id or with
+checked size. If there are several, each block's hits are written before the next
+block is made, so neither plan nor memory grows with their number. Texts are never
+shuffled.
+
+Defined results: a null or empty text has no leaks; items of under WHOLE words
+cannot be told from chance by half of them, so they match as whole copies only;
+items without a word, and those of under ``least`` words if it is given, match
+nothing; of equally good alignments with an item the first counts; items without an id or with
 equal ids are items of their own; whole texts are searched; rows are
 independent, so repeated rows repeat their result; an empty table on either side
 gives no leaks.
@@ -31,10 +33,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import bounded_batches
+from harrow.llm.common import bounded_batches, fresh, materialize
 from harrow.llm.bytetext import ascii_words, groups, mix, word_hashes
 
-GRAM, MIN_WORDS, THRESHOLD = 3, 5, 0.5
+GRAM, WHOLE, THRESHOLD = 3, 5, 0.5
 #: Bytes of item text in a broadcast block.
 BLOCK_BYTES = 16 << 20
 #: Words of windows that are aligned side by side.
@@ -88,7 +90,7 @@ class Table:
 class Items:
     """A block of test items, as words and n-grams."""
 
-    def __init__(self, ids: list, texts: list[str | None], least: int = MIN_WORDS):
+    def __init__(self, ids: list, texts: list[str | None], least: int = 1):
         self.ids, self.words = [], []
         for first, words, bounds in words_of(texts):
             for k in range(len(bounds) - 1):
@@ -126,6 +128,7 @@ class Items:
     def _align(self, item, rows, cells, words, bounds, first, threshold, out) -> None:
         q = self.words[item]
         m = len(q)
+        threshold = threshold if m >= WHOLE else 1.0
         slack, foreign = int(self._slack(m)), int(MATCH * m * (1 - threshold))
         width = m + 2 * foreign + slack
         step = max(1, CELLS // width)
@@ -168,13 +171,16 @@ def local_alignment(q: np.ndarray, t: np.ndarray, real: np.ndarray) -> tuple[np.
     return best, end
 
 
-def item_blocks(items: DataFrame, key: str, text: str, least: int) -> Iterator[Items]:
-    """The items in blocks of at most about BLOCK_BYTES; their number follows from the table's size."""
+def item_blocks(items: DataFrame, key: str, text: str, least: int) -> tuple[int, Iterator[Items]]:
+    """How many blocks of at most about BLOCK_BYTES the items make, which follows from the table's size, and the blocks. Equal texts are spread by their keys."""
     total = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     blocks = int(total // BLOCK_BYTES) + 1
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(blocks)) == k).select(key, text).orderBy(key, text).toArrow()
-        yield Items(rows[key].to_pylist(), rows[text].to_pylist(), least)
+
+    def made(k: int) -> Items:
+        rows = items.where(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(key).cast("string")), F.lit(blocks)) == k).select(key, text).orderBy(key, text).toArrow()
+        return Items(rows[key].to_pylist(), rows[text].to_pylist(), least)
+
+    return blocks, (made(k) for k in range(blocks))
 
 
 def finder(block, threshold: float, kind: str):
@@ -186,13 +192,23 @@ def finder(block, threshold: float, kind: str):
     return leaks
 
 
-def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, out: str = "leaks", least: int = MIN_WORDS) -> DataFrame:
+def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, out: str = "leaks", least: int = 1) -> DataFrame:
     """Add ``out``: array<struct<item_id, score, first_word, last_word>>, the items that the text holds."""
     context = bounded_batches(docs).sparkSession.sparkContext
     kind = f"array<struct<item_id:{dict(items.dtypes)[item_key]},score:double,first_word:bigint,last_word:bigint>>"
-    columns = []
-    for block in item_blocks(items, item_key, item_text, least):
-        if not block.words:
-            continue
-        columns.append(finder(context.broadcast(block), threshold, kind)(F.col(text)))
-    return docs.withColumn(out, F.concat(*columns) if columns else F.array().cast(kind))
+    found_by = lambda block: finder(context.broadcast(block), threshold, kind)(F.col(text))
+    rows, blocks = item_blocks(items, item_key, item_text, least)
+    if rows == 1:
+        block = next(blocks)
+        return docs.withColumn(out, found_by(block) if block.words else F.array().cast(kind))
+    row, leaks, hits = fresh(docs, "_row"), fresh(docs, "_leaks"), None
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "leak-texts")
+    for block in blocks:
+        if block.words:
+            new = materialize(docs.select(row, found_by(block).alias("_found")).where(F.size("_found") > 0), "leak-hits")
+            hits = new if hits is None else hits.unionByName(new)
+    none = F.array().cast(kind)
+    if hits is None:
+        return docs.drop(row).withColumn(out, none)
+    every = hits.select(row, F.explode("_found").alias("_leak")).groupBy(row).agg(F.array_sort(F.collect_list("_leak")).alias(leaks))
+    return docs.join(every, row, "left").withColumn(out, F.coalesce(leaks, none)).drop(row, leaks)

@@ -1,23 +1,28 @@
 """License scan: an exact set-similarity join of text blocks against templates.
 
-A block is a set of words: those of one line of a text, or of WRAP neighbouring
-lines of a paragraph (all of it if it has fewer), as notices are wrapped.
-Paragraphs end at blank lines. A template is met when the block holds at least
-``threshold`` of its words. Tokens are ordered by their
-document frequency over all texts, rarest first. A template's prefix are its
-``size - need + 1`` rarest tokens: a block that meets it holds one of them. What
-shares a prefix token is held against the length filter (enough template words
-in the block at all) and the positional filter (enough words left behind the
-shared one), and only then are the sets intersected. So every qualifying pair is
-found, and most lines stop at one small intersection.
+A block is any run of consecutive words of a paragraph, of a template's ``span``:
+as many words as leave the template's own the threshold's share. Lines may end
+anywhere in it; paragraphs end at blank lines. A template is met when a block holds
+at least ``threshold`` of its words, and of those of its words that no other
+template has, so that a notice without its name is no notice of that name.
+
+Tokens are ordered by their document frequency over all texts, rarest first. A
+template's prefix are its ``size - need + 1`` rarest tokens: a block that meets it
+holds one of them. An index leads from prefix tokens to templates, so a paragraph
+meets only templates that it shares one with; the length filter (enough of the
+template's words in the paragraph at all) comes next, and the positional filter:
+only blocks around the prefix tokens' places are read, which begin at a template
+word. Every qualifying pair is found, and most paragraphs stop at one small
+intersection.
 
 Templates are parameters, so their size is bounded; texts are never shuffled,
 and only one count per template token comes back to the driver.
 
 Defined results: null and empty texts have no words and no labels; whole texts
-are scanned; a template that several blocks meet is given for each of them;
-repeated rows repeat their result; other columns pass through, whatever their
-names, but one with the name of an output, which is a parameter, is replaced.
+are scanned; a template that several paragraphs meet is given for each of them,
+with its best block's score; repeated rows repeat their result; other columns pass
+through, whatever their names, but one with the name of an output, which is a
+parameter, is replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +33,6 @@ from pyspark.sql import functions as F
 from harrow.llm.common import fresh
 
 THRESHOLD = 0.8
-#: Neighbouring lines that are read as one block.
-WRAP = 6
 #: Phrases whose words must stand consecutively, and their labels (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Templates: label and words of a license notice (fixed values).
@@ -72,41 +75,60 @@ def token_order(words: DataFrame, lines: str, templates=TEMPLATES) -> list[str]:
     return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
 
 
-def matches(lines: Column, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD, wrap: int = WRAP) -> Column:
-    """array<struct<label, score>>: every (block, template) pair that meets the threshold."""
+def own_words(templates=TEMPLATES) -> dict[tuple[str, str], set[str]]:
+    """Per template its words that no other has."""
+    sets = {t: set(t[1].split()) for t in templates}
+    return {t: words - set().union(*(other for u, other in sets.items() if u != t)) for t, words in sets.items()}
+
+
+def at_least(threshold: float, n: int) -> int:
+    return -int(-threshold * n // 1)
+
+
+def span_of(words: str, threshold: float = THRESHOLD) -> int:
+    """Words of a block: the template's are the threshold's share of them."""
+    return -int(-len(words.split()) / threshold // 1)
+
+
+def matches(lines: Column, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """array<struct<label, score>>: every (paragraph, template) pair with a block that meets the threshold, and its best score."""
     rank = {t: i for i, t in enumerate(order)}
-    arr = lambda ts: F.array(*map(F.lit, ts))
-    plans = []
-    for label, words_ in templates:
-        tokens = sorted(set(words_.split()), key=rank.__getitem__)
-        need = -int(-threshold * len(tokens) // 1)
-        plans.append((label, tokens, need, tokens[: len(tokens) - need + 1]))
-    prefixes = arr(sorted({t for p in plans for t in p[3]}, key=rank.__getitem__))
-    least = min(p[2] for p in plans)
-    vocabulary = arr(order)
-    # a block's template words come out in the global order, as array_intersect keeps the order of its first array
-    likely = lambda b: (F.size(b) >= least) & F.arrays_overlap(b, prefixes)
+    arr = lambda ts: F.array(*map(F.lit, ts)) if ts else F.array().cast("array<string>")
+    own, plans, index = own_words(templates), [], {}
+    for k, (label, words) in enumerate(templates):
+        tokens = sorted(set(words.split()), key=rank.__getitem__)
+        need = at_least(threshold, len(tokens))
+        prefix, marks = tokens[: len(tokens) - need + 1], sorted(own[label, words])
+        for t in prefix:
+            index.setdefault(t, []).append(k)
+        fields = {"label": F.lit(label), "tokens": arr(tokens), "need": F.lit(need), "prefix": arr(prefix), "marks": arr(marks), "few": F.lit(at_least(threshold, len(marks))), "span": F.lit(span_of(words, threshold))}
+        plans.append(F.struct(*[v.alias(c) for c, v in fields.items()]))
+    rare = sorted(index, key=rank.__getitem__)
+    prefixes, postings, every = arr(rare), F.array(*[F.array(*map(F.lit, index[t])) for t in rare]), F.array(*plans)
     words_of = lambda text: F.split(F.trim(text), "[ \\n]+")
-    of_lines = F.filter(F.transform(F.split(lines, "\\n"), words_of), likely)
-    # only paragraphs of several lines that hold a rare word are cut into runs of lines
-    paragraphs = F.filter(F.split(lines, "\\n *(?:\\n *)+"), lambda p: F.contains(p, F.lit("\n")) & likely(words_of(p)))
-    runs = lambda ls: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls) - (wrap - 1), F.lit(1))), lambda i: words_of(F.array_join(F.slice(ls, i, F.lit(wrap)), " ")))
-    of_runs = F.filter(F.flatten(F.transform(F.transform(paragraphs, lambda p: F.split(p, "\\n")), runs)), likely)
-    blocks = F.transform(F.concat(of_lines, of_runs), lambda b: F.array_intersect(vocabulary, b))
-
-    def against(block: Column, plan) -> Column:
-        label, tokens, need, prefix = plan
-        shared = F.array_intersect(arr(prefix), block)
-        first = F.element_at(shared, 1)
-        left = 1 + F.least(F.lit(len(tokens)) - F.array_position(arr(tokens), first), F.size(block) - F.array_position(block, first))
-        both = F.size(F.array_intersect(arr(tokens), block))
-        return F.when(
-            (F.size(block) >= need) & (F.size(shared) > 0),
-            F.when((left >= need) & (both >= need), F.struct(F.lit(label).alias("label"), (both / F.lit(float(len(tokens)))).alias("score"))),
-        )
-
-    found = F.transform(blocks, lambda b: F.array(*[against(b, p) for p in plans]))
-    return F.filter(F.flatten(found), lambda m: m.isNotNull())
+
+    def blocks(words: Column, plan: Column) -> Column:
+        """The best score of the blocks that begin at a template word and hold a prefix token; null if none meets the threshold."""
+        places = lambda tokens: F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(tokens, w), i)), lambda i: i.isNotNull())
+
+        def around(at: Column) -> Column:
+            seeds, starts = at["seeds"], at["starts"]
+            near = F.filter(starts, lambda i: F.exists(seeds, lambda p: (p >= i) & (p < i + plan["span"])))
+            read = F.transform(near, lambda i: F.slice(words, i + 1, plan["span"]))
+            both = lambda block: F.size(F.array_intersect(plan["tokens"], block))
+            good = F.filter(read, lambda block: (both(block) >= plan["need"]) & (F.size(F.array_intersect(plan["marks"], block)) >= plan["few"]))
+            return F.array_max(F.transform(good, both))
+
+        return F.get(F.transform(F.array(F.struct(places(plan["prefix"]).alias("seeds"), places(plan["tokens"]).alias("starts"))), around), F.lit(0))
+
+    def met(words: Column) -> Column:
+        shared = F.transform(F.array_intersect(prefixes, words), lambda t: F.get(postings, F.array_position(prefixes, t).cast("int") - 1))
+        likely = F.filter(F.transform(F.array_distinct(F.flatten(shared)), lambda k: F.get(every, k)), lambda p: F.size(F.array_intersect(p["tokens"], words)) >= p["need"])
+        scored = F.transform(likely, lambda p: F.struct(p["label"].alias("label"), (blocks(words, p) / F.size(p["tokens"])).alias("score")))
+        return F.filter(scored, lambda m: m["score"].isNotNull())
+
+    paragraphs = F.filter(F.transform(F.split(lines, "\\n *(?:\\n *)+"), words_of), lambda ws: F.arrays_overlap(ws, prefixes))
+    return F.flatten(F.transform(paragraphs, met))
 
 
 def phrase_places(text: Column, phrases=PHRASES) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm.common import table
-from harrow.llm.licenses import LOWER, PHRASES, TEMPLATES, THRESHOLD, UPPER, WRAP, scan
+from harrow.llm.licenses import LOWER, PHRASES, TEMPLATES, THRESHOLD, UPPER, at_least, own_words, scan, span_of
 
 NAME = "op8_licenses"
 
@@ -35,23 +35,29 @@ _PLACES = " UNION ALL ".join(
     f"SELECT doc_id, r, unnest(list_filter(range(0, len(w)), lambda i: {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split(), 1))})) AS place, '{label}' AS label FROM words"
     for phrase, label in PHRASES.items()
 )
-_TEMPLATES = ", ".join(f"('{label}', list_distinct(string_split('{words}', ' ')))" for label, words in TEMPLATES)
+_OWN = own_words()
+_TEMPLATES = ", ".join(
+    f"({k}, '{label}', list_distinct(string_split('{words}', ' ')), {sorted(_OWN[label, words])}::VARCHAR[], {at_least(THRESHOLD, len(_OWN[label, words]))}, {span_of(words)})" for k, (label, words) in enumerate(TEMPLATES)
+)
 ORACLE_SQL = f"""
 WITH words AS (
   SELECT doc_id, row_number() OVER () AS r, text, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_WORD}') AS w FROM documents),
 places AS ({_PLACES}),
-templates(label, tokens) AS (VALUES {_TEMPLATES}),
+templates(k, label, tokens, marks, few, span) AS (VALUES {_TEMPLATES}),
 raw AS (
   SELECT r, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT r, string_split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), chr(10)) AS l FROM words)),
 worded AS (SELECT r, i, regexp_extract_all(line, '{_WORD}') AS w FROM raw),
 parts AS (SELECT r, i, w, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS part FROM worded),
-runs AS (
-  SELECT r, w, flatten(list(w) OVER run) AS b, count(*) OVER run AS held, row_number() OVER (PARTITION BY r, part ORDER BY i) AS k FROM parts WHERE len(w) > 0
-  WINDOW run AS (PARTITION BY r, part ORDER BY i ROWS BETWEEN CURRENT ROW AND {WRAP - 1} FOLLOWING)),
-lines AS (SELECT r, list_distinct(w) AS b FROM runs UNION ALL SELECT r, list_distinct(b) FROM runs WHERE held = {WRAP} OR k = 1),
+paragraphs AS (SELECT r, part, flatten(list(w ORDER BY i)) AS w FROM parts WHERE len(w) > 0 GROUP BY r, part),
+spread AS (SELECT r, part, generate_subscripts(w, 1) AS p, unnest(w) AS t FROM paragraphs),
+tokens AS (SELECT k, span, unnest(tokens) AS t, marks FROM templates),
+held AS (SELECT r, part, p, spread.t, k, span, list_contains(marks, spread.t) AS mark FROM spread JOIN tokens USING (t)),
+blocks AS (
+  SELECT a.r, a.part, a.p, a.k, count(DISTINCT b.t) AS n, count(DISTINCT CASE WHEN b.mark THEN b.t END) AS marked
+  FROM held a JOIN held b ON b.r = a.r AND b.part = a.part AND b.k = a.k AND b.p BETWEEN a.p AND a.p + a.span - 1 GROUP BY 1, 2, 3, 4),
 met AS (
-  SELECT r, label, len(list_intersect(b, tokens)) / len(tokens) AS score FROM lines, templates
-  WHERE len(list_intersect(b, tokens)) >= ceil({THRESHOLD} * len(tokens))),
+  SELECT r, part, label, max(n) / any_value(len(tokens)) AS score FROM blocks JOIN templates USING (k)
+  WHERE n >= ceil({THRESHOLD} * len(tokens)) AND marked >= few GROUP BY r, part, k, label),
 base AS (SELECT r, count(*) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r),
 best AS (SELECT r, max(score) AS score FROM met GROUP BY r),
 every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM met UNION ALL SELECT r, label FROM places) GROUP BY r)

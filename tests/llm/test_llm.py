@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -283,7 +284,7 @@ def test_decontamination(spark):
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900 + k, r[1]) for k, r in enumerate(HARD)]
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(8, None), (9, "")], "item_id long, text string")
     out = decontamination.with_leaks(spark.createDataFrame(docs, DOCS), bench).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*").collect()
-    assert {(r["doc_id"], r["item_id"]) for r in out} == {(3, 0), (9, 1), (11, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(3, 0), (9, 1), (11, 2), (12, 3)}  # the item of four words as a whole copy
     exact = next(r for r in out if r["doc_id"] == 3)
     assert (exact["score"], exact["first_word"], exact["last_word"]) == (1.0, 50, 79)
     assert decontamination.with_leaks(empty(spark), bench).count() == 0
@@ -309,6 +310,48 @@ def test_alignment():
 # 8 licenses
 
 
+def plain_licenses(text, templates, threshold=0.8):
+    """(label, score) of every paragraph and template: all runs of as many words as a block has."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    parts = [[]]
+    for line in low.split("\n"):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
+        parts = [*parts[:-1], parts[-1] + words] if words else [*parts, []]
+    out = []
+    for label, notice in templates:
+        tokens = set(notice.split())
+        own = tokens - set().union(*(set(n.split()) for x, n in templates if (x, n) != (label, notice)))
+        span = math.ceil(len(notice.split()) / threshold - 1e-9)
+        for part in parts:
+            blocks = [set(part[k : k + span]) for k in range(len(part))]
+            best = [len(b & tokens) for b in blocks if len(b & tokens) >= threshold * len(tokens) - 1e-9 and len(b & own) >= threshold * len(own) - 1e-9]
+            if best:
+                out.append((label, max(best) / len(tokens)))
+    return sorted(out)
+
+
+def test_licenses_random(spark):
+    """Copies with words changed, dropped and put in, cut into lines; and hundreds of templates."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(80):
+        words = rng.choice(licenses.TEMPLATES)[1].split()
+        words = [w if rng.random() > 0.15 else rng.choice(["the", "mit", "x", "license"]) for w in words if rng.random() > 0.1]
+        for _ in range(rng.randrange(5)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["any", "of", "mit", "gnu"]))
+        texts.append("".join(w + rng.choice([" ", "\n", ", ", " \n ", "\n\n" if rng.random() < 0.1 else " "]) for w in words))
+    texts += ["licensed under the apache license version 2 0\nmit der zeit\n", "released under the apache license", "Released under the MIT license.", "mit " * 500 + "released under the mit license", "released under the\n\nmit license"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    many = licenses.TEMPLATES + [(f"made-{k}", " ".join(f"w{(k * 7 + j * j) % 900}" for j in range(5 + k % 25))) for k in range(500)]
+    texts += [many[k][1] for k in range(20, 500, 60)]
+    for templates, rows in ((licenses.TEMPLATES, texts[:85]), (many, texts[60:])):
+        df = spark.createDataFrame(list(enumerate(rows)), DOCS)
+        for r in licenses.scan(df, templates=templates).collect():
+            want = plain_licenses(rows[r["doc_id"]], templates)
+            assert sorted((m["label"], round(m["score"], 9)) for m in r["matches"]) == [(label, round(s, 9)) for label, s in want], rows[r["doc_id"]]
+    assert [x[0] for x in plain_licenses(texts[80], licenses.TEMPLATES)] == ["apache-2"] and not plain_licenses(texts[81], licenses.TEMPLATES) and [x[0] for x in plain_licenses(texts[82], licenses.TEMPLATES)] == ["mit-line"]
+
+
 def test_licenses(spark):
     texts = ["a\nPermission is hereby granted,\n free of charge, to any person\n obtaining a copy of this\nsoftware and associated\r\n documentation files\nb\nc\nd\n \ne", "MIT License\nApache License", "x\ncc by cc by", "mit licenses cc  by", "This program is free software: you can redistribute it and/or modify it under terms of the GNU General Public License as published by Free Software Foundation", None, "", "İ mit\nlicense", "a " * 5000 + "MIT license"]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
@@ -317,13 +360,7 @@ def test_licenses(spark):
     for r, w in zip(out, words):
         places = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
         assert r["n_words"] == len(w) and sorted((p["place"], p["label"]) for p in r["places"]) == places
-        each = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)) for x in (texts[r["doc_id"]] or "").split("\n")]
-        lines, part = [set(x) for x in each], []
-        for x in [*each, []]:
-            if not x and len(part) > 1:
-                lines += [set().union(*part[k : k + licenses.WRAP]) for k in range(max(1, len(part) - licenses.WRAP + 1))]
-            part = [*part, x] if x else []
-        met = sorted(label for x in lines for label, t in licenses.TEMPLATES if len(x & set(t.split())) >= 0.8 * len(set(t.split())) - 1e-9)
+        met = [label for label, score in plain_licenses(texts[r["doc_id"]] or "", licenses.TEMPLATES)]
         assert sorted(m["label"] for m in r["matches"]) == met
     assert licenses.scan(empty(spark)).count() == 0
     assert licenses.scan(hard(spark, "score")).count() == len(HARD)

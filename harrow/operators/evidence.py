@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.columns import AGENT_LABELS, WEAK_LABELS, normalize_text
+from harrow.functions.columns import AGENT_LABELS, WEAK_LABELS, normalize_text, path_shape
 from harrow.operators.stats import DAY, keep_top
 
 #: Verdicts, first match wins: name, whether an exit is enough, and alternatives of (kinds that are there, kinds that are not) (fixed values).
@@ -244,10 +244,19 @@ def new_shapes(rollup: DataFrame, since: int, unknown_only: bool = False) -> Dat
     return rows.where("hits = 0") if unknown_only else rows
 
 
-def rules_agreement(requests: DataFrame, stored: str, fresh: str, n: int = 500) -> DataFrame:
-    """Newest n per node: how many carry other labels than a fresh classification."""
+def rules_agreement(requests: DataFrame, stored: str, fresh: list[str], n: int = 500, severities: tuple[str, list[str]] | None = None) -> DataFrame:
+    """Newest n per node: how many carry other labels, or another severity, than a fresh classification, and in percent.
+
+    A source's history is not quite known afterwards; ``fresh`` (and the second of
+    ``severities``) name the results under each way to read it, and a row agrees
+    if it agrees with one of them whole.
+    """
     newest = keep_top(requests, ["origin"], [F.desc("t"), F.desc("id")], n)
-    return newest.groupBy("origin").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col(stored).eqNullSafe(F.col(fresh))).alias("differ"))
+    same = [F.col(stored).eqNullSafe(F.col(f)) for f in fresh]
+    if severities:
+        same = [a & F.col(severities[0]).eqNullSafe(F.col(s)) for a, s in zip(same, severities[1], strict=True)]
+    counts = newest.groupBy("origin").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~_any(same)).alias("differ"))
+    return counts.withColumn("percent", F.col("differ") * 100 / F.col("checked"))
 
 
 def rules_carried(requests: DataFrame, fingerprint: str, n: int = 500) -> DataFrame:
@@ -268,47 +277,111 @@ PRINTABLE = r"^[\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFF]+$"
 DEPTH = 6
 
 
+#: Commands and functions that fetch what they are given, hosts that are no one's, and local names (fixed values).
+FETCHERS = "wget curl tftp ftpget fetch lwp-download iwr invoke-webrequest certutil bitsadmin file_get_contents fopen urlretrieve urlopen include_once include require_once require copy".split()
+LOCAL_NAMES = "localhost localdomain local internal intranet lan home corp test invalid example".split()
+NOT_PUBLIC = r"^(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])|22[4-9]|2[3-5][0-9])\."
+#: A command that fetches, up to the end of its statement; functions that run what they are given; tools.
+FETCHED = rf"(?i)\b(?:{'|'.join(FETCHERS)})\b([^\n;|]*)"
+EXECUTED = r"(?i)\b(?:system|exec|shell_exec|passthru|popen|proc_open|eval|assert)\s*\("
+TOOLS, SSH_KEY = r"(?i)\b(wget|curl|busybox|tftp)\b", r"(ssh-(?:rsa|ed25519) [A-Za-z0-9+/=]{20,})"
+
+
 def opened(at: Column) -> Column:
-    """array<string>: what the percent, escape, hexadecimal and base64 layers of a text hold, every run of it; only printable text counts."""
+    """array<struct<text, via>>: what the percent, escape, hexadecimal and base64 layers of a text hold, every run of it; only printable text counts."""
     text = lambda b: F.try_validate_utf8(b.cast("string"))
     unpadded = lambda r: F.regexp_replace(r, "=+$", "")
     whole = lambda r: F.when(F.length(r) % 4 == 1, F.substr(r, F.lit(1), F.length(r) - 1)).otherwise(r)
     padded = lambda r: F.rpad(r, F.ceil(F.length(r) / 4).cast("int") * 4, "=")
     runs = lambda pattern: F.regexp_extract_all(at, F.lit(pattern), F.lit(1))
+    via = lambda texts, name: F.transform(texts, lambda t: F.struct(t.alias("text"), F.lit(name).alias("via")))
     pieces = F.concat(
-        F.array(F.when(at.contains("%"), normalize_text(at))),
-        F.transform(runs(ESCAPED_RUN), lambda r: text(F.try_to_binary(F.replace(r, F.lit("\\x"), F.lit("")), F.lit("hex")))),
-        F.transform(runs(HEX_RUN), lambda r: text(F.try_to_binary(r, F.lit("hex")))),
-        F.transform(runs(BASE64_RUN), lambda r: text(F.try_to_binary(padded(whole(unpadded(r))), F.lit("base64")))),
+        via(F.array(F.when(at.contains("%"), normalize_text(at))), "percent"),
+        via(F.transform(runs(ESCAPED_RUN), lambda r: text(F.try_to_binary(F.replace(r, F.lit("\\x"), F.lit("")), F.lit("hex")))), "escape"),
+        via(F.transform(runs(HEX_RUN), lambda r: text(F.try_to_binary(r, F.lit("hex")))), "hex"),
+        via(F.transform(runs(BASE64_RUN), lambda r: text(F.try_to_binary(padded(whole(unpadded(r))), F.lit("base64")))), "base64"),
     )
-    return F.filter(pieces, lambda p: p.isNotNull() & (p != at) & p.rlike(PRINTABLE))
+    return F.filter(pieces, lambda p: p["text"].isNotNull() & (p["text"] != at) & p["text"].rlike(PRINTABLE))
 
 
 def opened_layers(text: Column, depth: int = DEPTH) -> Column:
-    """array<string>: the text and what its layers hold, layer in layer to ``depth``. Each layer is bound once; what was just opened is all that the next pass reads."""
-    start = F.struct(F.array(text).alias("all"), text.alias("at"))
+    """array<struct<text, depth, via>>: the text and what its layers hold, layer in layer to ``depth``; ``via`` names the layers around, the outermost first. What was just opened is all that the next pass reads."""
+    start = F.struct(F.array(F.struct(text.alias("text"), F.lit(0).alias("depth"), F.lit("").alias("via"))).alias("all"), F.array(F.struct(text.alias("text"), F.lit("").alias("via"))).alias("at"))
+    inside = lambda p: F.transform(opened(p["text"]), lambda o: F.struct(o["text"].alias("text"), F.when(p["via"] == "", o["via"]).otherwise(F.concat(p["via"], F.lit(">"), o["via"])).alias("via")))
+
+    def step(state: Column, level: Column) -> Column:
+        found = F.array_distinct(F.flatten(F.transform(state["at"], inside)))
+        bound = F.transform(F.array(found), lambda f: F.struct(F.concat(state["all"], F.transform(f, lambda o: F.struct(o["text"].alias("text"), level.alias("depth"), o["via"].alias("via")))).alias("all"), f.alias("at")))
+        return F.when(F.size(state["at"]) == 0, state).otherwise(F.get(bound, F.lit(0)))
 
-    def step(state: Column, _: Column) -> Column:
-        found = F.get(F.transform(F.array(state["at"]), opened), F.lit(0))
-        bound = F.transform(F.array(found), lambda f: F.struct(F.concat(state["all"], f).alias("all"), F.array_join(f, "\n").alias("at")))
-        return F.when(state["at"] == "", state).otherwise(F.get(bound, F.lit(0)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step)["all"]
 
-    return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step)["all"])
 
+def host_in(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "://([^/:]+)", 1))
 
-def extract_indicators(df: DataFrame, text: str, keys: list[str], shared_hosts: tuple[str, ...] = ("example.com",)) -> DataFrame:
-    """(keys, kind, value): URLs and their hosts, SSH keys, tool names; a cheap test comes before any layer is opened."""
-    worth = F.col(text).rlike(r"(?i)https?:|ftp:|%[0-9a-f]{2}|\\x[0-9a-f]{2}|[A-Za-z0-9+/]{16}|ssh-|wget|curl|busybox|tftp")
-    layers = df.where(worth).select(*keys, F.array_join(opened_layers(F.col(text)), "\n").alias("_x"))
-    every = lambda pattern: F.regexp_extract_all("_x", F.lit(pattern), F.lit(1))
-    found = layers.select(*keys, every(URL).alias("_u"), F.transform(every(r"(?i)\b(wget|curl|busybox|tftp)\b"), lambda s: F.lower(s)).alias("_t"), every(r"(ssh-(?:rsa|ed25519) [A-Za-z0-9+/=]{20,})").alias("_s"))
-    hosts = F.filter(F.transform("_u", lambda u: F.lower(F.regexp_extract(u, r"://([^/:]+)", 1))), lambda h: ~h.isin(*shared_hosts) if shared_hosts else F.lit(True))
-    made = F.concat(*[F.transform(F.array_distinct(a), _kind(kind)) for kind, a in (("url", F.col("_u")), ("host", hosts), ("tool", F.col("_t")), ("ssh-key", F.col("_s")))])
-    return found.select(*keys, F.explode(made).alias("i")).select(*keys, "i.kind", "i.value")
 
+def on_names(host: Column, names) -> Column:
+    """Whether the host is one of the names or under one."""
+    return _any([(host == n) | host.endswith(f".{n}") for n in names])
 
-def _kind(kind: str):
-    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+def joinable(host: Column, never=()) -> Column:
+    """Whether a host can say anything about who runs it: a public address, or a name with a dot and a real last label that is neither local nor one of ``never``."""
+    last = F.substring_index(host, ".", -1)
+    numbers = r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"
+    name = host.contains(".") & ~host.rlike(r"^\.|\.\.|\.$") & ~last.rlike("^(?:[0-9]+|0x.*)$") & ~on_names(host, LOCAL_NAMES)
+    return F.when(host.rlike(numbers), ~host.rlike(NOT_PUBLIC)).otherwise(name) & ~on_names(host, never)
+
+
+def extract_indicators(
+    df: DataFrame, text: str, keys: list[str], shared_hosts: tuple[str, ...] = ("example.com",), never: tuple[str, ...] = (), sender: str | None = None, exploits: list[tuple[str, str]] = (), request: tuple[str, str, str] | None = None
+) -> DataFrame:
+    """(keys, kind, role, value, depth, via): one row per indicator of a row, where it stands least deep.
+
+    URLs (``url``) and their hosts (``host``, not for ``shared_hosts``) are ``stager``
+    where a command or function fetches them, in the same statement of the same
+    layer, ``self-hosted`` if that is the ``sender`` column's own address, and
+    ``queried`` where they are only named, or are no host that says who runs it
+    (``never``). A host that the row fetches from is not ``queried`` elsewhere in it.
+    SSH keys have the role ``key``, tools ``tag``. ``exploits`` are names and patterns
+    of a rule catalogue, read in every layer; with ``request`` (columns of method,
+    path and query) a request that carries something executable is named by method,
+    path shape and its arguments' names. A cheap test comes before any layer is opened.
+    """
+    cheap = F.col(text).rlike(r"(?i)https?:|ftp:|%[0-9a-f]{2}|\\x[0-9a-f]{2}|[A-Za-z0-9+/]{16}|ssh-|" + "|".join([*FETCHERS, "busybox"]))
+    asked = F.coalesce(F.upper(request[0]) == "PUT", F.lit(False)) if request else F.lit(False)
+    worth = F.coalesce(cheap | F.col(text).rlike(EXECUTED) | _any([matched(F.col(text), p) for _, p in exploits]), F.lit(False)) | asked
+    own = F.lower(F.col(sender).cast("string")) if sender else F.lit(None).cast("string")
+    more = [F.col(c).alias(f"_{n}") for n, c in zip(("method", "path", "query"), request or ())]
+    layers = df.where(worth).select(*keys, own.alias("_sender"), *more, F.inline_outer(opened_layers(F.coalesce(text, F.lit("")))).alias("_text", "_depth", "_via"))
+    at = F.col("_text")
+    every = lambda pattern, column=at: F.regexp_extract_all(column, F.lit(pattern), F.lit(1))
+    statements = F.transform(every(FETCHED), lambda s: F.substring_index(s, "&&", 1))
+    staged = F.flatten(F.transform(statements, lambda s: every(URL, s)))
+    names = [F.when(matched(at, p), F.lit(n)) for n, p in exploits]
+    runs = (F.size("_staged") > 0) | at.rlike(EXECUTED)
+    read = layers.withColumns({"_urls": every(URL), "_staged": staged}).withColumn("_runs", runs)
+    of = lambda kind, role, values: F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(role).alias("role"), v.alias("value")))
+
+    def urls(u: Column) -> Column:
+        role = F.when(~F.array_contains("_staged", u) | ~joinable(host_in(u), never), "queried").when(host_in(u) == F.col("_sender"), "self-hosted").otherwise("stager")
+        return F.struct(F.lit("url").alias("kind"), role.alias("role"), u.alias("value"))
+
+    of_urls = F.transform(F.array_distinct("_urls"), urls)
+    said = F.transform(F.filter(of_urls, lambda f: ~host_in(f["value"]).isin(*shared_hosts) if shared_hosts else F.lit(True)), lambda f: F.struct(F.lit("host").alias("kind"), f["role"].alias("role"), host_in(f["value"]).alias("value")))
+    plain = F.concat(of("tool", "tag", F.transform(every(TOOLS), F.lower)), of("ssh-key", "key", every(SSH_KEY)), of("exploit", "exploit", F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")))
+    if request:
+        arguments = F.transform(F.split(F.coalesce("_query", F.lit("")), "&"), lambda a: F.substring_index(a, "=", 1))
+        named = F.array_sort(F.array_distinct(F.transform(F.filter(arguments, lambda a: a.rlike(r"^[A-Za-z0-9_.\[\]-]{1,64}$")), lambda a: F.ltrim(path_shape(F.concat(F.lit("/"), a)), F.lit("/")))))
+        title = F.concat_ws(" ", F.upper("_method"), path_shape(F.col("_path")), F.when(F.size(named) > 0, F.concat(F.lit("?"), F.array_join(named, " "))))
+        put = (F.upper("_method") == "PUT") & (at != "") & (F.col("_depth") == 0)
+        plain = F.concat(plain, F.when(F.coalesce(F.col("_runs") | put, F.lit(False)), of("exploit", "exploit", F.array(title))).otherwise(of("exploit", "exploit", F.array().cast("array<string>"))))
+    rows = read.select(*keys, F.col("_depth").alias("depth"), F.col("_via").alias("via"), F.inline(F.concat(of_urls, said, plain)))
+    least = F.min(F.struct("depth", "via"))
+    found = rows.groupBy(*keys, "kind", "role", "value").agg(least.alias("_at"))
+    kept = found.where("kind = 'host' AND role IN ('stager', 'self-hosted')").select(*keys, "kind", "value", F.lit("queried").alias("role"))
+    return found.join(kept, [*keys, "kind", "role", "value"], "left_anti").select(*keys, "kind", "role", "value", "_at.depth", "_at.via")
 
 
 def extract_tokens(df: DataFrame, places: dict[str, Column], keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.stats import DAY, keep_top
+from harrow.sources.scratch import materialize
 
 #: A value on more sources than this says nothing about two of them; a shape likewise.
 SHARED_CAP, RARE_CAP, JOINERS_PER_INPUT, PER_JOINER, PER_UPLOAD = 50, 50, 64, 512, 500
@@ -17,29 +18,78 @@ def with_source(requests: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def enrich_as_of(requests: DataFrame, log: DataFrame, value: str = "data", out: str = "data") -> DataFrame:
-    """Newest lookup at or before the request, else the source's earliest: one sorted pass over both, no join.
+    """Newest lookup at or before the request, else the source's earliest.
 
-    At equal times lookups come first, among them the last by hlc counts.
+    At equal times lookups come first, among them the last by hlc counts; a null
+    value is no lookup. Both are dealt by source and day, so a source with very
+    many rows is spread. Requests without a source or a time get null.
     """
-    asked = requests.select("ip", "t", F.lit(1).alias("_tag"), F.lit(0).cast("long").alias("_hlc"), F.lit(None).cast(dict(log.dtypes)[value]).alias("_v"), F.struct(*requests.columns).alias("_row"))
-    known = log.select("ip", "t", F.lit(0).alias("_tag"), F.col("hlc").cast("long").alias("_hlc"), F.col(value).alias("_v"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
-    source = Window.partitionBy("ip")
-    before = source.orderBy("t", "_tag", "_hlc").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = source.orderBy("t", "_tag", "_hlc").rowsBetween(0, Window.unboundedFollowing)
-    found = F.coalesce(F.last("_v", ignorenulls=True).over(before), F.first("_v", ignorenulls=True).over(ahead))
-    return asked.unionByName(known).withColumn(out, found).where("_tag = 1").select("_row.*", out)
+    kind = dict(log.dtypes)[value]
+    whole = "ip IS NOT NULL AND t IS NOT NULL"
+    asked = requests.where(whole).select("ip", "t", F.lit(1).alias("_tag"), F.lit(0).cast("long").alias("_hlc"), F.lit(None).cast(kind).alias("_v"), F.struct(*requests.columns).alias("_row"))
+    known = log.where(whole).select("ip", "t", F.lit(0).alias("_tag"), F.col("hlc").cast("long").alias("_hlc"), F.col(value).alias("_v"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    found = newest_before(asked.unionByName(known), ["ip"], ["t", "_tag", "_hlc"], "_v", "_found", earliest=True).where("_tag = 1")
+    rest = requests.where(f"NOT ({whole})").withColumn(out, F.lit(None).cast(kind))
+    return found.select("_row.*", F.col("_found").alias("_found")).withColumn(out, F.col("_found")).select(*rest.columns).unionByName(rest)
 
 
-def geo_join(sources: DataFrame, prefixes: DataFrame, digits: int = 24) -> DataFrame:
-    """Longest containing range (low, high, country): ranges are cut into buckets of leading key digits, then an equi-join with a residual."""
-    bucket = lambda c: F.conv(F.substring(c, digits + 1, 2), 16, 10).cast("int")
-    spread = prefixes.withColumn("_b", F.explode(F.sequence(bucket("low"), bucket("high"))))
-    hit = sources.withColumn("_b", bucket("ip_key")).join(spread, "_b").where("ip_key BETWEEN low AND high")
-    return keep_top(hit, ["ip_key"], [F.desc("low"), F.col("high")], 1).select(*sources.columns, "country")
+#: Prefixes that are broadcast at most; more are shuffled.
+MOST_PREFIXES = 1_000_000
 
 
-def newest_before(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, step: int = DAY) -> DataFrame:
-    """Add ``out``: the last ``value`` that is not null among the key's rows up to this one in ``order`` (its first column is a time in seconds).
+def prefix_key(key: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of a 32-digit hexadecimal key, as text with their number."""
+    whole, rest = F.floor(bits / 4).cast("int"), bits % 4
+    digit = F.conv(F.substr(key, whole + 1, F.lit(1)), 16, 10).cast("int")
+    return F.concat(bits.cast("string"), F.lit(":"), F.substr(key, F.lit(1), whole), F.when(rest > 0, F.call_function("shiftright", digit, (4 - rest).cast("int")).cast("string")).otherwise(F.lit("")))
+
+
+def aligned_prefixes(low: Column, high: Column) -> Column:
+    """array<struct<key, bits>>: the fewest aligned prefixes that make up the range of two keys; none if it is upside down."""
+    digits = lambda key: F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.lpad(F.conv(F.substr(key, i, F.lit(1)), 16, 2), 4, "0"))
+    bits_of = lambda key: F.array_join(digits(F.lower(key)), "")
+    same = lambda e: F.array_position(F.transform(F.sequence(F.lit(1), F.lit(128)), lambda i: F.substr(e["lo"], i, F.lit(1)) == F.substr(e["hi"], i, F.lit(1))), F.lit(False)) - 1
+    head = lambda text, n: F.substr(text, F.lit(1), n)
+
+    def beside(start: Column, tail: Column, bit: str) -> Column:
+        """What lies on the inner side of the path to an end of the range, and the end itself; what is behind the tail belongs to it whole."""
+        other = "1" if bit == "0" else "0"
+        turns = F.filter(F.sequence(F.lit(1), F.greatest(F.length(tail), F.lit(1))), lambda i: F.substr(tail, i, F.lit(1)) == bit)
+        return F.concat(F.array(F.concat(start, tail)), F.transform(turns, lambda i: F.concat(start, head(tail, i - 1), F.lit(other))))
+
+    def cut(e: Column) -> Column:
+        left = F.regexp_replace(F.substr(e["lo"], e["n"] + 2, F.lit(128)), "0+$", "")
+        right = F.regexp_replace(F.substr(e["hi"], e["n"] + 2, F.lit(128)), "1+$", "")
+        both = F.concat(beside(head(e["lo"], e["n"] + 1), left, "0"), beside(head(e["hi"], e["n"] + 1), right, "1"))
+        return F.when(e["n"] < 0, F.array(e["lo"])).when((left == "") & (right == ""), F.array(head(e["lo"], e["n"]))).otherwise(both)
+
+    ends = F.transform(F.array(F.struct(bits_of(low).alias("lo"), bits_of(high).alias("hi"))), lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"), same(e).cast("int").alias("n")))
+    made = F.when(F.lower(low) <= F.lower(high), F.flatten(F.transform(ends, cut))).otherwise(F.array().cast("array<string>"))
+    hexed = lambda bits: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.lower(F.conv(F.substr(F.rpad(bits, 128, "0"), 4 * k + 1, F.lit(4)), 2, 16))), "")
+    return F.transform(made, lambda bits: F.struct(hexed(bits).alias("key"), F.length(bits).alias("bits")))
+
+
+def geo_join(sources: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``sources`` (one row per ``ip_key``) with the other columns of the innermost range (low, high, ...) that holds their key; null if none does.
+
+    Ranges are cut into aligned prefixes, at most 254 each, so that a key is met
+    by equal prefixes of the lengths that occur and nothing is compared by order.
+    Of several ranges the one that starts last counts, then the one that ends first.
+    """
+    values = [c for c in prefixes.columns if c not in ("low", "high")]
+    place = F.struct(F.lower("low").alias("low"), F.translate(F.lower("high"), "0123456789abcdef", "fedcba9876543210").alias("high"))
+    cut = prefixes.select(place.alias("_place"), F.struct(*values).alias("_values"), F.explode(aligned_prefixes(F.col("low"), F.col("high"))).alias("_p"))
+    cut = materialize(cut.select(prefix_key(F.col("_p.key"), F.col("_p.bits")).alias("_prefix"), F.col("_p.bits").alias("_bits"), "_place", "_values"), "geo-prefixes")
+    lengths = sorted(r["_bits"] for r in cut.select("_bits").distinct().collect())  # 129 at most
+    each = F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: prefix_key(F.lower("ip_key"), n))
+    asked = sources.where("ip_key IS NOT NULL").select("ip_key").distinct().select("ip_key", F.explode(each).alias("_prefix"))
+    held = F.broadcast(cut) if cut.count() <= MOST_PREFIXES else cut
+    found = asked.join(held.drop("_bits"), "_prefix").groupBy("ip_key").agg(F.max_by("_values", "_place").alias("_values"))
+    return sources.join(found, "ip_key", "left").select(*sources.columns, *[F.col("_values")[c].alias(c) for c in values])
+
+
+def newest_before(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, step: int = DAY, earliest: bool = False) -> DataFrame:
+    """Add ``out``: the last ``value`` that is not null among the key's rows up to this one in ``order`` (its first column is a time in seconds); with ``earliest``, where there is none, the key's first.
 
     Rows are dealt by key and ``step`` seconds, so that a key with very many rows
     is spread; what earlier steps end with is carried in by a small table.
@@ -47,11 +97,13 @@ def newest_before(rows: DataFrame, keys: list[str], order: list[str], value: str
     dealt = rows.withColumn("_step", F.floor(F.col(order[0]) / step))
     cell = Window.partitionBy(*keys, "_step")
     inside = F.last(value, ignorenulls=True).over(cell.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    ends = dealt.where(F.col(value).isNotNull()).groupBy(*keys, "_step").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    ends = dealt.where(F.col(value).isNotNull()).groupBy(*keys, "_step").agg(F.max_by(value, F.struct(*order)).alias("_end"), F.min_by(value, F.struct(*order)).alias("_start"))
     every = dealt.select(*keys, "_step").distinct().join(ends, [*keys, "_step"], "left")
     before = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select(*keys, "_step", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-    return dealt.withColumn(out, inside).join(carried, [*keys, "_step"]).withColumn(out, F.coalesce(out, "_carried")).drop("_step", "_carried")
+    first = F.first("_start", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    carried = every.select(*keys, "_step", F.coalesce(F.last("_end", ignorenulls=True).over(before), *([first] if earliest else [])).alias("_carried"), *([first.alias("_first")] if earliest else []))
+    found = dealt.withColumn(out, inside).join(carried, [*keys, "_step"])
+    return found.withColumn(out, F.coalesce(out, "_carried")).drop("_step", "_carried", "_first")
 
 
 def canary_reuse(canaries: DataFrame, tokens: DataFrame, requests: DataFrame | None = None) -> DataFrame:
@@ -78,12 +130,53 @@ def canary_reuse(canaries: DataFrame, tokens: DataFrame, requests: DataFrame | N
     return out.join(node("served", F.col("answer").alias("served_answer")), "served_id", "left").join(node("used"), "used_id", "left")
 
 
-def canary_links(canaries: DataFrame, tokens: DataFrame) -> DataFrame:
+#: Pairs of servers and users of a value beyond which they are never written out.
+MOST_PAIRS = 10_000
+
+
+def distinct_partners(own: DataFrame, other: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
+    """(ip, n): per source in ``own`` how many other sources hold one of its values in ``other`` (both: distinct value_hash, ip), exactly.
+
+    Values of few sources are joined. Of the others, whose pairs would grow with
+    the square, each has a bit map of its holders by dense numbers; sources with
+    the same set of such values share one map, the maps of its values or-ed. What
+    the joined pairs add is what has no bit there.
+    """
+    n = lambda df, c: df.groupBy("value_hash").agg(F.count(F.lit(1)).alias(c))
+    sizes = materialize(n(own, "n").join(n(other, "m"), "value_hash"), "value-sizes")
+    crowded = sizes.where(F.col("n") * F.col("m") > most).select("value_hash")
+    few = sizes.where(F.col("n") * F.col("m") <= most).select("value_hash")
+    side = lambda df, c: df.select("value_hash", F.col("ip").alias(c))
+    pairs = side(own, "ip").join(few, "value_hash").join(side(other, "holder"), "value_hash").where("ip <> holder").select("ip", "holder").distinct()
+    if crowded.isEmpty():
+        return pairs.groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
+    from harrow.operators.linking import numbered
+
+    many, held = materialize(own.join(crowded, "value_hash"), "crowded-own"), materialize(other.join(crowded, "value_hash"), "crowded-other")
+    ids = materialize(numbered(held.select(F.col("ip").alias("holder")).distinct(), ["holder"], "id"), "holder-numbers")
+    bit = lambda c: F.struct(F.bitmap_bucket_number(c).alias("bucket"), F.bitmap_bit_position(c).alias("bit"))
+    places = held.select("value_hash", F.col("ip").alias("holder")).join(ids, "holder").select("value_hash", bit("id").alias("p"))
+    maps = places.groupBy("value_hash", "p.bucket").agg(F.bitmap_construct_agg("p.bit").alias("bits"))
+    sets = materialize(many.groupBy("ip").agg(F.array_sort(F.collect_set("value_hash")).alias("set")), "value-sets")
+    of_set = sets.select("set").distinct().select("set", F.explode("set").alias("value_hash")).join(maps, "value_hash").groupBy("set", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    of_set = materialize(of_set, "set-maps")
+    whole = of_set.groupBy("set").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    self_ = many.join(held, ["value_hash", "ip"], "left_semi").select("ip").distinct().withColumn("self", F.lit(1))
+    counted = sets.join(whole, "set").join(self_, "ip", "left").select("ip", (F.col("n") - F.coalesce("self", F.lit(0))).alias("n"))
+    told = pairs.join(sets, "ip", "left").join(ids, "holder", "left").withColumn("p", bit("id"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("p.bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.call_function("getbit", byte.cast("long"), (F.col("p.bit") % 8).cast("int")) == 1, F.lit(False))
+    added = told.withColumn("bucket", F.col("p.bucket")).join(of_set, ["set", "bucket"], "left").where(~there).groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
+    return counted.unionByName(added).groupBy("ip").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def canary_links(canaries: DataFrame, tokens: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     """Per source: how many others used its values, and of how many others it used values."""
-    c, t = canaries.select("value_hash", F.col("ip").alias("owner")).distinct(), tokens.select("value_hash", F.col("ip").alias("user")).distinct()
-    pairs = c.join(t, "value_hash").where("owner <> user").select("owner", "user").distinct()
-    ends = F.array(F.struct(F.col("owner").alias("ip"), F.lit(1).alias("by"), F.lit(0).alias("of")), F.struct(F.col("user").alias("ip"), F.lit(0).alias("by"), F.lit(1).alias("of")))
-    return pairs.select(F.inline(ends)).groupBy("ip").agg(F.sum("by").alias("used_by"), F.sum("of").alias("uses_of"))
+    served = materialize(canaries.where("value_hash IS NOT NULL AND ip IS NOT NULL").select("value_hash", "ip").distinct(), "values-served")
+    used = materialize(tokens.where("value_hash IS NOT NULL AND ip IS NOT NULL").select("value_hash", "ip").distinct(), "values-used")
+    by, of = distinct_partners(served, used, most), distinct_partners(used, served, most)
+    ends = by.select("ip", F.col("n").alias("used_by")).join(of.select("ip", F.col("n").alias("uses_of")), "ip", "full")
+    return ends.na.fill(0, ["used_by", "uses_of"])
 
 
 def with_provider(sources: DataFrame, intel: DataFrame, provider: str) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from harrow.operators.graph import components
 from harrow.operators.joins import RARE_CAP
@@ -53,14 +55,60 @@ def _shared(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, ["b", "shape"])
 
 
+def concordance(pair: np.ndarray, place: np.ndarray, ta: np.ndarray, tb: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per pair, over all two of its shapes: how many more agree in order than disagree, and how many are tied at neither end.
+
+    ``place`` is a shape's place in its pair. Disagreements are inversions, which
+    merging counts: of two halves of a block, what stands left of a smaller value.
+    All pairs are merged at once, so the work is rows times the logarithm squared.
+    """
+    twos = lambda n: n * (n - 1) // 2
+
+    def tied(*keys: np.ndarray) -> np.ndarray:
+        order = np.lexsort(keys[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        at = np.flatnonzero(new)
+        return np.bincount(keys[0][order][at], weights=twos(np.diff([*at, len(order)])), minlength=pairs).astype(np.int64)
+
+    size = np.bincount(pair, minlength=pairs)
+    untied = twos(size) - tied(pair, ta) - tied(pair, tb) + tied(pair, ta, tb)
+    order = np.lexsort((tb, ta, pair))
+    pair, place, tb = pair[order], place, tb[order]
+    turned, width = np.zeros(pairs, np.int64), 1
+    while width < size.max(initial=0):
+        half = place // width
+        merged = np.lexsort((half % 2, tb, half // 2, pair))
+        left = half[merged] % 2 == 0
+        # left ones up to here, less those of earlier blocks; and all left ones of the block
+        block = np.ones(len(merged), bool)
+        block[1:] = (pair[merged][1:] != pair[merged][:-1]) | ((half // 2)[merged][1:] != (half // 2)[merged][:-1])
+        at = np.cumsum(block) - 1
+        lefts = np.bincount(at, weights=left).astype(np.int64)
+        upto = np.cumsum(left) - (np.cumsum(lefts) - lefts)[at]
+        more = (lefts[at] - upto)[~left]
+        turned += np.bincount(pair[merged][~left], weights=more, minlength=pairs).astype(np.int64)
+        width *= 2
+    return untied - 2 * turned, untied
+
+
+@F.pandas_udf(StructType([StructField("s", LongType()), StructField("n", LongType())]))
+def agreement(shapes: pd.Series) -> pd.DataFrame:
+    """Concordance of each pair's array<struct<ta, tb>>."""
+    sizes = np.array([len(x) for x in shapes], np.int64)
+    rows = [(r["ta"], r["tb"]) for x in shapes for r in x]
+    ta, tb = np.array(rows, np.int64).reshape(-1, 2).T
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    s, n = concordance(np.repeat(np.arange(len(sizes)), sizes), place, ta, tb, len(sizes))
+    return pd.DataFrame({"s": s, "n": n})
+
+
 def _order(shared: DataFrame, most: int) -> DataFrame:
-    rows = keep_top(shared, ["a", "b"], [F.col("df"), F.col("shape")], most)
-    two = rows.alias("x").join(rows.alias("y"), ["a", "b"]).where("x.shape < y.shape")
-    sign = F.signum(F.col("x.ta") - F.col("y.ta")) * F.signum(F.col("x.tb") - F.col("y.tb"))
-    counts = two.groupBy("a", "b").agg(F.sum(sign).alias("s"), F.count_if(sign != 0).alias("n"))
+    rows = keep_top(shared, ["a", "b"], [F.col("df"), F.col("shape")], most)  # ``most`` at most in an array
+    counts = rows.groupBy("a", "b").agg(F.collect_list(F.struct("ta", "tb")).alias("x")).where(F.size("x") > 1).select("a", "b", agreement("x").alias("c"))
     shapes = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shapes"))
-    enough = (F.col("n") >= ORDER_PAIRS) & (F.col("shapes") >= ORDER_SHAPES)
-    return counts.join(shapes, ["a", "b"]).select("a", "b", F.when(enough, F.col("s") / F.col("n")).alias("order"))
+    enough = (F.col("c.n") >= ORDER_PAIRS) & (F.col("shapes") >= ORDER_SHAPES)
+    return counts.join(shapes, ["a", "b"]).select("a", "b", F.when(enough, F.col("c.s") / F.col("c.n")).alias("order"))
 
 
 def order_agreement(pairs: DataFrame, source_shapes: DataFrame, most: int = ORDER_MOST) -> DataFrame:
@@ -254,16 +302,30 @@ def chains_list(found: DataFrame, chain_sources: DataFrame, members: DataFrame)
     return found.join(by, "chain", "left").na.fill(0, ["campaigns"])
 
 
-def neighbourhood(sightings: DataFrame, focus, depth: int = 2, hub: int = 25) -> DataFrame:
-    """(ip, hops) reached over shared values within ``depth`` hops; values on more than ``hub`` sources are not walked through."""
-    own = sightings.select("ip", "value").distinct()
-    few = own.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= hub).select("value")
-    own = own.join(few, "value")
-    seen = own.where(F.col("ip") == focus).select("ip").distinct().withColumn("hops", F.lit(0))
-    frontier = seen
+#: Sources from which a value is a hub, and nodes of a walk at most (fixed values).
+GROUP_AT, GRAPH_MOST = 25, 400
+
+
+def neighbourhood(sightings: DataFrame, focus, depth: int = 3, hub: int = GROUP_AT, most: int = GRAPH_MOST) -> DataFrame:
+    """(kind, node, hops): a walk over sources and values from one source, ``depth`` hops, each from a source to its values or from a value to its sources.
+
+    A value on more than ``hub`` sources is not walked through: it leads to one
+    ``group`` node that stands for them. The walk ends at ``most`` nodes; within
+    a hop, groups come before sources before values, each by their text. What a
+    hop leads to is at most that many rows, so every join meets a small table.
+    """
+    own = materialize(sightings.where("value IS NOT NULL AND ip IS NOT NULL").select(F.col("ip").cast("string").alias("ip"), F.col("value").cast("string").alias("value")).distinct(), "sighted")
+    start = own.where(F.col("ip") == str(focus)).select(F.lit("ip").alias("kind"), F.col("ip").alias("node"), F.lit(0).alias("hops")).limit(1)
+    seen = frontier = materialize(start, "walk")
     for hop in range(1, depth + 1):
-        values = frontier.select("ip").join(own, "ip").select("value").distinct()
-        frontier = own.join(values, "value").select("ip").distinct().join(seen, "ip", "left_anti").withColumn("hops", F.lit(hop))
+        values = frontier.where("kind = 'item'").select(F.col("node").alias("value"))
+        held = own.join(F.broadcast(values), "value").groupBy("value").agg(F.count(F.lit(1)).alias("n"))  # ``most`` rows at most
+        through = own.join(F.broadcast(held.where(F.col("n") <= hub).select("value")), "value").select(F.lit("ip").alias("kind"), F.col("ip").alias("node"))
+        groups = held.where(F.col("n") > hub).select(F.lit("group").alias("kind"), F.col("value").alias("node"))
+        sources = frontier.where("kind = 'ip'").select(F.col("node").alias("ip"))
+        items = own.join(F.broadcast(sources), "ip").select(F.lit("item").alias("kind"), F.col("value").alias("node"))
+        found = groups.unionByName(through).unionByName(items).distinct().join(F.broadcast(seen.select("kind", "node")), ["kind", "node"], "left_anti")
+        frontier = materialize(found.orderBy("kind", "node").limit(most - seen.count()).withColumn("hops", F.lit(hop)), "walk")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -283,12 +345,16 @@ def edge_detail(edges: DataFrame, source_shapes: DataFrame, n: int = 100) -> Dat
     return keep_top(shared, ["a", "b"], [F.col("df"), F.col("shape")], n)
 
 
+#: How far something is confirmed, the furthest first (fixed values).
+MARKS = ("seen", "external", "claimed", "gap", "dead end")
+
+
 def chain_stages(chain_values: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
-    """(chain, stage, label, requests, mark): each stage is a table of (value, label, id, mark)."""
-    out = None
+    """(chain, stage, label, requests, mark): each stage is a table of (value, label, id, mark); of several marks the furthest is given, one that is not known is none."""
+    out, place = None, F.array_position(F.array(*map(F.lit, MARKS)), F.col("mark"))
     for stage, rows in stages.items():
-        part = chain_values.join(rows, "value").groupBy("chain", F.lit(stage).alias("stage"), "label").agg(F.countDistinct("id").alias("requests"), F.max("mark").alias("mark"))
+        furthest = F.min(F.when(place > 0, place))
+        part = chain_values.join(rows, "value").groupBy("chain", F.lit(stage).alias("stage"), "label").agg(F.countDistinct("id").alias("requests"), furthest.alias("mark"))
+        part = part.withColumn("mark", F.get(F.array(*map(F.lit, MARKS)), F.col("mark").cast("int") - 1))
         out = part if out is None else out.unionByName(part)
     return out
-
-

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.functions.columns import label_families
+from harrow.functions.columns import FAMILIES, label_families, label_family
 
 HOUR, DAY = 3600, 86_400
 #: Labels that stand for an agent in the stand-in tables.
@@ -280,13 +280,46 @@ def agent_campaigns(members: DataFrame, requests: DataFrame) -> DataFrame:
     return members.join(requests.where(F.col("label").isin(*AGENT_LABELS)).select("ip"), "ip", "left_semi").select("campaign").distinct()
 
 
-def source_overview(requests: DataFrame, now: int, k: int = 3) -> DataFrame:
-    """Per source: requests of the last 7 and 182 days, active days, and top labels."""
-    t = F.col("t")
-    base = requests.groupBy("ip").agg(F.count_if(t >= now - 7 * DAY).alias("last_7"), F.count_if(t >= now - 182 * DAY).alias("last_182"), F.countDistinct(F.floor(t / DAY)).alias("days"))
-    by = requests.groupBy("ip", "label").agg(count_().alias("n"))
-    top = keep_top(by, ["ip"], [F.desc("n"), F.col("label")], k).groupBy("ip").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "label"))), lambda x: x["label"]), ",").alias("labels"))
-    return base.join(top, "ip")
+def dense(counts: DataFrame, keys: list[str], bucket: str, values: list[str], size: int) -> DataFrame:
+    """(keys, values): sparse rows by bucket as arrays of ``size`` numbers, 0 where there is no row. Buckets are few, so an array is small."""
+    made = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(bucket).cast("int"), F.struct(*values)))).alias("_m"))
+    each = lambda v: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i)[v], F.lit(0)))
+    return made.select(*keys, *[each(v).alias(v) for v in values])
+
+
+#: Hours and days of a source's series, severities, and labels that are given.
+WEEK_HOURS, CALENDAR_DAYS, SEVERITIES, TOP_LABELS = 168, 182, 5, 20
+
+
+def source_overview(requests: DataFrame, now: int, labels: str = "labels", k: int = TOP_LABELS) -> DataFrame:
+    """Per source: requests by hour of the last week and by severity in it, by day of the last half year with the highest severity, families and top labels.
+
+    ``hours`` has the oldest hour first and the running one last, ``by_severity``
+    five numbers an hour, ``days`` ends with today; ``day_severity`` is one more than
+    the highest of a day, 0 for a day without requests. ``labels`` names an array
+    column; a label counts once a request. Sums come before arrays, which are of
+    fixed length; all sources are made at once.
+    """
+    t, hour, today = F.col("t"), now // HOUR, now // DAY
+    severity = F.least(F.greatest(F.coalesce("severity", F.lit(0)), F.lit(0)), F.lit(SEVERITIES - 1))
+    age = WEEK_HOURS - 1 - (F.lit(hour) - F.floor(t / HOUR))
+    week = requests.where(F.floor(t / HOUR).between(hour - WEEK_HOURS + 1, hour)).groupBy("ip", (age * SEVERITIES + severity).alias("b")).agg(count_().alias("by_severity"))
+    fine = dense(week, ["ip"], "b", ["by_severity"], WEEK_HOURS * SEVERITIES)
+    total = lambda i: F.aggregate(F.slice("by_severity", i * SEVERITIES + 1, SEVERITIES), F.lit(0).cast("long"), lambda a, b: a + b)
+    fine = fine.withColumn("hours", F.transform(F.sequence(F.lit(0), F.lit(WEEK_HOURS - 1)), total))
+    day = CALENDAR_DAYS - 1 - (F.lit(today) - F.floor(t / DAY))
+    calendar = requests.where(F.floor(t / DAY).between(today - CALENDAR_DAYS + 1, today)).groupBy("ip", day.alias("b")).agg(count_().alias("days"), (F.max(severity) + 1).alias("day_severity"))
+    coarse = dense(calendar, ["ip"], "b", ["days", "day_severity"], CALENDAR_DAYS)
+    by = requests.select("ip", F.explode(F.array_distinct(labels)).alias("label")).groupBy("ip", "label").agg(count_().alias("n"))
+    best = lambda order: F.transform(F.array_sort(F.collect_list(F.struct(order, "label", "n"))), lambda x: F.struct(x["label"].alias("label"), x["n"].alias("n")))
+    top = keep_top(by, ["ip"], [F.desc("n"), F.col("label")], k).groupBy("ip").agg(best((-F.col("n")).alias("o")).alias("labels"))
+    place = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("label")).alias("o")
+    families = by.withColumn("label", label_family(F.col("label"))).groupBy("ip", "label").agg(F.sum("n").alias("n")).groupBy("ip").agg(best(place).alias("families"))
+    base = requests.groupBy("ip").agg(count_().alias("requests"), F.countDistinct(F.floor(t / DAY)).alias("active_days"))
+    none = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    rows = base.join(fine, "ip", "left").join(coarse, "ip", "left").join(top, "ip", "left").join(families, "ip", "left")
+    empty = {"hours": none(WEEK_HOURS), "by_severity": none(WEEK_HOURS * SEVERITIES), "days": none(CALENDAR_DAYS), "day_severity": F.array_repeat(F.lit(0), CALENDAR_DAYS)}
+    return rows.withColumns({c: F.coalesce(c, v) for c, v in empty.items()})
 
 
 def shape_rollup(recorded: DataFrame, light: DataFrame, shape: str) -> DataFrame:
@@ -299,15 +332,33 @@ def piece_rollup(sightings: DataFrame) -> DataFrame:
     return sightings.groupBy("value").agg(F.countDistinct("ip").alias("sources"), F.countDistinct("source_uid").alias("inputs"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"))
 
 
-def queue_metrics(jobs: DataFrame, now: int) -> DataFrame:
-    s = F.col("status")
+#: Hours after which a running job is dead, and of the window in which the queue's growth is read (fixed values).
+STALE_HOURS, DRAIN_HOURS = 13, 6
+
+
+def queue_metrics(jobs: DataFrame, now: int, stale_hours: int = STALE_HOURS, drain_hours: int = DRAIN_HOURS) -> DataFrame:
+    """One row: backlog, what runs, arrivals and completions of the last hour, day and drain window, what failed, was refused or timed out, mean seconds of a week's scans, the oldest wait, and arrivals and completions of each of the last 24 hours, the oldest first."""
+    s, left = F.col("status"), F.col("status").isin("done", "failed", "refused", "superseded")
     ended = s.isin("done", "failed")
-    return jobs.agg(
-        F.count_if(s == "queued").alias("backlog"), F.count_if(s == "running").alias("running"),
-        F.count_if(F.col("queued") >= now - DAY).alias("arrived_24h"), F.count_if(ended & (F.col("finished") >= now - DAY)).alias("ended_24h"),
-        F.count_if(s == "failed").alias("failed"), F.count_if(F.col("error") == "timeout").alias("timeouts"),
-        F.avg(F.when(ended, F.col("finished") - F.col("started"))).alias("mean_s"), F.max(F.when(s == "queued", now - F.col("queued"))).alias("oldest_wait_s"),
+    since = lambda c, hours: F.coalesce(F.col(c) > now - hours * HOUR, F.lit(False))
+    sums = jobs.agg(
+        F.count_if(s == "queued").alias("backlog"), F.count_if((s == "running") & since("started", stale_hours)).alias("running"),
+        F.count_if(since("queued", 1)).alias("arrivals_1h"), F.count_if(since("queued", 24)).alias("arrivals_24h"),
+        F.count_if(ended & since("finished", 1)).alias("completed_1h"), F.count_if(ended & since("finished", 24)).alias("completed_24h"),
+        F.count_if((s == "failed") & since("finished", 24)).alias("failed_24h"), F.count_if((s == "refused") & since("finished", 24)).alias("refused_24h"),
+        F.count_if((s == "failed") & F.coalesce(F.col("error").startswith("timeout"), F.lit(False)) & since("finished", 24)).alias("timeouts_24h"),
+        F.count_if(since("queued", drain_hours)).alias("arrivals_recent"), F.count_if(left & since("finished", drain_hours)).alias("left_recent"),
+        F.least(F.greatest(F.coalesce((now - F.min("queued")) / HOUR, F.lit(24.0)), F.lit(1.0)), F.lit(24.0)).alias("observed_hours"),
+        F.avg(F.when(ended & since("finished", 168), F.col("finished") - F.col("started"))).alias("avg_scan_s"), F.max(F.when(s == "queued", now - F.col("queued"))).alias("oldest_queued_s"),
     )
+    at = lambda c, counts: F.struct(F.col(c).alias("t"), F.when(counts, F.lit(1)).otherwise(0).alias("arrivals"), F.when(counts, F.lit(0)).otherwise(1).alias("completions"))
+    times = F.array_compact(F.array(at("queued", F.lit(True)), F.when(ended, at("finished", F.lit(False)))))
+    aged = jobs.select(F.inline(times)).withColumn("age", F.floor((now - F.col("t")) / HOUR)).where(F.col("age").between(0, 23) & (F.col("t") > now - 24 * HOUR))
+    by = aged.groupBy(F.lit(1).alias("_one"), (23 - F.col("age")).alias("b")).agg(F.sum("arrivals").alias("hourly_arrivals"), F.sum("completions").alias("hourly_completions"))
+    series = dense(by, ["_one"], "b", ["hourly_arrivals", "hourly_completions"], 24)
+    none = F.array_repeat(F.lit(0).cast("long"), 24)
+    both = sums.withColumn("_one", F.lit(1)).join(series, "_one", "left").drop("_one")  # one row each
+    return both.withColumns({c: F.coalesce(c, none) for c in ("hourly_arrivals", "hourly_completions")})
 
 
 def scanner_rates(jobs: DataFrame, now: int, hours: int = 24, least: int = 5) -> DataFrame:

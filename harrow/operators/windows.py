@@ -20,22 +20,29 @@ def running_totals(changes: DataFrame, keys: list[str], columns: list[str], step
 
 
 def request_history_1h(requests: DataFrame, seconds: int = HOUR) -> DataFrame:
-    """Per request: distinct paths and requests of its source in the hour before, itself included (strictly under 3600 s).
+    """Per request: distinct paths and requests of its source in the hour before, itself included (strictly under 3600 s); null without a source or a time.
 
     A request counts from its time on and leaves after the hour; a path leaves
-    when it is asked for again or after the hour. Both counts are running sums of
-    such changes, so no row looks at the rows before it.
+    when it is asked for again or after the hour, which is seen in cells of two
+    hours. Both counts are running sums of such changes, dealt by source and day;
+    the requests run along with them, so no row looks at the rows before it and
+    nothing is joined but the days' small carried sums.
     """
-    step = F.floor(F.col("t") / seconds)
-    paths = requests.select("ip", "path", "t").distinct().withColumn("_h", step)
-    again = F.lead("t").over(Window.partitionBy("ip", "path", "_h").orderBy("t"))
-    following = paths.groupBy("ip", "path", (F.col("_h") - 1).alias("_h")).agg(F.min("t").alias("_f"))
-    until = paths.withColumn("_n", again).join(following, ["ip", "path", "_h"], "left").select("ip", "t", F.least(F.col("t") + seconds, F.coalesce("_n", "_f", F.col("t") + seconds)).alias("_until"))
-    change = lambda t, paths_, requests_: F.struct(F.col(t).alias("t") if isinstance(t, str) else t.alias("t"), F.lit(paths_).alias("paths_1h"), F.lit(requests_).alias("requests_1h"))
-    of_paths = until.select("ip", F.inline(F.array(change("t", 1, 0), change("_until", -1, 0))))
-    of_requests = requests.select("ip", F.inline(F.array(change("t", 0, 1), change(F.col("t") + seconds, 0, -1))))
-    counts = running_totals(of_paths.unionByName(of_requests), ["ip"], ["paths_1h", "requests_1h"])
-    return requests.join(counts.select("ip", "t", F.col("paths_1h").cast("int").alias("paths_1h"), "requests_1h"), ["ip", "t"], "left")
+    hour = F.floor(F.col("t") / seconds)
+    cells = F.inline(F.array(F.struct(hour.alias("_cell"), F.lit(True).alias("_own")), F.struct((hour - 1).alias("_cell"), F.lit(False).alias("_own"))))
+    asked = requests.where("ip IS NOT NULL AND t IS NOT NULL").select("ip", "path", "t", cells)
+    leaves = F.col("t") + seconds
+    until = F.least(leaves, F.coalesce(F.lead("t").over(Window.partitionBy("ip", "path", "_cell").orderBy("t", F.desc("_own"))), leaves))
+    change = lambda t, paths, all_: F.struct(t.alias("t"), F.lit(paths).alias("_p"), F.lit(all_).alias("_r"))
+    changes = asked.withColumn("_until", until).where("_own").select("ip", F.inline(F.array(change(F.col("t"), 1, 1), change(F.col("_until"), -1, 0), change(leaves, 0, -1))))
+    changes = changes.groupBy("ip", "t").agg(F.sum("_p").alias("_p"), F.sum("_r").alias("_r"))
+    rows = requests.select("ip", "t", F.struct(*requests.columns).alias("_row")).unionByName(changes, allowMissingColumns=True).withColumn("_step", F.floor(F.col("t") / DAY))
+    upto = Window.partitionBy("ip", "_step").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("ip").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    days = changes.groupBy("ip", F.floor(F.col("t") / DAY).alias("_step")).agg(F.sum("_p").alias("_p"), F.sum("_r").alias("_r"))
+    carried = days.select("ip", "_step", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_p", "_r")])
+    found = rows.select("ip", "_step", "_row", F.sum("_p").over(upto).alias("_p"), F.sum("_r").over(upto).alias("_r")).where("_row IS NOT NULL").join(carried, ["ip", "_step"], "left")
+    return found.select("_row.*", (F.col("_p") + F.col("_p0")).cast("int").alias("paths_1h"), (F.col("_r") + F.col("_r0")).alias("requests_1h"))
 
 
 def ranked_joiners(sightings: DataFrame) -> DataFrame:

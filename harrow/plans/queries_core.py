@@ -64,11 +64,16 @@ R("enrich_as_of", "requests", "intel_log", sql="""SELECT id, coalesce((SELECT ar
   LEFT JOIN (SELECT r.id AS i, max(l.t) AS t FROM requests r JOIN intel_log l ON l.ip = r.ip AND l.t <= r.t GROUP BY r.id) b ON b.i = r.id LEFT JOIN (SELECT ip, min(t) AS t FROM intel_log GROUP BY ip) f ON f.ip = r.ip""")(
     lambda r, i: J.enrich_as_of(r, i).select("id", "data")
 )
-R("geo_join", "sources", sql="SELECT ip, concat('C', ip % 7) AS country FROM sources")(
-    lambda s: J.geo_join(
-        s.select("ip", C.ip_key(_ip("ip")).alias("ip_key")),
-        s.sparkSession.range(7).select(F.concat(F.lit("00000000000000000000ffff0a0"), F.col("id"), F.lit("0000")).alias("low"), F.concat(F.lit("00000000000000000000ffff0a0"), F.col("id"), F.lit("ffff")).alias("high"), F.concat(F.lit("C"), F.col("id")).alias("country")),
-    ).select("ip", "country")
+def _geo_ranges(spark):
+    """A thousand ranges of addresses, unaligned and partly over one another."""
+    key = lambda n: F.concat(F.lit(C.V4), F.lpad(F.lower(F.hex(n)), 8, "0"))
+    low = F.lit(167_772_160) + F.col("id") * 450
+    return spark.range(1000).select(key(low).alias("low"), key(low + 299 + F.col("id") % 7 * 90).alias("high"), F.concat(F.lit("C"), F.col("id")).alias("country"), (F.col("id") % 50).alias("asn"))
+
+
+R("geo_join", "sources", sql="""WITH s AS (SELECT ip, 167772160 + ip % 7 * 65536 + ip % 200 * 256 + ip % 250 AS a FROM sources), r AS (SELECT i, 167772160 + i * 450 AS low, 167772160 + i * 450 + 299 + i % 7 * 90 AS high FROM range(1000) x(i))
+  SELECT ip, CASE WHEN i IS NOT NULL THEN concat('C', i) END AS country, i % 50 AS asn FROM s LEFT JOIN r ON a BETWEEN low AND high QUALIFY row_number() OVER (PARTITION BY ip ORDER BY low DESC, high) = 1""")(
+    lambda s: J.geo_join(s.select("ip", C.ip_key(_ip("ip")).alias("ip_key")), _geo_ranges(s.sparkSession)).select("ip", "country", "asn")
 )
 R("canary_reuse", "canaries", "tokens", "requests", sql="""WITH u AS (SELECT value_hash, request_id, min(t) AS t, min(ip) AS ip, min(place) AS place FROM tokens GROUP BY 1, 2), s AS (SELECT *, CASE WHEN request_id % 10 = 0 THEN -1 ELSE request_id END AS o FROM canaries),
   f AS (SELECT u.*, arg_max({'id': s.o, 'ip': s.ip, 't': s.t, 'kind': s.kind}, (s.t, s.o, s.ip)) AS s FROM u JOIN s ON s.value_hash = u.value_hash AND (s.t, s.o) < (u.t, u.request_id) GROUP BY ALL)
@@ -76,7 +81,7 @@ R("canary_reuse", "canaries", "tokens", "requests", sql="""WITH u AS (SELECT val
   FROM f LEFT JOIN requests v ON v.id = s.id LEFT JOIN requests w ON w.id = f.request_id""")(
     lambda c, t, r: J.canary_reuse(c.withColumn("request_id", F.when(F.col("request_id") % 10 != 0, F.col("request_id"))), t, r.withColumn("answer", F.col("label")))
 )
-R("canary_links", "canaries", "tokens", sql="WITH p AS (SELECT DISTINCT c.ip AS o, t.ip AS u FROM canaries c JOIN tokens t USING (value_hash) WHERE c.ip <> t.ip) SELECT ip, CAST(sum(b) AS BIGINT) AS used_by, CAST(sum(n) AS BIGINT) AS uses_of FROM (SELECT o AS ip, 1 AS b, 0 AS n FROM p UNION ALL SELECT u, 0, 1 FROM p) GROUP BY ip")(J.canary_links)
+R("canary_links", "canaries", "tokens", sql="WITH p AS (SELECT DISTINCT c.ip AS o, t.ip AS u FROM canaries c JOIN tokens t USING (value_hash) WHERE c.ip <> t.ip) SELECT ip, CAST(sum(b) AS BIGINT) AS used_by, CAST(sum(n) AS BIGINT) AS uses_of FROM (SELECT o AS ip, 1 AS b, 0 AS n FROM p UNION ALL SELECT u, 0, 1 FROM p) GROUP BY ip")(lambda c, t: J.canary_links(c, t, 100))
 R("with_provider", "sources", "intel_log", sql="SELECT ip FROM sources WHERE ip IN (SELECT ip FROM intel_log WHERE provider = 'p2')")(lambda s, i: J.with_provider(s, i, "p2").select("ip"))
 R("without_provider", "sources", "intel_log", sql="SELECT ip FROM sources WHERE ip NOT IN (SELECT ip FROM intel_log WHERE provider = 'p2')")(lambda s, i: J.without_provider(s, i, "p2").select("ip"))
 R("open_port_sources", "sources", "scans", "ports", sql="SELECT ip FROM sources WHERE ip IN (SELECT ip FROM scans JOIN ports ON scan_uid = uid WHERE port = 80 AND state = 'open')")(lambda s, c, p: J.open_port_sources(s, c, p, 80).select("ip"))

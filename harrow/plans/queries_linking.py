@@ -88,20 +88,30 @@ R("chains", "requests", sql=_CHAIN + " SELECT chain, arg_min(value, (t, value))
 R("chains_list", "requests", "members", sql="SELECT k % 9 AS chain, count(DISTINCT k) AS pieces, count(DISTINCT campaign) AS campaigns FROM requests LEFT JOIN members USING (ip) GROUP BY 1")(
     lambda r, m: L.chains_list(r.groupBy((F.col("k") % 9).alias("chain")).agg(F.countDistinct("k").alias("pieces")), r.select((F.col("k") % 9).alias("chain"), "ip"), m)
 )
-R("neighbourhood", "sightings", sql="""WITH o AS (SELECT DISTINCT ip, value FROM sightings), f AS (SELECT value FROM o GROUP BY 1 HAVING count(*) <= 25), g AS (SELECT o.* FROM o JOIN f USING (value)), h1 AS (SELECT DISTINCT y.ip FROM g x JOIN g y USING (value) WHERE x.ip = 3), h2 AS (SELECT DISTINCT y.ip FROM h1 JOIN g x ON x.ip = h1.ip JOIN g y ON y.value = x.value)
-  SELECT ip, min(h) AS hops FROM (SELECT 3 AS ip, 0 AS h FROM (SELECT 1 FROM g WHERE ip = 3 LIMIT 1) UNION ALL SELECT ip, 1 FROM h1 UNION ALL SELECT ip, 2 FROM h2) GROUP BY ip""")(lambda s: L.neighbourhood(s, 3, 2))
+_REST = lambda *done: " - ".join(["399", *(f"(SELECT count(*) FROM {d})" for d in done)])
+R("neighbourhood", "sightings", sql=f"""WITH o AS (SELECT DISTINCT CAST(ip AS VARCHAR) AS ip, value FROM sightings), n AS (SELECT value, count(*) AS n FROM o GROUP BY value),
+  k1 AS (SELECT DISTINCT value AS node FROM o WHERE ip = '3' ORDER BY 1 LIMIT 399),
+  h2 AS (SELECT DISTINCT 'group' AS kind, node FROM k1 JOIN n ON value = node WHERE n > 25 UNION SELECT DISTINCT 'ip', o.ip FROM k1 JOIN n ON n.value = node JOIN o ON o.value = node WHERE n <= 25 AND o.ip <> '3'),
+  k2 AS (SELECT * FROM h2 QUALIFY row_number() OVER (ORDER BY kind, node) <= {_REST("k1")}),
+  h3 AS (SELECT DISTINCT o.value AS node FROM k2 JOIN o ON o.ip = node WHERE kind = 'ip' AND o.value NOT IN (SELECT node FROM k1)),
+  k3 AS (SELECT * FROM h3 QUALIFY row_number() OVER (ORDER BY node) <= {_REST("k1", "k2")})
+  SELECT 'ip' AS kind, '3' AS node, 0 AS hops FROM (SELECT 1 FROM o WHERE ip = '3' LIMIT 1) UNION ALL SELECT 'item', node, 1 FROM k1 UNION ALL SELECT kind, node, 2 FROM k2 UNION ALL SELECT 'item', node, 3 FROM k3""")(lambda s: L.neighbourhood(s, 3))
 R("campaign_graph", "sightings", "requests", sql=_SOFT + "," + _HARD + ", gr AS (SELECT a, b, score, x.grp FROM soft JOIN grp x ON x.ip = a JOIN grp y ON y.ip = b WHERE x.grp = y.grp) SELECT a, b, score, grp FROM gr QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, a, b) <= 2000")(
     lambda s, r: L.campaign_graph(soft_of(r), hard_groups(s))
 )
 R("edge_detail", "requests", sql=_SOFT + ", ow AS (SELECT DISTINCT ip, shape FROM sh) SELECT a, b, x.shape, df FROM soft JOIN ow x ON x.ip = a JOIN ow y ON y.ip = b AND y.shape = x.shape JOIN w ON w.shape = x.shape QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY df, x.shape) <= 5")(
     lambda r: L.edge_detail(soft_of(r), shapes_of(r), 5)
 )
-R("chain_stages", "requests", sql="SELECT chain, stage, label, count(DISTINCT id) AS requests, max(mark) AS mark FROM (SELECT k % 9 AS chain, CASE WHEN label = 'signup' THEN 'exploit' WHEN label = 'click' THEN 'delivery' ELSE 'follow-up' END AS stage, path AS label, id, CASE WHEN status = 404 THEN 'dead end' ELSE 'seen' END AS mark FROM requests) GROUP BY 1, 2, 3")(
+_STAGES = {"exploit": "signup", "delivery": "click", "command": "view", "payload": "purchase"}
+_MARK = "CASE WHEN status = 404 AND id % 2 = 0 THEN 'dead end' WHEN method = 'POST' THEN 'claimed' WHEN id % 5 = 0 THEN 'external' WHEN id % 3 = 0 THEN 'gap' ELSE 'seen' END"
+_RANKED = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(L.MARKS))
+R("chain_stages", "requests", sql=f"""SELECT chain, stage, label, count(DISTINCT id) AS requests, arg_min(mark, CASE mark {_RANKED} END) AS mark FROM (SELECT k % 9 AS chain, CASE label {" ".join(f"WHEN '{v}' THEN '{k}'" for k, v in _STAGES.items())} ELSE 'follow-up' END AS stage,
+  path AS label, id, {_MARK} AS mark FROM requests) GROUP BY 1, 2, 3""")(
     lambda r: L.chain_stages(
         r.select(F.col("k").alias("value"), (F.col("k") % 9).alias("chain")).distinct(),
         {
-            stage: r.where(test).select(F.col("k").alias("value"), F.col("path").alias("label"), "id", F.when(F.col("status") == 404, "dead end").otherwise("seen").alias("mark"))
-            for stage, test in (("exploit", "label = 'signup'"), ("delivery", "label = 'click'"), ("follow-up", "label NOT IN ('signup', 'click')"))
+            stage: r.where(F.col("label") == label if label else ~F.col("label").isin(*_STAGES.values())).select(F.col("k").alias("value"), F.col("path").alias("label"), "id", F.expr(_MARK).alias("mark"))
+            for stage, label in {**_STAGES, "follow-up": None}.items()
         },
     )
 )
@@ -268,9 +278,13 @@ R("classify", "requests", sql=_RULED + "SELECT id, labels, severity, owasp, CASE
 R("reclassify", "requests", sql=_RULED + "SELECT id, labels FROM l WHERE labels <> 'probe'")(
     lambda r: E.reclassify(asked_of(r).withColumn("stored", F.array(F.lit("probe"))), rules_of(r.sparkSession), "stored").select("id", F.array_join("rule_labels", ",").alias("labels"))
 )
-R("rules_agreement", "requests", sql=_RULED + "SELECT origin, count(*) AS checked, count(*) FILTER (labels <> 'form-interaction,probe') AS differ FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY origin ORDER BY t DESC, id DESC) <= 500) GROUP BY origin")(
-    lambda r: E.rules_agreement(ruled(r).withColumn("stored", F.array(F.lit("form-interaction"), F.lit("probe"))), "stored", "rule_labels")
-)
+R("rules_agreement", "requests", sql=_RULED + """SELECT origin, count(*) AS checked, count(*) FILTER (other) AS differ, count(*) FILTER (other) * 100 / count(*)::DOUBLE AS percent
+  FROM (SELECT *, labels <> 'form-interaction,probe' AND NOT (labels = 'probe' AND id % 3 = 0) AS other FROM l QUALIFY row_number() OVER (PARTITION BY origin ORDER BY t DESC, id DESC) <= 500) GROUP BY origin""")(
+    lambda r: E.rules_agreement(
+        ruled(r).withColumn("stored", F.array(F.lit("form-interaction"), F.lit("probe"))).withColumn("seen", F.when((F.col("id") % 3 == 0) & (F.array_join("rule_labels", ",") == "probe"), F.col("stored")).otherwise(F.col("rule_labels"))).withColumn("level", F.col("rule_severity")),
+        "stored", ["rule_labels", "seen"], severities=("level", ["rule_severity", "rule_severity"]),
+    )
+)
 R("load_rules", "requests", sql=_RULED + " UNION ALL ".join(f"SELECT {i} AS position, '{label}' AS label, {weight} AS weight, count(*) FILTER ({flag}) AS hits FROM l" for i, (label, weight, flag) in enumerate([("php-probe", 1, "a"), ("path-nine", 3, "b"), ("ai-agent-tooling", 1, "c"), ("removed", 2, "d"), ("exact", 2, "e"), ("hidden", 4, "x")])))(
     lambda r: readers.rules_table(r.sparkSession, rules_of(r.sparkSession)).join(ruled(r).select(F.explode("rule_labels").alias("label")).groupBy("label").agg(S.count_().alias("hits")), "label", "left").select("position", "label", "weight", F.coalesce("hits", F.lit(0)).alias("hits"))
 )
@@ -282,12 +296,13 @@ R("registry_pick", "intel_log", sql="""WITH n AS (SELECT ip, origin, arg_max(dat
 
 @register_raw("extract_indicators")
 def _indicators(spark, sf_dir):
-    """Indicators of all kinds in whole documents and in whole pages with their addresses."""
+    """Indicators of all kinds, with their roles, in whole documents and in whole pages with their addresses; exploits by the rules' patterns."""
+    exploits = [(r["label"], r["target_regex"]) for r in rules_of(spark) if r.get("target_regex")]
     rows = None
     for source, key, texts in (("documents", "doc_id", ["text"]), ("pages", "page_id", ["url", "html"])):
         part = spark.read.parquet(f"{sf_dir}/{source}.parquet").select(F.lit(source).alias("source"), F.col(key).alias("id"), F.concat_ws("\n", *texts).alias("text"))
         rows = part if rows is None else rows.unionByName(part)
-    return E.extract_indicators(rows, "text", ["source", "id"], ())
+    return E.extract_indicators(rows, "text", ["source", "id"], (), exploits=exploits)
 
 
 R("extract_tokens", "requests", sql="SELECT id, 'agent' AS place, CAST('0x' || substr(sha256(user_agent), 1, 15) AS BIGINT) AS h FROM requests WHERE length(user_agent) >= 6")(

@@ -77,15 +77,55 @@ R("campaign_commands", "members", "requests", sql=f"SELECT campaign, cmd, count(
 )
 R("campaign_uploads", "members", "uploads", sql="SELECT campaign, uid, ip, t, filename, size FROM uploads JOIN members USING (ip) QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY t DESC, uid DESC) <= 20")(S.campaign_uploads)
 R("agent_campaigns", "members", "requests", sql=f"SELECT DISTINCT campaign FROM members JOIN requests USING (ip) WHERE label IN {AGENTS}")(S.agent_campaigns)
-R("source_overview", "requests", sql=f"""SELECT ip, count(*) FILTER (t >= {NOW - 7 * DAY}) AS last_7, count(*) FILTER (t >= {NOW - 182 * DAY}) AS last_182, count(DISTINCT t // {DAY}) AS days, any_value(labels) AS labels FROM requests JOIN
-  (SELECT ip, string_agg(label, ',' ORDER BY n DESC, label) AS labels FROM (SELECT ip, label, count(*) AS n FROM requests GROUP BY ip, label QUALIFY row_number() OVER (PARTITION BY ip ORDER BY count(*) DESC, label) <= 3) GROUP BY ip) USING (ip) GROUP BY ip""")(lambda r: S.source_overview(r, NOW))
+#: Event types as labels of several families.
+_LABELS = {"click": "sqli", "error": "path-scanner", "purchase": "webshell", "signup": "login-probe"}
+_LABEL_FAMILIES = {"sqli": "inject", "path-scanner": "recon", "webshell": "postex", "login-probe": "recon", "form-interaction": "interact"}
+
+
+def _labelled(requests):
+    label = F.create_map(*[F.lit(x) for pair in _LABELS.items() for x in pair])
+    return requests.withColumn("labels", F.array_compact(F.array(F.coalesce(F.try_element_at(label, F.col("label")), F.col("label")), F.when(F.col("method") == "POST", "form-interaction"))))
+
+
+def _overview(requests):
+    rows = S.source_overview(_labelled(requests), NOW, k=3)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    named = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["label"], F.lit(":"), x["n"])), ",").alias(c)
+    return rows.select("ip", "requests", "active_days", *map(joined, ("hours", "by_severity", "days", "day_severity")), *map(named, ("labels", "families")))
+
+
+_CASE = lambda c, of: f"CASE {c} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in of.items())
+_SERIES = lambda m, n: f"array_to_string(list_transform(range(0, {n}), lambda i: coalesce({m}[i], 0)), ',')"
+_ORDER = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(["recon", "exposure", "inject", "impact", "interact", "postex", "bot", "other"]))
+R("source_overview", "requests", sql=f"""WITH l AS (SELECT id, ip, {_CASE("label", _LABELS)} ELSE label END AS label FROM requests UNION ALL SELECT id, ip, 'form-interaction' FROM requests WHERE method = 'POST'),
+  w AS (SELECT ip, 167 - ({NOW // 3600} - t // 3600) AS h, severity, count(*) AS n FROM requests WHERE t // 3600 > {NOW // 3600 - 168} AND t // 3600 <= {NOW // 3600} GROUP BY ALL),
+  fine AS (SELECT ip, map(list(h * 5 + severity), list(n)) AS m FROM w GROUP BY ip), hours AS (SELECT ip, map(list(h), list(n)) AS m FROM (SELECT ip, h, sum(n)::BIGINT AS n FROM w GROUP BY 1, 2) GROUP BY ip),
+  d AS (SELECT ip, map(list(b), list(n)) AS m, map(list(b), list(s)) AS s FROM (SELECT ip, 181 - ({NOW // DAY} - t // {DAY}) AS b, count(*) AS n, max(severity) + 1 AS s FROM requests WHERE t // {DAY} > {NOW // DAY - 182} AND t // {DAY} <= {NOW // DAY} GROUP BY 1, 2) GROUP BY ip),
+  b AS (SELECT ip, label, count(DISTINCT id) AS n FROM l GROUP BY 1, 2),
+  top AS (SELECT ip, string_agg(label || ':' || n, ',' ORDER BY n DESC, label) AS labels FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY ip ORDER BY n DESC, label) <= 3) GROUP BY ip),
+  f AS (SELECT ip, string_agg(family || ':' || n, ',' ORDER BY CASE family {_ORDER} END) AS families FROM (SELECT ip, {_CASE("label", _LABEL_FAMILIES)} ELSE 'other' END AS family, sum(n)::BIGINT AS n FROM b GROUP BY 1, 2) GROUP BY ip),
+  base AS (SELECT ip, count(*) AS requests, count(DISTINCT t // {DAY}) AS active_days FROM requests GROUP BY ip)
+  SELECT base.*, {_SERIES("hours.m", 168)} AS hours, {_SERIES("fine.m", 840)} AS by_severity, {_SERIES("d.m", 182)} AS days, {_SERIES("d.s", 182)} AS day_severity, labels, families
+  FROM base LEFT JOIN hours USING (ip) LEFT JOIN fine USING (ip) LEFT JOIN d USING (ip) LEFT JOIN top USING (ip) LEFT JOIN f USING (ip)""")(_overview)
 R("shape_rollup", "requests", "uploads", sql="SELECT shape, min(t) AS first_seen, max(t) AS last_seen, count(DISTINCT ip) AS sources, count(*) FILTER (hit) AS hits FROM (SELECT path AS shape, ip, t, severity > 0 AS hit FROM requests UNION ALL SELECT answered_path, ip, t, false FROM uploads) GROUP BY shape")(
     lambda r, u: S.shape_rollup(r, u.withColumnRenamed("answered_path", "path"), "path")
 )
 R("piece_rollup", "sightings", sql="SELECT value, count(DISTINCT ip) AS sources, count(DISTINCT source_uid) AS inputs, min(t) AS first_seen, max(t) AS last_seen FROM sightings GROUP BY value")(S.piece_rollup)
 _JOBS_NOW = 996_624_000
-R("queue_metrics", "jobs", sql=f"""SELECT count(*) FILTER (status = 'queued') AS backlog, count(*) FILTER (status = 'running') AS running, count(*) FILTER (queued >= {_JOBS_NOW - DAY}) AS arrived_24h, count(*) FILTER (status IN ('done', 'failed') AND finished >= {_JOBS_NOW - DAY}) AS ended_24h,
-  count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (error = 'timeout') AS timeouts, avg(CASE WHEN status IN ('done', 'failed') THEN finished - started END) AS mean_s, max(CASE WHEN status = 'queued' THEN {_JOBS_NOW} - queued END) AS oldest_wait_s FROM jobs""")(lambda j: S.queue_metrics(j, _JOBS_NOW))
+_AGED = lambda c, more="": f"(SELECT string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY i) FROM range(24) h(i) LEFT JOIN (SELECT 23 - ({_JOBS_NOW} - {c}) // 3600 AS b, count(*) AS n FROM jobs WHERE {c} > {_JOBS_NOW - DAY} AND {c} <= {_JOBS_NOW}{more} GROUP BY 1) ON b = i)"
+_ENDED = "status IN ('done', 'failed')"
+
+
+def _queue(jobs):
+    rows = S.queue_metrics(jobs, _JOBS_NOW)
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("hourly_arrivals", "hourly_completions")})
+
+
+R("queue_metrics", "jobs", sql=f"""SELECT count(*) FILTER (status = 'queued') AS backlog, count(*) FILTER (status = 'running' AND started > {_JOBS_NOW - 13 * 3600}) AS running, count(*) FILTER (queued > {_JOBS_NOW - 3600}) AS arrivals_1h, count(*) FILTER (queued > {_JOBS_NOW - DAY}) AS arrivals_24h,
+  count(*) FILTER ({_ENDED} AND finished > {_JOBS_NOW - 3600}) AS completed_1h, count(*) FILTER ({_ENDED} AND finished > {_JOBS_NOW - DAY}) AS completed_24h, count(*) FILTER (status = 'failed' AND finished > {_JOBS_NOW - DAY}) AS failed_24h, 0::BIGINT AS refused_24h,
+  count(*) FILTER (status = 'failed' AND starts_with(error, 'timeout') AND finished > {_JOBS_NOW - DAY}) AS timeouts_24h, count(*) FILTER (queued > {_JOBS_NOW - 6 * 3600}) AS arrivals_recent, count(*) FILTER ({_ENDED} AND finished > {_JOBS_NOW - 6 * 3600}) AS left_recent,
+  least(greatest(({_JOBS_NOW} - min(queued)) / 3600, 1.0), 24.0)::DOUBLE AS observed_hours, avg(CASE WHEN {_ENDED} AND finished > {_JOBS_NOW - 7 * DAY} THEN finished - started END) AS avg_scan_s, max(CASE WHEN status = 'queued' THEN {_JOBS_NOW} - queued END) AS oldest_queued_s,
+  {_AGED("queued")} AS hourly_arrivals, {_AGED("finished", " AND " + _ENDED)} AS hourly_completions FROM jobs""")(_queue)
 _HOURS = 24_000  # the stand-in has few jobs a day
 R("scanner_rates", "jobs", sql=f"""WITH b AS (SELECT level, scanner, count(*) FILTER (status = 'done') AS ok, count(*) FILTER (status = 'failed' AND coalesce(error NOT IN ('timeout', 'invalid target'), true)) AS failed FROM jobs
   WHERE status IN ('done', 'failed') AND finished >= {_JOBS_NOW} - {_JOBS_NOW % 3600} - {_HOURS} * 3600 AND finished < {_JOBS_NOW - _JOBS_NOW % 3600} GROUP BY 1, 2),

@@ -103,13 +103,49 @@ R("merge_latest", "changes", sql="SELECT ip, kind, version, value FROM changes Q
     lambda c: M.merge_latest(c.where("uid % 2 = 0"), c.where("uid % 2 = 1"), ["ip", "kind"]).select("ip", "kind", "version", "value")
 )
 R("merge_idempotent", "changes", sql="SELECT uid, ip FROM changes")(lambda c: M.merge_idempotent(c.where("uid % 3 = 0"), c.union(c)).select("uid", "ip"))
-R("apply_tombstones", "changes", sql="SELECT uid FROM changes WHERE NOT (uid % 5 = 0 AND origin = 'n1')")(lambda c: M.apply_tombstones(c, c.where("uid % 5 = 0").select("uid", F.lit("n1").alias("origin"))).select("uid"))
+_TOMBS = "uid % 25 = 0 AND origin = 'n1' OR uid % 101 = 3"
+R("apply_tombstones", "changes", sql=f"""WITH RECURSIVE c AS (SELECT uid, CASE WHEN uid % 10 <> 0 THEN uid - 1 END AS up, origin FROM changes), gone AS (SELECT uid FROM c WHERE {_TOMBS} OR origin = 'n2' AND uid % 10 = 9 UNION SELECT c.uid FROM c JOIN gone ON c.up = gone.uid)
+  SELECT uid FROM c WHERE uid NOT IN (SELECT uid FROM gone)""")(
+    lambda c: M.apply_tombstones(
+        c.select("uid", F.when(F.col("uid") % 10 != 0, F.col("uid") - 1).alias("up"), F.when((F.col("uid") % 10 == 9) & (F.col("origin") == "n2"), "n9").otherwise(F.col("origin")).alias("origin")),
+        c.where("uid % 25 = 0").select("uid", F.lit("n1").alias("origin")), parent="up", hidden=c.where("uid % 101 = 3").select("uid"), blocked=c.sparkSession.createDataFrame([("n9",)], "origin string"),
+    ).select("uid")
+)
 R("deferred_children", "changes", sql="SELECT 'apply' AS state, count(*) AS n FROM changes WHERE uid % 7 = 0 AND uid % 3 = 1 UNION ALL SELECT 'wait', count(*) FROM changes WHERE uid % 7 <> 0 AND uid % 3 = 1")(
     lambda c: (lambda d: d["apply"].agg(S.count_().alias("n")).select(F.lit("apply").alias("state"), "n").unionByName(d["wait"].agg(S.count_().alias("n")).select(F.lit("wait").alias("state"), "n")))(
         M.deferred_children(c.select(F.col("uid").alias("parent")), c.where("uid % 7 = 0").select("uid"), c.where("uid % 3 <> 1").select("uid"))
     )
 )
-R("retention", "requests", sql=f"SELECT id FROM requests WHERE t >= {NOW - 10 * DAY}")(lambda r: M.retention(r, NOW, 10).select("id"))
+#: Jobs and scans of the driver's tables are older than its requests; so many seconds set them beside each other.
+_LATER = NOW - 996_624_000
+_KEEP = f"{NOW - 10 * DAY}"
+
+
+def _retention(requests, uploads, tokens, canaries, scans, ports, host_keys, jobs):
+    """(table, rows, checksum) of what retention keeps in each of ten tables."""
+    late = lambda df, *cs: df.withColumns({c: F.col(c) + _LATER for c in cs})
+    tables = {
+        "requests": requests.select("id", "t"), "uploads": uploads.select(F.col("uid").alias("id"), "request_id"), "tokens": tokens.select(F.col("value_hash").alias("id"), "request_id"), "canaries": canaries.select(F.col("value_hash").alias("id"), "request_id"),
+        "scans": late(scans.where("uid % 5 <> 0").select("uid", (F.col("uid") + F.col("uid") % 2).alias("job_uid"), "t"), "t"), "ports": ports.select(F.col("port").alias("id"), "scan_uid"), "host_keys": host_keys.select(F.col("port").alias("id"), "scan_uid"),
+        "jobs": late(jobs.select("uid", "status", "queued", "finished"), "queued", "finished"), "batches": requests.where("id % 13 = 0").select("id", F.col("t").alias("last_t")),
+        "fingerprints": requests.select((F.col("id") * 2).alias("id"), F.when(F.col("id") % 4 != 0, F.col("id")).alias("request_id"), "t"),
+    }
+    out = None
+    for name, rows in M.retention(tables, NOW, 10).items():
+        key = "id" if "id" in rows.columns else "uid"
+        row = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col(key).cast("long")), F.lit(0)).alias("checksum")).select(F.lit(name).alias("table"), "rows", "checksum")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_OF_OLD = f"(SELECT id FROM requests WHERE t < {_KEEP})"
+_KEPT = {
+    "requests": ("id", f"requests WHERE t >= {_KEEP}"), "uploads": ("uid", f"uploads WHERE request_id NOT IN {_OF_OLD}"), "tokens": ("value_hash", f"tokens WHERE request_id NOT IN {_OF_OLD}"), "canaries": ("value_hash", f"canaries WHERE request_id NOT IN {_OF_OLD}"),
+    "scans": ("uid", f"sc WHERE t >= {_KEEP}"), "ports": ("port", f"ports WHERE scan_uid NOT IN (SELECT uid FROM sc WHERE t < {_KEEP})"), "host_keys": ("port", f"host_keys WHERE scan_uid NOT IN (SELECT uid FROM sc WHERE t < {_KEEP})"),
+    "jobs": ("uid", f"jobs WHERE NOT (status IN ('done', 'failed') AND finished + {_LATER} < {_KEEP} AND uid NOT IN (SELECT job_uid FROM sc WHERE t >= {_KEEP}))"), "batches": ("id", f"requests WHERE id % 13 = 0 AND t >= {_KEEP}"),
+    "fingerprints": ("id * 2", f"requests WHERE t >= {_KEEP}"),
+}
+R("retention", "requests", "uploads", "tokens", "canaries", "scans", "ports", "host_keys", "jobs", sql=f"WITH sc AS (SELECT uid, uid + uid % 2 AS job_uid, t + {_LATER} AS t FROM scans WHERE uid % 5 <> 0) " + " UNION ALL ".join(f"SELECT '{name}' AS \"table\", count(*) AS rows, coalesce(sum({key}), 0)::BIGINT AS checksum FROM {rest}" for name, (key, rest) in _KEPT.items()))(_retention)
 
 
 def batches_of(requests):

@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from harrow.operators.filters import publication
+from harrow.operators.windows import running_totals
 
 LATENESS = "2 days"
 
@@ -115,7 +116,13 @@ def stream_sampling(requests: DataFrame, rate: float, burst: int, every: int, la
     return in_event_order(once(requests, ["id"], lateness), "ip", "id", step, "id long, decision string", int(burst / rate) + 1)
 
 
-def stream_waves(requests: DataFrame, known: DataFrame, seconds: int, least: int, lateness: str = LATENESS) -> DataFrame:
+def _unknown(rows: DataFrame, known: DataFrame, uncounted: DataFrame | None) -> DataFrame:
+    """Rows of shapes that no rule knows; shapes whose hits are not counted yet (``uncounted``) are passed over."""
+    rows = rows.join(known.select("shape"), "shape", "left_anti")
+    return rows if uncounted is None else rows.join(uncounted.select("shape"), "shape", "left_anti")
+
+
+def stream_waves(requests: DataFrame, known: DataFrame, seconds: int, least: int, lateness: str = LATENESS, uncounted: DataFrame | None = None) -> DataFrame:
     """Unknown shapes that ``least`` sources asked for within ``seconds``; once per shape ever. Held: newest time by source until it fires, then only that it did."""
 
     def step(held, key, times, ips):
@@ -135,18 +142,23 @@ def stream_waves(requests: DataFrame, known: DataFrame, seconds: int, least: int
                 return [held[0][:0], held[1][:0], np.ones(1)], pd.DataFrame({"shape": [key], "t": [t], "sources": [len(newest)]})
         return [np.array(list(newest), np.int64), np.array(list(newest.values()), np.int64), held[2]], nothing
 
-    fresh = once(requests, ["id"], lateness).join(known.select("shape"), "shape", "left_anti")
+    fresh = _unknown(once(requests, ["id"], lateness), known, uncounted)
     return in_event_order(fresh, "shape", "ip", step, "shape string, t long, sources long", None)
 
 
-def waves(requests: DataFrame, known: DataFrame, seconds: int, least: int) -> DataFrame:
-    """The batch twin: the first time at which the sources of the last ``seconds`` are enough."""
-    from pyspark.sql import Window
+def waves(requests: DataFrame, known: DataFrame, seconds: int, least: int, uncounted: DataFrame | None = None) -> DataFrame:
+    """The batch twin: the first time at which the sources of the last ``seconds`` are enough.
 
-    fresh = requests.select("shape", "ip", "t").distinct().join(known.select("shape"), "shape", "left_anti")
-    recent = Window.partitionBy("shape").orderBy("t").rangeBetween(-(seconds - 1), 0)
-    counted = fresh.withColumn("sources", F.size(F.collect_set("ip").over(recent)))
-    return counted.where(F.col("sources") >= least).groupBy("shape").agg(F.min("t").alias("t"))
+    A source counts from its request on and leaves when it asks again or when
+    the window has passed; the distinct count is a running sum of such changes,
+    dealt by shape and day. Both looks ahead stay inside two windows of time.
+    """
+    fresh = _unknown(requests.select("shape", "ip", "t").where("shape IS NOT NULL").distinct(), known, uncounted).withColumn("_w", F.floor(F.col("t") / seconds))
+    again = F.lead("t").over(Window.partitionBy("shape", "ip", "_w").orderBy("t"))
+    following = fresh.groupBy("shape", "ip", (F.col("_w") - 1).alias("_w")).agg(F.min("t").alias("_f"))
+    until = fresh.withColumn("_n", again).join(following, ["shape", "ip", "_w"], "left").withColumn("_until", F.least(F.col("t") + seconds, F.coalesce("_n", "_f", F.col("t") + seconds)))
+    changes = until.select("shape", F.inline(F.array(F.struct(F.col("t").alias("t"), F.lit(1).alias("sources")), F.struct(F.col("_until").alias("t"), F.lit(-1).alias("sources")))))
+    return running_totals(changes, ["shape"], ["sources"]).where(F.col("sources") >= least).groupBy("shape").agg(F.min("t").alias("t"))
 
 
 def stream_release(requests: DataFrame, delay: int, jitter: int, lateness: str = LATENESS) -> DataFrame:

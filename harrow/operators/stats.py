@@ -6,6 +6,8 @@ a parameter; distinct counts are exact; every ranking has a full tie-break.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,22 +208,64 @@ def mcp_funnel(requests: DataFrame, canaries: DataFrame, tokens: DataFrame, sess
     return flags.agg(count_().alias("sessions"), F.count_if("listed").alias("listed"), F.count_if("called").alias("called"), F.count_if("reused").alias("reused"))
 
 
-def model_usage(requests: DataFrame, model: str, least: int = 2) -> DataFrame:
-    by = requests.groupBy(F.col(model).alias("model")).agg(count_().alias("calls"), F.countDistinct("ip").alias("sources"))
-    return by.where(F.col("sources") >= least)
+def field(json: Column, path: str) -> Column:
+    """A field of a JSON text as text; null if the text is no JSON or has no such field."""
+    return F.try_variant_get(F.try_parse_json(json), path, "string")
+
+
+#: Answers of a model's interface: those that list models, and those that are calls (fixed values).
+LISTINGS, CALLS = ("tags", "models"), ("chat", "generate", "chat-completions", "completions", "responses", "messages", "complete")
+MODEL_ANSWER = "decoy:llm:"
+
+
+def llm_usage(requests: DataFrame, listed: DataFrame, top: int = 100) -> DataFrame:
+    """(section, name, api, requests, sources): use of the model interface from raw call bodies (``decoy_in``, JSON text, bad ones tolerated).
+
+    Sections: ``api`` by the interface, ``calls``, ``listings`` and ``pulls`` by the
+    answer, ``listed`` and ``unlisted`` calls by whether the node that served
+    (ident, persona) lists the model (``listed``: ident, persona, model), and
+    ``model`` with the ``top`` models by requests. A listing that names a model is
+    none. Counted per answer, model and node first, so the join meets few rows.
+    """
+    asked = requests.where(F.col("decoy_in").isNotNull() & F.col("answer").startswith(MODEL_ANSWER))
+    rows = asked.select("ip", F.substring("answer", len(MODEL_ANSWER) + 1, 1 << 20).alias("answer"), *[field(F.col("decoy_in"), f"$.{k}").alias(n) for k, n in (("api", "api"), ("model", "model"), ("i", "ident"), ("p", "persona"))])
+    counts = (count_().alias("requests"), F.countDistinct("ip").alias("sources"))
+    out = lambda df, section, name=None, api=None: df.select(section.alias("section"), *[F.coalesce(c, F.lit(None).cast("string")).alias(n) for c, n in ((name, "name"), (api, "api"))], "requests", "sources")
+    by_api = rows.groupBy(F.coalesce("api", F.lit("unknown")).alias("name")).agg(*counts)
+    kind = F.when(F.col("answer").isin(*LISTINGS) & F.col("model").isNull(), "listings").when(F.col("answer").isin(*CALLS), "calls").when(F.col("answer") == "pull", "pulls")
+    by_kind = rows.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("kind").agg(*counts)
+    called = rows.where(F.col("answer").isin(*CALLS)).groupBy("ident", "persona", "model", "ip").agg(count_().alias("n"))
+    known = listed.select("ident", "persona", "model").distinct().withColumn("known", F.lit(True))
+    same = [called[c].eqNullSafe(known[c]) if c != "model" else called[c] == known[c] for c in ("ident", "persona", "model")]
+    told = called.join(known, same, "left").select("n", "ip", F.when(F.col("known"), "listed").otherwise("unlisted").alias("kind"))
+    by_list = told.groupBy("kind").agg(F.sum("n").alias("requests"), F.countDistinct("ip").alias("sources"))
+    models = rows.where("model IS NOT NULL").groupBy("model", F.coalesce("api", F.lit("")).alias("api")).agg(*counts).orderBy(F.desc("requests"), "model", "api").limit(top)
+    none = F.lit(None).cast("string")
+    parts = [out(by_api, F.lit("api"), F.col("name"), none), out(by_kind, F.col("kind"), none, none), out(by_list, F.col("kind"), none, none), out(models, F.lit("model"), F.col("model"), F.col("api"))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def decoy_tiles(requests: DataFrame, least: int = 5) -> DataFrame:
     return requests.groupBy("status", "method").agg(count_().alias("requests")).where(F.col("requests") >= least)
 
 
-def network_rollup(requests: DataFrame, sources: DataFrame, key: str, k: int = 8) -> DataFrame:
-    """Per network: sources, requests, severity, span and its top labels."""
+def joined_top(counts: DataFrame, keys: list[str], value: str, n: str, k: int, out: str) -> DataFrame:
+    """(keys, out): the k values with the largest ``n``, joined by commas; ties by value."""
+    top = keep_top(counts, keys, [F.desc(n), F.col(value)], k).groupBy(*keys)
+    return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("o"), F.col(value).alias("v")))), lambda x: x["v"].cast("string")), ",").alias(out))
+
+
+def network_rollup(requests: DataFrame, sources: DataFrame, key: str, k: int = 8, open_ports: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """Per network: sources, requests, severity, span and its top labels; with ``open_ports`` (ip, port) its top ports by sources, with ``members`` (ip, campaign) how many campaigns its sources are in."""
     rows = requests.join(sources.select("ip", key), "ip")
     base = rows.groupBy(key).agg(F.countDistinct("ip").alias("sources"), count_().alias("requests"), F.max("severity").alias("max_severity"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"))
-    labels = rows.groupBy(key, "label").agg(count_().alias("n"))
-    top = keep_top(labels, [key], [F.desc("n"), F.col("label")], k).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "label"))), lambda x: x["label"]), ",").alias("top_labels"))
-    return base.join(top, key)
+    out = base.join(joined_top(rows.groupBy(key, "label").agg(count_().alias("n")), [key], "label", "n", k, "top_labels"), key)
+    if open_ports is not None:
+        by = open_ports.join(sources.select("ip", key), "ip").groupBy(key, "port").agg(F.countDistinct("ip").alias("n"))
+        out = out.join(joined_top(by, [key], "port", "n", k, "top_ports"), key, "left")
+    if members is not None:
+        out = out.join(members.join(sources.select("ip", key), "ip").groupBy(key).agg(F.countDistinct("campaign").alias("campaigns")), key, "left").na.fill(0, ["campaigns"])
+    return out
 
 
 def keep_top(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -229,12 +273,24 @@ def keep_top(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def network_facts(sources: DataFrame, facts: DataFrame, key: str, k: int = 8) -> DataFrame:
-    """Top values of trimmed, non-empty facts per network by distinct sources."""
-    value = F.trim("data")
-    rows = facts.select("ip", value.alias("fact")).where("fact <> ''").join(sources.select("ip", key), "ip")
-    by = rows.groupBy(key, "fact").agg(F.countDistinct("ip").alias("sources"))
-    return keep_top(by, [key], [F.desc("sources"), F.col("fact")], k)
+#: Fields of a registry's answer that are told of a network (fixed values).
+REGISTRY_FIELDS = ("org", "range", "abuse")
+
+
+def network_facts(sources: DataFrame, intel: DataFrame, key: str, provider: str, k: int = 8) -> DataFrame:
+    """(key, field, value, sources): per network the k commonest countries of its sources, and organisations, ranges and abuse contacts of the registry's answers (``data``, JSON text).
+
+    Answers come from other nodes: what is no JSON, and a field that is not text,
+    is passed over; text is trimmed, empty text is none. A source counts once a value.
+    """
+    at = lambda f: F.try_variant_get("_v", f"$.{f}", "variant")
+    text = lambda f: F.when(F.schema_of_variant(at(f)) == "STRING", F.trim(F.try_variant_get("_v", f"$.{f}", "string")))
+    known = intel.where(F.col("provider") == provider).select("ip", F.try_parse_json("data").alias("_v")).where("_v IS NOT NULL")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("value")) for f in REGISTRY_FIELDS])
+    told = known.select("ip", F.inline(each)).where("value <> ''").join(sources.select("ip", key), "ip")
+    places = sources.select("ip", key, F.lit("country").alias("field"), F.col("country").alias("value")).where("value <> ''")
+    by = told.unionByName(places).groupBy(key, "field", "value").agg(F.countDistinct("ip").alias("sources"))
+    return keep_top(by, [key, "field"], [F.desc("sources"), F.col("value")], k)
 
 
 def links_list(sightings: DataFrame, shared_only: bool = True) -> DataFrame:

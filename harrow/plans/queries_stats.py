@@ -61,11 +61,41 @@ R("mcp_funnel", "requests", "canaries", "tokens", sql=f"""WITH {_SESSIONS}, an A
   SELECT (SELECT count(DISTINCT session) FROM st) AS sessions, (SELECT count(DISTINCT session) FROM an WHERE severity = 1) AS listed, (SELECT count(DISTINCT session) FROM an WHERE severity = 2) AS called, (SELECT count(*) FROM us) AS reused""")(
     lambda r, c, t: S.mcp_funnel(r.withColumn("answer", F.col("severity").cast("string")), served(c, r), t, "c0", "1", "2")
 )
-R("llm_usage", "requests", sql="SELECT k AS model, count(*) AS calls, count(DISTINCT ip) AS sources FROM requests GROUP BY k HAVING count(DISTINCT ip) >= 2")(lambda r: S.model_usage(r, "k"))
+#: A call's body and answer, from a request: some bodies are broken, some name no model.
+_BODY = """CASE WHEN id % 17 = 0 THEN '{"api": ' WHEN id % 11 = 0 THEN concat('{"api": "', label, '"}') ELSE concat('{"model": "m', k % 7, '", "api": "', label, '", "i": "', origin, '", "p": "', persona, '"}') END"""
+_ANSWER = "concat('decoy:', CASE WHEN id % 13 = 0 THEN 'mcp:' ELSE 'llm:' END, CASE k % 6 WHEN 0 THEN 'tags' WHEN 1 THEN 'models' WHEN 2 THEN 'chat' WHEN 3 THEN 'generate' WHEN 4 THEN 'pull' ELSE 'show' END)"
+
+
+def _llm(requests):
+    asked = requests.withColumn("decoy_in", F.expr(_BODY)).withColumn("answer", F.expr(_ANSWER))
+    listed = asked.where("k % 7 < 3").select(F.col("origin").alias("ident"), "persona", F.concat(F.lit("m"), F.col("k") % 7).alias("model")).distinct()
+    return S.llm_usage(asked, listed)
+
+
+_SECTION = lambda section, name, api, rest: f"SELECT {section} AS section, {name} AS name, {api} AS api, count(*) AS requests, count(DISTINCT ip) AS sources FROM r {rest}"
+_CALLED = "answer IN ('chat', 'generate')"
+R("llm_usage", "requests", sql=f"""WITH b AS (SELECT id, ip, k, origin, persona, {_BODY} AS body, {_ANSWER} AS a FROM requests),
+  j AS (SELECT *, CASE WHEN json_valid(body) THEN body END AS v FROM b WHERE starts_with(a, 'decoy:llm:')), l AS (SELECT DISTINCT origin AS ident, persona, concat('m', k % 7) AS model FROM requests WHERE k % 7 < 3),
+  r AS (SELECT ip, a[11:] AS answer, v ->> '$.api' AS api, v ->> '$.model' AS model, v ->> '$.i' AS ident, v ->> '$.p' AS persona FROM j),
+  {" , ".join(f"s{i} AS ({q})" for i, q in enumerate([
+    _SECTION("'api'", "coalesce(api, 'unknown')", "NULL", "GROUP BY 2"), _SECTION("'listings'", "NULL", "NULL", "WHERE answer IN ('tags', 'models') AND model IS NULL HAVING count(*) > 0"), _SECTION("'calls'", "NULL", "NULL", f"WHERE {_CALLED} HAVING count(*) > 0"),
+    _SECTION("'pulls'", "NULL", "NULL", "WHERE answer = 'pull' HAVING count(*) > 0"), _SECTION("CASE WHEN l.model IS NOT NULL THEN 'listed' ELSE 'unlisted' END", "NULL", "NULL", f"LEFT JOIN l USING (ident, persona, model) WHERE {_CALLED} GROUP BY 1"),
+    _SECTION("'model'", "model", "coalesce(api, '')", "WHERE model IS NOT NULL GROUP BY 2, 3 ORDER BY 4 DESC, 2, 3 LIMIT 100")]))}
+  {" UNION ALL ".join(f"SELECT section, CAST(name AS VARCHAR) AS name, CAST(api AS VARCHAR) AS api, requests, sources FROM s{i}" for i in range(6))}""")(_llm)
 R("decoy_tiles", "requests", sql="SELECT status, method, count(*) AS requests FROM requests GROUP BY status, method HAVING count(*) >= 5")(S.decoy_tiles)
-R("network_rollup", "requests", "sources", sql="""WITH r AS (SELECT requests.*, asn FROM requests JOIN sources USING (ip)), l AS (SELECT asn, label, count(*) AS n FROM r GROUP BY asn, label QUALIFY row_number() OVER (PARTITION BY asn ORDER BY count(*) DESC, label) <= 8)
-  SELECT asn, count(DISTINCT ip) AS sources, count(*) AS requests, max(severity) AS max_severity, min(t) AS first_seen, max(t) AS last_seen, any_value(top_labels) AS top_labels FROM r JOIN (SELECT asn, string_agg(label, ',' ORDER BY n DESC, label) AS top_labels FROM l GROUP BY asn) USING (asn) GROUP BY asn""")(lambda r, s: S.network_rollup(r, s, "asn"))
-R("network_facts", "sources", "intel_log", sql="SELECT asn, data AS fact, count(DISTINCT ip) AS sources FROM intel_log JOIN sources USING (ip) GROUP BY asn, data QUALIFY row_number() OVER (PARTITION BY asn ORDER BY count(DISTINCT ip) DESC, data) <= 8")(lambda s, i: S.network_facts(s, i, "asn"))
+_TOP = lambda out, value, rows, n: f"(SELECT asn, string_agg(CAST({value} AS VARCHAR), ',' ORDER BY n DESC, {value}) AS {out} FROM (SELECT asn, {value}, {n} AS n FROM {rows} GROUP BY asn, {value} QUALIFY row_number() OVER (PARTITION BY asn ORDER BY {n} DESC, {value}) <= 8) GROUP BY asn)"
+R("network_rollup", "requests", "sources", "scans", "ports", "members", sql=f"""WITH r AS (SELECT requests.*, asn FROM requests JOIN sources USING (ip)), p AS (SELECT ip, port, asn FROM ports JOIN scans ON uid = scan_uid JOIN sources USING (ip) WHERE state = 'open'),
+  b AS (SELECT asn, count(DISTINCT ip) AS sources, count(*) AS requests, max(severity) AS max_severity, min(t) AS first_seen, max(t) AS last_seen FROM r GROUP BY asn), c AS (SELECT asn, count(DISTINCT campaign) AS campaigns FROM members JOIN sources USING (ip) GROUP BY asn)
+  SELECT b.*, top_labels, top_ports, coalesce(campaigns, 0) AS campaigns FROM b JOIN {_TOP("top_labels", "label", "r", "count(*)")} USING (asn) LEFT JOIN {_TOP("top_ports", "port", "p", "count(DISTINCT ip)")} USING (asn) LEFT JOIN c USING (asn)""")(
+    lambda r, s, c, p, m: S.network_rollup(r, s, "asn", open_ports=p.where("state = 'open'").join(c.select(F.col("uid").alias("scan_uid"), "ip"), "scan_uid").select("ip", "port"), members=m)
+)
+_REGISTRY = """CASE WHEN hlc % 13 = 0 THEN '{"org": ' ELSE concat('{"org": " o', hlc % 5, ' ", "range": ', CASE WHEN hlc % 4 = 0 THEN '7' ELSE concat('"r', hlc % 3, '"') END, ', "abuse": "', CASE WHEN hlc % 6 = 0 THEN ' ' ELSE data END, '"}') END"""
+R("network_facts", "sources", "intel_log", sql=f"""WITH j AS (SELECT ip, {_REGISTRY} AS d FROM intel_log WHERE provider = 'p2'), v AS (SELECT * FROM j WHERE json_valid(d)),
+  f AS ({" UNION ALL ".join(f"SELECT ip, '{f}' AS field, trim(d ->> '$.{f}') AS value FROM v WHERE json_type(d, '$.{f}') = 'VARCHAR'" for f in ("org", "range", "abuse"))}),
+  a AS (SELECT asn, field, value, ip FROM f JOIN sources USING (ip) WHERE value <> '' UNION ALL SELECT asn, 'country', country, ip FROM sources)
+  SELECT asn, field, value, count(DISTINCT ip) AS sources FROM a GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY asn, field ORDER BY count(DISTINCT ip) DESC, value) <= 8""")(
+    lambda s, i: S.network_facts(s, i.withColumn("data", F.expr(_REGISTRY)), "asn", "p2")
+)
 R("links_list", "sightings", sql="SELECT kind, value, count(DISTINCT ip) AS sources, count(*) AS sightings, min(t) AS first_seen, max(t) AS last_seen FROM sightings GROUP BY kind, value HAVING count(DISTINCT ip) > 1")(S.links_list)
 R("link_item", "sightings", "sources", sql="SELECT value, ip, count(*) AS sightings, max(t) AS last_seen, any_value(country) AS country FROM sightings LEFT JOIN sources USING (ip) WHERE kind = 'key' GROUP BY value, ip")(lambda s, o: S.link_item(s, o, "key"))
 R("campaign_index", "members", "sources", "requests", sql=f"SELECT campaign, count(DISTINCT ip) AS size, count(DISTINCT country) AS countries, count(DISTINCT asn) AS asns, coalesce(bool_or(label IN {AGENTS}), false) AS agent FROM members LEFT JOIN sources USING (ip) LEFT JOIN requests USING (ip) GROUP BY campaign")(S.campaign_index)

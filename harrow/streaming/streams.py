@@ -13,12 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from harrow.operators.filters import publication
 from harrow.operators.windows import running_totals
 
 LATENESS = "2 days"
+#: The state store that keyed lists and timers need, instead of the default one.
+STATE_STORE, DEFAULT_STORE, ROCKS_STORE = ("spark.sql.streaming.stateStore.providerClass", *(f"org.apache.spark.sql.execution.streaming.state.{n}StateStoreProvider" for n in ("HDFSBacked", "RocksDB")))
 
 
 def once(stream: DataFrame, keys: list[str], lateness: str = LATENESS) -> DataFrame:
@@ -37,43 +39,90 @@ def stream_timeline(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return hours.agg(F.count(F.lit(1)).alias("requests")).select(F.unix_timestamp("window.start").alias("bucket"), "requests")
 
 
-def in_event_order(rows: DataFrame, key: str, other: str, step: Callable, out: str, keep: int | None) -> DataFrame:
-    """Run ``step`` over each key's rows in the order of their times, however they come.
+class InOrder(StatefulProcessor):
+    """Runs a step over each key's rows in the order of their times, however they come.
 
-    A row waits until the watermark has passed it, so nothing can come before
-    it any more (the stream has a watermark on ``ts``); then ``step(held, key, times, others)`` gets all such rows,
-    sorted, with three arrays that it held (two of integers, one of numbers) and
-    returns them anew with the columns of ``out``. ``keep``: seconds after the
-    last row from which what is held is given up; None keeps it.
+    New rows are appended to a list and never rewritten by later batches; a timer
+    stands at the earliest of them. When the watermark has passed it, the rows in
+    front of the watermark go to the step, sorted, with what the key holds. A timer
+    of its own gives up what a key holds ``keep`` seconds after its last row.
     """
 
-    def run(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, others, last, *held = [np.array(x) for x in state.get] if state.exists else [np.zeros(0, np.int64)] * 5 + [np.zeros(0)]
-        new = [b for b in batches if len(b)]
-        times = np.concatenate([times.astype(np.int64), *[b["t"].to_numpy(np.int64) for b in new]])
-        others = np.concatenate([others.astype(np.int64), *[b["other"].to_numpy(np.int64) for b in new]])
-        watermark = state.getCurrentWatermarkMs()
-        order = np.lexsort((others, times))
-        times, others = times[order], others[order]
-        ready = int(np.searchsorted(times * 1000, watermark, "left"))
-        if ready:
-            held, found = step(held, name[0], times[:ready], others[:ready])
-            last = times[ready - 1 : ready]
-            if len(found):
-                yield found
-        times, others = times[ready:], others[ready:]
-        if len(times) == 0 and keep is not None and (len(last) == 0 or (last[0] + keep) * 1000 <= watermark):
-            state.remove()
+    def __init__(self, step: Callable, keep: int | None):
+        self.step, self.keep = step, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, other long")
+        self.held = handle.getValueState("held", "last long, a array<long>, b array<long>, c array<double>")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def set_timer(self, at: int | None) -> None:
+        was = self.timer.get()[0] if self.timer.exists() else None
+        if was == at:
             return
-        state.update((times.tolist(), others.tolist(), last.tolist(), held[0].astype(np.int64).tolist(), held[1].astype(np.int64).tolist(), held[2].astype(float).tolist()))
-        if len(times):
-            state.setTimeoutTimestamp(max(int(times[0]) * 1000, watermark + 1))
-        elif keep is not None:
-            state.setTimeoutTimestamp((int(last[0]) + keep) * 1000)
+        if was is not None:
+            self.handle.deleteTimer(was)
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([r[["t", "other"]] for r in rows])
+        self.waiting.appendList(list(new.itertuples(index=False, name=None)))
+        first = int(new["t"].min()) * 1000 + 1
+        due = self.timer.get()[0] if self.timer.exists() and self.has_waiting(len(new)) else None
+        self.set_timer(max(first if due is None else min(due, first), timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def has_waiting(self, new: int) -> bool:
+        """Whether rows waited before the new ones; a timer without any was there to give up what is held."""
+        return next((True for k, _ in enumerate(self.waiting.get()) if k >= new), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        rows = np.array(sorted(tuple(r) for r in self.waiting.get()), np.int64).reshape(-1, 2)
+        last, *held = self.held.get() if self.held.exists() else (None, [], [], [])
+        held = [np.array(held[0], np.int64), np.array(held[1], np.int64), np.array(held[2], float)]
+        ready = int(np.searchsorted(rows[:, 0] * 1000, watermark, "left"))
+        found = None
+        if ready:
+            held, found = self.step(held, key[0], rows[:ready, 0], rows[:ready, 1])
+            last, rows = int(rows[ready - 1, 0]), rows[ready:]
+            self.held.update((last, held[0].astype(int).tolist(), held[1].astype(int).tolist(), held[2].astype(float).tolist()))
+            if len(rows):
+                self.waiting.put([tuple(map(int, r)) for r in rows])
+            else:
+                self.waiting.clear()
+        if len(rows):
+            self.set_timer(max(int(rows[0, 0]) * 1000 + 1, watermark + 1))
+        elif self.keep is not None and last is not None:
+            if (last + self.keep) * 1000 <= watermark:
+                self.held.clear()
+            else:
+                self.set_timer((last + self.keep) * 1000)
+        if found is not None and len(found):
+            yield found
+
+    def close(self) -> None:
+        pass
+
+
+def in_event_order(rows: DataFrame, key: str, other: str, step: Callable, out: str, keep: int | None) -> DataFrame:
+    """Run ``step(held, key, times, others)`` over each key's rows in the order of their times.
 
-    held = "times array<long>, others array<long>, last array<long>, a array<long>, b array<long>, c array<double>"
+    A row waits until the watermark has passed it, so nothing can come before
+    it any more (the stream has a watermark on ``ts``). ``step`` returns the three
+    arrays that it holds (two of integers, one of numbers) anew, and a frame with the
+    columns of ``out``. ``keep``: seconds after the last row from which what is held
+    is given up; None keeps it. Needs the RocksDB state store, which ``run_to_table``
+    sets where the session names none.
+    """
     small = rows.select("ts", key, "t", F.col(other).alias("other"))
-    return small.groupBy(key).applyInPandasWithState(run, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return small.groupBy(key).transformWithStateInPandas(InOrder(step, keep), out, "append", "EventTime")
 
 
 def stream_history(requests: DataFrame, seconds: int = 3600, lateness: str = LATENESS) -> DataFrame:
@@ -174,6 +223,9 @@ def stream_release(requests: DataFrame, delay: int, jitter: int, lateness: str =
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run all that is there now into Parquet: appended, or in update mode each batch's changed rows in a folder of its own, which a repeated batch overwrites."""
+    conf = stream.sparkSession.conf
+    if conf.get(STATE_STORE, None) in (None, DEFAULT_STORE):
+        conf.set(STATE_STORE, ROCKS_STORE)
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", path).start()

@@ -150,43 +150,78 @@ def presence(rows: np.ndarray, marks: np.ndarray, chosen: np.ndarray, n: int) ->
     return x
 
 
+def strongest(held: np.ndarray, hit: np.ndarray, rows: int, positive: float) -> np.ndarray:
+    """Which marks go most with the label, in their order: over CHI_SQUARE, in SUPPORT of its documents, at most 2 MARKS. ``held`` and ``hit``: documents, and those with the label, that hold each."""
+    share = positive / rows
+    expected = held * share
+    chi = (hit - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - held / rows), 1e-9)
+    able = np.flatnonzero((chi >= CHI_SQUARE) & (hit > expected) & (hit >= max(LEAST, SUPPORT * positive)))
+    return able[np.argsort(-chi[able], kind="stable")[: 2 * MARKS]]
+
+
 def select_marks(rows: np.ndarray, marks: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The marks that go most with the label: over CHI_SQUARE, in SUPPORT of its documents, at most MARKS.
+    """At most MARKS of the strongest marks. ``rows`` and ``marks`` are distinct pairs.
 
-    ``rows`` and ``marks`` are distinct pairs. Of marks that the same documents
-    hold, as pieces of one word are, one is taken.
+    Of marks that the same documents hold, as pieces of one word are, one is taken.
     """
     if not len(y) or y.min() == y.max():
         return np.zeros(0, np.uint64)
     names, at = np.unique(marks, return_inverse=True)
     held = np.bincount(at, minlength=len(names)).astype(float)
     hit = np.bincount(at, weights=y[rows], minlength=len(names))
-    expected = held * y.mean()
-    chi = (hit - expected) ** 2 / np.maximum(expected * (1 - y.mean()) * (1 - held / len(y)), 1e-9)
-    able = np.flatnonzero((chi >= CHI_SQUARE) & (hit > expected) & (hit >= max(LEAST, SUPPORT * y.sum())))
-    able = np.sort(able[np.argsort(-chi[able], kind="stable")[: 2 * MARKS]])
-    columns = presence(rows, marks, names[able], len(y))
+    able = strongest(held, hit, len(y), y.sum())
+    columns = presence(rows, marks, names[np.sort(able)], len(y))
+    place = np.searchsorted(np.sort(able), able)
     first: dict[bytes, int] = {}
-    for k, i in enumerate(able):
-        first.setdefault(columns[:, k].tobytes(), i)
-    return np.sort(names[sorted(first.values(), key=lambda i: -chi[i])[:MARKS]])
+    for k in np.argsort(place):
+        first.setdefault(columns[:, place[k]].tobytes(), k)
+    return np.sort(names[able[sorted(first.values())[:MARKS]]])
 
 
-def train(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
-    # no fold can choose a mark that LEAST documents of the last category do not hold; the others are never kept
-    name, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *[with_repeats(*held_marks([t]))[1] for t, y in zip(texts, labels[:, -1]) if y]]), return_counts=True)
-    able = name[count >= LEAST]
-    looked_up = with_bases(able, name)
-    held_rows, held = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for s in range(0, len(texts) if len(able) else 0, BLOCK):
+def marks_of(texts: list[str], wanted: np.ndarray, every: np.ndarray):
+    """(rows, index in ``wanted``) of the wanted marks, distinct, BLOCK texts at a time."""
+    looked_up = with_bases(wanted, every)
+    for s in range(0, len(texts) if len(wanted) else 0, BLOCK):
         row, mark = with_repeats(*held_marks(texts[s : s + BLOCK], looked_up))
-        known = able[np.minimum(np.searchsorted(able, mark), len(able) - 1)] == mark
-        held_rows.append(row[known] + s)
-        held.append(mark[known])
-    rows, marks = np.concatenate(held_rows), np.concatenate(held)
+        at = np.minimum(np.searchsorted(wanted, mark), len(wanted) - 1)
+        known = wanted[at] == mark
+        yield row[known] + s, at[known]
+
+
+def possible_marks(texts: list[str], y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marks, all marks of the label's documents): every mark that a fold's models, or the last, could select.
+
+    Counted by fold in arrays, without keeping which document holds what.
+    """
+    name, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    positive = [t for t, label in zip(texts, y) if label]
+    for s in range(0, len(positive), BLOCK):  # no fold can choose a mark that LEAST documents with the label do not hold
+        new = np.concatenate([with_repeats(*held_marks([t]))[1] for t in positive[s : s + BLOCK]])
+        new, n = np.unique(new, return_counts=True)
+        every, at = np.unique(np.concatenate([name, new]), return_inverse=True)
+        name, count = every, np.bincount(at, weights=np.concatenate([count, n]), minlength=len(every)).astype(np.int64)
+    able = name[count >= LEAST]
+    held, hit = np.zeros((FOLDS, len(able))), np.zeros((FOLDS, len(able)))
+    for row, at in marks_of(texts, able, name):
+        cell = fold[row] * len(able) + at
+        held += np.bincount(cell, minlength=held.size).reshape(held.shape)
+        hit += np.bincount(cell, weights=y[row], minlength=held.size).reshape(held.shape)
+    chosen = [np.zeros(0, np.int64)]
+    for out in (*range(FOLDS), None):
+        inside = np.arange(FOLDS) != out
+        rows, positives = int(inside[fold].sum()), float(y[inside[fold]].sum())
+        if 0 < positives < rows:
+            chosen.append(strongest(held[inside].sum(axis=0), hit[inside].sum(axis=0), rows, positives))
+    return able[np.unique(np.concatenate(chosen))], name
+
+
+def train(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
     y = labels.astype(np.float64)
     n, last = len(texts), len(categories) - 1
     fold = np.arange(n) % FOLDS  # rows come ordered by a hash
+    able, name = possible_marks(texts, y[:, -1], fold)
+    pairs = [(np.zeros(0, np.int64),) * 2, *marks_of(texts, able, name)]
+    rows, marks = np.concatenate([r for r, _ in pairs]), able[np.concatenate([at for _, at in pairs])]
     # what stands in for a row's earlier probabilities comes from models, marks and all, that have not seen the row
     unseen = np.zeros((n, last))
     for f in range(FOLDS):

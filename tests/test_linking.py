@@ -140,3 +140,48 @@ def test_support_and_common_shapes(spark):
     assert L.soft_edges(df, prints([(1, "f"), (2, "g")]), alone=0.6, supported=0.45).count() == 0
     found = L.soft_edges(df, prints([(1, "f"), (2, "f"), *[(i, "f") for i in range(100, 160)]]), alone=0.6, supported=0.45).collect()
     assert [(r["a"], r["b"], r["shared"]) for r in found] == [(1, 2, 4)]
+
+
+def brute_walk(rows, focus, depth, hub, most):
+    own = {(str(ip), v) for ip, v in rows if ip is not None and v is not None}
+    if not any(ip == str(focus) for ip, _ in own):
+        return set()
+    seen = {("ip", str(focus)): 0}
+    front = [("ip", str(focus))]
+    for hop in range(1, depth + 1):
+        found = set()
+        for kind, node in front:
+            if kind == "ip":
+                found |= {("item", v) for ip, v in own if ip == node}
+            elif kind == "item":
+                holders = {ip for ip, v in own if v == node}
+                found |= {("ip", ip) for ip in holders} if len(holders) <= hub else {("group", node)}
+        front = sorted(found - set(seen))[: most - len(seen)]
+        seen |= dict.fromkeys(front, hop)
+    return {(k, n, h) for (k, n), h in seen.items()}
+
+
+@pytest.mark.parametrize(("depth", "hub", "most"), [(1, 3, 400), (2, 3, 400), (3, 3, 400), (3, 100, 400), (3, 3, 12), (4, 5, 30), (2, 0, 400), (3, 3, 1)])
+def test_neighbourhood(spark, depth, hub, most):
+    rng = random.Random(depth * hub + most)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, *"abcdefghijklmnop"])) for _ in range(110)] + [(0, "a"), (0, "zz")]
+    df = spark.createDataFrame(rows + rows[:9], "ip long, value string")
+    for focus in (0, 7, 99):
+        found = L.neighbourhood(df, focus, depth, hub, most)
+        assert found.columns == ["kind", "node", "hops"]
+        got = list(map(tuple, found.collect()))
+        assert len(got) == len(set(got)) and set(got) == brute_walk(rows, focus, depth, hub, most)
+
+
+def test_tuning_is_the_job_at_every_point(spark):
+    rng = random.Random(2)
+    rows = [(ip, f"s{rng.randrange(12) + 6 * (ip % 4)}", rng.randrange(9)) for ip in range(24) for _ in range(9)]
+    own, none = spark.createDataFrame(rows, "ip long, shape string, t long"), spark.createDataFrame([], "ip long, fingerprint string")
+    hard = spark.createDataFrame([(0, 4), (1, 5)], "a long, b long")
+    grid = [(0.6, 0.45), (0.3, 0.2), (0.05, 0.01)]
+    found = {(r["alone"], r["supported"]): (r["groups"], r["members"], r["largest"]) for r in L.campaign_tuning(own, none, hard, grid).collect()}
+    for alone, supported in grid:
+        merged = L.guarded_merge(L.groups_of(hard), L.soft_edges(own, none, alone, supported)).groupBy("grp").count().where("count > 1").collect()
+        sizes = [r["count"] for r in merged]
+        assert found[alone, supported] == (len(sizes), sum(sizes), max(sizes))
+    assert found[0.05, 0.01][1] >= found[0.6, 0.45][1] >= 4

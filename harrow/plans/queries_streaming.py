@@ -252,6 +252,17 @@ def _feeds(spark, sf_dir):
     return readers.read_exit_list(spark, path)
 
 
+@register_raw("read_geo_prefixes", sql="""SELECT DISTINCT concat('00000000000000000000ffff', lpad(lower(to_hex(n)), 8, '0')) AS low, concat('00000000000000000000ffff', lpad(lower(to_hex(n + 255)), 8, '0')) AS high, CASE WHEN n % 3 <> 0 THEN concat('C', chr(CAST(65 + n // 256 % 26 AS INT))) END AS country, CASE WHEN n % 5 <> 0 THEN n // 256 % 1000 END AS asn
+  FROM (SELECT CAST(167772160 + ip % 7 * 65536 + ip % 200 * 256 AS BIGINT) AS n FROM sources)""")
+def _geo_table(spark, sf_dir):
+    n = F.lit(167_772_160) + F.col("ip") % 7 * 65_536 + F.col("ip") % 200 * 256
+    rows = view(spark, sf_dir, "sources").select(n.alias("n"), F.concat(F.lit("10."), F.col("ip") % 7, F.lit("."), F.col("ip") % 200, F.lit(".9/24 ")).alias("network")).distinct()
+    table = rows.select("network", F.when(F.col("n") % 3 != 0, F.concat(F.lit("c"), F.char(65 + F.floor(F.col("n") / 256) % 26))).otherwise("none").alias("country"), F.when(F.col("n") % 5 != 0, F.concat(F.lit("AS"), F.floor(F.col("n") / 256) % 1000)).otherwise("?").alias("asn"))
+    broken = spark.createDataFrame([("10.1.2.3/99", "DE", "1"), ("no address", "DE", "1"), (None, None, None)], "network string, country string, asn string")
+    table.unionByName(broken).write.option("header", True).csv(path := _target(spark, "geo"))
+    return readers.read_geo_prefixes(spark, path)
+
+
 @register_raw("read_asn_list", sql="SELECT DISTINCT asn * 1000 + ip AS asn FROM sources")
 def _asn_list(spark, sf_dir):
     rows = view(spark, sf_dir, "sources").select((F.col("asn") * 1000 + F.col("ip")).alias("n")).select(F.explode(F.array(F.concat(F.lit("AS"), "n", F.lit(" # hosting")), F.col("n").cast("string"), F.lit("# a comment"))).alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.functions.columns import V4, ip_key, net_range
 from harrow.schemas import schema
 
 
@@ -103,6 +104,20 @@ def read_asn_list(spark: SparkSession, path: str, least: int = 300) -> DataFrame
     return load_reference_feed(lines.select(F.col("asn").cast("long")).distinct(), least, "hosting networks")
 
 
+def read_geo_prefixes(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
+    """(low, high, country, asn) of a geo table as CSV with a header: ``network`` (an address with a prefix length) or ``low`` and ``high`` (addresses), ``country``, ``asn``, as ``joins.geo_join`` takes it.
+
+    Rows whose ends are no addresses, or are of two families, are left out; a country is two letters in upper case, else null.
+    """
+    rows = spark.read.option("header", True).csv(path)
+    given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    low, high = net_range(F.trim(given("network")))
+    ends = rows.select(F.coalesce(low, ip_key(F.trim(given("low")))).alias("low"), F.coalesce(high, ip_key(F.trim(given("high")))).alias("high"), F.upper(F.trim(given("country"))).alias("country"), F.regexp_extract(given("asn"), "^(?i:AS)?([0-9]{1,10})$", 1).alias("asn"))
+    family = lambda c: F.startswith(c, F.lit(V4))
+    whole = ends.where((F.col("low") <= F.col("high")) & (family("low") == family("high")))
+    return load_reference_feed(whole.select("low", "high", F.when(F.col("country").rlike("^[A-Z]{2}$"), F.col("country")).alias("country"), F.when(F.col("asn") != "", F.col("asn")).cast("long").alias("asn")), least, "geo table")
+
+
 def read_relays(spark: SparkSession, path: str) -> DataFrame:
     """Relay index JSON to one row per relay address."""
     shape = "relays array<struct<nickname:string,fingerprint:string,or_addresses:array<string>,exit_addresses:array<string>,flags:array<string>,first_seen:string>>"

@@ -142,10 +142,20 @@ def first_contact_followed(requests: DataFrame) -> DataFrame:
     return marked.groupBy("persona", "ip").agg(F.bool_or(within("_low") | within("_high")).alias("followed"))
 
 
-def persona_stats(requests: DataFrame) -> DataFrame:
+def family_mix(requests: DataFrame, keys: list[str], labels: str = "labels") -> DataFrame:
+    """(keys, families): requests by family of their labels, ``family:n`` in the families' order, joined by commas. A request counts once for each of its families."""
+    by = requests.select(*keys, F.explode(label_families(F.col(labels))).alias("family")).groupBy(*keys, "family").agg(count_().alias("n"))
+    place = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family"))
+    ordered = F.array_sort(F.collect_list(F.struct(place.alias("o"), "family", "n")))
+    return by.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["family"], F.lit(":"), x["n"])), ",").alias("families"))
+
+
+def persona_stats(requests: DataFrame, labels: str | None = None) -> DataFrame:
+    """Per persona: requests, sources, first contacts that were followed, and with ``labels`` (an array column) the mix of families."""
     by = requests.groupBy("persona").agg(count_().alias("requests"), F.countDistinct("ip").alias("sources"))
     followed = first_contact_followed(requests).groupBy("persona").agg(F.count_if("followed").alias("followed"))
-    return by.join(followed, "persona")
+    both = by.join(followed, "persona")
+    return both if labels is None else both.join(family_mix(requests, ["persona"], labels), "persona", "left")
 
 
 def agent_share(requests: DataFrame, members: DataFrame, step: int = DAY) -> DataFrame:
@@ -158,11 +168,15 @@ def agent_share(requests: DataFrame, members: DataFrame, step: int = DAY) -> Dat
     )
 
 
-def campaign_tile(members: DataFrame, sources: DataFrame, least: int = 3) -> DataFrame:
-    """Campaigns, members, largest, networks and countries; null where fewer than ``least`` campaigns."""
-    size = members.groupBy("campaign").agg(count_().alias("size")).agg(count_().alias("campaigns"), F.sum("size").alias("members"), F.max("size").alias("largest"))
-    spread = members.join(sources, "ip").agg(F.countDistinct("asn").alias("asns"), F.countDistinct("country").alias("countries"))
+def campaign_tile(members: DataFrame, sources: DataFrame, least: int = 3, requests: DataFrame | None = None, labels: str = "labels") -> DataFrame:
+    """Campaigns, members, largest, networks and countries; with ``requests`` only members among their sources count, and the mix of their families is told; null where fewer than ``least`` campaigns."""
+    active = members if requests is None else members.join(requests.select("ip").distinct(), "ip", "left_semi")
+    size = active.groupBy("campaign").agg(count_().alias("size")).agg(count_().alias("campaigns"), F.sum("size").alias("members"), F.max("size").alias("largest"))
+    spread = active.join(sources, "ip").agg(F.countDistinct("asn").alias("asns"), F.countDistinct("country").alias("countries"))
     both = beside(size, spread)
+    if requests is not None:
+        mix = family_mix(requests.join(members.select("ip").distinct(), "ip", "left_semi").withColumn("_all", F.lit(1)), ["_all"], labels)
+        both = both.withColumn("_all", F.lit(1)).join(F.broadcast(mix), "_all", "left").drop("_all")  # one row
     return both.select(*[F.when(F.col("campaigns") >= least, F.col(c)).alias(c) for c in both.columns])
 
 

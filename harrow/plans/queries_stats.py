@@ -12,6 +12,21 @@ from harrow.plans.standins import DAY, NOW
 R = register
 AGENTS = "('signup', 'purchase')"
 
+#: Event types as labels of several families.
+_LABELS = {"click": "sqli", "error": "path-scanner", "purchase": "webshell", "signup": "login-probe"}
+_LABEL_FAMILIES = {"sqli": "inject", "path-scanner": "recon", "webshell": "postex", "login-probe": "recon", "form-interaction": "interact"}
+
+
+def _labelled(requests):
+    label = F.create_map(*[F.lit(x) for pair in _LABELS.items() for x in pair])
+    return requests.withColumn("labels", F.array_compact(F.array(F.coalesce(F.try_element_at(label, F.col("label")), F.col("label")), F.when(F.col("method") == "POST", "form-interaction"))))
+
+
+_MIX = """fm AS (SELECT ip, persona, CASE label WHEN 'click' THEN 'inject' WHEN 'error' THEN 'recon' WHEN 'purchase' THEN 'postex' WHEN 'signup' THEN 'recon' ELSE 'other' END AS family FROM requests WHERE NOT (method = 'POST' AND label NOT IN ('click', 'purchase', 'signup'))
+  UNION ALL SELECT ip, persona, 'interact' FROM requests WHERE method = 'POST')"""
+_MIXED = "string_agg(family || ':' || n, ',' ORDER BY list_position(['recon', 'exposure', 'inject', 'impact', 'interact', 'postex', 'bot', 'other'], family)) AS families"
+
+
 R("source_rollup", "requests", sql="SELECT ip, count(*) AS requests, max(severity) AS max_severity, min(t) AS first_seen, max(t) AS last_seen FROM requests GROUP BY ip")(S.source_rollup)
 R("label_rollup", "requests", sql="SELECT ip, label, count(*) AS requests FROM (SELECT id, ip, label FROM requests UNION SELECT id, ip, concat('m-', method) FROM requests) GROUP BY ip, label")(
     lambda r: S.label_rollup(r.withColumn("labels", F.array("label", F.concat(F.lit("m-"), "method"), "label")))
@@ -39,10 +54,14 @@ R("job_status", "jobs", sql="SELECT status, count(*) AS jobs FROM jobs GROUP BY
 R("scan_levels", "scans", sql="SELECT level, count(*) AS scans FROM scans GROUP BY level")(S.scan_levels)
 _FIRST = f"SELECT persona, ip, bool_or(t > f AND t <= f + {DAY}) AS followed FROM (SELECT *, min(t) OVER (PARTITION BY persona, ip) AS f FROM requests) GROUP BY persona, ip"
 R("first_contact_followed", "requests", sql=_FIRST)(S.first_contact_followed)
-R("persona_stats", "requests", sql=f"SELECT * FROM (SELECT persona, count(*) AS requests, count(DISTINCT ip) AS sources FROM requests GROUP BY persona) JOIN (SELECT persona, count(*) FILTER (followed) AS followed FROM ({_FIRST}) GROUP BY persona) USING (persona)")(S.persona_stats)
+R("persona_stats", "requests", sql=f"""WITH {_MIX}, x AS (SELECT persona, {_MIXED} FROM (SELECT persona, family, count(*) AS n FROM fm GROUP BY 1, 2) GROUP BY persona)
+  SELECT * FROM (SELECT persona, count(*) AS requests, count(DISTINCT ip) AS sources FROM requests GROUP BY persona) JOIN (SELECT persona, count(*) FILTER (followed) AS followed FROM ({_FIRST}) GROUP BY persona) USING (persona) JOIN x USING (persona)""")(lambda r: S.persona_stats(_labelled(r), "labels"))
 R("agent_share", "requests", "members", sql=f"""SELECT t - t % {DAY} AS bucket, count(DISTINCT ip) AS sources, count(DISTINCT CASE WHEN label IN {AGENTS} THEN ip END) AS agent_sources, count(DISTINCT campaign) AS campaigns,
   count(DISTINCT CASE WHEN label IN {AGENTS} THEN campaign END) AS agent_campaigns FROM requests LEFT JOIN members USING (ip) GROUP BY ROLLUP (1)""".replace("ROLLUP (1)", f"ROLLUP (t - t % {DAY})"))(S.agent_share)
-R("campaign_tile", "members", "sources", sql="SELECT * FROM (SELECT count(*) AS campaigns, CAST(sum(n) AS BIGINT) AS members, max(n) AS largest FROM (SELECT campaign, count(*) AS n FROM members GROUP BY campaign)), (SELECT count(DISTINCT asn) AS asns, count(DISTINCT country) AS countries FROM members JOIN sources USING (ip))")(S.campaign_tile)
+R("campaign_tile", "members", "sources", "requests", sql=f"""WITH {_MIX}, m AS (SELECT * FROM members WHERE ip IN (SELECT ip FROM requests)), x AS (SELECT {_MIXED} FROM (SELECT family, count(*) AS n FROM fm WHERE ip IN (SELECT ip FROM members) GROUP BY 1))
+  SELECT * FROM (SELECT count(*) AS campaigns, CAST(sum(n) AS BIGINT) AS members, max(n) AS largest FROM (SELECT campaign, count(*) AS n FROM m GROUP BY campaign)), (SELECT count(DISTINCT asn) AS asns, count(DISTINCT country) AS countries FROM m JOIN sources USING (ip)), x""")(
+    lambda m, s, r: S.campaign_tile(m, s, requests=_labelled(r))
+)
 R("agent_sources", "requests", sql=f"SELECT count(DISTINCT ip) AS sources FROM requests WHERE label IN {AGENTS}")(S.agent_sources)
 #: Values that failed requests are served too, so that a session's value leads on to others.
 _SERVED = "sv AS (SELECT request_id, value_hash, kind FROM canaries UNION ALL SELECT id, (k * 7 + 1) % 100, 'c1' FROM requests WHERE label = 'error' AND id % 5 = 0)"
@@ -107,16 +126,6 @@ R("campaign_commands", "members", "requests", sql=f"SELECT campaign, cmd, count(
 )
 R("campaign_uploads", "members", "uploads", sql="SELECT campaign, uid, ip, t, filename, size FROM uploads JOIN members USING (ip) QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY t DESC, uid DESC) <= 20")(S.campaign_uploads)
 R("agent_campaigns", "members", "requests", sql=f"SELECT DISTINCT campaign FROM members JOIN requests USING (ip) WHERE label IN {AGENTS}")(S.agent_campaigns)
-#: Event types as labels of several families.
-_LABELS = {"click": "sqli", "error": "path-scanner", "purchase": "webshell", "signup": "login-probe"}
-_LABEL_FAMILIES = {"sqli": "inject", "path-scanner": "recon", "webshell": "postex", "login-probe": "recon", "form-interaction": "interact"}
-
-
-def _labelled(requests):
-    label = F.create_map(*[F.lit(x) for pair in _LABELS.items() for x in pair])
-    return requests.withColumn("labels", F.array_compact(F.array(F.coalesce(F.try_element_at(label, F.col("label")), F.col("label")), F.when(F.col("method") == "POST", "form-interaction"))))
-
-
 def _overview(requests):
     rows = S.source_overview(_labelled(requests), NOW, k=3)
     joined = lambda c: F.array_join(c, ",").alias(c)

@@ -52,6 +52,12 @@ def _rollups(spark, sf_dir):
     return run_stream(spark, sf_dir, T.stream_rollups, "update", ["ip"])
 
 
+@register_raw("stream_label_rollups", sql="SELECT ip, label, count(*) AS requests FROM (SELECT id, ip, label FROM requests UNION SELECT id, ip, concat('m-', method) FROM requests) GROUP BY ip, label")
+def _label_rollups(spark, sf_dir):
+    labelled = lambda r: r.withColumn("labels", F.array("label", F.concat(F.lit("m-"), "method"), "label"))
+    return run_stream(spark, sf_dir, lambda s: T.stream_label_rollups(labelled(s)), "update", ["ip", "label"])
+
+
 @register_raw("stream_timeline", sql="SELECT t - t % 3600 AS bucket, count(*) AS requests FROM requests GROUP BY 1")
 def _timeline(spark, sf_dir):
     return run_stream(spark, sf_dir, T.stream_timeline, "update", ["bucket"])

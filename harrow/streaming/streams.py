@@ -33,6 +33,12 @@ def stream_rollups(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return once(requests, ["id"], lateness).groupBy("ip").agg(F.count(F.lit(1)).alias("requests"), F.max("severity").alias("max_severity"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"))
 
 
+def stream_label_rollups(requests: DataFrame, labels: str = "labels", lateness: str = LATENESS) -> DataFrame:
+    """Per source and label: requests that carry it, each once (update mode; read it with ``newest``). Totals are kept for ever."""
+    each = once(requests, ["id"], lateness).select("ip", F.explode(F.array_distinct(labels)).alias("label"))
+    return each.groupBy("ip", "label").agg(F.count(F.lit(1)).alias("requests"))
+
+
 def stream_timeline(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Hourly counts (update mode): rows count in their own hour whenever they come within the watermark; older hours' state is dropped."""
     hours = once(requests, ["id"], lateness).groupBy(F.window("ts", "1 hour"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.columns import AGENT_LABELS, WEAK_LABELS, normalize_text, path_shape
+from harrow.operators.joins import geo_join
 from harrow.operators.stats import DAY, keep_top
 
 #: Verdicts, first match wins: name, whether an exit is enough, and alternatives of (kinds that are there, kinds that are not) (fixed values).
@@ -225,11 +226,18 @@ def evidence_report(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("ip").alias("sources"))
 
 
-def blocklist(requests: DataFrame, exits: DataFrame, crawlers: DataFrame, now: int, days: int, severity: int, delay: int) -> DataFrame:
-    """Sources with a released request of the severity in the window, less exits and verified crawlers."""
+def blocklist(
+    requests: DataFrame, exits: DataFrame, crawlers: DataFrame, now: int, days: int, severity: int, delay: int, unseen: DataFrame | None = None, keys: DataFrame | None = None, never: DataFrame | None = None
+) -> DataFrame:
+    """Sources with a released request of the severity in the window, less exits, verified crawlers and ``unseen`` ones, and less those whose key (``keys``: ip, ip_key) lies in a network of one's own or one that is never listed (``never``: low, high)."""
     hit = requests.where((F.col("severity") >= severity) & (F.col("t") >= now - days * DAY - delay) & (F.col("t") + delay <= now))
     found = hit.groupBy("ip").agg(F.max("severity").alias("max_severity"), F.max("t").alias("last_seen"))
-    return found.join(exits.select("ip"), "ip", "left_anti").join(crawlers.select("ip"), "ip", "left_anti")
+    for out in (exits, crawlers, unseen):
+        found = found if out is None else found.join(out.select("ip"), "ip", "left_anti")
+    if never is None:
+        return found
+    spared = geo_join(keys.select("ip", "ip_key"), never.select("low", "high", F.lit(True).alias("spared"))).where("spared")
+    return found.join(spared.select("ip"), "ip", "left_anti")
 
 
 def collapse_networks(listed: DataFrame, spared: DataFrame, prefix: str, least: int = 3) -> DataFrame:
@@ -408,11 +416,11 @@ def registry_pick(intel: DataFrame, own: str) -> DataFrame:
     return rows.select("ip", how.alias("how"), F.when(how == "agreed", F.col("winner")).when(how == "own", F.col("own")).when(how == "plurality", F.col("winner")).alias("data"))
 
 
-def source_props(sources: DataFrame, evidence: DataFrame, readings: DataFrame, scans: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per source: reading, exit, net type, and whether a device answered on it, it is in a fleet, scanned or waiting."""
-    flags = evidence.groupBy("ip").agg(F.max_by(F.when(F.startswith("kind", F.lit("net.")), F.substring("kind", 5, 20)), F.when(F.startswith("kind", F.lit("net.")), F.col("ref"))).alias("net_type"), F.bool_or(F.col("kind").startswith("device.")).alias("device"), F.bool_or(F.col("kind").startswith("fleet.")).alias("fleet"))
-    scanned = scans.select("ip").distinct().withColumn("scanned", F.lit(True))
-    waiting = jobs.where("status IN ('queued', 'running')").select("ip").distinct().withColumn("waiting", F.lit(True))
-    rows = sources.select("ip", "is_exit").join(readings, "ip", "left").join(flags, "ip", "left").join(scanned, "ip", "left").join(waiting, "ip", "left")
-    return rows.na.fill(False, ["device", "fleet", "scanned", "waiting"])
-
+def source_props(sources: DataFrame, evidence: DataFrame, readings: DataFrame, scans: DataFrame, jobs: DataFrame, agents: DataFrame) -> DataFrame:
+    """Per source: reading, exit, net type, and whether a device answered on it, it is in a fleet, an agent (``agents``: ip), scanned or waiting."""
+    net = F.startswith("kind", F.lit("net."))
+    flags = evidence.groupBy("ip").agg(F.max_by(F.when(net, F.substring("kind", 5, 20)), F.when(net, F.col("ref"))).alias("net_type"), F.bool_or(F.col("kind").startswith("device.")).alias("device"), F.bool_or(F.col("kind").startswith("fleet.")).alias("fleet"))
+    rows = sources.select("ip", "is_exit").join(readings, "ip", "left").join(flags, "ip", "left")
+    for name, of in (("agent", agents), ("scanned", scans), ("waiting", jobs.where("status IN ('queued', 'running')"))):
+        rows = rows.join(of.select("ip").distinct().withColumn(name, F.lit(True)), "ip", "left")
+    return rows.na.fill(False, ["device", "fleet", "agent", "scanned", "waiting"])

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from harrow.functions import columns as C
 from harrow.operators import evidence as E
 from harrow.operators import joins as J
 from harrow.operators import linking as L
@@ -189,15 +190,18 @@ R("reading_rows", *_ROLES, sql="WITH" + _EV + _FLAGS + f", rd AS (SELECT ip, {_R
     lambda *t: (lambda ev: E.reading_rows(ev, E.sharing_reading(ev, t[4].where("is_exit"))))(written_evidence(*t))
 )
 R("evidence_report", *_ROLES, sql="WITH" + _EV + " SELECT kind, count(*) AS rows, count(DISTINCT ip) AS sources FROM ev GROUP BY kind")(lambda *t: E.evidence_report(all_evidence(*t)))
-R("source_props", *_ROLES, "jobs", sql="WITH" + _EV + _FLAGS + f""", n AS (SELECT ip, arg_max(substr(kind, 5), ref) AS net FROM ev WHERE starts_with(kind, 'net.') GROUP BY ip)
-  SELECT ip, is_exit, {_READING} AS reading, net AS net_type, coalesce(device_cpe OR device_proxy, false) AS device, coalesce(fleet_key OR fleet_dense, false) AS fleet, ip IN (SELECT ip FROM scans) AS scanned, ip IN (SELECT ip FROM jobs WHERE status IN ('queued', 'running')) AS waiting FROM sources LEFT JOIN k USING (ip) LEFT JOIN n USING (ip)""".replace(f"{_READING} AS reading", f"CASE WHEN k.ip IS NOT NULL THEN {_READING} END AS reading"))(
-    lambda s, p, n, h, o, j: (lambda ev: E.source_props(o, ev, E.sharing_reading(ev, o.where("is_exit")), s, j))(written_evidence(s, p, n, h, o))
+R("source_props", *_ROLES, "jobs", "requests", sql="WITH" + _EV + _FLAGS + f""", n AS (SELECT ip, arg_max(substr(kind, 5), ref) AS net FROM ev WHERE starts_with(kind, 'net.') GROUP BY ip)
+  SELECT ip, is_exit, {_READING} AS reading, net AS net_type, coalesce(device_cpe OR device_proxy, false) AS device, coalesce(fleet_key OR fleet_dense, false) AS fleet, ip IN (SELECT ip FROM requests WHERE label IN ('signup', 'purchase')) AS agent, ip IN (SELECT ip FROM scans) AS scanned, ip IN (SELECT ip FROM jobs WHERE status IN ('queued', 'running')) AS waiting FROM sources LEFT JOIN k USING (ip) LEFT JOIN n USING (ip)""".replace(f"{_READING} AS reading", f"CASE WHEN k.ip IS NOT NULL THEN {_READING} END AS reading"))(
+    lambda s, p, n, h, o, j, r: (lambda ev: E.source_props(o, ev, E.sharing_reading(ev, o.where("is_exit")), s, j, r.where("label IN ('signup', 'purchase')")))(written_evidence(s, p, n, h, o))
 )
-_BLOCK = f"SELECT ip, max(severity) AS max_severity, max(t) AS last_seen FROM requests WHERE severity >= 1 AND t >= {NOW - 20 * DAY - 3600} AND t + 3600 <= {NOW} AND ip NOT IN (SELECT ip FROM sources WHERE is_exit) AND ip % 13 <> 0 GROUP BY ip"
+_BLOCK = f"SELECT ip, max(severity) AS max_severity, max(t) AS last_seen FROM requests WHERE severity >= 1 AND t >= {NOW - 20 * DAY - 3600} AND t + 3600 <= {NOW} AND ip NOT IN (SELECT ip FROM sources WHERE is_exit OR ip % 17 = 0 OR ip % 7 * 65536 + ip % 200 * 256 + ip % 250 BETWEEN 66000 AND 70000 OR ip % 7 = 4 AND ip % 200 >= 128) AND ip % 13 <> 0 GROUP BY ip"
 
 
 def blocked(r, s):
-    return E.blocklist(r, s.where("is_exit"), s.where("ip % 13 = 0"), NOW, 20, 1, 3600)
+    key = lambda n: f"{C.V4}{167_772_160 + n:08x}"
+    never = r.sparkSession.createDataFrame([(key(66_000), key(70_000)), (key(4 * 65_536 + 128 * 256), key(5 * 65_536 - 1))], "low string, high string")
+    keys = s.select("ip", C.ip_key(F.concat(F.lit("10."), F.col("ip") % 7, F.lit("."), F.col("ip") % 200, F.lit("."), F.col("ip") % 250)).alias("ip_key"))
+    return E.blocklist(r, s.where("is_exit"), s.where("ip % 13 = 0"), NOW, 20, 1, 3600, s.where("ip % 17 = 0"), keys, never)
 
 
 R("blocklist", "requests", "sources", sql=_BLOCK)(blocked)

@@ -11,8 +11,8 @@ bytes the same way.
 Defined results: a null or empty text has no ids; ids that the vocabulary lacks
 stand for nothing; bytes that are no UTF-8 decode to U+FFFD; whole texts of any
 length are encoded in linear time, with or without forced cuts; rows are
-independent, so repeated rows repeat their result and all other columns pass
-through.
+independent, so repeated rows repeat their result. Other columns pass through, but
+one with the name of an output is replaced.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ items without a word, and those of under ``least`` words if it is given, match
 nothing; of equally good alignments with an item the first counts; items without an id or with
 equal ids are items of their own; whole texts are searched; rows are
 independent, so repeated rows repeat their result; an empty table on either side
-gives no leaks.
+gives no leaks. Other columns pass through, but one with the name of the output,
+which is a parameter, is replaced.
 """
 
 from __future__ import annotations

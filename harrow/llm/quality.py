@@ -11,8 +11,8 @@ is multiplied by it once: what is broadcast is one number per bucket.
 
 Defined results: null and empty texts have the score that the bias gives; without
 labelled rows of both classes every score is the share of label 1 (0.5 without
-labels); whole texts are scored; rows are independent, other columns pass
-through.
+labels); whole texts are scored; rows are independent. Other columns pass
+through, but one with the name of the output, which is a parameter, is replaced.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ map, whose size is the fixed number of slots.
 Defined results: a null text has no bytes; a null key is replaced by the text's
 hash; repeated rows are rows of their own, with different positions; an empty
 table gives no rows; columns of the input that the results need not are left out.
+Equal texts under different keys may lie in different shards: the law that holds is
+that of sizes, and a group of copies may be larger than a shard.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ models have a slight ridge penalty.
 
 Defined results: null and empty texts hold no mark; a category without both
 classes in the sample has its share as probability everywhere; whole texts are
-scored; rows are independent, other columns pass through.
+scored; rows are independent. Other columns pass through, but one with the name of
+the output, which is a parameter, is replaced.
 """
 
 from __future__ import annotations

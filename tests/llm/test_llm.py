@@ -423,7 +423,7 @@ def test_sharding(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_duckdb(name, spark, sf):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'" if not __import__("os").path.isdir(f"{sf}/{t}.parquet") else f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
     found = registry.queries()[name](spark, sf).toPandas()
     want = c.execute(registry.oracle_sql()[name]).df()[list(found.columns)]

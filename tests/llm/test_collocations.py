@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from harrow.llm import collocations as C
@@ -62,6 +63,23 @@ def test_any_sample_gives_the_same(spark, sample_rows):
     assert {r[0] for r in got} >= {"en", "fr", "und", ""}
 
 
+def test_a_false_hit_of_an_earlier_map_does_not_count():
+    words = C.Words([b"x y z"], ["en"])
+    x, y, z = words.hashes()
+    pairs = np.array([C.turned(x) ^ y, C.turned(y) ^ z])
+
+    def bits(*hashes):
+        out = np.zeros(4096, np.uint8)
+        for h in hashes:
+            at = int(h) % 32768
+            out[at >> 3] |= 1 << (at & 7)
+        return out
+
+    first, second = [bits(y, z), bits(*pairs)], [bits(x, y, z), bits(*pairs)]  # the first map has x y without x
+    passes = [{size: len(h) for size, h in C.admitted_hashes(words, maps, 3)} for maps in ([first], [first, second])]
+    assert passes == [{1: 3, 2: 1, 3: 0}, {1: 0, 2: 1, 3: 1}]
+
+
 def test_longer_phrases_a_small_top_and_short_chunks(spark, monkeypatch):
     monkeypatch.setattr(C, "CHUNK", 200)
     monkeypatch.setattr(C, "MOST_BITS", 1 << 15)

@@ -170,3 +170,34 @@ def test_prune_partitions(spark, tmp_path):
     after = {str(p) for p in (tmp_path / "requests").rglob("*.parquet")}
     assert len(after - before) <= 4 and len(after & before) >= 10
     assert M.prune_partitions(spark, path, now, 10) == 0
+
+
+@pytest.mark.parametrize("cap", [1, 3])
+def test_upload_timeline(spark, cap):
+    rng = random.Random(cap)
+    paths = ["/a", "/a/", "/a/b", "/a/b/c", "/a//b", "/ab", "x/y", None]
+    asked = [(i, rng.choice(["n", "m", None]), rng.choice([None, *range(0, 300_000, 20_000)]), rng.choice(paths)) for i in range(400)]
+    sent = [(1000 + i, rng.choice([None, *range(400)]), rng.choice(["n", "m", None]), rng.choice([None, *range(0, 300_000, 20_000)]), rng.choice([*paths, "/"]), rng.choice([True, False, None])) for i in range(80)]
+    plain = []
+    for uid, request, origin, t, at, under in sent:
+        hits = []
+        for i, o, rt, path in asked:
+            later = None not in (t, rt) and (rt > t or (rt == t and request is not None and i > request))
+            places = path is not None and at is not None and (path == at or (under and (path.startswith(at + "/") or (at.endswith("/") and path.startswith(at)))))
+            if later and places and o == origin and o is not None:
+                hits.append((rt, i, path))
+        plain += [(uid, t, i, rt, path) for rt, i, path in sorted(hits)[:cap]]
+    u = spark.createDataFrame(sent, "uid long, request_id long, origin string, t long, answered_path string, path_is_prefix boolean")
+    r = spark.createDataFrame(asked, "id long, origin string, t long, path string")
+    assert sorted(map(tuple, J.upload_timeline(u, r, cap).collect())) == sorted(plain)
+
+
+def test_upload_timeline_grows_with_the_input(spark):
+    """Every upload is before every request of its place: what meets is a block of ``cap`` numbers or two, not all."""
+    n = 2000
+    u = spark.range(n).selectExpr("id AS uid", "id AS request_id", "'n' AS origin", "0L AS t", "'/a' AS answered_path", "false AS path_is_prefix")
+    r = spark.range(n).selectExpr("id", "'n' AS origin", "id + 1 AS t", "'/a' AS path")
+    found = J.upload_timeline(u, r, 2)
+    rows = found.count()
+    metrics = found._jdf.queryExecution().executedPlan().toString()
+    assert rows == 2 * n and "_block" in metrics

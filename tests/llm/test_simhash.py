@@ -55,6 +55,32 @@ def brute_groups(rows, similarity=0.8):
     return {i: find(i) for i in root}, pairs
 
 
+@pytest.mark.parametrize("block", [simhash.SETS, 7])
+@pytest.mark.parametrize("bits", [simhash.DISTANCE, 0])
+def test_similar_groups_lose_no_link(spark, monkeypatch, block, bits):
+    """Pairs at the threshold itself, chains of them, and a group of copies that are mostly not alike; whatever fingerprints propose."""
+    monkeypatch.setattr(simhash, "SETS", block)
+    monkeypatch.setattr(simhash.links, "__defaults__", (bits,))
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(10**9)}"
+    rows = [(k, t) for k, t in enumerate((None, "", "a b", "A b", "a b c d e f"))]
+    for _ in range(60):  # n shingles, of which changed ones at the end only: on both sides of 0.8
+        n = int(rng.integers(5, 60))
+        base = [word() for _ in range(n + 4)]
+        for _ in range(3):
+            cut = int(rng.integers(0, n // 6 + 2))
+            rows.append((len(rows), " ".join(base[: len(base) - cut] + [word() for _ in range(cut)])))
+    base = [word() for _ in range(120)]
+    for _ in range(80):
+        own = list(base)
+        for at in rng.integers(0, 120, rng.integers(1, 5)):
+            own[at] = word()
+        rows.append((len(rows), " ".join(own)))
+    want, pairs = brute_groups(rows)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert found == want and len(pairs) > 100
+
+
 def test_similar_groups(spark):
     rows = corpus(3)
     want, pairs = brute_groups(rows)

@@ -109,6 +109,20 @@ def test_canary_links(spark, most):
     assert found == {ip: (by[ip], of[ip]) for ip in {*by, *of}}
 
 
+def test_canary_links_bytes(spark, monkeypatch):
+    """Sources with sets of their own: no map is moved or written for each set, and the counts are those of all pairs."""
+    rng, written, write = random.Random(5), [], J.materialize
+    keep = lambda df, name: written.append(write(df, name)) or written[-1]
+    monkeypatch.setattr(J, "materialize", keep)
+    sides = [sorted({(v, ip) for ip in range(400) for v in rng.sample(range(30), rng.randrange(1, 7))} | {(100 + ip % 190, ip) for ip in range(400)}) for _ in range(2)]
+    pairs = {(o, u) for v, o in sides[0] for w, u in sides[1] if v == w and o != u}
+    df = lambda rows: spark.createDataFrame(rows, "value_hash long, ip long")
+    found = {r["ip"]: r["n"] for r in J.distinct_partners(df(sides[0]), df(sides[1]), 100).collect()}
+    assert found == {ip: sum(o == ip for o, _ in pairs) for ip in {o for o, _ in pairs}}
+    maps = [df for df in written if "binary" in dict(df.dtypes).values()]
+    assert sum(df.count() for df in maps) <= 30
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_waves(spark, seed):
     rng = random.Random(seed)

@@ -123,6 +123,16 @@ def test_canary_links_bytes(spark, monkeypatch):
     assert sum(df.count() for df in maps) <= 30
 
 
+def test_first_reuse(spark):
+    """Uses in the serving's own second and before it do not count; days lie between some."""
+    rng = random.Random(8)
+    served = [(k, rng.choice([None, *range(6)]), rng.choice("ab"), rng.randrange(0, 400_000, 5_000)) for k in range(300)]
+    used = [(rng.choice([None, *range(8)]), rng.randrange(0, 300_000, 5_000)) for _ in range(60)]
+    want = {(k, kind, min(u - t for w, u in used if w == v and u > t)) for k, v, kind, t in served if any(w == v and u > t for w, u in used if w is not None)}
+    found = J.first_reuse(spark.createDataFrame(served, "request_id long, value_hash long, kind string, t long"), spark.createDataFrame(used, "value_hash long, t long"))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 50
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_waves(spark, seed):
     rng = random.Random(seed)

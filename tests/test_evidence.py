@@ -260,6 +260,19 @@ def test_indicators_of_payloads_alone(spark):
     assert {(3, "host", "deep.test"), (1, "url", "http://two.test/y"), (6, "host", "six.test"), (11, "host", "long.test")} <= {(i, k, v) for i, k, _, v, *_ in got}
 
 
+def test_indicators_open_layers_once(spark):
+    df = spark.range(4).withColumn("text", F.lit("wget http://a.test/x http://a.test/y"))
+    assert E.extract_indicators(df, "text", ["id"], ())._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_scan_reports_are_parsed_once(spark, tmp_path):
+    from harrow.sources import readers
+
+    (tmp_path / "r.xml").write_text('<nmaprun><host starttime="5"><address addr="10.0.0.1" addrtype="ipv4"/><ports><port protocol="tcp" portid="22"><state state="open"/></port></ports></host></nmaprun>')
+    for table in readers.ingest_scan_reports(spark, str(tmp_path)).values():
+        assert all(f.endswith(".parquet") for f in table.inputFiles())
+
+
 def test_sampling():
     assert sampled([0, 0, 0, 0, 0, 0, 10, 1000], 0.1, 2.0, 2, (2.0, 0.0, 0))[0] == ["record", "record", "sample", "count", "sample", "count", "record", "record"]
     decisions, state = sampled([0, 0, 0], 0.1, 2.0, 2, (2.0, 0.0, 0))

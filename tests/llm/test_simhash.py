@@ -159,3 +159,24 @@ def test_shingles_of_hard_texts():
     sets = [set(h.tolist()) for _, hashes, count in simhash.shingle_hashes(texts, 5) for h in np.split(hashes, np.cumsum(count)[:-1])]
     assert [len(s) for s in sets] == [0, 0, 0, 1, 1, 2, 2, 1, 1]
     assert sets[3] == sets[4] and len(set().union(*sets)) == 7
+
+
+@pytest.mark.parametrize("few", [simhash.FEW, 1, 10**9])
+def test_shared_shingles_count_pair_by_pair_or_by_products(monkeypatch, few):
+    """One block against itself must not make a column for each shingle that a single set has: 400 sets of 500 own ones were 200,000 columns."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = np.random.default_rng(8)
+    sets = lambda n: [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.int32)) for _ in range(n)]
+    x, y = sets(30), sets(20)
+    want = lambda a, b: np.array([[len(np.intersect1d(s, t)) for t in b] for s in a])
+    assert (simhash.shared_shingles(x, y) == want(x, y)).all()
+    apart = ~np.eye(len(x), dtype=bool)
+    assert (simhash.shared_shingles(x, x) == want(x, x))[apart].all()
+    made = []
+    zeros = np.zeros
+    monkeypatch.setattr(simhash, "FEW", 256)
+    monkeypatch.setattr(simhash.np, "zeros", lambda shape, *a: made.append(int(np.prod(shape))) or zeros(shape, *a))
+    own = [np.arange(k * 500, k * 500 + 501, dtype=np.int32) for k in range(400)]  # each shares one with the next
+    shared = simhash.shared_shingles(own, own)
+    monkeypatch.undo()
+    assert all(shared[k, k + 1] == 1 for k in range(399)) and max(made) <= 400 * 400

@@ -187,3 +187,41 @@ def test_routable(spark):
 def test_numbered(spark):
     df = spark.range(100).select((F.col("id") * 7 % 100).alias("x"))
     assert sorted((r["x"], r["n"]) for r in L.numbered(df, ["x"], "n").collect()) == [(i, i + 1) for i in range(100)]
+
+
+def test_audits_and_products_hold_no_more_in_a_task_as_tables_grow(spark, monkeypatch):
+    """Tables of scans are not sorted for the audits; tasks that count products grow in number with the rows, and a row is not doubled."""
+    monkeypatch.setattr(S, "TASK_ROWS", 50)
+    scans = spark.createDataFrame([(i, i % 7 if i % 11 else None, f"n{i % 3}") for i in range(60)], "uid long, ip long, origin string")
+    ports = [(i, (i * k) % 5 if k else None, "tcp", "closed" if i % 6 == 0 else "open", f"p{k % 3}", "v") for i in range(60) for k in range(4)] * 2
+    keys = [(i, (i * k) % 5, "ssh", f"f{k}" if k else None) for i in range(60) for k in range(3)]
+    pairs = [(1, 2), (1, 2), (2, 1), (6, 3), (5, 10), (7, 7), (9, None), (None, 4), (8, 48), (11, 21), (99, 3), (13, 23)]
+    audits = spark.createDataFrame(pairs, "audit long, original long")
+    p, k = spark.createDataFrame(ports, "scan_uid long, port int, proto string, state string, product string, version string"), spark.createDataFrame(keys, "scan_uid long, port int, kind string, fingerprint string")
+    open_, ids = {}, {}
+    for uid, port, _, state, *_ in ports:
+        if state == "open":
+            open_.setdefault(uid, set()).add(port)
+    for uid, port, kind, print_ in keys:
+        if print_ and port in open_.get(uid, ()):
+            ids.setdefault(uid, set()).add((port, kind, print_))
+
+    def verdict(x, y):
+        a, o, both = len(open_.get(x, ())), len(open_.get(y, ())), len((open_.get(x, set()) & open_.get(y, set())) - {None})
+        agrees = ids.get(x, set()) & ids.get(y, set()) and o <= 2 * a or 2 * both >= a and 2 * both >= o
+        return "inconclusive" if a == 0 else "agrees" if agrees else "differs"
+
+    compared = S.audit_compare(audits, p, k)
+    rows = [tuple(r) for r in compared.collect()]
+    assert sorted(rows, key=str) == sorted(((x, y, verdict(x, y)) for x, y in pairs), key=str) and len({r[2] for r in rows}) == 3
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(S.audit_compare(audits, p, k)).count("SortMergeJoin") <= 1 and plan(S.audit_counts(audits.selectExpr("*", "'differs' AS verdict"), scans)).count("SortMergeJoin") == 0
+        found = S.products(scans, p)
+        assert "Expand" not in plan(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {f"p{k} v": (60, len({i % 7 for i in range(60) if i % 11})) for k in range(3)}
+    assert {r["product"]: (r["scans"], r["sources"]) for r in found.collect()} == want
+    assert S.parts_for(p) == 10

@@ -185,3 +185,15 @@ def test_tuning_is_the_job_at_every_point(spark):
         sizes = [r["count"] for r in merged]
         assert found[alone, supported] == (len(sizes), sum(sizes), max(sizes))
     assert found[0.05, 0.01][1] >= found[0.6, 0.45][1] >= 4
+
+
+def test_campaign_report_finds_hard_edges_once(spark, monkeypatch):
+    from harrow.plans import queries_linking
+
+    calls = []
+    edges = queries_linking.J.hard_edges
+    monkeypatch.setattr(queries_linking.J, "hard_edges", lambda s: calls.append(1) or edges(s))
+    seen = spark.createDataFrame([("key", "v", 1), ("key", "v", 2), ("tag", "w", 3)], "kind string, value string, ip long")
+    asked = spark.createDataFrame([(1, 5, "/p", "a", "b")], "ip long, t long, path string, ja4 string, ja4h string")
+    rows = queries_linking.report_of(seen, asked).collect()
+    assert len(calls) == 1 and [tuple(r) for r in rows] == [("hard", 1, 0)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,40 @@ def test_shared_shingles_count_pair_by_pair_or_by_products(monkeypatch, few):
     shared = simhash.shared_shingles(own, own)
     monkeypatch.undo()
     assert all(shared[k, k + 1] == 1 for k in range(399)) and max(made) <= 400 * 400
+
+
+def test_finer_counts_part_large_sets_and_keep_what_is_alike(monkeypatch):
+    """64 bins never parted sets of some thousand shingles: all that share one rare shingle were compared whole, by blocks of each other."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(-(1 << 31), 1 << 31, n).astype(np.int32))
+    sets = [draw(n) for n in (4000, 4100, 4200, 9000, 700, 60, 5, 0, 40_000)]
+    for s in list(sets):  # of 0.8 and more, and of just under, by leaving out and by putting in
+        sets += [s[rng.permutation(len(s))[: int(np.ceil(len(s) * share))]] for share in (0.8, 0.79)]
+        sets.append(np.union1d(s, draw(len(s) // 5)))
+    sets = [np.sort(s) for s in sets]
+    n = np.array([len(s) for s in sets], np.int64)
+    part = pd.DataFrame({"cell": 1, "i": 0, "j": 1, "own": np.arange(len(sets)) % 2, "comp": np.arange(len(sets)), "node": np.arange(len(sets)), "n": n})
+    part["bins"] = [simhash.finer(s).tobytes() for s in sets]
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    want = [(a, b) for a in range(0, len(sets), 2) for b in range(1, len(sets), 2) if alike(a, b)]
+    for pairs in (simhash.PAIRS, 1):
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        found = pd.concat(simhash.closer(0.8)(iter([part.iloc[:9], part.iloc[9:]])))
+        root = list(range(len(sets)))
+        for a, b in found.itertuples(index=False):
+            root = [root[a] if r == root[b] else r for r in root]
+        assert len(want) > 8 and all(root[a] == root[b] for a, b in want)
+        assert len({root[k] for k in (0, 1, 2, 3, 4)}) == 5  # sets of their own, however large
+
+
+def test_shared_shingles_hold_a_range_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(-(1 << 31), 1 << 31, 300).astype(np.int32)) for _ in range(12)]
+    sets = [np.union1d(s, sets[(k + 1) % 12][:100]) for k, s in enumerate(sets)]
+    want = simhash.shared_shingles(sets[:5], sets[5:])
+    seen = []
+    whole = simhash.shared_in_range
+    monkeypatch.setattr(simhash, "shared_in_range", lambda x, y: seen.append(sum(map(len, x))) or whole(x, y))
+    monkeypatch.setattr(simhash, "HELD", 500)
+    assert (simhash.shared_shingles(sets[:5], sets[5:]) == want).all() and want.max() >= 100
+    assert len(seen) > 5 and max(seen) < 1000

@@ -197,3 +197,17 @@ def test_campaign_report_finds_hard_edges_once(spark, monkeypatch):
     asked = spark.createDataFrame([(1, 5, "/p", "a", "b")], "ip long, t long, path string, ja4 string, ja4h string")
     rows = queries_linking.report_of(seen, asked).collect()
     assert len(calls) == 1 and [tuple(r) for r in rows] == [("hard", 1, 0)]
+
+
+def test_campaign_report_counts_the_whole_pass(spark):
+    """Groups are merged before soft edges are withheld; candidates, orders and excluded values are counted."""
+    from harrow.plans import queries_linking
+
+    seen = [("key", "v", 1), ("key", "v", 2), ("tag", "w", 5), ("tag", "w", 6)] + [("tag", "wide", ip) for ip in range(100, 151)]
+    both = lambda a, b, n, step: [(ip, 5 + (i if ip == a else step * i), f"/{a}-{b}-{i}", f"j{ip}", "h") for i in range(n) for ip in (a, b)]
+    asked = both(2, 3, 4, 1) + both(2, 5, 4, 1) + both(8, 9, 9, -1)
+    asked = [(ip, t + 100, path, ja4, ja4h) for ip, t, path, ja4, ja4h in asked]
+    found = queries_linking.report_of(spark.createDataFrame(seen, "kind string, value string, ip long"), spark.createDataFrame(asked, "ip long, t long, path string, ja4 string, ja4h string"))
+    assert found.columns == ["class", "edges", "withheld"]
+    # 3 joins 1 and 2 over one link, as it is alone; 5 and 6 do not; 8 and 9 asked in turned order
+    assert {tuple(r) for r in found.collect()} == {("hard", 2, 0), ("soft", 2, 1), ("candidate", 3, 1), ("ordered", 1, 1), ("excluded", 1, 1)}

@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,36 @@ def test_search_prunes_and_empty(spark):
     assert search.top_similar(empty(spark), empty(spark)).count() == 0
 
 
+def test_search_of_languages_that_share_few_words(monkeypatch):
+    """Like documents stand together, whatever their ids, so that most ranges hold one language; hits and ties are those of brute force."""
+    for name, value in (("RANGE", 16), ("HOT", 3), ("SHARD_DOCS", 600), ("QUERY_CHUNK", 8), ("POSTINGS", 64), ("LIKE_LEAST", 16)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(3)
+    docs = [(int(i) * 3, " ".join([*(f"l{n % 4}w{w}" for w in rng.zipf(1.4, rng.integers(4, 40)) % 90), f"x{n % 50}"])) for n, i in enumerate(rng.permutation(1300))]
+    docs = [(i, docs[0][1]) if n % 40 == 0 else (i, t) for n, (i, t) in enumerate(docs)] + [(5000, ""), (5001, None)]
+    shards = [r for b in search.index_shards(iter([pd.DataFrame(docs, columns=["doc_id", "text"])])) for r in b.itertuples()]
+    assert len(shards) == 3 and sum(s.n_docs for s in shards) == len(docs)
+    language = {i: (t or "")[:2] for i, t in docs}
+    pure = [len({language[i] for i in np.frombuffer(s.ids, np.int64)[r : r + 16].tolist()}) == 1 for s in shards for r in range(0, s.n_docs, 16)]
+    assert np.mean(pure) > 0.6
+    held = [(i, set(np.concatenate([t for _, t in search.term_rows([x])] or [np.zeros(0, np.uint64)]).view(np.int64).tolist())) for i, x in docs]
+    df = {}
+    for _, own in held:
+        for t in own:
+            df[t] = df.get(t, 0) + 1
+    asked = [(i, t) for i, t in docs if i % 21 == 0]
+    rows = [(i, t, np.log(1.0 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5))) for i, own in held if i % 21 == 0 for t in sorted(own)]
+    queries = search.Queries(*map(np.array, zip(*rows)))
+    best = search.Best(len(queries.ids), 7)
+    for s in shards:
+        search.search_shard(search.Shard(s, sum(x.n_words for x in shards) / len(docs), queries), queries, best)
+    got, rank = set(), {}
+    for q, score, i in zip(*(x.tolist() for x in best.hits)):
+        rank[q] = rank.get(q, 0) + 1
+        got.add((int(queries.ids[q]), i, rank[q], score))
+    assert got == brute_search(docs, asked, 7, None)
+
+
 # 2 quality
 
 
